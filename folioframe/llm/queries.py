@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from folioframe.llm import chat, packing, sharding, tokenfile, tokens
+from folioframe.llm import chat, packing, sharding, spotsigs, tokenfile, tokens
 
 QUERIES = {
     "op1_chat_snapshots": chat.op1_chat_snapshots,
     "op2_section_tokens": tokens.op2_section_tokens,
     "op3_extendible_shards": sharding.op3_extendible_shards,
+    "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_nnls_packing": packing.op5_nnls_packing,
     "op7_addressable_codes": tokenfile.op7_addressable_codes,
 }
