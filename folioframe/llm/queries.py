@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import chat, packing, sharding, spotsigs, tokenfile, tokens
+from folioframe.llm import chat, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
 
 QUERIES = {
     "op1_chat_snapshots": chat.op1_chat_snapshots,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_extendible_shards": sharding.op3_extendible_shards,
     "op4_spotsigs": spotsigs.op4_spotsigs,
     "op5_nnls_packing": packing.op5_nnls_packing,
+    "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_addressable_codes": tokenfile.op7_addressable_codes,
+    "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
 }
 
 ORACLES = {
