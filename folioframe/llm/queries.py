@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import chat, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
+from folioframe.llm import chat, lshforest, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
 
 QUERIES = {
     "op1_chat_snapshots": chat.op1_chat_snapshots,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_addressable_codes": tokenfile.op7_addressable_codes,
     "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
+    "op10_lsh_forest": lshforest.op10_lsh_forest,
 }
 
 ORACLES = {
