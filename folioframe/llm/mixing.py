@@ -138,7 +138,7 @@ def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed:
     source."""
     keys = ["doc_id", "size", "source"]
     nth = "row_number() over (partition by {id} order by {size}, {source})"
-    taken = take(docs, share, cap, seed).filter("copies > 0 or true").select(
+    taken = take(docs, share, cap, seed).select(
         F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"), F.col("size").alias("_size"), F.col("source").alias("_source"))
     taken = taken.withColumn("_nth", F.expr(nth.format(id="_id", size="_size", source="_source"))).drop("_size", "_source")
     rows = docs.withColumn("_words", size_of()).withColumn("_row", F.expr(nth.format(id=keys[0], size="_words", source="source")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import chat, lshforest, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
+from folioframe.llm import chat, covertree, lshforest, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
 
 QUERIES = {
     "op1_chat_snapshots": chat.op1_chat_snapshots,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_nnls_packing": packing.op5_nnls_packing,
     "op6_pivotal_mix": mixing.op6_pivotal_mix,
     "op7_addressable_codes": tokenfile.op7_addressable_codes,
+    "op8_dual_tree": covertree.op8_dual_tree,
     "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
     "op10_lsh_forest": lshforest.op10_lsh_forest,
 }
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLES = {
     "op1_chat_snapshots": chat.ORACLE,
     "op3_extendible_shards": sharding.oracle(),
+    "op8_dual_tree": covertree.ORACLE,
 }

@@ -108,10 +108,18 @@ def nnpu(x: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]
     return w, b
 
 
+def apart(texts: list[np.ndarray], sketch: int = 8, alike: int = 5) -> list[np.ndarray]:
+    """The texts without near copies of earlier ones, which would make chance words look frequent: those of which
+    `alike` of `sketch` minimum hashes agree."""
+    mins = np.array([[mix64(t ^ mix64(np.uint64(k + 1))).min() if len(t) else k for k in range(sketch)] for t in texts], np.uint64).reshape(-1, sketch)
+    return [t for i, t in enumerate(texts) if not ((mins[:i] == mins[i]).sum(1) >= alike).any()]
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
     """positive and unlabelled hold the different features of each text."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0 if not positive else 0.0)
+    positive = apart(positive)
     np_, nu = len(positive), len(unlabelled)
     keys, cp = np.unique(np.concatenate(positive), return_counts=True)
     every, cu = np.unique(np.concatenate(unlabelled), return_counts=True)
