@@ -69,6 +69,14 @@ def width(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def long_rows(spark: SparkSession, most: int = 1000) -> None:
+    """Send Python at most `most` rows at a time, as rows with whole texts are long, unless the session asks for
+    fewer. A session setting, since results are computed after the operator has returned."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= most:
+        spark.conf.set(key, str(most))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

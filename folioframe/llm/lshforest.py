@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, mix64, table
+from folioframe.llm.common import Scratch, long_rows, mix64, table
 from folioframe.llm.tokens import AT_A_TIME
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -165,14 +165,13 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     now, seen, step = scratch.save(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges"), None, 0
     while True:
         ways = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = ways.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
-            low.filter("m < u").select("u", F.col("m").alias("v"))).distinct()
+        low = ways.groupBy("u").agg(F.min("v").alias("m"))
+        large = ways.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             low.select("u", F.col("m").alias("v"))).distinct()
         new = scratch.save(small, f"stars{step}")
-        sign = tuple(new.agg(F.count("*"), F.sum(F.xxhash64("u", "v") / 2.0 ** 40)).first())
+        sign = tuple(new.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if step:
             scratch.drop(f"stars{step - 1}")
         if sign == seen or not sign[0]:
@@ -196,6 +195,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "forest")
+    long_rows(spark)
     length = prefix_length(threshold, recall=recall)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     sketch = scratch.save(texts.mapInArrow(
