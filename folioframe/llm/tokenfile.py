@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, table, width
-from folioframe.llm.tokens import encoder
+from folioframe.llm.common import Scratch, long_rows, table, width
+from folioframe.llm.tokens import AT_A_TIME, encoder
 
 MAGIC, BLOCK = b"FDAC0001", 512
 #: A segment is closed at the first document end after this many ids.
@@ -110,9 +110,9 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, vocabulary: st
                 names=["part", "at", "doc_ids", "ends", "codes"])
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                for doc, packed in zip(ids[k:k + 256], enc.encode(texts[k:k + 256])):
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                ids, texts = (batch.column(c).slice(k, AT_A_TIME).to_pylist() for c in (0, 1))
+                for doc, packed in zip(ids, enc.encode(texts)):
                     data += [packed, end]
                     size += len(packed) // enc.dtype.itemsize + 1
                     names.append(doc)
@@ -124,6 +124,7 @@ def write_token_file(docs: DataFrame, path: str, end_id: int = 2, vocabulary: st
         if names:
             yield close()
 
+    long_rows(docs.sparkSession)
     ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(
         width(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     ordered.mapInArrow(segments, SCHEMA).write.option("compression", "zstd").parquet(path)
@@ -143,15 +144,16 @@ def read_token_file(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part, at, names, ends, codes in zip(*(batch.column(k).to_pylist() for k in range(5))):
                 codes, low = Codes(codes), 0
-                for k in range(0, len(names), 1024):
-                    rows = []
-                    for name, high in zip(names[k:k + 1024], ends[k:k + 1024]):
-                        rows.append((name, before[part] + at + low, high - low, codes.slice(low, high).astype("<u4").tobytes()))
-                        low = high
-                    cols = list(zip(*rows))
+                for k in range(0, len(names), 1024):  # a run of documents at a time
+                    stops = np.array(ends[k:k + 1024])
+                    starts = np.append(low, stops[:-1])
+                    ids = pa.py_buffer(codes.slice(low, int(stops[-1])).astype("<u4").tobytes())
+                    cuts = pa.py_buffer(np.append(0, (stops - low) * 4).astype("<i4").tobytes())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.binary())],
+                        [pa.array(names[k:k + 1024], pa.int64()), pa.array(starts + before[part] + at), pa.array(stops - starts),
+                         pa.Array.from_buffers(pa.binary(), len(stops), [None, cuts, ids])],
                         names=["doc_id", "start", "n_tokens", "ids"])
+                    low = int(stops[-1])
 
     return table.mapInArrow(read, "doc_id long, start long, n_tokens long, ids binary")
 

@@ -10,16 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import table
-
-#: How the byte-level tokenizer cuts a text before its merges, for texts of PLAIN characters only; fixed values.
-CUT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Any character on which Python's classes and the tokenizer's could disagree.
-ODD = re.compile("[^\x00-\x1b\x20-\x7f\xa1\xab\xbb\xbf\xc0-ɏ‐-‧]")
-#: A place where no token spans: before a blank between two letters.
-SEAM = re.compile(r"(?<=[A-Za-z])(?= [A-Za-z])")
-#: Words whose ids a Python worker remembers, and characters of text handled at once; both bound memory, not results.
-REMEMBERED, AT_ONCE = 400_000, 1 << 20
+from folioframe.llm.common import long_rows, mix64, table
+
+#: A blank alone between other characters. The byte-level tokenizer always cuts before it: no alternative of its
+#: pattern runs from another character into white space, and each takes one blank before what follows.
+SEAM = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
+#: White space, or what could count as such, beyond ASCII.
+WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
+#: Chunks of text that a worker remembers, and characters of text handled at once; both bound memory, not results.
+REMEMBERED, RECENT, AT_ONCE = 1_500_000, 100_000, 1 << 19
+#: Bytes of the longest chunk that is remembered.
+LONGEST = 64
+#: Rows of an Arrow batch that become Python objects together.
+AT_A_TIME = 256
 DEFAULT = "byte_bpe_50k.json"
 
 
@@ -29,51 +32,156 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT)
 
 
+_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+_SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
+
+
+class Known:
+    """ids by 64-bit hash of a chunk: sorted hashes, each with the place and number of its ids in a pool. New chunks
+    gather in a short run that is merged into the long one now and then."""
+
+    def __init__(self, dtype: np.dtype):
+        self.dtype = dtype
+        self.clear()
+
+    def clear(self) -> None:
+        self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
+        self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
+        self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int16)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Entry of each ascending key, -1 for unknown ones."""
+        out = np.full(len(keys), -1)
+        for known, entry in self.runs:
+            if len(known):
+                place = np.minimum(np.searchsorted(known, keys), len(known) - 1)
+                out = np.where(known[place] == keys, entry[place], out)
+        return out
+
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Entries for new keys, whose ids follow each other."""
+        if len(self.at) + len(keys) > REMEMBERED:
+            raise MemoryError
+        while self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, self.dtype)])
+        self.pool[self.used:self.used + len(ids)] = ids
+        entry = (len(self.at) + np.arange(len(keys))).astype(np.int32)
+        self.at = np.concatenate([self.at, (self.used + np.cumsum(sizes) - sizes).astype(np.int32)])
+        self.size = np.concatenate([self.size, sizes.astype(np.int16)])
+        self.used += len(ids)
+        self.runs[1] = self._merged(self.runs[1], (keys, entry))
+        if len(self.runs[1][0]) > RECENT:
+            self.runs = [self._merged(*self.runs), (keys[:0], entry[:0])]
+        return entry
+
+    @staticmethod
+    def _merged(a, b):
+        keys = np.concatenate([a[0], b[0]])
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate([a[1], b[1]])[order]
+
+
 class Encoder:
     """Whole texts to ids, as little-endian bytes of `dtype`.
 
-    The library encodes each different word once; a text is the concatenation of its words' ids, which is what the
-    library returns for the whole text, since merges never cross the cut. Texts with other characters than PLAIN ones
-    go to the library as they are."""
+    A byte-level tokenizer cuts a text before each SEAM and never merges over a cut. Where every blank is a seam, the
+    library encodes each different chunk between blanks once, and a text's ids are those of its chunks, in order:
+    what the library returns for the whole text. All other texts it gets whole."""
 
     def __init__(self, path: str):
+        import json
+
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        state = __import__("json").loads(self.tokenizer.to_str())
+        state = json.loads(self.tokenizer.to_str())
         pre = state.get("pre_tokenizer") or {}
         self.cuts = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.known: dict[str, bytes] = {}
+        self.size = self.byte_lengths() if self.cuts else None
+        self.known = Known(self.dtype)
+        self.power = self.back = np.ones(1, np.uint64)
 
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+    def _plainly(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _slices(self, text: str) -> Iterator[str]:
         at = 0
-        while len(text) - at > AT_ONCE and (m := SEAM.search(text, at + AT_ONCE // 2)):
+        while self.cuts and len(text) - at > AT_ONCE and (m := SEAM.search(text, at + AT_ONCE // 2)):
+            if m.start() == at + AT_ONCE // 2:  # the search did not see what stands before
+                m = SEAM.search(text, m.end()) or m
             yield text[at:m.start()]
             at = m.start()
         yield text[at:] if at else text
 
+    def _powers(self, n: int) -> None:
+        if len(self.power) < n:
+            self.power, self.back = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n + n // 4, b, np.uint64)])) for b in (_BASE, _INVERSE))
+
+    def _learn(self, chunks: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, number of ids of each) of " " + chunk. Many are encoded in one text, which the tokenizer cuts before
+        each blank, and told apart by the bytes their ids stand for."""
+        texts = [b"".join(chunks[k:k + 64]).decode("utf-8", "surrogatepass") for k in range(0, len(chunks), 64)]
+        ids = np.frombuffer(b"".join(self._plainly(texts)), self.dtype)
+        ends = np.searchsorted(np.cumsum(self.size[ids]), np.cumsum(np.fromiter(map(len, chunks), np.int64, len(chunks)))) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def _some(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = [b""] * len(texts)
-        plain = [i for i, s in enumerate(texts) if self.cuts and not ODD.search(s)]
-        rest = sorted(set(range(len(texts))) - set(plain))
-        for i, e in zip(rest, self.tokenizer.encode_batch_fast([texts[i] for i in rest], add_special_tokens=False)):
-            out[i] = self._pack(e.ids)
-        cut = [CUT.findall(texts[i]) for i in plain]
-        new = list(set().union(*cut) - self.known.keys())
-        ids = {w: self._pack(e.ids) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False))}
-        if len(self.known) + len(ids) > REMEMBERED:
-            self.known = {w: self.known[w] for c in cut for w in c if w in self.known}
-        self.known |= ids
-        for i, c in zip(plain, cut):
-            out[i] = b"".join(map(self.known.__getitem__, c))
-        if len(self.known) > REMEMBERED:
-            self.known = {}
-        return out
+        if not self.cuts or not texts:
+            return self._plainly(texts) if texts else []
+        raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+        data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+        edge = np.cumsum([1, *(len(r) + 1 for r in raw)])  # where each text begins; its separator is before the next
+        blank = np.flatnonzero(data == 32)
+        odd = np.array([not t.isascii() and WIDE.search(t) is not None for t in texts])
+        whose = np.searchsorted(edge, blank, "right") - 1
+        odd[whose[_SPACE[data[blank - 1]] | _SPACE[data[blank + 1]]]] = True
+        low, high = np.searchsorted(blank, edge[:-1]), np.searchsorted(blank, edge[1:])
+        #: A text's inner chunks run from each of its blanks to the next; the last has no blank after it.
+        inner = np.ones(len(blank), bool)
+        inner[high[high > low] - 1] = False
+        inner &= ~odd[whose]
+        start, stop = blank[inner], blank[np.flatnonzero(inner) + 1] if inner.any() else blank[:0]
+        self._powers(len(data))
+        run = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:len(data)], out=run[1:])
+        key = mix64((run[stop] - run[start]) * self.back[start] + (stop - start).astype(np.uint64))
+        key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+        entry = self.known.find(key)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            bytes_ = data.tobytes()
+            ids, sizes = self._learn([bytes_[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())])
+            short = (stop - start)[first[new]] <= LONGEST
+            try:
+                if not short.all():
+                    raise MemoryError
+                entry[new] = self.known.add(key[new], ids, sizes)
+                pool, at, size = self.known.pool, self.known.at, self.known.size
+            except MemoryError:  # for these texts only: their own ids beside those that are known
+                entry[new] = len(self.known.at) + np.arange(len(new))
+                pool = np.concatenate([self.known.pool[:self.known.used], ids])
+                at = np.concatenate([self.known.at, self.known.used + np.cumsum(sizes) - sizes])
+                size = np.concatenate([self.known.size, sizes])
+                if len(self.known.at) + len(new) > REMEMBERED:
+                    self.known.clear()
+        else:
+            pool, at, size = self.known.pool, self.known.at, self.known.size
+        entry = entry[inverse]
+        n = size[entry].astype(np.int64)
+        stops = np.cumsum(n)
+        flat = pool[np.repeat(at[entry] - stops + n, n) + np.arange(int(stops[-1]) if len(stops) else 0)].tobytes()
+        cut = np.append(0, stops) * self.dtype.itemsize
+        bounds = cut[np.searchsorted(start, edge)].tolist()
+        single = self._plainly([x for i, t in enumerate(texts) for x in self._ends(t, bool(odd[i]))])
+        return [single[2 * i] + flat[bounds[i]:bounds[i + 1]] + single[2 * i + 1] for i in range(len(texts))]
+
+    @staticmethod
+    def _ends(text: str, whole: bool) -> tuple[str, str]:
+        """What is encoded by itself: the text before its first blank, and from its last one on."""
+        first = -1 if whole else text.find(" ")
+        return (text, "") if first < 0 else (text[:first], text[text.rfind(" "):])
 
     def encode(self, texts: list[str]) -> list[bytes]:
         done: list[bytes] = []
@@ -168,12 +276,10 @@ def count_section_tokens(docs: DataFrame, boundary: str = "\n", rule: str = "sta
         enc, ends = encoder(path), re.compile(boundary)
         size = enc.byte_lengths()
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            ids = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 256):
+            for at in range(0, batch.num_rows, AT_A_TIME):
                 rows: list[list] = [[], [], [], [], []]
-                part = texts[at:at + 256]
-                for doc, text, packed in zip(ids[at:at + 256], part, enc.encode(part)):
+                ids, part = (batch.column(k).slice(at, AT_A_TIME).to_pylist() for k in (0, 1))
+                for doc, text, packed in zip(ids, part, enc.encode(part)):
                     edges = np.array([0] + [m.end() for m in ends.finditer(text) if m.end() < len(text)], np.int64)
                     n = attribute(text, size[np.frombuffer(packed, enc.dtype)], edges, rule)
                     rows[0] += [doc] * len(edges)
@@ -184,6 +290,7 @@ def count_section_tokens(docs: DataFrame, boundary: str = "\n", rule: str = "sta
                     + [pa.array(np.concatenate(rows[k]), pa.int64()) for k in (2, 3)] + [pa.array(np.concatenate(rows[4]), pa.float64())],
                     names=["doc_id", "section", "start", "n_chars", "n_tokens"])
 
+    long_rows(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         counted, "doc_id long, section int, start long, n_chars long, n_tokens double")
 
