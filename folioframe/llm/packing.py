@@ -12,8 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, table
-from folioframe.llm.tokens import encoder
+from folioframe.llm.common import Scratch, long_rows, table
+from folioframe.llm.tokens import AT_A_TIME, encoder
 
 WINDOW = 1024
 STEPS = 400
@@ -165,6 +165,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
     an empty table gives no rows; other columns are ignored."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "packing")
+    long_rows(spark)
 
     def tokenize(batches):
         from pyspark import TaskContext
@@ -173,9 +174,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
         end = np.array([end_id], enc.dtype).tobytes()
         seen, full = np.zeros(window, np.int64), 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for k in range(0, len(texts), 256):
-                data = [b + end for b in enc.encode(texts[k:k + 256])]
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                ids, texts = (batch.column(c).slice(k, AT_A_TIME).to_pylist() for c in (0, 1))
+                data = [b + end for b in enc.encode(texts)]
                 ranks, fulls, sizes = [], [], []
                 for b in data:
                     n = len(b) // enc.dtype.itemsize
@@ -185,7 +186,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
                     seen[n % window] += 1
                     full += n // window
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([block] * len(data), pa.int32()), pa.array(ids[k:k + 256], pa.int64()), pa.array(sizes, pa.int64()),
+                    [pa.array([block] * len(data), pa.int32()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()),
                      pa.array(ranks, pa.int64()), pa.array(fulls, pa.int64()),
                      pa.array(data, pa.binary())],
                     names=["block", "doc_id", "n", "nth", "fulls", "packed"])
@@ -218,13 +219,13 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
     def pieces(batches):
         lows: dict[int, dict[int, int]] = {}
         for batch in batches:
-            block, doc, n, nth, fulls, packed, before = (batch.column(k).to_pylist() for k in range(7))
-            for i, b in enumerate(block):
-                if b not in lows:
-                    lows[b] = {x["length"]: x["low"] for x in batch.column(7)[i].as_py()}
-            for k in range(0, len(doc), 1024):
+            for k in range(0, batch.num_rows, AT_A_TIME):
+                part = batch.slice(k, AT_A_TIME)
+                block, doc, n, nth, fulls, packed, before = (part.column(c).to_pylist() for c in range(7))
                 rows = []
-                for i in range(k, min(k + 1024, len(doc))):
+                for i in range(len(doc)):
+                    if block[i] not in lows:
+                        lows[block[i]] = {x["length"]: x["low"] for x in part.column(7)[i].as_py()}
                     data, at = np.frombuffer(packed[i], "<" + wide).astype("<u4"), 0
                     cut = [(base + before[i] + fulls[i] + j, 0, window) for j in range(n[i] // window)]
                     if n[i] % window:
