@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import mix64, table
+from folioframe.llm.common import long_rows, mix64, table
 
 #: Rows that the classifier is fitted on at most: confirmed toxic ones, and unlabelled ones. Every row is scored.
 POSITIVES, UNLABELLED = 2500, 7500
@@ -111,7 +111,7 @@ def nnpu(x: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]
 def apart(texts: list[np.ndarray], sketch: int = 8, alike: int = 5) -> list[np.ndarray]:
     """The texts without near copies of earlier ones, which would make chance words look frequent: those of which
     `alike` of `sketch` minimum hashes agree."""
-    mins = np.array([[mix64(t ^ mix64(np.uint64(k + 1))).min() if len(t) else k for k in range(sketch)] for t in texts], np.uint64).reshape(-1, sketch)
+    mins = np.array([[mix64(t ^ mix64(np.full(1, k + 1, np.uint64))).min() if len(t) else k for k in range(sketch)] for t in texts], np.uint64).reshape(-1, sketch)
     return [t for i, t in enumerate(texts) if not ((mins[:i] == mins[i]).sum(1) >= alike).any()]
 
 
@@ -172,13 +172,15 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
     Defined cases: null text is empty and has the score of a text without features; rows with equal texts have equal
     scores; an empty table gives no rows. Other columns pass through."""
 
+    long_rows(docs.sparkSession)
+
     @F.pandas_udf("double")
     def scored(texts: pd.Series) -> pd.Series:
         texts = texts.fillna("").tolist()
         parts, at = [], 0
-        while at < len(texts):  # about 2 million characters at a time
+        while at < len(texts):  # about half a million characters at a time
             end, size = at, 0
-            while end < len(texts) and (end == at or size < 1 << 21):
+            while end < len(texts) and (end == at or size < 1 << 19):
                 size += len(texts[end])
                 end += 1
             parts.append(model.score(texts[at:end]))
