@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.llm import lshforest, mixing, packing, toxicity
-from folioframe.llm.common import Scratch
+from folioframe.llm.common import Scratch, fresh
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The rows whose text the classifier does not call toxic; it learns from sf_dir's labels."""
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.score_documents(docs, model)
-    return scored.filter(F.col("score") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
+    name = fresh(docs, "score")
+    return toxicity.score_documents(docs, model, name).filter(F.col(name) < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

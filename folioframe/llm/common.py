@@ -77,6 +77,14 @@ def long_rows(spark: SparkSession, most: int = 1000) -> None:
         spark.conf.set(key, str(most))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """The name, lengthened until the table has no such column."""
+    used = {c.lower() for c in df.columns}
+    while name.lower() in used:
+        name += "_"
+    return name
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

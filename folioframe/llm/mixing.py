@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, table, width
+from folioframe.llm.common import Scratch, fresh, table, width
 
 #: Weights of the sources in code point order, repeated as often as needed; fixed values.
 WEIGHTS = (3, 1, 2)
@@ -136,15 +136,13 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
 def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
     """The rows of docs, each as often as the mix takes it. Rows with equal doc_id are matched in order of size and
     source."""
-    keys = ["doc_id", "size", "source"]
-    nth = "row_number() over (partition by {id} order by {size}, {source})"
-    taken = take(docs, share, cap, seed).select(
-        F.col("doc_id").alias("_id"), F.col("copies").alias("_copies"), F.col("size").alias("_size"), F.col("source").alias("_source"))
-    taken = taken.withColumn("_nth", F.expr(nth.format(id="_id", size="_size", source="_source"))).drop("_size", "_source")
-    rows = docs.withColumn("_words", size_of()).withColumn("_row", F.expr(nth.format(id=keys[0], size="_words", source="source")))
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_nth")))
-    met = met.withColumn("_copy", F.explode(F.expr("case when _copies > 0 then sequence(1L, _copies) else array() end")))
-    return met.select(*[F.col(f"`{c}`") for c in docs.columns])
+    words, row, nth, copies, of = (fresh(docs, n) for n in ("_words", "_row", "_nth", "_copies", "_of"))
+    number = "row_number() over (partition by {0} order by {1}, {2})"
+    taken = take(docs, share, cap, seed).select(F.col("doc_id").alias(of), F.col("copies").alias(copies), F.expr(number.format("doc_id", "size", "source")).alias(nth))
+    rows = docs.withColumn(words, size_of()).withColumn(row, F.expr(number.format("doc_id", words, "source")))
+    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(row) == F.col(nth)))
+    each = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))).otherwise(F.array().cast("array<bigint>")))
+    return met.withColumn(nth, each).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

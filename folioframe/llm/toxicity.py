@@ -166,8 +166,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return fit(_sampled(texts, toxic), _sampled(texts, other), prior)
 
 
-def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The rows of docs with a score from 0 to 1, from the whole text alone.
+def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """The rows of docs with a score from 0 to 1 as column `name`, from the whole text alone.
 
     Defined cases: null text is empty and has the score of a text without features; rows with equal texts have equal
     scores; an empty table gives no rows. Other columns pass through."""
@@ -187,7 +187,7 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text") -> DataFr
             at = end
         return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-    return docs.withColumn("score", scored(F.col(text)))
+    return docs.withColumn(name, scored(F.col("text")))
 
 
 def op9_nnpu_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
