@@ -142,15 +142,15 @@ def build_graph(chunks: DataFrame, extract, embed=None, merge_at: float | None =
     similarity of embeddings, and link. extract and embed are column functions, see folioframe.models."""
     from folioframe.operators.vector import greedy_merge
 
-    found = chunks.withColumn("_x", extract(F.col("chunk_text")))
+    found = chunks.select("book_id", "chunk_id", "node_id", extract(F.col("chunk_text")).alias("_x")).persist()
     raw = found.select("book_id", "chunk_id", "node_id", F.posexplode("_x.entities").alias("i", "e")).select(
         "book_id", F.struct("chunk_id", "i").alias("seq0"), F.col("e.name").alias("name"), F.col("e.entity_type").alias("entity_type"), F.col("e.tags").alias("tags"),
         F.col("e.summary").alias("summary"), F.col("chunk_id").alias("source_chunk_id"), F.col("node_id").alias("source_node_id"))
     raw = raw.withColumn("seq", F.dense_rank().over(Window.partitionBy("book_id").orderBy("seq0"))).drop("seq0")
-    entities, merged = merge_by_name(raw), None
+    entities, merged = merge_by_name(raw).persist(), None
     if embed is not None and merge_at is not None:
         vectors = entities.select("id", "book_id", embed(F.concat_ws(" ", "name", "summary")).alias("vector"))
-        merged = greedy_merge(vectors, merge_at, "book_id").select("id", "representative")
+        merged = greedy_merge(vectors.persist(), merge_at, "book_id").select("id", "representative").persist()
     relations = found.select("book_id", F.col("chunk_id").alias("source_chunk_id"), F.col("node_id").alias("source_node_id"), F.explode("_x.relationships").alias("r")).select(
         "book_id", "source_chunk_id", "source_node_id", "r.source_name", "r.target_name", "r.relation_type", "r.summary", "r.claims")
     edges = resolve_edges(relations, entities, merged).withColumn("id", gen_id(*[F.col(c) for c in ("book_id", "source_chunk_id", "source_entity_id", "target_entity_id", "relation_type")], prefix="rel_"))
