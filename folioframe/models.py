@@ -54,3 +54,12 @@ def metadata(text: Column) -> Column:
     """title and author from leading lines of the form "Title: ..."."""
     line = lambda name: F.trim(F.regexp_extract(text, rf"(?im)^\s*{name}\s*:\s*(.+)$", 1))
     return F.struct(line("title").alias("title"), line("author").alias("author"), line("language").alias("language"))
+
+
+def extract_metadata(docs, key: str = "book_id", text: str = "text"):
+    """(key, title, author, language) of each text, from its first fragments, the last non-blank value of a field."""
+    from folioframe.operators.tables import merge_metadata
+    from folioframe.operators.text import metadata_fragments
+
+    found = metadata_fragments(docs, key, text).withColumn("m", metadata(F.col("fragment_text"))).select(key, "fragment", "m.*")
+    return merge_metadata(found, key, "fragment", ["title", "author", "language"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioframe import models
-from folioframe.operators import cas, convo, graph, progress, tables, text, usage, vector
+from folioframe.operators import cas, convo, graph, lookups, progress, tables, text, usage, vector
 from folioframe.plans import model
 from folioframe.sources.files import table
 
@@ -253,6 +253,28 @@ def log_binding(spark, d):
     return progress.bound_logs(rows, "INFO", app="base", host="h").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
 
 
+def extract_metadata(spark, d):
+    body = F.concat(F.lit("Title: T"), "doc_id", F.lit("\nAuthor:  "), "source", F.lit(" \n"), "text")
+    return models.extract_metadata(model.docs(spark, d).select(F.col("doc_id").alias("book_id"), body.alias("text"))).select("book_id", "title", "author")
+
+
+def edges_of_any(spark, d):
+    ids = table(spark, d, "supplier").filter("s_suppkey < 5").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
+    return lookups.edges_of_any(model.edges(spark, d), ids.unionByName(spark.createDataFrame([("p7",)], "entity_id string"))).select("id", "target_entity_id")
+
+
+def book_ids(spark, d):
+    return lookups.book_ids(model.docs(spark, d).select(F.col("doc_id").alias("id"), F.col("n_chars").cast("double").alias("created_at")))
+
+
+def books_with_chunk_index(spark, d):
+    return lookups.with_built_index(model.docs(spark, d).select(F.col("doc_id").alias("book_id")), _manifest(spark, d), "chunk")
+
+
+def nodes_of_book(spark, d):
+    return lookups.of_book(_raw_entities(spark, d), "en", ["n1", "n2", "n28"]).select("book_id", "seq")
+
+
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 _RAW = """raw as (select lang book_id, doc_id seq, case when doc_id % 2 = 0 then upper(source) else '  ' || source || chr(9) end as name, source name_key, 'T' || (doc_id % 4) entity_type,
@@ -265,6 +287,11 @@ _USED = "case when actual_in is null then estimated else actual_in + actual_out
 _TOK = "greatest(1, length(text) // 4)"
 
 ORACLES = {
+    "extract_metadata": "select doc_id book_id, 'T' || doc_id title, source author from documents",
+    "edges_of_any": f"with {model.EDGES} select id, target_entity_id from edges where source_entity_id in ('s0', 's1', 's2', 's3', 's4') or target_entity_id = 'p7'",
+    "book_ids": "select doc_id id from documents",
+    "books_with_chunk_index": f"with {_MANIFEST} select book_id from m where index_type = 'chunk' and status = 'built'",
+    "nodes_of_book": "select lang book_id, doc_id seq from documents where lang = 'en' and doc_id in (1, 2, 28)",
     "vector_topk": """with q as (select embedding::double[] q from embeddings where vec_id = 0), v as (select vec_id id, list_sum(list_transform(list_zip(embedding::double[], q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) x from embeddings, q)
       select id, round(x, 6) distance, round(1 - x, 6) score from v order by x, id limit 20""",
     "vector_topk_filtered": """with q as (select embedding::double[] q from embeddings where vec_id = 0), v as (select vec_id id, list_sum(list_transform(list_zip(embedding::double[], q), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) x from embeddings, q where label = 3)
