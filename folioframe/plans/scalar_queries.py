@@ -181,6 +181,9 @@ ORACLES = {
     "key_functions": "select doc_id, source || '|' || lang parts, n_chars::varchar n, true as valid, false as valid_tail from documents",
     "base64_functions": """select c_custkey, to_base64(encode(c_name)) plain, rtrim(translate(to_base64(encode(c_name)), '+/', '-_'), '=') url, c_name back, length(c_name)::bigint size, 'text/plain' mime,
       left(to_base64(encode(c_name)), 8) || '...(' || length(to_base64(encode(c_name))) || ' chars)' short from customer""",
+    "int_to_base64url": """with h as (select o_orderkey, hex(o_orderkey * 65537 + 7) x from orders)
+      select o_orderkey, rtrim(translate(to_base64(unhex(case when length(x) % 2 = 1 then '0' || x else x end)), '+/', '-_'), '=') coded from h""",
+    "snake_case": """select p_partkey, lower(regexp_replace(regexp_replace(upper(left(p_type, 1)) || lower(substr(p_type, 2)) || 'HTTPServer' || p_size, '(.)([A-Z][a-z]+)', '\\1_\\2', 'g'), '([a-z0-9])([A-Z])', '\\1_\\2', 'g')) as name from part""",
     "durations": "select o_orderkey, case when o_orderkey * 997 >= 86400 then (o_orderkey * 997 // 86400) || 'd' else (o_orderkey * 997 // 3600) || 'h' end as text from orders",
     "salvage_json": "select event_id, case when event_id % 3 <> 0 then props end body from events",
     "flatten_json": "select event_id, user_id::varchar d, len(json_keys(props))::integer + 1 n from events",

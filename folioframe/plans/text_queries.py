@@ -159,6 +159,10 @@ ORACLES = {
     "metadata_fragments": METADATA_SQL, "tagify": TAG_SQL,
     "token_estimate": "select lang, sum(greatest(1, length(text) // 4))::bigint tokens, max(greatest(1, length(text) // 4))::bigint most from documents group by lang",
     "neighbour_chars": "select doc_id, substr(text, greatest(0, length(text) // 2 - 50) + 1, length(text) // 2 - greatest(0, length(text) // 2 - 50)) as before, substr(text, length(text) // 2 + 1, 50) as after from documents",
+    "fts_chunks": f"""with c as ({_budget_sql(500, "greatest(1, cut - 200)")}),
+      t as (select *, lpad(doc_id::varchar, 12, '0') || '/' || lpad(chunk_index::varchar, 6, '0') chunk_id,
+        list_filter(regexp_split_to_array(translate(lower(chunk_text), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') ts from c)
+      select chunk_id, doc_id, chunk_index, content_offset, content_length from t where list_contains(ts, 'with') and list_contains(ts, 'that') order by chunk_id limit 100""",
     "fts_and": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and list_contains(ts, 'from')",
     "fts_or_not": f"with {_TOKENS} {_HAS} (list_contains(ts, 'idiot') or list_contains(ts, 'moron')) and not list_contains(ts, 'clown')",
     "fts_phrase": f"with {_TOKENS} {_HAS} contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ')",

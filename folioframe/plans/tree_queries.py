@@ -44,7 +44,7 @@ def tree_roots(spark, d):
 
 def _broken(spark, d):
     """The trees with nodes whose parent, level or order is wrong."""
-    n = F.abs(F.crc32("id"))
+    n = F.col("book_id") * 31 + F.substring_index("id", "/", -1).cast("long")
     return build_tree(spark, d).withColumns({
         "parent_id": F.when((F.col("level") == 2) & (n % 11 == 0), "nowhere").otherwise(F.col("parent_id")),
         "level": F.when((F.col("level") == 1) & (n % 13 == 0), 0).otherwise(F.col("level")),
@@ -143,6 +143,14 @@ ORACLES = {
     "parents": f"with {_LINES} select n.id, nullif(n.parent_id, '') parent_id, u.title parent_title from nodes n left join nodes u on u.id = n.parent_id",
     "nodes_at_level": f"with {_LINES} select id, order_index, path from paths where level = 1",
     "tree_roots": f"with {_LINES} select id, content_length::bigint content_length from nodes where seq = 0",
+    "tree_replay": f"with {_LINES} select id, parent_id, level, order_index, title, content_offset::bigint content_offset, content_length::bigint content_length from nodes where seq > 0",
+    "tree_violations": f"""with {_LINES}, b as (select id, book_id, level old, case when level = 2 and (book_id * 31 + seq) % 11 = 0 then 'nowhere' else parent_id end parent_id,
+        case when level = 1 and (book_id * 31 + seq) % 13 = 0 then 0 else level end level, case when level = 1 and (book_id * 31 + seq) % 17 = 0 then 0 else order_index end order_index,
+        case when (book_id * 31 + seq) % 19 = 0 then -1 else content_length end content_length from nodes),
+      v as (select 'negative length' problem from b where content_length < 0 union all select 'missing parent' from b where parent_id = 'nowhere'
+        union all select 'level order' from b join b u on u.id = b.parent_id where b.level <= u.level
+        union all select 'sibling order' from (select count(*) over (partition by book_id, parent_id, order_index) n from b where parent_id <> '') where n > 1)
+      select problem, count(*) n from v group by problem""",
     "tree_valid": "select doc_id book_id, '' id, '' problem from documents where false",
     "toc_items": """select doc_id, substr(text, 1, doc_id % 3 * 4) title, greatest(doc_id % 4 - 1, 1)::integer level from documents where trim(substr(text, 1, doc_id % 3 * 4)) <> ''""",
     "tree_summary": f"with {_LINES} select book_id, count(*) n from nodes group by book_id",
