@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,11 +26,11 @@ class Compiled:
     indexes: dict[str, DataFrame]
 
 
-def _stored(df: DataFrame, root: str, name: str) -> DataFrame:
-    """Replace the books of df in the table `name`, and read what df has."""
-    ids = df.select("book_id").distinct()
+def _stored(df: DataFrame, root: str, name: str, ids: DataFrame) -> DataFrame:
+    """Replace the books of df in the table `name`, and read it for the books of ids: the result depends on written
+    tables only."""
     tables.write_groups(df, f"{root}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}").join(ids, "book_id", "left_semi")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}").join(ids, "book_id", "left_semi").select(*df.columns)
 
 
 def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: list[str] | None = None, registry: IndexRegistry | None = None) -> Compiled:
@@ -38,17 +39,20 @@ def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: li
     registry = registry or IndexRegistry.load()
     providers = registry.default_enabled() if index_types is None else registry.for_types(index_types)
     now = time.time()
-    parsed = _stored(epub.read(spark, path).filter("error = ''").dropDuplicates(["book_id"]), data_dir, "parsed")
+    raw, batch = epub.read(spark, path).filter("error = ''").dropDuplicates(["book_id"]), f"{data_dir}/batches/{uuid.uuid4().hex}"
+    raw.select("book_id").write.parquet(batch)
+    ids = spark.read.schema("book_id string").parquet(batch)
+    parsed = _stored(raw, data_dir, "parsed", ids)
     books = parsed.select(F.col("book_id").alias("id"), "title", "author", "language", "publisher", "isbn", "description", F.lit(now).alias("created_at"))
     content = parsed.select("book_id", "text")
-    nodes = _stored(tree.build_tree(content), data_dir, "nodes")
+    nodes = _stored(tree.build_tree(content), data_dir, "nodes", ids)
     if (bad := tree.violations(nodes, content).first()) is not None:
         raise ValueError(f"book {bad.book_id}: {bad.problem} {bad.id}")
     manifest, built = spark.createDataFrame([], MANIFEST), {}
     for provider in providers:
         state = lambda status, error="": content.select("book_id", F.lit(provider.name).alias("index_type"), F.lit(status).alias("status"), F.lit(0).cast("long").alias("count"), F.lit(error).alias("error"))  # noqa: B023, E731
         try:
-            made = {name: _stored(df, data_dir, name) if "book_id" in df.columns else df for name, df in provider.build(nodes, content, **provider.options).items()}
+            made = {name: _stored(df, data_dir, name, ids) if "book_id" in df.columns else df for name, df in provider.build(nodes, content, **provider.options).items()}
             counts = next(iter(made.values())).groupBy("book_id").agg(F.count("*").alias("count"))
             manifest = tables.upsert_manifest(manifest, state("built").drop("count").join(counts, "book_id", "left").na.fill(0, ["count"]), now)
             built |= made

@@ -47,27 +47,29 @@ def levels(raw: list[int]) -> list[int]:
 
 
 def outline(text: str, title: str = "") -> Iterator[tuple]:
-    """(seq, parent_seq, level, order_index, title, title_offset, title_length, content_offset, content_length) of the
-    tree's nodes in pre-order; node 0 is the root and owns what stands before the first heading."""
+    """(seq, parent_seq, level, order_index, title, title_offset, title_length, content_offset, content_length, path) of
+    the tree's nodes in pre-order; node 0 is the root and owns what stands before the first heading."""
     found = headings(text)
     level = levels([h[3] for h in found])
-    yield 0, None, 0, 0, title, 0, 0, 0, found[0][0] if found else len(text)
-    stack: list[tuple[int, int]] = [(0, 0)]
+    top = "0" * STEP
+    yield 0, None, 0, 0, title, 0, 0, 0, found[0][0] if found else len(text), top
+    stack: list[tuple[int, int, str]] = [(0, 0, top)]
     children = {0: 0}
     for i, ((at, size, name, _), depth) in enumerate(zip(found, level), 1):
         while stack[-1][1] >= depth:
             stack.pop()
         parent = stack[-1][0]
+        path = f"{stack[-1][2]}.{children[parent]:0{STEP}}"
         start = min(at + size + 1, len(text))
         stop = found[i][0] if i < len(found) else len(text)
-        yield i, parent, depth, children[parent], name, at, size, start, max(0, stop - start)
+        yield i, parent, depth, children[parent], name, at, size, start, max(0, stop - start), path
         children[parent] += 1
         children[i] = 0
-        stack.append((i, depth))
+        stack.append((i, depth, path))
 
 
 _NODE = [("seq", T.LongType()), ("parent_seq", T.LongType()), ("level", T.IntegerType()), ("order_index", T.IntegerType()), ("title", T.StringType()),
-         ("title_offset", T.LongType()), ("title_length", T.LongType()), ("content_offset", T.LongType()), ("content_length", T.LongType())]
+         ("title_offset", T.LongType()), ("title_length", T.LongType()), ("content_offset", T.LongType()), ("content_length", T.LongType()), ("path", T.StringType())]
 
 
 def heading_scan(books: DataFrame, book: str = "book_id", text: str = "text") -> DataFrame:
@@ -79,7 +81,7 @@ def heading_scan(books: DataFrame, book: str = "book_id", text: str = "text") ->
 
 
 def build_tree(books: DataFrame, book: str = "book_id", text: str = "text") -> DataFrame:
-    """Nodes of every book, with ids <book>/<seq>; the root's parent_id is empty."""
+    """Nodes of every book, with ids <book>/<seq> and paths; the root's parent_id is empty."""
     nodes = each_text(books, book, text, outline, _NODE)
     ident = lambda c: F.concat_ws("/", F.col(book).cast("string"), c.cast("string"))
     return nodes.select(
@@ -90,18 +92,20 @@ def build_tree(books: DataFrame, book: str = "book_id", text: str = "text") -> D
 
 def with_paths(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
     """nodes with path, the order_index of every step from the root in fixed digits, joined by dots: sorting by
-    (book_id, path) is pre-order. One equi-join for each level, until no node has a child left."""
-    step = lambda c: F.lpad(c.cast("string"), STEP, "0")
-    front = nodes.filter("parent_id = ''").withColumn("path", step(F.col("order_index")))
-    out, depth = front, 0
-    while depth < most_levels:
-        front = nodes.alias("n").join(front.select(F.col("id").alias("_up"), F.col("book_id").alias("_book"), F.col("path").alias("_path")),
-                                      (F.col("parent_id") == F.col("_up")) & (F.col("book_id") == F.col("_book"))).select(
-            "n.*", F.concat_ws(".", "_path", step(F.col("order_index"))).alias("path"))
-        depth += 1
+    (book_id, path) is pre-order. Trees that were built here have it already; others get it by one equi-join for each
+    level, over their ids only, until no node has a child left."""
+    if "path" in nodes.columns:
+        return nodes.filter("path is not null")
+    step = F.lpad(F.col("order_index").cast("string"), STEP, "0")
+    ties = nodes.select("book_id", "id", "parent_id", step.alias("step")).persist()
+    front = ties.filter("parent_id = ''").select("book_id", "id", F.col("step").alias("path")).persist()
+    paths = front
+    for _ in range(most_levels):
+        up = front.select("book_id", F.col("id").alias("parent_id"), F.col("path").alias("up"))
+        front = ties.join(up, ["book_id", "parent_id"]).select("book_id", "id", F.concat_ws(".", "up", "step").alias("path")).persist()
         if front.isEmpty():
-            return out
-        out = out.unionByName(front)
+            return nodes.join(paths, ["book_id", "id"])
+        paths = paths.unionByName(front)
     raise ValueError(f"the tree has more than {most_levels} levels, or a cycle")
 
 
@@ -167,6 +171,7 @@ def subtree_text(nodes: DataFrame, content: DataFrame) -> DataFrame:
 def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     """(book_id, id, problem): every breach of the rules of a tree, none for valid trees. Problems: repeated id,
     negative length, no root, many roots, root level, missing parent, other book, level order, sibling order, cycle."""
+    nodes = nodes.persist()  # read by every rule
     row = lambda df, problem: df.select("book_id", "id", F.lit(problem).alias("problem"))
     per_book = nodes.groupBy("book_id").agg(F.sum((F.col("parent_id") == "").cast("int")).alias("n"))
     up = nodes.select(F.col("id").alias("_up"), F.col("level").alias("_level"), F.col("book_id").alias("_book"))
@@ -191,7 +196,7 @@ def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     base = base.join(suspects, "book_id", "left_semi")
     reached = front = base.filter("parent_id = ''").select("id")
     while not front.isEmpty():
-        front = base.join(front.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(reached, "id", "left_anti")
+        front = base.join(front.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(reached, "id", "left_anti").persist()
         reached = reached.unionByName(front)
     stuck = base.join(reached, "id", "left_anti").join(base.select(F.col("id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi")
     out.append(row(stuck, "cycle"))

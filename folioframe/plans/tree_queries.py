@@ -14,20 +14,24 @@ def heading_scan(spark, d):
     return tree.heading_scan(model.books(spark, d))
 
 
-def build_tree(spark, d):
+def _tree(spark, d):
     return tree.build_tree(model.books(spark, d))
 
 
+def build_tree(spark, d):
+    return _tree(spark, d).drop("path")
+
+
 def preorder_tree(spark, d):
-    return tree.preorder(build_tree(spark, d)).select("id", "path", "position")
+    return tree.preorder(_tree(spark, d)).select("id", "path", "position")
 
 
 def own_text(spark, d):
-    return tree.own_text(build_tree(spark, d), model.books(spark, d)).select("id", F.sha2("body", 256).alias("body_hash"))
+    return tree.own_text(_tree(spark, d), model.books(spark, d)).select("id", F.sha2("body", 256).alias("body_hash"))
 
 
 def subtree_text(spark, d):
-    return tree.subtree_text(build_tree(spark, d), model.books(spark, d)).select("id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_hash"))
+    return tree.subtree_text(_tree(spark, d), model.books(spark, d)).select("id", F.length("text").alias("n"), F.sha2("text", 256).alias("text_hash"))
 
 
 def parents(spark, d):
@@ -35,11 +39,11 @@ def parents(spark, d):
 
 
 def nodes_at_level(spark, d):
-    return tree.at_level(build_tree(spark, d), 1).select("id", "order_index", "path")
+    return tree.at_level(_tree(spark, d), 1).select("id", "order_index", "path")
 
 
 def tree_roots(spark, d):
-    return tree.roots(build_tree(spark, d)).select("id", "content_length")
+    return tree.roots(_tree(spark, d)).select("id", "content_length")
 
 
 def _broken(spark, d):
@@ -57,7 +61,7 @@ def tree_violations(spark, d):
 
 
 def tree_valid(spark, d):
-    return tree.violations(build_tree(spark, d), model.books(spark, d))
+    return tree.violations(_tree(spark, d), model.books(spark, d))
 
 
 def toc(spark, d):

@@ -15,7 +15,7 @@ def test_levels(text, want):
 
 
 def test_no_headings():
-    assert outline("")[0][7:] == (0, 0)
+    assert outline("")[0][7:9] == (0, 0)
     body = "This is some text without any headings.\n\nJust paragraphs."
     assert len(outline(body)) == 1 and outline(body)[0][8] == len(body)
 
@@ -29,7 +29,7 @@ def test_nesting_and_bodies():
 
 def test_root_owns_the_introduction():
     root = outline("Introduction text.\n\n# Chapter 1\n\nBody.\n")[0]
-    assert root[7:] == (0, 20)
+    assert root[7:9] == (0, 20)
 
 
 def test_odd_white_space_in_headings():
