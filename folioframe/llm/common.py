@@ -45,6 +45,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        self.saved: list[str] = []
         _KEPT[self.root] = spark
 
     def path(self, name: str) -> str:
@@ -53,11 +54,14 @@ class Scratch:
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write and reread: cuts the lineage at a table that every executor can read."""
         df.write.parquet(self.path(name))
+        self.saved.append(name)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
         for name in names:
             _delete(self.spark, self.path(name))
+            if name in self.saved:
+                self.saved.remove(name)
 
     def close(self) -> None:
         _delete(self.spark, self.root)

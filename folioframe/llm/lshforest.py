@@ -180,7 +180,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, paired: int = PAIRED,
-                    block: int = BLOCK) -> DataFrame:
+                    block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: rows that are connected by links, pairs of Jaccard similarity of at
     least the threshold, have the same class_id, the smallest doc_id among them; n_links counts the other rows that a
     row is linked to.
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     text are copies; a class whose doc_ids are all null has class_id null; an empty table gives no rows; other columns
     are ignored."""
     spark = docs.sparkSession
-    scratch = Scratch(spark, "forest")
+    scratch = scratch or Scratch(spark, "forest")
     long_rows(spark)
     length = prefix_length(threshold, recall=recall)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
@@ -259,6 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     classes = nodes.select("c", "rep", "copies").join(linked.join(least, "root").select("c", "class_id"), "c", "left").join(counts, "c", "left").select(
         "c", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     classes = scratch.save(classes, "classes")
+    scratch.drop("nodes", "members", "links", "inside", "edges", *[name for name in scratch.saved if name.startswith("stars")])
     return sketch.select("doc_id", "c").join(classes, "c").select("doc_id", "class_id", "n_links")
 
 
@@ -266,7 +267,8 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs without those that a row of a smaller doc_id in their class stands for; of rows that are equal
     in doc_id and text one stays. doc_id is taken to identify a text."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.save(near_duplicates(docs, threshold), "classes")
+    found = scratch.save(near_duplicates(docs, threshold, scratch=scratch), "found")
+    scratch.drop("sketch", "classes")
     gone = found.filter("not doc_id <=> class_id and doc_id is not null").select("doc_id").distinct()
     number = gone.count()
     kept = docs.join(F.broadcast(gone) if number <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -23,6 +23,8 @@ SHARE, CAP = 1.5, 2.0
 LEAF, FAN = 4096, 64
 #: Bytes of source targets that may be broadcast; more are joined by a salted shuffle.
 BROADCAST, SALTS = 16 << 20, 32
+#: Decisions of two long integers that may be broadcast to the rows.
+BROADCAST_ROWS = 1 << 19
 SEED = 17
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -137,10 +139,17 @@ def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed:
     """The rows of docs, each as often as the mix takes it. Rows with equal doc_id are matched in order of size and
     source."""
     words, row, nth, copies, of = (fresh(docs, n) for n in ("_words", "_row", "_nth", "_copies", "_of"))
-    number = "row_number() over (partition by {0} order by {1}, {2})"
-    taken = take(docs, share, cap, seed).select(F.col("doc_id").alias(of), F.col("copies").alias(copies), F.expr(number.format("doc_id", "size", "source")).alias(nth))
-    rows = docs.withColumn(words, size_of()).withColumn(row, F.expr(number.format("doc_id", words, "source")))
-    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(row) == F.col(nth)))
+    taken = take(docs, share, cap, seed)
+    count, distinct = taken.agg(F.count("*"), F.count_distinct("doc_id")).first()
+    kept = taken.select(F.col("doc_id").alias(of), F.col("copies").alias(copies))
+    if count == distinct:  # every row has a doc_id of its own, so the texts need not be sorted to tell rows apart
+        kept = F.broadcast(kept) if count <= BROADCAST_ROWS else kept
+        met = docs.join(kept, F.col("doc_id") == F.col(of))
+    else:
+        number = "row_number() over (partition by {0} order by {1}, {2})"
+        kept = taken.select(F.col("doc_id").alias(of), F.col("copies").alias(copies), F.expr(number.format("doc_id", "size", "source")).alias(nth))
+        rows = docs.withColumn(words, size_of()).withColumn(row, F.expr(number.format("doc_id", words, "source")))
+        met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(row) == F.col(nth)))
     each = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))).otherwise(F.array().cast("array<bigint>")))
     return met.withColumn(nth, each).select(*[F.col(f"`{c}`") for c in docs.columns])
 
