@@ -68,12 +68,12 @@ BLOBS = """blobs as (select content_hash, case when m % 10 = 3 then t || '!' els
 def edges(spark: SparkSession, d: str) -> DataFrame:
     """Parts that a supplier delivered, from every fiftieth order."""
     return table(spark, d, "lineitem").filter("l_orderkey % 50 = 0").select(
-        F.concat_ws("-", F.lit("e"), "l_orderkey", "l_linenumber").alias("id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("source_entity_id"),
+        F.concat_ws("-", F.lit("e"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("id"), F.concat(F.lit("s"), F.col("l_suppkey")).alias("source_entity_id"),
         F.concat(F.lit("p"), F.col("l_partkey")).alias("target_entity_id"), F.col("l_returnflag").alias("relation_type"), F.col("l_linestatus").alias("summary"),
         F.col("l_orderkey").cast("string").alias("source_chunk_id"))
 
 
-EDGES = """edges as (select 'e-' || l_orderkey || '-' || l_linenumber id, 's' || l_suppkey source_entity_id, 'p' || l_partkey target_entity_id,
+EDGES = """edges as (select 'e-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey id, 's' || l_suppkey source_entity_id, 'p' || l_partkey target_entity_id,
   l_returnflag relation_type, l_linestatus summary from lineitem where l_orderkey % 50 = 0),
 ends as (select source_entity_id a, target_entity_id b, id from edges union all select target_entity_id, source_entity_id, id from edges)"""
 
