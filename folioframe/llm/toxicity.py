@@ -93,7 +93,7 @@ def nnpu(x: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]
     w, b = np.zeros(x.shape[1]), float(np.log(prior / (1 - prior)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, STEPS + 1):
-        zp, zu = x @ w + b, u @ w + b
+        zp, zu = (rows @ w.astype(np.float32) + b for rows in (x, u))  # float32 on both sides: no copy of the rows
         sp, su = 1 / (1 + np.exp(-np.clip(zp, -50, 50))), 1 / (1 + np.exp(-np.clip(zu, -50, 50)))
         clean = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
         gp, gu = prior * (sp - 1) / len(x), su / len(u)
@@ -101,7 +101,7 @@ def nnpu(x: np.ndarray, u: np.ndarray, prior: float) -> tuple[np.ndarray, float]
             gp = gp - prior * sp / len(x)
         else:
             gp, gu = prior * sp / len(x), -gu
-        grad = np.append(x.T @ gp + u.T @ gu + DECAY * w, gp.sum() + gu.sum())
+        grad = np.append(gp.astype(np.float32) @ x + gu.astype(np.float32) @ u + DECAY * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         step = RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + 1e-8)
         w, b = w - step[:-1], b - step[-1]
@@ -115,16 +115,25 @@ def apart(texts: list[np.ndarray], sketch: int = 8, alike: int = 5) -> list[np.n
     return [t for i, t in enumerate(texts) if not ((mins[:i] == mins[i]).sum(1) >= alike).any()]
 
 
+def _places(keys: np.ndarray, found: np.ndarray) -> np.ndarray:
+    """Where in the ascending keys those of `found` stand that are there."""
+    if not len(keys):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(keys, found), len(keys) - 1)
+    return at[keys[at] == found]
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """positive and unlabelled hold the different features of each text."""
+    """positive and unlabelled hold the different features of each text; of the latter only those that two positive
+    ones have matter."""
     if not positive or not unlabelled or not 0 < prior < 1:
         return Model(np.zeros(0, np.uint64), np.zeros(0), -50.0 if not positive else 0.0)
     positive = apart(positive)
     np_, nu = len(positive), len(unlabelled)
     keys, cp = np.unique(np.concatenate(positive), return_counts=True)
-    every, cu = np.unique(np.concatenate(unlabelled), return_counts=True)
-    at = np.minimum(np.searchsorted(every, keys), max(0, len(every) - 1))
-    both = np.where(every[at] == keys, cu[at], 0) if len(every) else np.zeros(len(keys))
+    both = np.zeros(len(keys), np.int64)
+    for f in unlabelled:
+        both[_places(keys, f)] += 1
     expected = np_ * (both + 1) / (nu + 1)
     tail = cp * np.log(expected) - expected - np.array([lgamma(c + 1) for c in range(np_ + 1)])[cp]
     good = np.flatnonzero((cp > expected) & (tail < log(CHANCE)))
@@ -133,21 +142,21 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     def rows(texts: list[np.ndarray]) -> np.ndarray:
         out = np.zeros((len(texts), len(keys)), np.float32)
         for i, f in enumerate(texts):
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, f), len(keys) - 1)
-                out[i, at[keys[at] == f]] = 1
+            out[i, _places(keys, f)] = 1
         return out
 
     return Model(keys, *nnpu(rows(positive), rows(unlabelled), prior))
 
 
-def _sampled(docs: DataFrame, ids: DataFrame) -> list[np.ndarray]:
-    """The different features of the whole texts of the given rows."""
+def _sampled(docs: DataFrame, ids: DataFrame, among: np.ndarray | None = None) -> list[np.ndarray]:
+    """The different features of the whole texts of the given rows, or those of them that are in `among`."""
 
     def distinct(batches):
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array([np.unique(features([text])[1]).tobytes()], pa.binary())], names=["f"])
+                found = np.unique(features([text])[1])
+                found = found if among is None else among[_places(among, found)]
+                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["f"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
     return [np.frombuffer(r[0], np.uint64) for r in rows.select("text").mapInArrow(distinct, "f binary").collect()]
@@ -163,7 +172,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(first, "doc_id").limit(POSITIVES)
     texts = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     other = texts.select("doc_id").distinct().orderBy(first, "doc_id").limit(UNLABELLED)
-    return fit(_sampled(texts, toxic), _sampled(texts, other), prior)
+    positive = _sampled(texts, toxic)
+    keys, count = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.zeros(0, np.uint64), np.zeros(0))
+    return fit(positive, _sampled(texts, other, keys[count > 1]), prior)
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
