@@ -106,25 +106,38 @@ def search(index: DataFrame, key: str, query: str) -> DataFrame:
     return _match(index, key, tree)
 
 
-def _shifted(i: int) -> Column:
-    return F.transform("positions", lambda p: p - i)
-
-
 def _match(index: DataFrame, key: str, tree) -> DataFrame:
-    if tree[0] == "term":
-        _, words, prefix = tree
+    """One pass over the postings of all the query's words, then one row for each document that has any of them."""
+    wanted, found = [], []
+
+    def leaf(words: list[str], prefix: bool) -> Column:
         tests = [F.col("token") == w for w in words]
         if prefix:
             tests[-1] = F.col("token").startswith(words[-1])
+        wanted.extend(tests)
+        name = f"_{len(found)}"
         if len(words) == 1:
-            return index.filter(tests[0]).select(key).distinct()
-        #: Word i of a phrase gives the place where the phrase would start.
-        places = reduce(DataFrame.unionByName, (index.filter(t).select(key, F.explode(_shifted(i)).alias("at"), F.lit(i).alias("i")) for i, t in enumerate(tests)))
-        return places.groupBy(key, "at").agg(F.countDistinct("i").alias("n")).filter(F.col("n") == len(words)).select(key).distinct()
-    left, right = _match(index, key, tree[1]), _match(index, key, tree[2])
-    if tree[0] == "or":
-        return left.unionByName(right).distinct()
-    return left.join(right, key, "left_semi" if tree[0] == "and" else "left_anti")
+            found.append(F.max(tests[0]).alias(name))
+            return F.coalesce(F.col(name), F.lit(False))
+        #: Word i of a phrase gives the places where the phrase would start.
+        found.append(F.struct(*[F.flatten(F.collect_list(F.when(t, _shifted(i)))).alias(f"w{i}") for i, t in enumerate(tests)]).alias(name))
+        places = F.col(f"{name}.w0")
+        for i in range(1, len(words)):
+            places = F.array_intersect(places, F.col(f"{name}.w{i}"))
+        return F.size(places) > 0
+
+    def test(node) -> Column:
+        if node[0] == "term":
+            return leaf(node[1], node[2])
+        left, right = test(node[1]), test(node[2])
+        return left | right if node[0] == "or" else left & right if node[0] == "and" else left & ~right
+
+    holds = test(tree)
+    return index.filter(reduce(Column.__or__, wanted)).groupBy(key).agg(*found).filter(holds).select(key)
+
+
+def _shifted(i: int) -> Column:
+    return F.transform("positions", lambda p: p - i)
 
 
 def search_chunks(index: DataFrame, chunks: DataFrame, query: str, limit: int, books: list | None = None, key: str = "chunk_id", book: str = "book_id") -> DataFrame:

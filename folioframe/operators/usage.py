@@ -38,8 +38,17 @@ def check_allowed(log: DataFrame, mode: str, limits: dict[str, int], estimate: i
 def rolling(log: DataFrame, window: str, by: list[str]) -> DataFrame:
     """log with the requests and tokens of the window that ends at each row, rows of the same time included."""
     seconds = WINDOWS[window]
-    frame = Window.partitionBy(*by).orderBy(F.col("ts")).rangeBetween(-seconds, 0)
-    return log.withColumn("requests", F.count("*").over(frame)).withColumn("tokens", F.sum(used_tokens()).over(frame))
+    #: What a window holds is what had come up to its row, less what had come before its start: each row is put at
+    #: both times, and one running sum serves both, however many rows a window has.
+    row = log.withColumn("_used", used_tokens()).withColumn("_id", F.monotonically_increasing_id()).withColumn("_row", F.struct(*log.columns))
+    ends = row.select(*by, "_id", "_row", "_used", F.explode(F.array(
+        F.struct(F.col("ts").alias("at"), F.lit(1).alias("own")), F.struct((F.col("ts") - seconds).alias("at"), F.lit(0).alias("own")))).alias("_e"))
+    frame = Window.partitionBy(*by).orderBy("_e.at", "_e.own").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    own = F.col("_e.own")
+    run = ends.withColumn("_n", F.sum(own.cast("long")).over(frame)).withColumn("_t", F.sum(own * F.col("_used")).over(frame))
+    sign = F.when(own == 1, 1).otherwise(-1)
+    both = run.groupBy("_id").agg(F.first(F.when(own == 1, F.col("_row")), ignorenulls=True).alias("_row"), F.sum(sign * F.col("_n")).alias("requests"), F.sum(sign * F.coalesce("_t", F.lit(0))).alias("tokens"))
+    return both.select("_row.*", "requests", "tokens")
 
 
 def violations(log: DataFrame, window: str, by: list[str], mode: str, limit: int) -> DataFrame:
