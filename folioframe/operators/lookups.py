@@ -51,10 +51,12 @@ def entities_named(entities: DataFrame, book_id, name: str) -> DataFrame:
 
 
 def edges_of_any(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """Edges that touch any of ids(entity_id), each once: an equi-join for either end."""
-    one = edges.join(ids.select(F.col("entity_id").alias("source_entity_id")), "source_entity_id", "left_semi").select(*edges.columns)
-    two = edges.join(ids.select(F.col("entity_id").alias("target_entity_id")), "target_entity_id", "left_semi").select(*edges.columns)
-    return one.unionByName(two).dropDuplicates(["id"])
+    """Edges that touch any of ids(entity_id), each once: an equi-join for either end, the second for edges that the
+    first has not found."""
+    source = ids.select(F.col("entity_id").alias("source_entity_id"))
+    one = edges.join(source, "source_entity_id", "left_semi").select(*edges.columns)
+    two = edges.join(ids.select(F.col("entity_id").alias("target_entity_id")), "target_entity_id", "left_semi").join(source, "source_entity_id", "left_anti").select(*edges.columns)
+    return one.unionByName(two)
 
 
 def summary(summaries: DataFrame, book_id, node_id) -> DataFrame:
