@@ -10,10 +10,10 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, long_rows, mix64, table
+from folioframe.llm.common import Scratch, fresh, long_rows, mix64, table
 from folioframe.llm.tokens import AT_A_TIME
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -88,12 +88,12 @@ def tree_keys(s: np.ndarray, length: int) -> np.ndarray:
 
 
 def _each(make, names: list[str], types: list):
-    """Arrow batches of make(id, set) over a few texts at a time."""
+    """Arrow batches of make(id, set, *more) over rows of id, text and more columns, a few texts at a time."""
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, AT_A_TIME):
-                ids, texts = (batch.column(k).slice(at, AT_A_TIME).to_pylist() for k in (0, 1))
-                rows = [make(i, s) for i, s in zip(ids, shingle_sets(texts))]
+                ids, texts, *more = (column.slice(at, AT_A_TIME).to_pylist() for column in batch.columns)
+                rows = [make(i, s, *x) for i, s, *x in zip(ids, shingle_sets(texts), *more)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
     return run
 
@@ -180,10 +180,11 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, paired: int = PAIRED,
-                    block: int = BLOCK, scratch: Scratch | None = None) -> DataFrame:
+                    block: int = BLOCK, scratch: Scratch | None = None, keyed: bool = False) -> DataFrame:
     """(doc_id, class_id, n_links) for every row: rows that are connected by links, pairs of Jaccard similarity of at
     least the threshold, have the same class_id, the smallest doc_id among them; n_links counts the other rows that a
-    row is linked to.
+    row is linked to. If keyed also text_key, a hash of the text, and stays, which holds for one (doc_id, text_key) of
+    each class: that of the smallest doc_id, null the last, and there of the smallest text_key.
 
     Texts with equal sets are one node with a number of copies, so copies never meet. Trie nodes of up to `paired` rows
     give pairs, which are verified by a join with their sets. In larger nodes all rows are compared, block by block,
@@ -198,11 +199,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     long_rows(spark)
     length = prefix_length(threshold, recall=recall)
     texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sketch = scratch.save(texts.mapInArrow(
-        _each(lambda i, s: (i, set_key(s), tree_keys(s, length).tolist() if len(s) else None), ["doc_id", "c", "keys"],
-              [pa.int64(), pa.string(), pa.list_(pa.int64())]), "doc_id long, c string, keys array<bigint>"), "sketch")
+    more = ["text_key"] if keyed else []
+    sketch = scratch.save(texts.select("doc_id", "text", *[text_key("text").alias(k) for k in more]).mapInArrow(
+        _each(lambda i, s, *x: (i, set_key(s), tree_keys(s, length).tolist() if len(s) else None, *x), ["doc_id", "c", "keys", *more],
+              [pa.int64(), pa.string(), pa.list_(pa.int64()), *[pa.int64() for _ in more]]), ", ".join(["doc_id long, c string, keys array<bigint>", *[f"{k} long" for k in more]])), "sketch")
+    best = ["best"] if keyed else []
     nodes = scratch.save(sketch.groupBy("c").agg(
-        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "nodes")
+        F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("keys").alias("keys"),
+        *[F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias(b) for b in best]), "nodes")
 
     rows = nodes.select("c", F.posexplode("keys").alias("t", "key"))
     size = rows.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
@@ -254,26 +258,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     scratch.drop("met", "sets")
     #: Every linked node with its root; the root's own row has no edge.
     linked = stars.unionByName(stars.select(F.col("root").alias("c"), "root").distinct())
-    grouped = linked.join(nodes.select("c", "rep"), "c")
-    least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = nodes.select("c", "rep", "copies").join(linked.join(least, "root").select("c", "class_id"), "c", "left").join(counts, "c", "left").select(
-        "c", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    grouped = linked.join(nodes.select("c", "rep", *best), "c")
+    least = grouped.groupBy("root").agg(F.min("rep").alias("class_id"), *[F.min(b).alias(f"class_{b}") for b in best])
+    classes = nodes.select("c", "rep", "copies", *best).join(linked.join(least, "root").select("c", "class_id", *[f"class_{b}" for b in best]), "c", "left").join(counts, "c", "left").select(
+        "c", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), *[F.coalesce(f"class_{b}", b).alias(b) for b in best])
     classes = scratch.save(classes, "classes")
     scratch.drop("nodes", "members", "links", "inside", "edges", *[name for name in scratch.saved if name.startswith("stars")])
-    return sketch.select("doc_id", "c").join(classes, "c").select("doc_id", "class_id", "n_links")
+    stays = [(F.col("doc_id").eqNullSafe(F.col(f"{b}.doc_id")) & (F.col("text_key") == F.col(f"{b}.text_key"))).alias("stays") for b in best]
+    return sketch.select("doc_id", "c", *more).join(classes, "c").select("doc_id", "class_id", "n_links", *more, *stays)
+
+
+def text_key(text: str) -> Column:
+    """64 bits that stand, with a doc_id, for a row; null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of docs without those that a row of a smaller doc_id in their class stands for; of rows that are equal
-    in doc_id and text one stays. doc_id is taken to identify a text."""
+    """One row of docs from each class: that of the smallest doc_id, null the last; of rows that are equal in doc_id and
+    text one stays. A row is told by its doc_id and text, so a doc_id may have several texts, or be null."""
     scratch = Scratch(docs.sparkSession, "kept")
-    found = scratch.save(near_duplicates(docs, threshold, scratch=scratch), "found")
+    found = scratch.save(near_duplicates(docs, threshold, scratch=scratch, keyed=True), "found")
     scratch.drop("sketch", "classes")
-    gone = found.filter("not doc_id <=> class_id and doc_id is not null").select("doc_id").distinct()
+    key, gone_id, gone_key = fresh(docs, "text_key"), fresh(docs, "gone_id"), fresh(docs, "gone_key")
+    gone = found.filter("not stays").select(F.col("doc_id").alias(gone_id), F.col("text_key").alias(gone_key)).distinct()
     number = gone.count()
-    kept = docs.join(F.broadcast(gone) if number <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
-    repeated = found.filter("doc_id <=> class_id").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(gone_id)) & (F.col(key) == F.col(gone_key))
+    kept = docs.withColumn(key, text_key("text")).join(F.broadcast(gone) if number <= BROADCAST_IDS else gone, same, "left_anti")
+    repeated = found.filter("stays").groupBy("doc_id", "text_key").count().filter("count > 1")
+    kept = kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", key])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,6 +493,14 @@ def test_one_of_each_stays(near):
     assert kept.columns == df.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(classes)
 
 
+def test_one_row_stays_where_ids_are_repeated_or_null(spark):
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (7, c), (7, c + " more"), (None, c + " less"), (None, d), (None, d + " more"), (None, d), (8, None), (8, "")]
+    kept = lshforest.keep_one(documents(spark, [(i, t, "s") for i, t in rows]))
+    got = sorted((str(r.doc_id), (r.text or "")[:2]) for r in kept.collect())
+    assert got == [("1", "a0"), ("5", "b0"), ("7", "c0"), ("8", ""), ("None", "d0")]
+
+
 def test_near_duplicates_of_nothing(none):
     assert lshforest.near_duplicates(none).count() == 0 and lshforest.keep_one(none).count() == 0
 
