@@ -127,28 +127,32 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
 
 
 def near_pairs(docs: DataFrame, at_least: float = 0.8) -> DataFrame:
-    """(a, b, similarity) of different sets with likeness >= at_least, by the smallest doc_id of each set, a < b.
+    """(a, b, similarity) of different sets with likeness >= at_least, each named by its smallest doc_id, null if it has
+    none; a <= b, null the last.
 
-    Equal sets are one set first. Sets are partitioned by length so that a set can only match its own and the next
-    partition, and meet there on their rarest signatures: two sets this alike share one among the rarest
-    n - ceil(at_least * n) + 1 of each."""
+    Equal sets are one set first, told from others by its fingerprint, so doc_ids may be null or repeated. Sets are
+    partitioned by length so that a set can only match its own and the next partition, and meet there on their rarest
+    signatures: two sets this alike share one among the rarest n - ceil(at_least * n) + 1 of each."""
     scratch = Scratch(docs.sparkSession, "spotsigs")
-    sets = scratch.save(docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")).groupBy("sigs").agg(
-        F.min("doc_id").alias("doc_id")).filter(F.size("sigs") > 0), "sets")
-    sized = sets.select("doc_id", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
+    sets = docs.select("doc_id", signatures(F.coalesce("text", F.lit(""))).alias("sigs")).groupBy("sigs").agg(
+        F.min("doc_id").alias("doc_id")).filter(F.size("sigs") > 0)
+    sets = scratch.save(sets.withColumn("c", F.sha2(fingerprint(F.col("sigs")), 256)), "sets")
+    sized = sets.select("c", F.size("sigs").alias("n"), F.explode("sigs").alias("sig"))
     seen = sized.groupBy("sig").agg(F.count("*").alias("df")).filter("df > 1")
-    rank = Window.partitionBy("doc_id").orderBy("df", "sig")
+    rank = Window.partitionBy("c").orderBy("df", "sig")
     sized = sized.join(seen, "sig", "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("i", F.row_number().over(rank))
     step = math.log(1 / at_least)
     keys = sized.filter((F.col("i") <= F.col("n") - F.ceil(F.col("n") * at_least) + 1) & (F.col("df") > 1)).select(
-        "doc_id", "n", "sig", F.floor(F.log(F.col("n").cast("double")) / step).alias("part"))
-    left = keys.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), "sig", "part")
-    right = keys.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("part"), F.col("part") - 1, F.col("part") + 1)).alias("part"))
+        "c", "n", "sig", F.floor(F.log(F.col("n").cast("double")) / step).alias("part"))
+    left = keys.select(F.col("c").alias("ca"), F.col("n").alias("na"), "sig", "part")
+    right = keys.select(F.col("c").alias("cb"), F.col("n").alias("nb"), "sig", F.explode(F.array(F.col("part"), F.col("part") - 1, F.col("part") + 1)).alias("part"))
     met = left.join(right, ["sig", "part"]).filter(
-        (F.col("a") < F.col("b")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).select("a", "b").distinct()
-    met = met.join(sets.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa")), "a").join(
-        sets.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb")), "b")
-    return met.select("a", "b", likeness(F.col("sa"), F.col("sb"), at_least).alias("similarity")).filter(F.col("similarity") >= at_least)
+        (F.col("ca") < F.col("cb")) & (F.least("na", "nb") >= at_least * F.greatest("na", "nb"))).select("ca", "cb").distinct()
+    met = met.join(sets.select(F.col("c").alias("ca"), F.col("doc_id").alias("ia"), F.col("sigs").alias("sa")), "ca").join(
+        sets.select(F.col("c").alias("cb"), F.col("doc_id").alias("ib"), F.col("sigs").alias("sb")), "cb")
+    a = F.least("ia", "ib")  # of a null and an id the id
+    b = F.when(F.col("ia").isNotNull() & F.col("ib").isNotNull(), F.greatest("ia", "ib"))
+    return met.select(a.alias("a"), b.alias("b"), likeness(F.col("sa"), F.col("sb"), at_least).alias("similarity")).filter(F.col("similarity") >= at_least)
 
 
 def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:

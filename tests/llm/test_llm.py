@@ -217,6 +217,13 @@ def test_near_pairs_equal_brute_force(spark):
     assert {(r.a, r.b) for r in spotsigs.near_pairs(df, 0.6).collect()} == want and want
 
 
+def test_near_pairs_with_repeated_and_null_ids(spark):
+    a, b = (" ".join(f"the {x}{i}" for i in range(60)) for x in "ab")
+    rows = [(1, a), (1, a + " the end"), (None, b), (None, b + " the end"), (2, b + " the start")]
+    got = spotsigs.near_pairs(spark.createDataFrame(rows, "doc_id long, text string"), 0.6).collect()
+    assert sorted((str(r.a), str(r.b)) for r in got) == [("1", "1"), ("2", "None"), ("2", "None"), ("None", "None")]
+
+
 def test_fingerprints_of_nothing_and_of_one(spark, none):
     assert spotsigs.fingerprint_documents(none).count() == 0
     assert spotsigs.fingerprint_documents(documents(spark, [(1, "alone in the house", "a")])).first().near_next == 1.0
