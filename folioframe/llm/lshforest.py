@@ -1,8 +1,8 @@
-"""Near duplicates by an n-gram Jaccard join over a MinHash LSH forest.
+"""Near duplicates by an n-gram Jaccard join over MinHash LSH in fixed bands.
 
-Each text's set of five-word shingles has one signature in each tree of the forest. A tree is a trie of signatures;
-texts that share a prefix are candidates. Prefixes are shortened, from the full signature, until a pair at the
-threshold is met with the target probability; candidates are then verified exactly on their whole sets.
+Each text's set of five-word shingles has one signature in each tree; texts that share its prefix are candidates. The
+prefix has one length everywhere, the longest with which a pair at the threshold is met with the target probability
+by formula; no trie is built. Candidates are then verified exactly on their whole sets.
 """
 
 from __future__ import annotations
