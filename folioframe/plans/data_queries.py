@@ -126,8 +126,8 @@ def key_pages(spark, d):
 
 def upload_files(spark, d):
     base = model.files(spark, d).filter("size % 2 = 0").withColumns({"created_at": F.lit(1.0), "modified_at": F.lit(1.0)}).select("key", "content_hash", "size", "created_at", "modified_at")
-    new = model.docs(spark, d).filter("doc_id % 5 = 0").select(F.concat(F.lit("/"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("key"),
-                                                             F.concat("text", F.lit("+")).cast("binary").alias("content"), F.lit(2.0).alias("created_at"), F.lit(2.0).alias("modified_at"))
+    new = model.docs(spark, d).select(F.concat(F.lit("/"), F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))).alias("key"),
+                                      F.concat("text", F.lit("+")).cast("binary").alias("content"), F.lit(2.0).alias("created_at"), F.lit(2.0).alias("modified_at"))
     index, _ = cas.upload(base, model.blobs(spark, d), new)
     return index
 

@@ -1,5 +1,6 @@
 """Queries over whole tables, against brute force on tables of a few rows."""
 
+import hashlib
 import random
 from collections import Counter, defaultdict
 
@@ -70,3 +71,21 @@ def test_edges_of_every_order(spark, deliveries):
     assert Counter(tuple(r) for r in data_queries.edges_of(spark, folder).collect()) == want
     want = Counter((i, t) for i, s, t in edges if s in ("s1", "s2", "s3", "s4") or t == "p7")
     assert Counter(tuple(r) for r in data_queries.edges_of_any(spark, folder).collect()) == want and max(want.values()) == 2
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture(scope="module")
+def letters(spark, tmp_path_factory):
+    """Documents (doc_id, text, lang, source) and the folder of their table."""
+    texts = ["a long line that goes on after its fortieth character without an end\nab\n\nx", "short", "t" * 130, "  two\twords", "odd", ""]
+    rows = [(k, texts[k % 6] + "!" * (k // 6), "en", f"s{k % 2}") for k in range(40)]
+    return rows, saved(spark, tmp_path_factory.mktemp("letters"), documents=([(*r, len(r[1])) for r in rows], DOC))
+
+
+def test_upload_takes_every_document(spark, letters):
+    rows, folder = letters
+    want = {(f"{s}/{lang}/{i}.txt", hashlib.sha256((t + "+").encode()).hexdigest(), len(t) + 1, 2.0 if len(t) % 2 else 1.0, 2.0) for i, t, lang, s in rows}
+    got = data_queries.upload_files(spark, folder).select("key", "content_hash", "size", "created_at", "modified_at")
+    assert {tuple(r) for r in got.collect()} == want
