@@ -131,8 +131,8 @@ def page_batches(spark, d):
 
 
 def _layouts(spark, d):
-    """documents as layout JSON: a page for each line, one span of it in the middle."""
-    span = lambda x, i: F.struct(i.alias("page_idx"), F.array(F.struct(F.array(F.lit(0.0), i.cast("double"), F.lit(10.0), F.lit(20.0)).alias("bbox"), F.substring(x, 3, 40).alias("content"))).alias("spans"))
+    """documents as layout JSON: a page for each line, the whole of it as one span."""
+    span = lambda x, i: F.struct(i.alias("page_idx"), F.array(F.struct(F.array(F.lit(0.0), i.cast("double"), F.lit(10.0), F.lit(20.0)).alias("bbox"), x.alias("content"))).alias("spans"))
     pages = F.transform(F.split("text", "\n"), span)
     return model.docs(spark, d).select(F.col("doc_id").alias("book_id"), F.lit(0).alias("batch"), F.lit(0).alias("first"), F.col("text").alias("markdown"), F.to_json(F.struct(pages.alias("pdf_info"))).alias("layout"))
 

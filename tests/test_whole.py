@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from folioframe.plans import data_queries
+from folioframe.plans import data_queries, text_queries
 
 
 def saved(spark, folder, **tables):
@@ -89,3 +89,18 @@ def test_upload_takes_every_document(spark, letters):
     want = {(f"{s}/{lang}/{i}.txt", hashlib.sha256((t + "+").encode()).hexdigest(), len(t) + 1, 2.0 if len(t) % 2 else 1.0, 2.0) for i, t, lang, s in rows}
     got = data_queries.upload_files(spark, folder).select("key", "content_hash", "size", "created_at", "modified_at")
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_spans_cover_every_line(spark, letters):
+    rows, folder = letters
+    want = Counter((i, k, float(k), line) for i, t, *_ in rows for k, line in enumerate(t.split("\n")) if line)
+    assert Counter(tuple(r) for r in text_queries.layout_spans(spark, folder).select("book_id", "page_index", "y0", "content").collect()) == want
+    want = {}
+    for i, t, *_ in rows:
+        at = 0
+        for line in t.split("\n"):
+            if line.strip():
+                want.setdefault(i, []).append(at + len(line) - len(line.lstrip()))
+            at += len(line) + 1
+    got = text_queries.locate_spans(spark, folder).select("book_id", "n", "low", "high")
+    assert {tuple(r) for r in got.collect()} == {(i, len(x), x[0], x[-1]) for i, x in want.items()}
