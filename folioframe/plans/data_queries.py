@@ -35,7 +35,7 @@ def _raw_entities(spark, d):
     n = F.col("doc_id")
     return model.docs(spark, d).select(
         F.col("lang").alias("book_id"), n.alias("seq"), F.when(n % 2 == 0, F.upper("source")).otherwise(F.concat(F.lit("  "), "source", F.lit("\t"))).alias("name"),
-        F.concat(F.lit("T"), n % 4).alias("entity_type"), F.array(F.concat("lang", n % 3), F.lit("all")).alias("tags"), F.expr("substring(text, 1, doc_id % 50)").alias("summary"),
+        F.concat(F.lit("T"), n % 4).alias("entity_type"), F.array(F.concat("lang", n % 3), F.lit("all")).alias("tags"), F.col("text").alias("summary"),
         F.concat(F.lit("c"), n).alias("source_chunk_id"), F.concat(F.lit("n"), n).alias("source_node_id"))
 
 
@@ -201,7 +201,7 @@ def upsert_rows(spark, d):
 
 def merge_metadata(spark, d):
     parts = model.docs(spark, d).select(F.col("source").alias("book"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("language"),
-                                       F.when(F.col("doc_id") % 7 == 0, F.substring("text", 1, 10)).alias("title"))
+                                       F.when(F.col("doc_id") % 7 == 0, F.col("text")).alias("title"))
     return tables.merge_metadata(parts, "book", "seq", ["language", "title"])
 
 

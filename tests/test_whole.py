@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from folioframe.plans import data_queries, text_queries
+from folioframe.plans import data_queries, text_queries, tree_queries
 
 
 def saved(spark, folder, **tables):
@@ -104,3 +104,14 @@ def test_spans_cover_every_line(spark, letters):
             at += len(line) + 1
     got = text_queries.locate_spans(spark, folder).select("book_id", "n", "low", "high")
     assert {tuple(r) for r in got.collect()} == {(i, len(x), x[0], x[-1]) for i, x in want.items()}
+
+
+def test_whole_texts_are_summaries_and_titles(spark, letters):
+    rows, folder = letters
+    names = {s for *_, s in rows}
+    longest = {s: max((r for r in rows if r[3] == s), key=lambda r: (len(r[1]), -r[0]))[1] for s in names}
+    assert {r.name_key: r.summary for r in data_queries.merge_by_name(spark, folder).collect()} == longest
+    last = {s: max((r for r in rows if r[3] == s and r[0] % 7 == 0 and r[1].strip()), key=lambda r: r[0])[1] for s in names}
+    assert {r.book: r.title for r in data_queries.merge_metadata(spark, folder).collect()} == last
+    got = tree_queries.toc(spark, folder).select("doc_id", "title", "level")
+    assert {tuple(r) for r in got.collect()} == {(i, t, max(i % 4 - 1, 1)) for i, t, *_ in rows if t.strip()}
