@@ -115,3 +115,33 @@ def test_whole_texts_are_summaries_and_titles(spark, letters):
     assert {r.book: r.title for r in data_queries.merge_metadata(spark, folder).collect()} == last
     got = tree_queries.toc(spark, folder).select("doc_id", "title", "level")
     assert {tuple(r) for r in got.collect()} == {(i, t, max(i % 4 - 1, 1)) for i, t, *_ in rows if t.strip()}
+
+
+def test_cycles_are_violations(spark, tmp_path):
+    texts = [(k, "\n".join(f"line {i}" for i in range(k % 9)), "en", "s", 0) for k in range(60)]
+    folder = saved(spark, tmp_path, documents=(texts, DOC))
+    nodes = []
+    for r in tree_queries.build_tree(spark, folder).collect():
+        n, x = r.book_id * 31 + int(r.id.split("/")[1]), r.asDict()
+        if r.level == 2 and n % 11 == 0:
+            x["parent_id"] = "nowhere"
+        if r.level == 1:
+            x |= {"parent_id": r.id} if n % 23 == 0 else {}
+            x |= {"level": 0} if n % 13 == 0 else {}
+            x |= {"order_index": 0} if n % 17 == 0 else {}
+        x |= {"content_length": -1} if n % 19 == 0 else {}
+        nodes.append(x)
+    by_id = {x["id"]: x for x in nodes}
+    place = Counter((x["book_id"], x["parent_id"], x["order_index"]) for x in nodes)
+    want = Counter()
+    for x in nodes:
+        up, seen = x, set()
+        while up is not None and up["id"] not in seen:
+            seen.add(up["id"])
+            up = by_id.get(up["parent_id"])
+        parent = by_id.get(x["parent_id"])
+        want.update(p for p, holds in {
+            "cycle": up is not None, "negative length": x["content_length"] < 0, "missing parent": x["parent_id"] == "nowhere", "level order": parent is not None and x["level"] <= parent["level"],
+            "sibling order": x["parent_id"] != "" and place[x["book_id"], x["parent_id"], x["order_index"]] > 1}.items() if holds)
+    assert {r.problem: r.n for r in tree_queries.tree_violations(spark, folder).collect()} == dict(want)
+    assert want["cycle"] > sum(x["parent_id"] == x["id"] for x in nodes) > 0
