@@ -278,7 +278,7 @@ def nodes_of_book(spark, d):
 QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v, "__module__", "") == __name__ and not k.startswith("_")}
 
 _RAW = """raw as (select lang book_id, doc_id seq, case when doc_id % 2 = 0 then upper(source) else '  ' || source || chr(9) end as name, source name_key, 'T' || (doc_id % 4) entity_type,
-  lang || (doc_id % 3) tag, substr(text, 1, doc_id % 50) summary, 'c' || doc_id source_chunk_id from documents),
+  lang || (doc_id % 3) tag, text as summary, 'c' || doc_id source_chunk_id from documents),
 firsts as (select book_id, name_key, tag, min(seq) f from raw group by all)"""
 _MANIFEST = """m as (select doc_id book_id, ['chunk', 'graph', 'summary'][doc_id % 3 + 1] index_type, case when doc_id % 4 = 0 then 'failed' else 'built' end status, doc_id as "count", '' as "error",
   1.0::double built_at, 1.0::double created_at from documents)"""
@@ -300,7 +300,7 @@ ORACLES = {
       select x.label, x.vec_id a, y.vec_id b, round(list_cosine_similarity(x.e, y.e), 6) cosine from v x join v y on x.label = y.label and x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.3""",
     "merge_by_name": f"""with {_RAW}, t as (select book_id, name_key, string_agg(tag, ',' order by f) ts, min(f) f0 from firsts group by 1, 2)
       select book_id, name_key, arg_min(name, seq) as name, arg_min(entity_type, seq) entity_type, any_value(split_part(ts, ',', 1) || ',all' || case when contains(ts, ',') then substr(ts, strpos(ts, ',')) else '' end) tags,
-        arg_max(summary, length(summary) * 100000000 - seq) summary, arg_min(source_chunk_id, seq) source_chunk_id from raw join t using (book_id, name_key) group by 1, 2""",
+        arg_max(summary, length(summary)::hugeint * 100000000 - seq) summary, arg_min(source_chunk_id, seq) source_chunk_id from raw join t using (book_id, name_key) group by 1, 2""",
     "resolve_edges": """with n as (select distinct lang book_id, source k from documents)
       select d.lang book_id, d.doc_id, 'src' || (d.doc_id % 25) target_key from documents d join n on n.book_id = d.lang and n.k = 'src' || (d.doc_id % 25)""",
     "unresolved_edges": """with n as (select distinct lang book_id, source k from documents)
@@ -326,7 +326,7 @@ ORACLES = {
       from files where starts_with(key, 'src3/') group by 1, 2""",
     "list_root": f"with {model.FILES} select split_part(key, '/', 1) as name, true is_dir, split_part(key, '/', 1) as key from files group by 1",
     "key_pages": f"with {model.FILES} select key, ((row_number() over (order by key) - 1) // 7)::bigint page from files where starts_with(key, 'src1')",
-    "upload_files": f"""with {model.FILES}, n as (select source || '/' || lang || '/' || doc_id || '.txt' as key, sha256(text || '+') content_hash, octet_length(encode(text || '+')) size from documents where doc_id % 5 = 0)
+    "upload_files": f"""with {model.FILES}, n as (select source || '/' || lang || '/' || doc_id || '.txt' as key, sha256(text || '+') content_hash, octet_length(encode(text || '+')) size from documents)
       select key, content_hash, size::bigint size, 1.0::double created_at, 1.0::double modified_at from files where size % 2 = 0 and key not in (select key from n)
       union all select n.key, n.content_hash, n.size::bigint, case when f.key is null then 2.0::double else 1.0::double end, 2.0::double from n left join files f on f.key = n.key and f.size % 2 = 0""",
     "usage_by_window": f"with {model.USAGE} select " + ", ".join(
@@ -350,7 +350,7 @@ ORACLES = {
     "latest_session": """with r as (select user_id conversation_id, event_type book_id, event_id session_id, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) k from events)
       select conversation_id, book_id, session_id from r where k = 1""",
     "upsert_rows": "select c_custkey, case when c_custkey % 10 = 0 then 'new' else c_name end c_name from customer union all select -1, 'added'",
-    "merge_metadata": """select source book, arg_max(lang, doc_id) filter (doc_id % 3 <> 0) as "language", coalesce(arg_max(substr(text, 1, 10), doc_id) filter (doc_id % 7 = 0 and trim(substr(text, 1, 10)) <> ''), '') title from documents group by 1""",
+    "merge_metadata": """select source book, arg_max(lang, doc_id) filter (doc_id % 3 <> 0) as "language", coalesce(arg_max(text, doc_id) filter (doc_id % 7 = 0 and trim(text) <> ''), '') title from documents group by 1""",
     "manifest_upsert": f"""with {_MANIFEST}, c as (select doc_id book_id, 'chunk' index_type, case when doc_id % 8 = 0 then 'failed' else 'built' end status from documents where doc_id % 2 = 0)
       select book_id, index_type, status, "count", "error", built_at, created_at from m where not (index_type = 'chunk' and book_id % 2 = 0)
       union all select c.book_id, c.index_type, c.status, 7, 'e', case when c.status = 'built' then 9.0::double else m.built_at end, coalesce(m.created_at, 9.0::double) from c left join m on m.book_id = c.book_id and m.index_type = 'chunk'""",

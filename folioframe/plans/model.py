@@ -74,7 +74,7 @@ def edges(spark: SparkSession, d: str) -> DataFrame:
 
 
 EDGES = """edges as (select 'e-' || l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey id, 's' || l_suppkey source_entity_id, 'p' || l_partkey target_entity_id,
-  l_returnflag relation_type, l_linestatus summary from lineitem where l_orderkey % 50 = 0),
+  l_returnflag relation_type, l_linestatus summary from lineitem),
 ends as (select source_entity_id a, target_entity_id b, id from edges union all select target_entity_id, source_entity_id, id from edges)"""
 
 

@@ -170,6 +170,6 @@ ORACLES = {
     "citations": "select doc_id, 'c' || doc_id || ',e' || (doc_id % 7) cited from documents",
     "page_batches": """select page_id, b::integer batch, (b * 190)::integer as first, least(b * 190 + 190, page_id * 37 % 700) stop
       from pages, (select unnest(generate_series(0, 10)) b) where b = 0 or b * 190 < page_id * 37 % 700""",
-    "layout_spans": """select doc_id book_id, (i - 1)::integer page_index, (i - 1)::double y0, substr(l, 3, 40) as content
-      from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents) where length(l) > 2""",
+    "layout_spans": """select doc_id book_id, (i - 1)::integer page_index, (i - 1)::double y0, l as content
+      from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents) where l <> ''""",
 }

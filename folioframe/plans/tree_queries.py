@@ -148,15 +148,16 @@ ORACLES = {
     "nodes_at_level": f"with {_LINES} select id, order_index, path from paths where level = 1",
     "tree_roots": f"with {_LINES} select id, content_length::bigint content_length from nodes where seq = 0",
     "tree_replay": f"with {_LINES} select id, parent_id, level, order_index, title, content_offset::bigint content_offset, content_length::bigint content_length from nodes where seq > 0",
-    "tree_violations": f"""with {_LINES}, b as (select id, book_id, level old, case when level = 2 and (book_id * 31 + seq) % 11 = 0 then 'nowhere' else parent_id end parent_id,
+    "tree_violations": f"""with {_LINES}, b as (select id, book_id, level old, case when level = 2 and (book_id * 31 + seq) % 11 = 0 then 'nowhere' when level = 1 and (book_id * 31 + seq) % 23 = 0 then id else parent_id end parent_id,
         case when level = 1 and (book_id * 31 + seq) % 13 = 0 then 0 else level end level, case when level = 1 and (book_id * 31 + seq) % 17 = 0 then 0 else order_index end order_index,
         case when (book_id * 31 + seq) % 19 = 0 then -1 else content_length end content_length from nodes),
       v as (select 'negative length' problem from b where content_length < 0 union all select 'missing parent' from b where parent_id = 'nowhere'
         union all select 'level order' from b join b u on u.id = b.parent_id where b.level <= u.level
-        union all select 'sibling order' from (select count(*) over (partition by book_id, parent_id, order_index) n from b where parent_id <> '') where n > 1)
+        union all select 'sibling order' from (select count(*) over (partition by book_id, parent_id, order_index) n from b where parent_id <> '') where n > 1
+        union all select 'cycle' from b left join b u on u.id = b.parent_id where b.parent_id = b.id or u.parent_id = u.id)
       select problem, count(*) n from v group by problem""",
     "tree_valid": "select doc_id book_id, '' id, '' problem from documents where false",
-    "toc_items": """select doc_id, substr(text, 1, doc_id % 3 * 4) title, greatest(doc_id % 4 - 1, 1)::integer level from documents where trim(substr(text, 1, doc_id % 3 * 4)) <> ''""",
+    "toc_items": """select doc_id, text as title, greatest(doc_id % 4 - 1, 1)::integer level from documents where trim(text) <> ''""",
     "tree_summary": f"with {_LINES} select book_id, count(*) n from nodes group by book_id",
     "offset_lookup": f"""with {_DOC_LINES}, q as (select doc_id book_id, k * length(text) // 10 as "offset" from documents, (select unnest(generate_series(0, 9)) k))
       select q.book_id, q."offset"::bigint as "offset", l.content_offset, l.page_index from q join l on l.book_id = q.book_id and l.content_offset <= q."offset" and l.content_offset + l.content_length > q."offset" """,
