@@ -5,7 +5,10 @@ from __future__ import annotations
 import atexit
 import re
 import tempfile
+import unicodedata
 import uuid
+from collections.abc import Iterable, Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -121,14 +124,6 @@ def range_piece(key: str, bounds: list) -> Column:
     return F.coalesce(let(cuts, search), F.lit(0))
 
 
-_WORD = re.compile(r"\w+")
-
-
-def words(text: str) -> list[str]:
-    """Lower-case runs of letters, digits and underscores."""
-    return _WORD.findall(text.lower())
-
-
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
@@ -138,5 +133,74 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Code points of scripts written without blanks, whose letters are words by themselves: first, last; fixed values.
+ALONE = [(0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0x20000, 0x3FFFF)]
+#: Characters that are turned into arrays at once; bounds memory, not results.
+PIECE = 1 << 19
+_CUT = re.compile(r"[\s,.;:!?。、，]")
+_BASE, _INVERSE = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_POWERS = [np.ones(1, np.uint64)] * 2
+
+
+@cache
+def _kinds() -> np.ndarray:
+    """For each code point 1 if it is a letter, mark or digit, 2 if it is a word by itself, else 0."""
+    kind = np.fromiter((unicodedata.category(chr(c))[0] in "LMN" for c in range(0x110000)), np.uint8, 0x110000)
+    for a, b in ALONE:
+        kind[a:b + 1] *= 2
+    return kind
+
+
+class Words:
+    """The words of some lower-case texts: whose[i] is the number of the text that word i is in, and start[i] and end[i]
+    are its first character and last character + 1 in all texts. A stretch's hash is the difference of two running
+    sums, scaled back."""
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer((" " + " ".join(texts) + " ").encode("utf-32-le", "surrogatepass"), "<u4")
+        kind = _kinds()[codes]
+        start, end = (kind[1:-1] == 2) | ((kind[1:-1] == 1) & (kind[:-2] != 1)), (kind[1:-1] == 2) | ((kind[1:-1] == 1) & (kind[2:] != 1))
+        self.start, self.end = np.flatnonzero(start) + 1, np.flatnonzero(end) + 2
+        self.whose = np.searchsorted(np.cumsum([1 + len(t) for t in texts]), self.start, "right")
+        if len(_POWERS[0]) < len(codes):
+            _POWERS[:] = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(len(codes) + len(codes) // 4, b)])) for b in (_BASE, _INVERSE))
+        self.run = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum((codes + np.uint64(1)) * _POWERS[0][:len(codes)], out=self.run[1:])
+
+    def hash(self, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+        return mix64((self.run[end] - self.run[start]) * _POWERS[1][start] + np.uint64(salt))
+
+
+def grouped_words(texts: list[str]) -> Iterator[tuple[np.ndarray, Words]]:
+    """The words of the texts, some at a time, with the number of the text that each of those is, or is a part of."""
+    group, whose, size = [], [], 0
+    for i, text in enumerate(texts):
+        text, at = text.lower(), 0
+        while at < len(text):
+            end = len(text)
+            if end - at > PIECE and (m := _CUT.search(text, at + PIECE)):
+                end = m.end()
+            if group and size + end - at > PIECE:
+                yield np.array(whose), Words(group)
+                group, whose, size = [], [], 0
+            group.append(text[at:end])
+            whose.append(i)
+            size, at = size + end - at, end
+    if group:
+        yield np.array(whose), Words(group)
+
+
+def parts(sizes: Iterable[int], rows: int = 256, total: int = 1 << 24) -> Iterator[tuple[int, int]]:
+    """(first, number) of runs of rows that have at most `rows` rows and, but for single ones, a total of at most `total`."""
+    first = n = held = 0
+    for size in sizes:
+        if n and (n == rows or held + (size or 0) > total):
+            yield first, n
+            first, n, held = first + n, 0, 0
+        n, held = n + 1, held + (size or 0)
+    if n:
+        yield first, n
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -13,52 +13,37 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import long_rows, mix64, table
+from folioframe.llm.common import grouped_words, long_rows, mix64, table
 
 #: Rows that the classifier is fitted on at most: confirmed toxic ones, and unlabelled ones. Every row is scored.
 POSITIVES, UNLABELLED = 2500, 7500
+#: Features of a row that the classifier is fitted on at most.
+ROW_FEATURES = 1 << 14
 #: Features of the classifier at most, and the chance (a Poisson tail) that one is as frequent in toxic texts as it is
 #: in all, below which it counts.
 FEATURES, CHANCE = 2048, 1e-6
 STEPS, RATE, DECAY = 300, 0.05, 1e-4
-#: Beginnings of words that are features besides the words, in bytes.
+#: Beginnings of words that are features besides the words, in characters.
 STEMS = (4, 5, 6)
 FOLDS = 5
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_LETTER = np.array([chr(b).isalnum() or b >= 0x80 for b in range(256)])
-
 
 def held_out(doc_id: str = "doc_id") -> Column:
-    """The fold whose labels are never learned from."""
-    return F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0
+    """Whether a row is in the fold whose labels are never learned from; false for null doc_ids, which have no labels."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % FOLDS == 0, F.lit(False))
 
 
 def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(number of the text, 64-bit feature) for the words of each text and their beginnings, with repeats.
-
-    All texts are one byte array; the hash of a stretch is the difference of two running sums, scaled back."""
-    raw = [t.lower().encode("utf-8", "replace") for t in texts]
-    data = np.frombuffer(b" ".join([b"", *raw, b""]), np.uint8)
-    letter = _LETTER[data]
-    edge = np.diff(letter.astype(np.int8))
-    start, end = np.flatnonzero(edge == 1) + 1, np.flatnonzero(edge == -1) + 1
-    power = np.ones(len(data), np.uint64)
-    power[1:] = _BASE
-    power = np.multiply.accumulate(power)
-    back = np.ones(len(data), np.uint64)
-    back[1:] = _INVERSE
-    back = np.multiply.accumulate(back)
-    run = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power, out=run[1:])
-    text = np.searchsorted(np.cumsum([1 + len(r) for r in raw]), start, "right")
-    whose, found = [text], [mix64((run[end] - run[start]) * back[start] + np.uint64(7))]
-    for n in STEMS:
-        long = end - start > n
-        s = start[long]
-        whose.append(text[long])
-        found.append(mix64((run[s + n] - run[s]) * back[s] + np.uint64(100 + n)))
+    """(number of the text, 64-bit feature) for the words of each text and their beginnings, with repeats."""
+    whose, found = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for text, words in grouped_words(texts):
+        text = text[words.whose]
+        whose.append(text)
+        found.append(words.hash(words.start, words.end, 7))
+        for n in STEMS:
+            long = words.end - words.start > n
+            whose.append(text[long])
+            found.append(words.hash(words.start[long], words.start[long] + n, 100 + n))
     return np.concatenate(whose), np.concatenate(found)
 
 
@@ -148,33 +133,42 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float)
     return Model(keys, *nnpu(rows(positive), rows(unlabelled), prior))
 
 
-def _sampled(docs: DataFrame, ids: DataFrame, among: np.ndarray | None = None) -> list[np.ndarray]:
-    """The different features of the whole texts of the given rows, or those of them that are in `among`."""
+def _first() -> Column:
+    return F.xxhash64("doc_id", F.lit("sample"))
+
+
+def _sampled(docs: DataFrame, ids: DataFrame, most: int, among: np.ndarray | None = None) -> list[np.ndarray]:
+    """The different features of the whole texts of `most` rows with one of the ids, or those of them that are in
+    `among`; of a row with more than ROW_FEATURES those of the smallest hashes. Both bound what the driver gets."""
 
     def distinct(batches):
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for doc, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
                 found = np.unique(features([text])[1])
-                found = found if among is None else among[_places(among, found)]
-                yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], names=["f"])
+                found = (found if among is None else among[_places(among, found)])[:ROW_FEATURES]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["doc_id", "f"])
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    return [np.frombuffer(r[0], np.uint64) for r in rows.select("text").mapInArrow(distinct, "f binary").collect()]
+    rows = rows.select("doc_id", "text").mapInArrow(distinct, "doc_id long, f binary").orderBy(_first(), "doc_id", "f").limit(most)
+    return [np.frombuffer(r[0], np.uint64) for r in rows.select("f").collect()]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     """Fit on at most POSITIVES toxic and UNLABELLED other rows, those first by a hash of doc_id, none of the held-out
-    fold. The prior is the share of toxic rows among all labelled rows outside that fold."""
+    fold. The prior is the share of toxic rows among all labelled rows outside that fold.
+
+    Defined cases: rows of either table with null doc_id and labels that are null teach nothing; a doc_id with several
+    labels counts for each; of repeated rows as many count as the bounds leave; without a toxic row all scores are
+    about 0."""
     known = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     prior = known.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0] or 0.0
-    first = F.xxhash64("doc_id", F.lit("sample"))
-    toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(first, "doc_id").limit(POSITIVES)
+    toxic = known.filter("toxic = 1").select("doc_id").distinct().orderBy(_first(), "doc_id").limit(POSITIVES)
     texts = docs.filter(F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    other = texts.select("doc_id").distinct().orderBy(first, "doc_id").limit(UNLABELLED)
-    positive = _sampled(texts, toxic)
+    other = texts.select("doc_id").distinct().orderBy(_first(), "doc_id").limit(UNLABELLED)
+    positive = _sampled(texts, toxic, POSITIVES)
     keys, count = np.unique(np.concatenate(positive), return_counts=True) if positive else (np.zeros(0, np.uint64), np.zeros(0))
-    return fit(positive, _sampled(texts, other, keys[count > 1]), prior)
+    return fit(positive, _sampled(texts, other, UNLABELLED, keys[count > 1]), prior)
 
 
 def score_documents(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
