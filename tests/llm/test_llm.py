@@ -10,6 +10,7 @@ import zlib
 import duckdb
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -432,6 +433,19 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark, sf):
     assert (a.keys == b.keys).all() and np.allclose(a.weights, b.weights) and a.bias == b.bias
 
 
+def test_rows_without_id_are_not_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,), (4,)], "doc_id long")
+    assert [r[0] for r in df.select(toxicity.held_out()).collect()] == [False] + [zlib.crc32(str(i).encode()) % 5 == 0 for i in (1, 4)]
+
+
+def test_sample_is_bounded_by_rows(spark, monkeypatch):
+    docs = documents(spark, [(2, f"same id text {i}", "s") for i in range(50)] + [(3, "some other", "s")])
+    ids = spark.createDataFrame([(2,), (3,)], "doc_id long")
+    assert len(toxicity._sampled(docs.select("doc_id", "text"), ids, 7)) == 7
+    monkeypatch.setattr(toxicity, "ROW_FEATURES", 3)
+    assert max(map(len, toxicity._sampled(docs.select("doc_id", "text"), ids, 99))) == 3
+
+
 def test_scores_untidy(untidy, none, spark):
     df, rows = untidy
     labels = spark.createDataFrame([(4, 1), (7, 0)], "doc_id long, toxic int")
@@ -442,8 +456,17 @@ def test_scores_untidy(untidy, none, spark):
 
 # ---------------------------------------------------------------- 10 near duplicates
 
+_ALONE = r"\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}"
+_A_WORD = regex.compile(rf"(?V1)[[{_ALONE}]&&[\p{{L}}\p{{M}}\p{{N}}]]|[[\p{{L}}\p{{M}}\p{{N}}]--[{_ALONE}]]+")
+
+
+def shingles(text):
+    w = _A_WORD.findall((text or "").lower())
+    return np.unique(np.array([hash(tuple(w[k:k + 5])) for k in range(max(1, len(w) - 4))] if w else [], np.int64))
+
+
 def brute_classes(rows, threshold=0.8):
-    sets = lshforest.shingle_sets([t or "" for _, t, _ in rows])
+    sets = [shingles(t) for _, t, _ in rows]
     up = list(range(len(rows)))
 
     def find(i):
@@ -480,13 +503,42 @@ def near(spark):
     return documents(spark, rows).repartition(3), rows
 
 
-@pytest.mark.parametrize("paired, block", [(24, 512), (3, 16)])
+@pytest.mark.parametrize("paired, block", [(24, 2048), (3, 16)])
 def test_classes_equal_brute_force(near, paired, block):
     df, rows = near
     got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in lshforest.near_duplicates(df, recall=0.999999, paired=paired, block=block).collect())
     assert got == brute_classes(rows)
 
 
+def test_each_set_has_a_prefix_of_its_own():
+    for n in range(1, 64):
+        pairs = [(b / (n + m - b)) for m in range(1, 90) for b in range(1, min(n, m) + 1) if b < max(n, m) and b / (n + m - b) >= 0.8 - 1e-12]
+        assert abs(lshforest.least_similarity(n) - min(pairs, default=1.0)) < 1e-9
+    assert len(set(lshforest.prefix_lengths())) >= 4
+
+
+def test_words_of_many_scripts(spark):
+    rng = random.Random(12)
+    han = [chr(rng.randrange(0x4E00, 0x9F00)) for _ in range(2000)]
+    other = list(han)
+    other[700] = "好"
+    curly = "“one” two—three ‘four’ five … six seven"
+    rows = [(1, "".join(han), "s"), (2, "".join(other), "s"), (3, curly, "s"), (4, 'one two three four five six seven', "s"), (5, "naïve café déjà vu", "s"), (6, "हिन्दी में एक छोटा वाक्य", "s"), (7, "हिन्दी में एक छोटा वाक्य।", "s")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in lshforest.near_duplicates(documents(spark, rows)).collect())
+    assert got == brute_classes(rows) and [c for _, c, _ in got] == ["1", "1", "3", "3", "5", "6", "6"]
+
+
+def test_few_shingles_match_on_longer_prefixes(spark):
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choices("abcdefghijkl", k=5))
+    rows = []
+    for k in range(60):
+        w = [word() for _ in range(rng.randint(5, 14))]
+        rows += [(4 * k, " ".join(w), "s"), (4 * k + 1, " ".join(w + [word()]), "s"), (4 * k + 2, " ".join(w[1:]), "s"), (4 * k + 3, " ".join([word()] + w), "s")]
+    got = sorted((str(r.doc_id), str(r.class_id), r.n_links) for r in lshforest.near_duplicates(documents(spark, rows), recall=0.999999).collect())
+    assert got == brute_classes(rows) and any(n for *_, n in got)
+
+
 def test_prefix_is_the_longest_that_meets_enough():
     k = lshforest.prefix_length(0.8, 16, 8, 0.9995)
     met = lambda n: 1 - (1 - 0.8 ** n) ** 16
