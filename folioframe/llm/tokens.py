@@ -36,9 +36,32 @@ _BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _SPACE = np.array([chr(b).isspace() for b in range(128)] + [False] * 128)
 
 
+#: The bytes of a 64-bit word that count, for 0 to 8 of them.
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def _words(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number."""
+    return np.ndarray((max(0, len(data) - 7),), "<u8", data, strides=(1,))
+
+
+def _differ(a: np.ndarray, at: np.ndarray, b: np.ndarray, bt: np.ndarray, size: np.ndarray) -> bool:
+    """Whether some stretch a[at:at + size] is not b[bt:bt + size]; eight more bytes follow in either."""
+    a, b = _words(a), _words(b)
+    for k in range(0, int(size.max(initial=0)), 8):
+        if k:
+            on = np.flatnonzero(size > k)
+            at, bt, size_ = at0[on] + k, bt0[on] + k, size[on] - k
+        else:
+            at0, bt0, size_ = at, bt, size
+        if ((a[at] ^ b[bt]) & _MASK[np.minimum(size_, 8)]).any():
+            return True
+    return False
+
+
 class Known:
-    """ids by 64-bit hash of a chunk: sorted hashes, each with the place and number of its ids in a pool. New chunks
-    gather in a short run that is merged into the long one now and then."""
+    """ids by chunk: sorted 64-bit hashes, each with the place and number of its bytes, by which a hit is verified, and
+    of its ids in a pool. New chunks gather in a short run that is merged into the long one now and then."""
 
     def __init__(self, dtype: np.dtype):
         self.dtype = dtype
@@ -48,6 +71,8 @@ class Known:
         self.runs = [(np.zeros(0, np.uint64), np.zeros(0, np.int32)) for _ in range(2)]
         self.pool, self.used = np.zeros(1 << 16, self.dtype), 0
         self.at, self.size = np.zeros(0, np.int32), np.zeros(0, np.int16)
+        self.text, self.text_used = np.zeros(1 << 16, np.uint8), 0
+        self.text_at, self.text_size = np.zeros(0, np.int32), np.zeros(0, np.uint8)
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Entry of each ascending key, -1 for unknown ones."""
@@ -58,10 +83,17 @@ class Known:
                 out = np.where(known[place] == keys, entry[place], out)
         return out
 
-    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    def add(self, keys: np.ndarray, ids: np.ndarray, sizes: np.ndarray, chunks: list[bytes]) -> np.ndarray:
         """Entries for new keys, whose ids follow each other."""
         if len(self.at) + len(keys) > REMEMBERED:
             raise MemoryError
+        text, long = np.frombuffer(b"".join(chunks), np.uint8), np.fromiter(map(len, chunks), np.int64, len(chunks))
+        while self.text_used + len(text) + 8 > len(self.text):
+            self.text = np.concatenate([self.text, np.zeros(len(self.text) // 2, np.uint8)])
+        self.text[self.text_used:self.text_used + len(text)] = text
+        self.text_at = np.concatenate([self.text_at, (self.text_used + np.cumsum(long) - long).astype(np.int32)])
+        self.text_size = np.concatenate([self.text_size, long.astype(np.uint8)])
+        self.text_used += len(text)
         while self.used + len(ids) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros(len(self.pool) // 2, self.dtype)])
         self.pool[self.used:self.used + len(ids)] = ids
@@ -94,11 +126,14 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         state = json.loads(self.tokenizer.to_str())
         pre = state.get("pre_tokenizer") or {}
-        self.cuts = state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
+        added = state.get("added_tokens") or []
+        #: Texts with one of these are cut there first; the library gets them whole.
+        self.added = [x["content"] for x in added]
+        plain = not any(x.get("lstrip") or x.get("rstrip") or any(map(str.isspace, x["content"])) for x in added)
+        self.cuts = plain and state.get("normalizer") is None and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.size = self.byte_lengths() if self.cuts else None
         self.known = Known(self.dtype)
         self.power = self.back = np.ones(1, np.uint64)
@@ -131,10 +166,10 @@ class Encoder:
         if not self.cuts or not texts:
             return self._plainly(texts) if texts else []
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
-        data = np.frombuffer(b"\n".join([b"", *raw, b""]), np.uint8)
+        data = np.frombuffer(b"\n".join([b"", *raw, b"", b"\n" * 8]), np.uint8)
         edge = np.cumsum([1, *(len(r) + 1 for r in raw)])  # where each text begins; its separator is before the next
         blank = np.flatnonzero(data == 32)
-        odd = np.array([not t.isascii() and WIDE.search(t) is not None for t in texts])
+        odd = np.array([not t.isascii() and WIDE.search(t) is not None or any(x in t for x in self.added) for t in texts])
         whose = np.searchsorted(edge, blank, "right") - 1
         odd[whose[_SPACE[data[blank - 1]] | _SPACE[data[blank + 1]]]] = True
         low, high = np.searchsorted(blank, edge[:-1]), np.searchsorted(blank, edge[1:])
@@ -146,18 +181,28 @@ class Encoder:
         self._powers(len(data))
         run = np.zeros(len(data) + 1, np.uint64)
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.power[:len(data)], out=run[1:])
-        key = mix64((run[stop] - run[start]) * self.back[start] + (stop - start).astype(np.uint64))
+        long = stop - start
+        key = mix64((run[stop] - run[start]) * self.back[start] + long.astype(np.uint64))
+        key[long > LONGEST] = mix64(np.flatnonzero(long > LONGEST).astype(np.uint64) + np.uint64(1))  # no two are taken for one
         key, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         entry = self.known.find(key)
+        same = first[inverse]
+        again, hit = np.flatnonzero(same != np.arange(len(same))), np.flatnonzero(entry >= 0)
+        seen, found = first[hit], entry[hit]
+        if ((long[again] != long[same[again]]) | (long[again] > LONGEST)).any() or (long[seen] != self.known.text_size[found]).any() \
+                or _differ(data, start[again], data, start[same[again]], long[again]) \
+                or _differ(data, start[seen], self.known.text, self.known.text_at[found].astype(np.int64), long[seen]):
+            return self._plainly(texts)  # two chunks of one hash
         new = np.flatnonzero(entry < 0)
         if len(new):
             bytes_ = data.tobytes()
-            ids, sizes = self._learn([bytes_[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())])
+            chunks = [bytes_[a:b] for a, b in zip(start[first[new]].tolist(), stop[first[new]].tolist())]
+            ids, sizes = self._learn(chunks)
             short = (stop - start)[first[new]] <= LONGEST
             try:
                 if not short.all():
                     raise MemoryError
-                entry[new] = self.known.add(key[new], ids, sizes)
+                entry[new] = self.known.add(key[new], ids, sizes, chunks)
                 pool, at, size = self.known.pool, self.known.at, self.known.size
             except MemoryError:  # for these texts only: their own ids beside those that are known
                 entry[new] = len(self.known.at) + np.arange(len(new))
@@ -204,7 +249,7 @@ class Encoder:
         """Bytes of text that each id of a byte-level vocabulary stands for."""
         out = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, i in self.tokenizer.get_vocab().items():
-            out[i] = len(token)  # the vocabulary writes one character for each byte
+            out[i] = len(token.encode() if token in self.added else token)  # others are written one character a byte
         return out
 
 
