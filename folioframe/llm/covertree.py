@@ -1,7 +1,8 @@
 """Exact top-k inner products by dual-tree cover-tree search.
 
-Queries and data are both indexed. A pair of nodes is skipped where the covering radii show that no inner product
-between them can reach the worst k-th score of the node's queries.
+Queries and data are both indexed by cover trees, whose levels are nested nets at distances 2^i. A pair of nodes is
+skipped where the covering radii show that no inner product between them can reach the worst k-th score of the node's
+queries.
 """
 
 from __future__ import annotations
@@ -18,110 +19,154 @@ from folioframe.llm.common import Scratch, table
 
 K, SCALE = 10, 1024
 #: Rows of a block of data and of a part of its queries; block summaries looked at in one pass.
-BLOCK, PART, SUMMARIES = 4096, 4096, 8192
+BLOCK, PART, SUMMARIES = 2048, 2048, 8192
 #: Pivots that data are dealt by, chosen from a sample; both are bounds.
 PIVOTS, SAMPLE = 256, 2048
-LEAF, CHILDREN = 32, 16
+#: Rounding errors of a bound, as a part of the product of the norms.
+SLACK = 1e-9
+LONGEST = (1 << 63) - 1
 
 
 class Node:
-    """A ball around one of its points; start and stop are its rows in the tree's order."""
+    """A point of one level with all that is below it: rows start to stop of the tree's order. radius is the distance to
+    the farthest of them. A node without children is one point, whose rows are equal."""
 
-    __slots__ = ("center", "radius", "norm", "start", "stop", "children", "stack")
+    __slots__ = ("at", "level", "center", "radius", "norm", "start", "stop", "children", "stack")
 
-    def __init__(self, center, radius, start, stop, children):
-        self.center, self.radius, self.norm = center, radius, float(np.sqrt(center @ center))
+    def __init__(self, at, level, center, radius, start, stop, children):
+        self.at, self.level, self.center, self.radius, self.norm = at, level, center, radius, float(np.sqrt(center @ center))
         self.start, self.stop, self.children = start, stop, children
-        self.stack = (np.stack([c.center for c in children]), np.array([c.radius for c in children]), np.array([c.norm for c in children])) if children else None
-
-
-def cover_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[Node, np.ndarray]:
-    """(root, order). Children are a net of the node's points at half its radius, the farthest point being the next
-    centre; a net of more than CHILDREN stops there and the rest go to the nearest centre. Radii are those of the
-    points below, so they cover whatever the net."""
-    order: list[np.ndarray] = []
-    placed = 0
-
-    def build(rows: np.ndarray, center: int) -> Node:
-        nonlocal placed
-        gap = np.sqrt(((points[rows] - points[center]) ** 2).sum(1))
-        radius = float(gap.max())
-        if len(rows) <= leaf or radius == 0:
-            order.append(rows)
-            placed += len(rows)
-            return Node(points[center], radius, placed - len(rows), placed, [])
-        centers, near, nearest = [center], gap.copy(), np.zeros(len(rows), np.int64)
-        while len(centers) < CHILDREN and near.max() > radius / 2:
-            far = int(near.argmax())
-            centers.append(int(rows[far]))
-            new = np.sqrt(((points[rows] - points[rows[far]]) ** 2).sum(1))
-            closer = new < near
-            near[closer], nearest[closer] = new[closer], len(centers) - 1
-        start = placed
-        children = [build(rows[nearest == k], c) for k, c in enumerate(centers) if (nearest == k).any()]
-        return Node(points[center], radius, start, placed, children)
-
-    root = build(np.arange(len(points)), 0)
-    return root, np.concatenate(order)
+        self.stack = _stack(children) if children else None
+
+
+def _stack(nodes: list[Node]):
+    return (np.stack([c.center for c in nodes]), np.array([c.radius for c in nodes]), np.array([c.norm for c in nodes]), np.array([not c.children for c in nodes]))
+
+
+def nets(gap: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(level, parent, same) of each point, for the distances of all pairs: the net of level i is the points of level i
+    and above. Its points are more than 2^i apart, all points are within 2^i of it, and a point's parent is the nearest
+    one of the net above its level. same is a point's first equal one, itself for most; only those are in a net."""
+    n = len(gap)
+    same = (gap == 0).argmax(1)
+    level, parent = np.zeros(n, np.int64), np.full(n, -1)
+    near, nearest = gap[0].copy(), np.zeros(n, np.int64)
+    left = np.flatnonzero(same == np.arange(n))[1:]
+    i = math.ceil(math.log2(near.max())) if n and near.max() > 0 else 0
+    level[0] = i
+    while len(left):
+        i = min(i - 1, math.ceil(math.log2(near[left].max())) - 1)  # empty levels are passed over
+        above = nearest.copy()
+        for p in left:
+            if near[p] > 2.0 ** i:
+                level[p], parent[p] = i, above[p]
+                closer = gap[p] < near
+                near[closer], nearest[closer] = gap[p][closer], p
+        left = left[near[left] > 0]
+    return level, parent, same
+
+
+def cover_tree(points: np.ndarray) -> tuple[Node, np.ndarray]:
+    """(root, order) of the cover tree of the points, without the levels at which a node has no child but itself."""
+    square = (points ** 2).sum(1)
+    gap = np.sqrt(np.maximum(0, square[:, None] + square[None] - 2 * points @ points.T))
+    unequal = np.unique(points, axis=0, return_inverse=True)[1].ravel()
+    gap[unequal[:, None] == unequal[None]] = 0
+    gap[(unequal[:, None] != unequal[None]) & (gap == 0)] = np.finfo(float).tiny
+    level, parent, same = nets(gap)
+    copies: dict[int, list[int]] = {}
+    for row, first in enumerate(same):
+        copies.setdefault(int(first), []).append(row)
+    below: dict[int, dict[int, list[int]]] = {}
+    for p in copies:
+        if parent[p] >= 0:
+            below.setdefault(int(parent[p]), {}).setdefault(int(level[p]), []).append(p)
+    order: list[int] = []
+
+    def leaf(p: int) -> Node:
+        order.extend(copies[p])
+        return Node(p, None, points[p], 0.0, len(order) - len(copies[p]), len(order), [])
+
+    def build(p: int, levels: list[int]) -> Node:
+        """The node of p whose children are those of levels[0], and p itself with those of the lower ones."""
+        if not levels:
+            return leaf(p)
+        start = len(order)
+        children = [build(p, levels[1:])] + [build(c, sorted(below.get(c, ()), reverse=True)) for c in below[p][levels[0]]]
+        return Node(p, levels[0], points[p], float(gap[p][order[start:]].max()), start, len(order), children)
+
+    return build(0, sorted(below.get(0, ()), reverse=True)), np.array(order)
 
 
 class Search:
-    """The k best data rows of each query, by score and then the smaller id, among those that reach `floor`."""
+    """The k best data rows of each query, by score and then the smaller id, among those that reach `floor`. A row is no
+    candidate for a query of the same row number."""
 
-    def __init__(self, queries: np.ndarray, query_ids: np.ndarray, floor: np.ndarray, data: np.ndarray, ids: np.ndarray, k: int):
+    def __init__(self, queries: np.ndarray, query_rows: np.ndarray, floor: np.ndarray, data: np.ndarray, rows: np.ndarray, ids: np.ndarray, k: int):
         wide = max(queries.shape[1], data.shape[1])
         queries, data = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (queries, data))
         self.k = k
-        self.exact = float(np.abs(queries).max(initial=0)) * float(np.abs(data).max(initial=0)) * max(1, wide) < 2 ** 53
-        qroot, qorder = cover_tree(queries.astype(float), 16)
+        most = max(1, wide) * int(np.abs(queries.astype(float)).max(initial=0)) * int(np.abs(data.astype(float)).max(initial=0))
+        qroot, qorder = cover_tree(queries.astype(float))
         droot, dorder = cover_tree(data.astype(float))
-        self.q, self.qid, self.limit = queries[qorder], query_ids[qorder], floor[qorder].astype(float)
-        self.d, self.did = data[dorder], ids[dorder]
+        self.q, self.row, self.limit = queries[qorder], query_rows[qorder], floor[qorder].astype(float)
+        self.d, self.drow, self.did = data[dorder], rows[dorder], ids[dorder]
+        self.exact = most < 1 << 52
         if self.exact:
             self.q, self.d = self.q.astype(float), self.d.astype(float)
+        elif most > LONGEST:  # whole numbers of any size
+            self.q, self.d = self.q.astype(object), self.d.astype(object)
         self.best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64))] * len(self.q)
-        self.visited = 0
-        self.visit(qroot, droot)
-
-    def base(self, q: Node, d: Node) -> None:
-        self.visited += 1
-        scores = self.q[q.start:q.stop] @ self.d[d.start:d.stop].T
-        ids = self.did[d.start:d.stop]
-        for i in np.flatnonzero((scores >= self.limit[q.start:q.stop, None]).any(1)):
-            at = q.start + i
-            good = (scores[i] >= self.limit[at]) & (ids != self.qid[at])
-            score = np.concatenate([self.best[at][0], scores[i][good].astype(np.int64)])
-            name = np.concatenate([self.best[at][1], ids[good]])
+        self.scored = self.skipped = 0
+        self.visit([qroot], _stack([qroot]), [droot], _stack([droot]))
+
+    def least(self, q: Node) -> float:
+        """The worst k-th score of the node's queries, less what rounding it to a double may add."""
+        low = self.limit[q.start:q.stop].min()
+        return low if self.exact or low == -math.inf else low - abs(low) * SLACK
+
+    def base(self, q: Node, at: np.ndarray) -> None:
+        """Score the node's queries against the data rows at these places."""
+        self.scored += (q.stop - q.start) * len(at)
+        scores = self.q[q.start:q.stop] @ self.d[at].T
+        if scores.dtype == object:
+            scores = np.clip(scores, -LONGEST, LONGEST)
+        scores = scores.astype(np.int64)
+        for i in range(q.stop - q.start):
+            place = q.start + i
+            good = (scores[i] >= self.limit[place] - (0 if self.exact else abs(self.limit[place]) * SLACK)) & (self.drow[at] != self.row[place])
+            if not good.any():
+                continue
+            score, name = np.concatenate([self.best[place][0], scores[i][good]]), np.concatenate([self.best[place][1], self.did[at][good]])
             top = np.lexsort((name, -score))[:self.k]
-            self.best[at] = score[top], name[top]
+            self.best[place] = score[top], name[top]
             if len(top) == self.k:
-                self.limit[at] = max(self.limit[at], score[top[-1]])
-
-    def visit(self, q: Node, d: Node) -> None:
-        if not d.children and not q.children:
-            self.base(q, d)
-            return
-        for part in (q.children or [q]):
-            if not d.children:
-                if self.bound(part, d) >= self.limit[part.start:part.stop].min():
-                    self.visit(part, d)
-                continue
-            center, radius, norm = d.stack
-            reach = center @ part.center + part.radius * norm + radius * part.norm + radius * part.radius
-            reach += 1e-6 * (1 + np.abs(reach))
-            for j in np.argsort(-reach):
-                if reach[j] < self.limit[part.start:part.stop].min():
-                    break
-                self.visit(part, d.children[j])
-
-    @staticmethod
-    def bound(q: Node, d: Node) -> float:
-        reach = float(q.center @ d.center) + q.radius * d.norm + d.radius * q.norm + q.radius * d.radius
-        return reach + 1e-6 * (1 + abs(reach))
-
-    def rows(self):
-        for name, (scores, ids) in zip(self.qid, self.best):
-            yield from ((int(name), int(i), int(s)) for s, i in zip(scores, ids))
+                self.limit[place] = max(self.limit[place], float(score[top[-1]]))
+
+    def visit(self, qs: list[Node], q_stack, ds: list[Node], d_stack) -> None:
+        """All pairs of two lists of nodes: what one product of their centres leaves of them."""
+        (qc, qr, qn, _), (dc, dr, dn, single) = q_stack, d_stack
+        reach = qc @ dc.T + qr[:, None] * dn + dr * qn[:, None] + qr[:, None] * dr
+        reach += SLACK * (1 + (qn + qr)[:, None] * (dn + dr))
+        starts, stops = (np.array([getattr(d, x) for d in ds]) for x in ("start", "stop"))
+        for a, q in enumerate(qs):
+            good = np.flatnonzero(reach[a] >= self.least(q))
+            good = good[np.argsort(-reach[a][good], kind="stable")]
+            self.skipped += len(ds) - len(good)
+            alone = good[single[good]]
+            for k in range(0, len(alone), 256):  # the best first, as they raise the limit for the rest
+                some = alone[k:k + 256]
+                some = some[reach[a][some] >= self.least(q)]
+                if len(some):
+                    self.base(q, np.concatenate([np.arange(x, y) for x, y in zip(starts[some], stops[some])]))
+            for j in good[~single[good]]:
+                if reach[a][j] >= self.least(q):
+                    d = ds[j]
+                    self.visit(q.children or [q], q.stack or _stack([q]), d.children, d.stack)
+
+    def found(self):
+        for row, (scores, ids) in zip(self.row, self.best):
+            yield from ((int(row), int(i), int(s)) for s, i in zip(scores, ids))
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
@@ -158,8 +203,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     time, so what the driver holds does not grow with the data.
 
     Defined cases: rows with null vec_id, a null vector, or a null or non-finite component take no part; an empty
-    vector scores 0; shorter vectors count as padded with zeros; rows with a query's own vec_id are not candidates;
-    a query with fewer than k candidates has them all; an empty table gives no rows; other columns are ignored."""
+    vector scores 0; shorter vectors count as padded with zeros; rows that share a vec_id are each a query of its own and
+    a candidate for the others, told apart in no column; components and scores beyond 64 bits count as the largest or
+    smallest such number; a query with fewer than k candidates has them all; an empty table gives no rows; other columns
+    are ignored."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "covertree")
     rows = quantized(vectors)
@@ -180,31 +227,31 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in v], pa.binary()), pa.array(cell.astype(np.int64))],
                                              names=["vec_id", "v", "cell"])
 
-    dealt = scratch.save(rows.select("vec_id", "v").mapInArrow(deal, "vec_id long, v binary, cell long"), "dealt")
+    dealt = scratch.save(rows.select("vec_id", "v").mapInArrow(deal, "vec_id long, v binary, cell long").withColumn("row", F.monotonically_increasing_id()), "dealt")
     counts = F.broadcast(dealt.groupBy("cell").agg(F.ceil(F.count("*") / block).cast("long").alias("parts")))  # PIVOTS rows at most
     dealt = scratch.save(dealt.join(counts, "cell").select(
-        "vec_id", "v", (F.col("cell") + F.lit(PIVOTS) * F.pmod(F.xxhash64("vec_id"), "parts")).alias("block")), "blocks")
-    queries = dealt.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), F.col("block").alias("home"))
-    out_schema = "query_id long, vec_id long, score long"
+        "row", "vec_id", "v", (F.col("cell") + F.lit(PIVOTS) * F.pmod(F.xxhash64("row"), "parts")).alias("block")), "blocks")
+    scratch.drop("dealt")
+    queries = dealt.filter(is_query).select("row", F.col("v").alias("q"), F.col("block").alias("home"))
+    out_schema = "row long, vec_id long, score long"
 
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list = []
         if len(left) and len(right):
-            left, right = left.sort_values("query_id", ignore_index=True), right.sort_values("vec_id", ignore_index=True)
-            found = list(Search(_matrix(left["q"]), left["query_id"].to_numpy(), left["floor"].to_numpy(), _matrix(right["v"]), right["vec_id"].to_numpy(), k).rows())
-        return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
+            found = list(Search(_matrix(left["q"]), left["row"].to_numpy(), left["floor"].to_numpy(), _matrix(right["v"]), right["of"].to_numpy(), right["vec_id"].to_numpy(), k).found())
+        return pd.DataFrame(found, columns=["row", "vec_id", "score"]).astype("int64")
 
     def pairs(asked: DataFrame) -> DataFrame:
-        """asked(query_id, q, floor, block) against the rows of the blocks, many queries of one block in parts."""
+        """asked(row, q, floor, block) against the rows of the blocks, many queries of one block in parts."""
         parts = asked.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("query_id"), "parts").cast("int"))
-        data = dealt.join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("block", "part", "vec_id", "v")
-        return asked.select("block", "part", "query_id", "q", "floor").groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInPandas(search, out_schema)
+        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
+        data = dealt.join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("block", "part", F.col("row").alias("of"), "vec_id", "v")
+        return asked.select("block", "part", "row", "q", "floor").groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInPandas(search, out_schema)
 
     none = F.lit(float("-inf"))
-    home = scratch.save(pairs(queries.select("query_id", "q", none.alias("floor"), F.col("home").alias("block"))), "home")
-    floors = home.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    asked = queries.join(floors, "query_id", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))
+    home = scratch.save(pairs(queries.select("row", "q", none.alias("floor"), F.col("home").alias("block"))), "home")
+    floors = home.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
+    asked = queries.join(floors, "row", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))
 
     def summary(rows: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(rows["v"]).astype(float)
@@ -224,7 +271,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
             center[i, :len(c)] = c
         radius = np.array([r[2] for r in some])
 
-        def reach(batches, names=names, center=center, radius=radius, wide=wide):
+        long = np.sqrt((center ** 2).sum(1)) + radius
+
+        def reach(batches, names=names, center=center, radius=radius, wide=wide, long=long):
             for batch in batches:
                 ids, packed, floor, own = (batch.column(c).to_pylist() for c in range(4))
                 picked: list[list] = [[], [], [], []]
@@ -232,19 +281,21 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
                     x = np.zeros(wide)
                     v = np.frombuffer(b, np.int64)
                     x[:min(len(v), wide)] = v[:wide]
-                    most = center @ x + radius * np.sqrt(float((v.astype(float) ** 2).sum()))
-                    good = names[(most + 1e-6 * (1 + np.abs(most)) >= f) & (names != h)]
+                    norm = np.sqrt(float((v.astype(float) ** 2).sum()))
+                    most = center @ x + radius * norm
+                    good = names[(most + SLACK * (1 + norm * long) >= f - (abs(f) * SLACK if f > -math.inf else 0)) & (names != h)]
                     for column, value in zip(picked, (i, b, f)):
                         column.extend([value] * len(good))
                     picked[3].extend(good.tolist())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(picked, (pa.int64(), pa.binary(), pa.float64(), pa.int64()))],
-                                                 names=["query_id", "q", "floor", "block"])
+                                                 names=["row", "q", "floor", "block"])
 
-        wanted = asked.select("query_id", "q", "floor", "home").mapInArrow(reach, "query_id long, q binary, floor double, block long")
+        wanted = asked.select("row", "q", "floor", "home").mapInArrow(reach, "row long, q binary, floor double, block long")
         found = found.unionByName(scratch.save(pairs(scratch.save(wanted, f"wanted{turn}")), f"found{turn}"))
         scratch.drop(f"wanted{turn}")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    return top.join(dealt.filter(is_query).select("row", F.col("vec_id").alias("query_id")), "row").select("query_id", "rank", "vec_id", "score")
 
 
 def op8_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import bisect
 import hashlib
+import math
 import os
 import random
 import re
@@ -376,11 +377,13 @@ def test_token_file_of_nothing(none, spark, tmp_path):
 # ---------------------------------------------------------------- 8 search
 
 def brute_top(rows, k):
-    ok = [(i, np.floor(np.array(v, float) * 1024).astype(np.int64)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
+    most = (1 << 63) - 1
+    fit = lambda x: max(-most, min(most, x))
+    ok = [(i, [fit(math.floor(x * 1024)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)]
     out = []
-    for i, v in ok:
+    for a, (i, v) in enumerate(ok):
         if i % 100 == 0:
-            scored = sorted((-int(np.dot(v[:min(len(v), len(w))], w[:min(len(v), len(w))])), j) for j, w in ok if j != i)[:k]
+            scored = sorted((-fit(sum(x * y for x, y in zip(v, w))), j) for b, (j, w) in enumerate(ok) if a != b)[:k]
             out += [(i, n, j, -s) for n, (s, j) in enumerate(scored, 1)]
     return sorted(out)
 
@@ -391,6 +394,7 @@ def test_search_equals_brute_force(spark, block, part, summaries):
     centers = rng.normal(size=(5, 8))
     rows = [(i, (centers[i % 5] + 0.1 * rng.normal(size=8)).tolist()) for i in range(400)]
     rows += [(1000 + i, rows[7][1]) for i in range(120)]
+    rows += [(200, rows[3][1]), (200, rows[200][1]), (7, rows[200][1]), (6000, [9e15] * 8), (6001, [9e15] * 7 + [-9e15]), (6002, [3e15, 2.5]), (6100, [0.1, 0.2, -1e18])]
     rows += [(5000, None), (5100, [1.0, None]), (5200, [float("nan")] * 8), (5300, [float("inf")] * 8), (5400, []), (5500, [1.0, 2.0]), (None, [1.0] * 8)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit("x")).withColumn("score", F.lit(0))
     got = covertree.top_inner_products(df, F.col("vec_id") % 100 == 0, block=block, part=part, summaries=summaries)
@@ -400,9 +404,37 @@ def test_search_equals_brute_force(spark, block, part, summaries):
 def test_search_prunes():
     rng = np.random.default_rng(9)
     x = np.round(np.concatenate([rng.normal(size=(2000, 8)) * 5 + s for s in (-900, 900)])).astype(np.int64)
-    s = covertree.Search(x[:10], np.arange(10), np.full(10, -np.inf), x, np.arange(4000), 10)
+    s = covertree.Search(x[:10], np.arange(10), np.full(10, -np.inf), x, np.arange(4000), np.arange(4000), 10)
     leaves = lambda n: sum(map(leaves, n.children)) if n.children else 1
-    assert 0 < s.visited <= 0.6 * leaves(covertree.cover_tree(x.astype(float))[0])
+    assert leaves(covertree.cover_tree(x.astype(float))[0]) == len(np.unique(x, axis=0)) and 100 <= s.scored <= 0.6 * 10 * len(x)
+
+
+@pytest.mark.parametrize("dimensions, scale", [(2, 1000), (8, 1000), (64, 3), (1, 5)])
+def test_cover_tree_invariants(dimensions, scale):
+    x = np.round(np.random.default_rng(dimensions).normal(size=(300, dimensions)) * scale)
+    x[250:] = x[:50]
+    root, order = covertree.cover_tree(x)
+    assert sorted(order) == list(range(300))
+    far = lambda a, b: float(np.sqrt(((x[a] - x[b]) ** 2).sum()))
+    level: dict = {root.at: math.inf}
+    todo = [root]
+    while todo:
+        n = todo.pop()
+        below = order[n.start:n.stop]
+        assert abs(n.radius - max(far(n.at, p) for p in below)) < 1e-6
+        if not n.children:
+            assert n.radius == 0
+            continue
+        assert n.children[0].at == n.at  # nesting: a point is among its own children
+        for c in n.children[1:]:
+            level[c.at] = n.level
+            assert far(n.at, c.at) <= 2.0 ** (n.level + 1) + 1e-6  # covering
+        assert n.radius <= 2.0 ** (n.level + 2)
+        todo += n.children
+    for i in {v for v in level.values() if v < math.inf}:
+        net = [p for p, v in level.items() if v >= i]
+        assert all(far(a, b) > 2.0 ** i - 1e-6 for a in net for b in net if a < b)  # separation
+        assert all(min(far(p, c) for c in net) <= 2.0 ** i + 1e-6 for p in range(300))
 
 
 def test_search_few_and_none(spark):
