@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, table
+from folioframe.llm.common import Scratch, fresh, table
 
 #: Bytes of text that a shard may hold.
 SHARD_BYTES = 64 << 20
+#: Those of the query's shards: small, so that tables of any size split.
+QUERY_BYTES = 256 << 10
 BITS = 60
 
 
@@ -51,16 +53,12 @@ def directory(sizes: DataFrame, limit: int, bits: int = BITS) -> DataFrame:
         low, high = high + 1, min(bits, high + 8)
 
 
-def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
-    """(doc_id, n_bytes, shard, depth): a shard for every row; the texts of a shard have at most `limit` bytes.
-
-    Defined cases: null text is empty; a text larger than the limit is a shard of its own, named by its hash with
-    depth -1; rows that are equal in doc_id and text share a hash that no bit can split, so where they exceed the
-    limit together they fill numbered overflow pages; an empty table gives no rows; other columns are ignored."""
+def _places(docs: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, n_bytes, h, copies, shard, depth, paged) of the different rows; the shard of those that fill pages is
+    the beginning of its name."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("body")).select(
         "doc_id", F.octet_length("body").cast("long").alias("bytes"), _hash().alias("h")
     ).groupBy("doc_id", "bytes", "h").agg(F.count("*").alias("copies"))
-    scratch = Scratch(docs.sparkSession, "shards")
     rows = scratch.save(rows, "rows")
     large = F.col("bytes") > limit
     small = rows.filter(~large)
@@ -76,27 +74,62 @@ def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
     #: Equal rows that are too many for one shard at the full depth.
     whole = small.groupBy("h").agg(F.sum(F.col("bytes") * F.col("copies")).alias("sum")).filter(F.col("sum") > limit)
     pages = small.join(whole.select("h"), "h", "left_semi")
-    out = placed.select("doc_id", F.col("bytes").alias("n_bytes"), "shard", "depth", "copies", F.lit(None).cast("long").alias("h")).unionByName(
-        pages.select("doc_id", F.col("bytes").alias("n_bytes"), F.lit("page").alias("shard"), F.lit(BITS).alias("depth"), "copies", "h")).unionByName(
-        rows.filter(large).select("doc_id", F.col("bytes").alias("n_bytes"), F.lit("own").alias("shard"), F.lit(-1).alias("depth"), "copies", "h"))
-    out = out.withColumn("i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    page = F.expr(f"(i - 1) div greatest(1, {limit} div greatest(1, n_bytes))")
-    return out.select("doc_id", "n_bytes", F.when(F.col("h").isNull(), F.col("shard")).otherwise(
-        F.concat_ws(".", F.right(F.concat(F.repeat(F.lit("0"), 15), F.lower(F.hex("h"))), F.lit(15)), page)).alias("shard"), "depth")
+    name = F.right(F.concat(F.repeat(F.lit("0"), 15), F.lower(F.hex("h"))), F.lit(15))
+    some = lambda df, shard, depth, paged: df.select("doc_id", F.col("bytes").alias("n_bytes"), "h", "copies", shard.alias("shard"), depth.alias("depth"), F.lit(paged).alias("paged"))
+    return some(placed, F.col("shard"), F.col("depth"), False).unionByName(some(pages, name, F.lit(BITS), True)).unionByName(some(rows.filter(large), name, F.lit(-1), True))
+
+
+def _page(number: str, limit: int) -> Column:
+    """The page of the copy with this number, from 0."""
+    return F.expr(f"{number} div greatest(1, {limit} div greatest(1, n_bytes))")
+
+
+def shard_documents(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """(doc_id, n_bytes, shard, depth): a shard for every row; the texts of a shard have at most `limit` bytes.
+
+    Defined cases: null text is empty; a text larger than the limit is a shard of its own, named by its hash with
+    depth -1; rows that are equal in doc_id and text share a hash that no bit can split, so where they exceed the
+    limit together they fill numbered overflow pages; an empty table gives no rows; other columns are ignored."""
+    out = _places(docs, limit, Scratch(docs.sparkSession, "shards")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    return out.select("doc_id", "n_bytes", F.when(F.col("paged"), F.concat_ws(".", "shard", _page("i", limit))).otherwise(F.col("shard")).alias("shard"), "depth")
+
+
+def with_shards(docs: DataFrame, limit: int = SHARD_BYTES) -> DataFrame:
+    """The rows of docs with their shard as one more column, `shard`, with an underscore for each column that is named
+    so already. A row's hash leads to its shard; equal rows that fill pages are numbered, those of each partition by
+    themselves, so that no task sees all of them. Other cases are those of shard_documents."""
+    scratch = Scratch(docs.sparkSession, "sharded")
+    places = scratch.save(_places(docs, limit, scratch), "places")
+    shard, body, h, number, part = (fresh(docs, n) for n in ("shard", "_body", "_h", "_number", "_part"))
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(F.coalesce("text", F.lit(""))))
+    rows = docs.withColumn(h, F.conv(F.substring(F.md5(key), 1, 15), 16, 10).cast("long"))
+    own = places.filter("not paged").select(F.col("h").alias(body), F.col("shard").alias(number)).distinct()
+    own = rows.join(own, F.col(h) == F.col(body)).withColumn(shard, F.col(number))
+    paged = places.filter("paged").select(F.col("h").alias(body), F.struct("n_bytes", "shard").alias(number)).distinct()
+    paged = scratch.save(rows.join(paged, F.col(h) == F.col(body)).withColumn(part, F.monotonically_increasing_id()), "paged")
+    counts = paged.groupBy(h, F.shiftright(part, 33).alias("p")).agg(F.count("*").alias("n")).select(
+        F.col(h).alias("of"), "p", (F.sum("n").over(Window.partitionBy(h).orderBy("p")) - F.col("n")).alias("before"))
+    nth = F.row_number().over(Window.partitionBy(h, F.shiftright(part, 33)).orderBy(part)) - 1
+    packed = paged.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"{number}.n_bytes").alias("n_bytes"), F.col(f"{number}.shard").alias("shard"),
+                          F.col(h).alias("h"), F.shiftright(part, 33).alias("part"), nth.alias("nth"))
+    packed = packed.join(counts, (F.col("h") == F.col("of")) & (F.col("part") == F.col("p"))).withColumn("i", F.col("before") + F.col("nth"))
+    packed = packed.select("row.*", F.concat_ws(".", "shard", _page("i", limit)).alias(shard))
+    columns = [F.col(f"`{c}`") for c in [*docs.columns, shard]]
+    return own.select(*columns).unionByName(packed.select(*columns))
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = SHARD_BYTES) -> None:
-    """Write the rows of docs in one folder for each shard, shard=<bits>."""
-    where = shard_documents(docs, limit).select(F.col("doc_id").alias("of"), "shard").distinct()
-    rows = docs.join(where, F.col("doc_id").eqNullSafe(F.col("of"))).drop("of")
-    rows.repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write the rows of docs in one folder for each shard, named as with_shards names the column: shard=<bits>."""
+    rows = with_shards(docs, limit)
+    shard = rows.columns[-1]
+    rows.repartition(shard).write.partitionBy(shard).parquet(path)
 
 
 def op3_extendible_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return shard_documents(table(spark, sf_dir, "documents"))
+    return shard_documents(table(spark, sf_dir, "documents"), QUERY_BYTES)
 
 
-def oracle(limit: int = SHARD_BYTES) -> str:
+def oracle(limit: int = QUERY_BYTES) -> str:
     return f"""
 with r as (select doc_id, octet_length(encode(coalesce(text, ''))) n_bytes,
   ('0x' || substr(md5(coalesce(doc_id::varchar, 'null') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint h from documents),

@@ -177,8 +177,26 @@ def test_only_large_buckets_split(untidy):
             assert sum(b for h, b in small if format(h, "060b").startswith(up)) > 700
 
 
-def test_shards_of_nothing(none):
-    assert sharding.shard_documents(none).count() == 0
+@pytest.mark.parametrize("limit", [60, 700, 10**9])
+def test_written_shards_hold_each_row_once(untidy, tmp_path, limit):
+    df, rows = untidy
+    df = df.withColumn("shard", F.lit("mine"))
+    sharding.write_shards(df, f"file://{tmp_path}/s", limit)
+    got = df.sparkSession.read.option("recursiveFileLookup", "false").parquet(f"file://{tmp_path}/s")
+    assert set(got.columns) == {*df.columns, "shard_"} and {r.shard for r in got.collect()} == {"mine"}
+    assert sorted(str((r.doc_id, r.text)) for r in got.collect()) == sorted(str((i, t)) for i, t, _ in rows)
+    want = sorted(str((r.doc_id, r.n_bytes, r.shard)) for r in sharding.shard_documents(df, limit).collect())
+    named = sharding.with_shards(df, limit).collect()
+    assert sorted(str((r.doc_id, len((r.text or "").encode()), r.shard_)) for r in named) == want
+
+
+def test_query_splits(spark):
+    depths = {r[0] for r in sharding.op3_extendible_shards(spark, "/root/testdata/sf0.01").select("depth").distinct().collect()}
+    assert len(depths) > 1 and max(depths) > 2
+
+
+def test_shards_of_nothing(none, tmp_path):
+    assert sharding.shard_documents(none).count() == 0 and sharding.with_shards(none).count() == 0
 
 
 # ---------------------------------------------------------------- 4 fingerprints
