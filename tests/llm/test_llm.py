@@ -367,13 +367,34 @@ def test_token_file_round_trip(untidy, ids_of, spark, tmp_path, monkeypatch):
     df, rows = untidy
     tokenfile.write_token_file(df, f"file://{tmp_path}/t")
     got = tokenfile.read_token_file(spark, f"file://{tmp_path}/t").collect()
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, (r[1] or "").encode()))
     start = 0
-    for r, (i, t, _) in zip(sorted(got, key=lambda r: r.start), order):
-        ids = ids_of(t or "") + [2]
-        assert (r.doc_id, r.start, r.n_tokens) == (i, start, len(ids)) and np.frombuffer(r.ids, "<u4").tolist() == ids
-        start += len(ids)
-    assert len(got) == len(rows)
+    got.sort(key=lambda r: r.start)
+    for r in got:
+        assert r.start == start and r.n_tokens == len(r.ids) // 4
+        start += r.n_tokens
+    assert [r.doc_id for r in got] == [i for i, *_ in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert sorted(str((r.doc_id, np.frombuffer(r.ids, "<u4").tolist())) for r in got) == sorted(str((i, ids_of(t or "") + [2])) for i, t, _ in rows)
+
+
+def test_any_token_of_a_file(untidy, ids_of, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(tokenfile, "SEGMENT_IDS", 500)
+    df, rows = untidy
+    path = f"file://{tmp_path}/t"
+    tokenfile.write_token_file(df, path)
+    got = {r.start: np.frombuffer(r.ids, "<u4").tolist() for r in tokenfile.read_token_file(spark, path).collect()}
+    every = [x for start in sorted(got) for x in got[start]]
+    assert len(every) == sum(len(ids_of(t or "")) + 1 for _, t, _ in rows)
+    for place in [0, 1, 700, len(every) // 2, len(every) - 1]:
+        assert tokenfile.token_at(spark, path, place) == every[place]
+    with pytest.raises(IndexError):
+        tokenfile.token_at(spark, path, len(every))
+    asked = [(5, 0), (5, 41_000), (5, 10**9), (8, 2), (8, 2), (205, 3), (77, 0), (7, None), (1, 0), (1, 1)]
+    text = {i: t for i, t, _ in rows}
+    want = sorted(str((i, n, (ids_of(text[i] or "") + [2])[n] if i in text and n is not None and n <= len(ids_of(text[i] or "")) else None)) for i, n in asked)
+    for most in (1 << 16, 3):
+        monkeypatch.setattr(tokenfile, "LOOKED_UP", most)
+        found = tokenfile.tokens_at(spark, path, spark.createDataFrame(asked, "doc_id long, i long")).collect()
+        assert sorted(str((r.doc_id, r.i, r.token)) for r in found) == want
 
 
 @pytest.mark.parametrize("n", [0, 1, 511, 512, 513, 5000])
