@@ -13,17 +13,16 @@ from pyspark.sql import functions as F
 
 from folioframe.llm.common import Scratch, let, range_bounds, range_piece, table, width
 
-#: Words whose occurrences start a chain; fixed values.
-ANCHORS = ["the", "of", "to", "is", "that", "was", "with", "le", "la", "de", "des", "et", "que", "pour", "der", "die",
-           "das", "und", "von", "den", "zu", "el", "los", "las", "y", "en", "del", "una"]
-#: Words that chains skip, besides the anchors; fixed values.
-COMMON = ["", "a", "an", "and", "in", "for", "it", "as", "on", "are", "this", "by", "be", "at", "from", "or", "have",
-          "has", "had", "not", "but", "they", "he", "she", "his", "her", "you", "we", "un", "une", "est", "dans", "qui",
-          "par", "sur", "au", "avec", "ce", "il", "ne", "pas", "plus", "se", "son", "les", "du", "ist", "dem", "ein",
-          "eine", "mit", "auf", "für", "nicht", "sich", "im", "als", "auch", "es", "er", "sie", "con", "para", "no",
-          "su", "al", "lo", "por", "como", "más"]
-#: Content words after an anchor from which, until the next anchor, every content word starts a chain.
-GAP = 4
+#: Common words of English, French, German and Spanish. Each occurrence starts a chain, and chains skip them; fixed values.
+ANCHORS = ["the", "of", "to", "is", "that", "was", "with", "a", "an", "and", "in", "for", "it", "as", "on", "are", "this",
+           "by", "be", "at", "from", "or", "have", "has", "had", "not", "but", "they", "he", "she", "his", "her", "you", "we",
+           "le", "la", "les", "de", "des", "du", "et", "que", "pour", "un", "une", "est", "dans", "qui", "par", "sur", "au",
+           "avec", "ce", "il", "ne", "pas", "plus", "se", "son",
+           "der", "die", "das", "und", "von", "den", "zu", "ist", "dem", "ein", "eine", "mit", "auf", "für", "nicht", "sich",
+           "im", "als", "auch", "es", "er", "sie",
+           "el", "los", "las", "y", "en", "del", "una", "con", "para", "no", "su", "al", "lo", "por", "como", "más"]
+#: Content words without an anchor from which on every content word starts a chain.
+GAP = 32
 
 
 def signatures(text: Column) -> Column:
@@ -31,9 +30,10 @@ def signatures(text: Column) -> Column:
     word, at position p, the next two content words are number p - j and p - j + 1 of all content words, so every pass
     is linear in the words.
 
-    Stretches without an anchor have a chain at every content word from GAP on, so that lists and texts in other
-    languages have signatures too. A text without words has one for the whole text, the empty text has none."""
-    skipped = ANCHORS + COMMON
+    For lists and for texts in other languages there is one more rule: before the first anchor, and from GAP content
+    words after an anchor on, every content word starts a chain, up to the next anchor. A text without words has one
+    signature for the whole text, the empty text has none."""
+    skipped = ["", *ANCHORS]  # a text that begins or ends with no word has an empty one there
 
     def chains(w: Column) -> Column:
         content = F.filter(w, lambda x: ~x.isin(skipped))

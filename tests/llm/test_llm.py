@@ -220,9 +220,17 @@ def test_fingerprints(untidy):
 def test_signatures_by_hand(spark):
     df = spark.createDataFrame([("the cat of a big house",), ("cat dog",), ("",), ("?!",), ("the cat sat the cat sat",)], "t string")
     n = [len(r[0]) for r in df.select(spotsigs.signatures(F.col("t"))).collect()]
-    assert n == [2, 2, 0, 1, 2]
+    assert n == [3, 2, 0, 1, 2]
 
 
+def test_chains_follow_anchors(spark, sf):
+    total = anchored = 0
+    for text in texts(sf).text:
+        words = regex.findall(r"[\p{L}\p{N}]+", text.lower())
+        anchored += sum(w in spotsigs.ANCHORS for w in words)
+    total = spark.read.parquet(f"{sf}/documents.parquet").select(F.sum(F.size(spotsigs.signatures(F.col("text"))))).first()[0]
+    assert anchored > 0.85 * total
+
 def test_edited_texts_stay_near(spark, sf):
     got = spotsigs.op4_spotsigs(spark, sf).filter("n_chars > 400").toPandas()
     assert got.near_edited.median() > 0.5 and (got.near_edited > got.near_next).mean() > 0.95 and got.near_next.median() < 0.05
