@@ -92,6 +92,11 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def text_key(text: str = "text") -> Column:
+    """64 bits that stand, with a doc_id, for a row; null text is empty."""
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body names it."""
     return F.element_at(F.transform(F.array(value), body), 1)

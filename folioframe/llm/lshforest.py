@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, fresh, grouped_words, long_rows, mix64, parts, table
+from folioframe.llm.common import Scratch, fresh, grouped_words, long_rows, mix64, parts, table, text_key
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees, hashes of a label, and the probability with which two texts that are linked must meet.
@@ -354,11 +354,6 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     return met_by(sketch.select("doc_id", "c", *more), classes, "c").select("doc_id", "class_id", "n_links", *more, *stays)
 
 
-def text_key(text: str) -> Column:
-    """64 bits that stand, with a doc_id, for a row; null text is empty."""
-    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-
-
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """One row of docs from each class: that of the smallest doc_id, null the last; of rows that are equal in doc_id and
     text one stays. A row is told by its doc_id and text, so a doc_id may have several texts, or be null."""

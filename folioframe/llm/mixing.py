@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import Scratch, fresh, table, width
+from folioframe.llm.common import Scratch, fresh, table, text_key, width
 
 #: Weights of the sources in code point order, repeated as often as needed; fixed values.
 WEIGHTS = (3, 1, 2)
@@ -83,10 +83,11 @@ def pivot(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
 
 
 def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies): how often the mix takes each row.
+    """(doc_id, text_key, source, size, source_size, target, copies): how often the mix takes each row; text_key is a hash of
+    its text.
 
     target / size of its source is a row's expected copies: the whole part is taken, the fraction is rounded by the
-    tree. Leaves are blocks of a source by a hash of doc_id, so a source with a third of all rows is many leaves. The
+    tree. Leaves are blocks of a source by a hash of doc_id and text, so a source with a third of all rows is many leaves. The
     last fraction of a source goes to the nearer integer.
 
     Defined cases: null text has size 0; a row of size 0 has the whole part of its copies; null source is a source of
@@ -94,7 +95,7 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
     columns are ignored. Random numbers follow from seed, source and block: reruns agree."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "mixing")
-    sizes = scratch.save(docs.select(F.col("doc_id").cast("long"), "source", size_of().alias("size")), "sizes")
+    sizes = scratch.save(docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "source", size_of().alias("size")), "sizes")
     targets = source_targets(sizes, scratch, share, cap)
     targets = scratch.save(targets, "targets")
     number, held, most = targets.agg(F.count("*"), F.sum(F.coalesce(F.octet_length("source"), F.lit(0)) + 64), F.max("n")).first()
@@ -103,17 +104,17 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
     if (held or 0) <= BROADCAST:
         rows = sizes.join(F.broadcast(joined), on)
     else:
-        rows = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(
+        rows = sizes.withColumn("salt", F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(SALTS))).join(
             joined.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), on & (F.col("salt") == F.col("slot")))
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("f", copies).select(
-        "doc_id", "source", "size", "source_size", "target", F.floor("f").cast("double").alias("base"), (F.col("f") - F.floor("f")).alias("p"),
-        F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long")).alias("block"))
+        "doc_id", "text_key", "source", "size", "source_size", "target", F.floor("f").cast("double").alias("base"), (F.col("f") - F.floor("f")).alias("p"),
+        F.pmod(F.xxhash64("doc_id", "text_key"), F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long")).alias("block"))
     schema = rows.schema
 
     def node(level: int, root: bool):
         def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-            rows = rows.sort_values(["size", "doc_id", "p"], ascending=[False, True, True], kind="stable", ignore_index=True)
+            rows = rows.sort_values(["size", "doc_id", "text_key", "p"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
             p = np.where(rows["size"] > 0, rows["p"], 0.0)
             rng = np.random.default_rng(zlib.crc32(repr((seed, level, key[0], int(key[1]))).encode()))
             p = pivot(rows["size"].to_numpy(float), p, rng)
@@ -132,12 +133,12 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
         rows = done.filter(~whole).withColumn("block", F.expr(f"block div {FAN}"))
         level, blocks = level + 1, -(-blocks // FAN)
     scratch.drop("sizes")
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("long").alias("copies"))
+    return out.select("doc_id", "text_key", "source", "size", "source_size", "target", (F.col("base") + F.col("p")).cast("long").alias("copies"))
 
 
 def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
-    """The rows of docs, each as often as the mix takes it. Rows with equal doc_id are matched in order of size and
-    source."""
+    """The rows of docs, each as often as the mix takes it. Rows with equal doc_id and text are matched in order of
+    source. Defined cases are those of take()."""
     words, row, nth, copies, of = (fresh(docs, n) for n in ("_words", "_row", "_nth", "_copies", "_of"))
     taken = take(docs, share, cap, seed)
     count, distinct = taken.agg(F.count("*"), F.count_distinct("doc_id")).first()
@@ -146,10 +147,11 @@ def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed:
         kept = F.broadcast(kept) if count <= BROADCAST_ROWS else kept
         met = docs.join(kept, F.col("doc_id") == F.col(of))
     else:
-        number = "row_number() over (partition by {0} order by {1}, {2})"
-        kept = taken.select(F.col("doc_id").alias(of), F.col("copies").alias(copies), F.expr(number.format("doc_id", "size", "source")).alias(nth))
-        rows = docs.withColumn(words, size_of()).withColumn(row, F.expr(number.format("doc_id", words, "source")))
-        met = rows.join(kept, F.col("doc_id").eqNullSafe(F.col(of)) & (F.col(row) == F.col(nth)))
+        number = "row_number() over (partition by doc_id, {0} order by source)"
+        key = fresh(docs, "_key")
+        kept = taken.select(F.col("doc_id").alias(of), F.col("text_key").alias(key), F.col("copies").alias(copies), F.expr(number.format("text_key")).alias(nth))
+        rows = docs.withColumn(words, text_key()).withColumn(row, F.expr(number.format(words)))
+        met = rows.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col(of)) & (F.col(words) == F.col(key)) & (F.col(row) == F.col(nth)))
     each = F.explode(F.when(F.col(copies) > 0, F.sequence(F.lit(1).cast("long"), F.col(copies))).otherwise(F.array().cast("array<bigint>")))
     return met.withColumn(nth, each).select(*[F.col(f"`{c}`") for c in docs.columns])
 

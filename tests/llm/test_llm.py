@@ -86,8 +86,13 @@ def test_snapshots_collapse(spark):
 
 
 def test_chat_untidy(spark):
-    rows = [(1, 0, None, None), (1, 0, None, None), (1, None, "user", "x"), (None, 0, "user", "y"), (2, 5, "user", "q"), (2, 5, "user", "r")]
-    got = {r.conv_id: (r.n_turns, r.chat) for r in chat.format_chats(chats(spark, rows)).collect()}
+    rows = [(1, 0, None, None), (1, 0, None, None), (1, None, "user", "x"), (None, 0, "user", "y"), (None, 1, "user", "y"), (2, 5, "user", "q"), (2, 5, "user", "r")]
+    rows += [(None, 0, "user", f"z{i % 3}") for i in range(9)] + [(7, 3, "user", "z0"), (None, 3, "user", "q")]
+    found = chat.format_chats(chats(spark, rows)).collect()
+    one = lambda t: (None, 1, f"<|im_start|>user\n{t}<|im_end|>\n")
+    assert sorted(str((r.conv_id, r.n_turns, r.chat, r.n_copies)) for r in found if r.conv_id not in (1, 2)) == sorted(
+        map(str, [(*one("y"), 2), (*one("z1"), 1), (*one("z2"), 1), (7, 1, one("z0")[2], 2)]))
+    got = {r.conv_id: (r.n_turns, r.chat) for r in found}
     assert got[1] == (2, "<|im_start|>user\nx<|im_end|>\n<|im_start|>\n<|im_end|>\n") and got[2][0] == 2 and got[None][0] == 1
     assert chat.format_chats(chats(spark, [])).count() == 0
 
@@ -689,5 +694,25 @@ def test_pipeline_stage_by_stage(spark, sf, ids_of):
     assert ((fill == 1024) | ((fill & (fill - 1)) == 0)).all()
 
 
+def test_pipeline_on_untidy_tables(untidy, spark, tmp_path, ids_of):
+    df, rows = untidy
+    labels = [(4, 1), (4, 1), (100, 0), (None, 1), (203, None)]
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    before = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        after = stage(spark, before, str(tmp_path)).persist()
+        assert after.columns == df.columns and {str((r.doc_id, r.text)) for r in after.collect()} <= {str((i, t)) for i, t, _ in rows} and all(r.target == "own" for r in after.take(3))
+        before = after
+    assert corpus_pipeline.STAGES[3][1](spark, before, str(tmp_path)).agg(F.sum("length")).first()[0] == sum(len(ids_of(r.text or "")) + 1 for r in before.collect())
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_of_nothing(none, spark, tmp_path):
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    none.write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_run(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() > 0
