@@ -696,13 +696,14 @@ def test_pipeline_stage_by_stage(spark, sf, ids_of):
 
 def test_pipeline_on_untidy_tables(untidy, spark, tmp_path, ids_of):
     df, rows = untidy
-    labels = [(4, 1), (4, 1), (100, 0), (None, 1), (203, None)]
+    labels = [(4, 1), (4, 1), (None, 1), (203, None)] + [(k, 0) for k in range(100, 140)] + [(k, 0) for k in range(204, 240)]  # few are toxic
     spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     df.write.parquet(str(tmp_path / "documents.parquet"))
     before = spark.read.parquet(str(tmp_path / "documents.parquet"))
     for _, stage in corpus_pipeline.STAGES[:3]:
         after = stage(spark, before, str(tmp_path)).persist()
         assert after.columns == df.columns and {str((r.doc_id, r.text)) for r in after.collect()} <= {str((i, t)) for i, t, _ in rows} and all(r.target == "own" for r in after.take(3))
+        assert after.count() > 20
         before = after
     assert corpus_pipeline.STAGES[3][1](spark, before, str(tmp_path)).agg(F.sum("length")).first()[0] == sum(len(ids_of(r.text or "")) + 1 for r in before.collect())
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
