@@ -13,6 +13,7 @@ from folioframe.operators import tables, tree
 from folioframe.registry import IndexRegistry
 from folioframe.sources import epub
 
+TASKS = "id string, book_id string, stage string, status string, completed long, total long, error string, updated_at double"
 MANIFEST = "book_id string, index_type string, status string, count long, error string, built_at double, created_at double"
 
 
@@ -24,43 +25,85 @@ class Compiled:
     mappings: DataFrame
     manifest: DataFrame
     indexes: dict[str, DataFrame]
+    tasks: DataFrame
 
 
-def _stored(df: DataFrame, root: str, name: str, ids: DataFrame) -> DataFrame:
-    """Replace the books of df in the table `name`, and read it for the books of ids: the result depends on written
-    tables only."""
-    tables.write_groups(df, f"{root}/{name}")
-    return df.sparkSession.read.schema(df.schema).parquet(f"{root}/{name}").join(ids, "book_id", "left_semi").select(*df.columns)
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
+def _log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """All rows that were added to a table, with the batch that added them."""
+    return spark.read.schema(schema + ", batch string").parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema + ", batch string")
+
+
+def read_manifest(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The last row of each book and index."""
+    return tables.latest(_log(spark, f"{data_dir}/manifest", MANIFEST), ["book_id", "index_type"], [F.desc("batch")]).drop("batch")
+
+
+def read_tasks(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The last state of each compile task, one for each batch and stage."""
+    return tables.latest(_log(spark, f"{data_dir}/tasks", TASKS), ["id"], [F.desc("updated_at")]).drop("batch")
+
+
+def read_table(spark: SparkSession, data_dir: str, name: str, schema) -> DataFrame:
+    """A table of all compiled books, each as it was compiled last."""
+    return tables.read_groups(spark, f"{data_dir}/{name}", schema, spark.read.schema("book_id string, batch string").parquet(f"{data_dir}/batches"))
 
 
 def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: list[str] | None = None, registry: IndexRegistry | None = None) -> Compiled:
-    """Compile all EPUB files below a path. Tables are partitioned by book, so compiling a book again replaces it. A
-    tree that breaks a rule is an error; a failed index is in the manifest, and its error is raised."""
+    """Compile all EPUB files below a path. Each call adds a batch to the tables, and read_table takes a book's rows
+    from its last batch, so compiling a book again replaces it. A tree that breaks a rule is an error; a failed index is
+    in the manifest beside those of earlier books, and its error is raised. The tasks table has each stage's state."""
     registry = registry or IndexRegistry.load()
     providers = registry.default_enabled() if index_types is None else registry.for_types(index_types)
     now = time.time()
-    raw, batch = epub.read(spark, path).filter("error = ''").dropDuplicates(["book_id"]), f"{data_dir}/batches/{uuid.uuid4().hex}"
-    raw.select("book_id").write.parquet(batch)
-    ids = spark.read.schema("book_id string").parquet(batch)
-    parsed = _stored(raw, data_dir, "parsed", ids)
+    batch = f"{int(now * 1e6):020d}-{uuid.uuid4().hex}"
+    done = 0
+
+    def note(stage: str, status: str, error: str = "") -> None:
+        row = (f"{batch}/{stage}", None, stage, status, done, 2 + len(providers), error[:500], time.time())
+        spark.createDataFrame([row], TASKS).write.mode("append").parquet(f"{data_dir}/tasks/batch={batch}")
+
+    stored = lambda df, name: tables.write_groups(df, f"{data_dir}/{name}", batch, [c for c in ("token", "book_id") if c in df.columns][:1])
+    note("parse", "running")
+    parsed = stored(epub.read(spark, path).filter("error = ''").dropDuplicates(["book_id"]), "parsed")
+    tables.write_groups(parsed.select("book_id"), f"{data_dir}/batches", batch)
+    done += 1
+    note("parse", "done")
     books = parsed.select(F.col("book_id").alias("id"), "title", "author", "language", "publisher", "isbn", "description", F.lit(now).alias("created_at"))
     content = parsed.select("book_id", "text")
-    nodes = _stored(tree.build_tree(content), data_dir, "nodes", ids)
+    note("tree", "running")
+    nodes = stored(tree.build_tree(content), "nodes")
     if (bad := tree.violations(nodes, content).first()) is not None:
+        note("tree", "failed", bad.problem)
         raise ValueError(f"book {bad.book_id}: {bad.problem} {bad.id}")
-    manifest, built = spark.createDataFrame([], MANIFEST), {}
+    done += 1
+    note("tree", "done")
+    built: dict[str, DataFrame] = {}
+
+    def record(changes: DataFrame) -> None:
+        """Add the rows of the manifest that the changes make."""
+        old = read_manifest(spark, data_dir).join(changes, ["book_id", "index_type"], "left_semi")
+        tables.upsert_manifest(old, changes, now).write.mode("append").parquet(f"{data_dir}/manifest/batch={batch}")
+
     for provider in providers:
         state = lambda status, error="": content.select("book_id", F.lit(provider.name).alias("index_type"), F.lit(status).alias("status"), F.lit(0).cast("long").alias("count"), F.lit(error).alias("error"))  # noqa: B023, E731
+        note(provider.name, "running")
         try:
-            made = {name: _stored(df, data_dir, name, ids) if "book_id" in df.columns else df for name, df in provider.build(nodes, content, **provider.options).items()}
+            made = {name: stored(df, name) if "book_id" in df.columns else df for name, df in provider.build(nodes, content, **provider.options).items()}
             counts = next(iter(made.values())).groupBy("book_id").agg(F.count("*").alias("count"))
-            manifest = tables.upsert_manifest(manifest, state("built").drop("count").join(counts, "book_id", "left").na.fill(0, ["count"]), now)
+            record(state("built").drop("count").join(counts, "book_id", "left").na.fill(0, ["count"]))
             built |= made
         except Exception as e:
-            tables.upsert_manifest(manifest, state("failed", str(e)[:500]), now).write.mode("overwrite").parquet(f"{data_dir}/manifest")
+            record(state("failed", str(e)[:500]))
+            note(provider.name, "failed", str(e))
             raise
-    manifest.write.mode("overwrite").parquet(f"{data_dir}/manifest")
-    return Compiled(books, content, nodes, epub.mappings(parsed), spark.read.schema(MANIFEST).parquet(f"{data_dir}/manifest"), built)
+        done += 1
+        note(provider.name, "done")
+    return Compiled(books, content, nodes, epub.mappings(parsed), read_manifest(spark, data_dir), built, read_tasks(spark, data_dir))
 
 
 def remove_index(manifest: DataFrame, index: DataFrame, book_id, index_type: str) -> tuple[DataFrame, DataFrame]:

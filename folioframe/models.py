@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DIMENSIONS, MOST = 64, 10
+DIMENSIONS = 64
 _WORD = re.compile(r"\w+")
 _NAME = re.compile(r"\b[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*")
 
@@ -33,14 +33,16 @@ def embed(text: Column, size: int = DIMENSIONS) -> Column:
 
 
 def extract(text: Column) -> Column:
-    """Capitalised phrases as entities and neighbours as relations, at most MOST of each; blank names drop out."""
+    """Capitalised phrases as entities and neighbours as relations; blank names drop out."""
     schema = ("entities array<struct<name:string,entity_type:string,tags:array<string>,summary:string>>,"
               "relationships array<struct<source_name:string,target_name:string,relation_type:string,summary:string,claims:array<string>>>")
 
-    @F.udf(f"struct<{schema.replace(' array', ':array')}>")
-    def run(t):
-        names = list(dict.fromkeys(_NAME.findall(t or "")))[:MOST]
-        return ([(n, "Unknown", [], "") for n in names], [(a, b, "near", "", []) for a, b in zip(names, names[1:])][:MOST])
+    @F.pandas_udf(schema)
+    def run(texts: pd.Series) -> pd.DataFrame:
+        names = [list(dict.fromkeys(_NAME.findall(t or ""))) for t in texts]
+        return pd.DataFrame({
+            "entities": pd.Series([[{"name": n, "entity_type": "Unknown", "tags": [], "summary": ""} for n in some] for some in names], dtype=object),
+            "relationships": pd.Series([[{"source_name": a, "target_name": b, "relation_type": "near", "summary": "", "claims": []} for a, b in zip(some, some[1:])] for some in names], dtype=object)})
     return run(text)
 
 

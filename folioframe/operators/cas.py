@@ -3,11 +3,11 @@ blobs(content_hash, content)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalars import normalize_key
-from folioframe.operators.tables import upsert
+from folioframe.operators.tables import numbered, upsert
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -48,17 +48,11 @@ def copy(index: DataFrame, source: str, target: str) -> DataFrame:
 
 
 def list_keys(index: DataFrame, prefix: str = "", page_size: int | None = None) -> DataFrame:
-    """Keys with the prefix in order; with a page size also the page, from 0.
-
-    Pages need every key's rank: ranks are counted within leading characters of the keys and added up over them."""
+    """Keys with the prefix in order; with a page size also the page, from 0."""
     keys = index.filter(F.col("key").startswith(prefix)).select("key")
     if page_size is None:
         return keys.orderBy("key")
-    keys = keys.withColumn("_head", F.substring("key", 1, len(prefix) + 2))
-    heads = keys.groupBy("_head").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(
-        F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    ranked = keys.withColumn("_r", F.row_number().over(Window.partitionBy("_head").orderBy("key"))).join(heads.select("_head", "_before"), "_head")
-    return ranked.select("key", F.floor((F.col("_before") + F.col("_r") - 1) / page_size).alias("page"))
+    return numbered(keys, ["key"], "_rank").select("key", F.expr(f"_rank div {page_size}").alias("page"))
 
 
 def list_dir(index: DataFrame, prefix: str = "") -> DataFrame:

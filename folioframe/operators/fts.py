@@ -1,71 +1,119 @@
-"""Full-text search: an inverted index of folded tokens and a query language of terms, phrases, prefixes and
-AND / OR / NOT.
+"""Full-text search: an inverted index of folded tokens and a query language of terms, phrases, prefixes, first
+tokens, NEAR groups, column filters and AND / OR / NOT.
 
-A query is evaluated in the index: each leaf is a set of document keys, and the operators are joins of such sets.
+A query is evaluated in the index: one pass over the postings of its words, and one row for each document with any.
 """
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Letters with marks and their plain forms, as the tokenizer folds them; fixed values.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+#: Lower-case Latin letters with marks and their plain forms, by canonical decomposition.
+MARKED = "".join(c for c in map(chr, range(0xC0, 0x1F00)) if unicodedata.normalize("NFD", c)[0] in "abcdefghijklmnopqrstuvwxyz")
+PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in MARKED)
+#: Marks that are written after a letter by themselves, as a class of a regular expression.
+MARKS = f"[{chr(0x300)}-{chr(0x36F)}]"
+_FOLDED = str.maketrans(MARKED, PLAIN, "".join(map(chr, range(0x300, 0x370))))
 
 
 def fold(text: Column) -> Column:
-    """Lower case without diacritics."""
-    return F.translate(F.lower(text), MARKED, PLAIN)
+    """Lower case, Latin letters without diacritics; other scripts keep their marks."""
+    return F.translate(F.regexp_replace(F.lower(text), MARKS, ""), MARKED, PLAIN)
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters and digits of the folded text."""
+    """Runs of letters, marks and digits of the folded text."""
     return F.filter(F.split(fold(text), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
 
 
+def query_tokens(text: str) -> list[str]:
+    """The tokens of a text as tokens() finds them."""
+    plain = text.lower().translate(_FOLDED)
+    return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in plain).split()
+
+
 def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(token, key, positions): the inverted index, one row for each token of a document."""
     return docs.select(key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token")).groupBy("token", key).agg(
         F.sort_array(F.collect_list("pos")).alias("positions"))
 
 
+def write_index(index: DataFrame, path: str, key: str) -> None:
+    """Store an index in the order of its tokens, in ranges, so that a query's words lead to few row groups. A frequent
+    word is many ranges, by its documents."""
+    index.repartitionByRange(F.col("token"), F.col(key)).sortWithinPartitions("token", key).write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(path)
+
+
 class QueryError(ValueError):
     """The query is not well formed."""
 
 
-_LEXEME = re.compile(r'\s*(?:"([^"]*)"|(\()|(\))|([^\s()"]+))')
-_CLEAN = re.compile(r"[^\W_]+")
+_LEXEME = re.compile(r'\s*(?:(NEAR)\s*\(|(\^?)"([^"]*)"|(\()|(\))|(,)|(\{[^}]*\}|\w+)\s*:(?=\s*\S)|(\^?)([^\s()",:]+))')
 
 
-def parse(query: str):
-    """A tree of ("term", tokens, is_prefix) leaves under ("and" | "or" | "not", left, right). Words side by side are
-    AND; NOT binds tighter than AND, AND tighter than OR. None for a query without words."""
+def parse(query: str, columns: tuple[str, ...] = ()):
+    """A tree of ("term", tokens, is_prefix, is_first) leaves and ("near", leaves, distance) under ("and" | "or" | "not",
+    left, right). Words side by side are AND; NOT binds tighter than AND, AND tighter than OR; ^ asks for the first
+    token. A name or {names} and a colon before a word, phrase or bracket limit it to columns: where none of
+    them is among `columns` nothing matches. None for a query without words."""
     found, at = [], 0
     while at < len(query.rstrip()):
         m = _LEXEME.match(query, at)
         if not m:
             raise QueryError(f"cannot read the query at {at}")
-        phrase, opens, closes, word = m.groups()
-        if phrase is not None or word and word not in ("AND", "OR", "NOT"):
-            body = phrase if phrase is not None else word
-            prefix = word is not None and word.endswith("*")
-            if m.end() < len(query) and phrase is not None and query[m.end()] == "*":
-                prefix, at = True, m.end() + 1
-            plain = "".join(dict(zip(MARKED, PLAIN)).get(c, c) for c in body.lower())
-            found.append(("term", _CLEAN.findall(plain), prefix))
+        near, first, phrase, opens, closes, comma, only, caret, word = m.groups()
+        at = m.end()
+        if near:
+            leaf, at = _near(query, at)
+            found.append(leaf)
+        elif only:
+            found.append(("only", not {x.lower() for x in re.findall(r"\w+", only)}.isdisjoint(c.lower() for c in columns)))
+        elif phrase is not None or word and word not in ("AND", "OR", "NOT"):
+            found.append(_leaf(phrase, word, first or caret, at < len(query) and query[at] == "*"))
+            at += phrase is not None and found[-1][2]
+        elif comma:
+            raise QueryError("a comma stands in NEAR only")
         else:
             found.append(opens or closes or word)
-        at = max(at, m.end())
     tree, rest = _either(found)
     if rest:
         raise QueryError(f"unexpected {rest[0]}")
     return tree
 
 
+def _leaf(phrase, word, caret, star):
+    body = phrase if phrase is not None else word
+    return "term", query_tokens(body), star if phrase is not None else word.endswith("*"), bool(caret)
+
+
+def _near(query: str, at: int):
+    """The phrases of NEAR(...), which lie with at most 10 tokens between the first and the last one, or as many as a
+    number after a comma says."""
+    leaves, distance = [], 10
+    while m := _LEXEME.match(query, at):
+        _, first, phrase, _, closes, comma, _, caret, word = m.groups()
+        at = m.end()
+        if closes:
+            leaves = [x for x in leaves if x[1]]
+            return (("near", leaves, distance) if len(leaves) > 1 else leaves[0] if leaves else ("term", [], False, False)), at
+        if comma:
+            number = re.compile(r"\s*(\d+)\s*(?=\))").match(query, at)
+            if not number:
+                raise QueryError("a number is missing in NEAR")
+            distance, at = int(number[1]), number.end()
+        elif phrase is not None or word:
+            leaves.append(_leaf(phrase, word, first or caret, at < len(query) and query[at] == "*"))
+            at += phrase is not None and leaves[-1][2]
+        else:
+            break
+    raise QueryError("NEAR is not closed")
+
+
 def _either(items):
     left, items = _both(items)
     while items and items[0] == "OR":
@@ -93,14 +141,17 @@ def _one(items):
         return tree, items[1:]
     if isinstance(items[0], str):
         raise QueryError(f"unexpected {items[0]}")
-    kind, words, prefix = items[0]
-    return ((kind, words, prefix) if words else None), items[1:]
+    if items[0][0] == "only":
+        tree, rest = _one(items[1:])
+        return (tree if items[0][1] or tree is None else ("none",)), rest
+    return (items[0] if items[0][1] else None), items[1:]
 
 
-def search(index: DataFrame, key: str, query: str) -> DataFrame:
+def search(index: DataFrame, key: str, query: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """The keys of the documents that match, each once; none for an empty query. The tokens of the query are filters
-    on the index, which a table sorted by token turns into skipped row groups."""
-    tree = parse(query)
+    on the index, which a table in the order of write_index turns into skipped row groups. columns are the names by
+    which a column filter may call the indexed text."""
+    tree = parse(query, columns)
     if tree is None:
         return index.select(key).limit(0)
     return _match(index, key, tree)
@@ -110,29 +161,49 @@ def _match(index: DataFrame, key: str, tree) -> DataFrame:
     """One pass over the postings of all the query's words, then one row for each document that has any of them."""
     wanted, found = [], []
 
-    def leaf(words: list[str], prefix: bool) -> Column:
+    def places(words: list[str], prefix: bool) -> Column:
+        """Where a phrase begins, in order."""
         tests = [F.col("token") == w for w in words]
         if prefix:
             tests[-1] = F.col("token").startswith(words[-1])
         wanted.extend(tests)
         name = f"_{len(found)}"
-        if len(words) == 1:
-            found.append(F.max(tests[0]).alias(name))
-            return F.coalesce(F.col(name), F.lit(False))
-        #: Word i of a phrase gives the places where the phrase would start.
         found.append(F.struct(*[F.flatten(F.collect_list(F.when(t, _shifted(i)))).alias(f"w{i}") for i, t in enumerate(tests)]).alias(name))
-        places = F.col(f"{name}.w0")
-        for i in range(1, len(words)):
-            places = F.array_intersect(places, F.col(f"{name}.w{i}"))
-        return F.size(places) > 0
+        return reduce(F.array_intersect, [F.col(f"{name}.w{i}") for i in range(len(words))])
+
+    def leaf(words: list[str], prefix: bool, first: bool) -> Column:
+        if first:
+            return F.array_contains(places(words, prefix), 0)
+        if len(words) > 1:
+            return F.size(places(words, prefix)) > 0
+        hit = F.col("token").startswith(words[0]) if prefix else F.col("token") == words[0]
+        wanted.append(hit)
+        name = f"_{len(found)}"
+        found.append(F.max(hit).alias(name))
+        return F.coalesce(F.col(name), F.lit(False))
+
+    def near(leaves, distance: int) -> Column:
+        """Some phrase is the first of a group in which all others begin within the distance of its end."""
+        every = [(places(words, prefix), len(words)) for _, words, prefix, _ in leaves]
+
+        def leads(k: int) -> Column:
+            at, n = every[k]
+            return F.exists(at, lambda x: reduce(Column.__and__, [F.exists(to, lambda y: (y >= x) & (y <= x + n + distance)) for j, (to, _) in enumerate(every) if j != k]))
+        return reduce(Column.__or__, [leads(k) for k in range(len(every))])
 
     def test(node) -> Column:
+        if node[0] == "none":
+            return F.lit(False)
         if node[0] == "term":
-            return leaf(node[1], node[2])
+            return leaf(*node[1:])
+        if node[0] == "near":
+            return near(*node[1:])
         left, right = test(node[1]), test(node[2])
         return left | right if node[0] == "or" else left & right if node[0] == "and" else left & ~right
 
     holds = test(tree)
+    if not wanted:
+        return index.select(key).limit(0)
     return index.filter(reduce(Column.__or__, wanted)).groupBy(key).agg(*found).filter(holds).select(key)
 
 
@@ -144,7 +215,7 @@ def search_chunks(index: DataFrame, chunks: DataFrame, query: str, limit: int, b
     """The first `limit` matching chunks by key. The book filter comes before the limit."""
     if books is not None:
         chunks = chunks.filter(F.col(book).isin(books))
-    return chunks.join(search(index, key, query), key, "left_semi").orderBy(key).limit(limit)
+    return chunks.join(search(index, key, query, ("chunk_text", "text")), key, "left_semi").orderBy(key).limit(limit)
 
 
 def search_keys(files: DataFrame, query: str, key: str = "key", indexed: bool = True) -> DataFrame:
@@ -152,7 +223,7 @@ def search_keys(files: DataFrame, query: str, key: str = "key", indexed: bool =
     if indexed:
         try:
             names = files.select(F.col(key).alias("_key"), key)
-            return files.join(search(postings(names, "_key", key), "_key", query), F.col(key) == F.col("_key"), "left_semi")
+            return files.join(search(postings(names, "_key", key), "_key", query, (key,)), F.col(key) == F.col("_key"), "left_semi")
         except QueryError:
             pass
     return files.filter(F.lower(F.col(key)).contains(query.lower()))

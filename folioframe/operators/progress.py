@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalars import LEVELS, eta, lookup
+from folioframe.operators.tables import numbered
 
 
 def rollup(tasks: DataFrame, now: float, most_levels: int = 64) -> DataFrame:
@@ -57,7 +58,9 @@ def bound_logs(records: DataFrame, at_least: str = "INFO", **bound: str) -> Data
 
 def batched(rows: DataFrame, order: str, size: int, by: str | None = None) -> DataFrame:
     """rows with the number of their batch of `size` in order, within each group."""
-    w = Window.partitionBy(by).orderBy(order) if by else Window.orderBy(order)
+    if by is None:
+        return numbered(rows, [order], "_rank").withColumn("batch", F.expr(f"_rank div {size}").cast("int")).drop("_rank")
+    w = Window.partitionBy(by).orderBy(order)
     return rows.withColumn("batch", F.floor((F.row_number().over(w) - 1) / size).cast("int"))
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from folioframe.sources.files import shared_dir
 
 
 def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -45,9 +49,37 @@ def replace_group(table: DataFrame, rows: DataFrame, group: str = "book_id") ->
     return table.join(rows.select(group).distinct(), group, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
-def write_groups(rows: DataFrame, path: str, group: str = "book_id") -> None:
-    """Write a table in one folder for each group, replacing only the folders that rows has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(group).parquet(path)
+def write_groups(rows: DataFrame, path: str, batch: str, order: list[str] | None = None) -> DataFrame:
+    """Add rows to a table as one batch, in ranges of `order`, and read the batch. Batches replace the groups they have
+    when the table is read; many groups share a file, and no other batch is read or written anew."""
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    placed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={batch}")
+
+
+def read_groups(spark: SparkSession, path: str, schema, batches: DataFrame, group: str = "book_id") -> DataFrame:
+    """The rows of each group's last batch, for batches(group, batch) of all that was written: a group that was written
+    again without rows has none."""
+    last = batches.groupBy(group).agg(F.max("batch").alias("batch"))
+    kind = StructType([*(StructType.fromDDL(schema) if isinstance(schema, str) else schema).fields, StructField("batch", StringType())])
+    return spark.read.schema(kind).parquet(path).join(last, [group, "batch"], "left_semi").drop("batch")
+
+
+def numbered(rows: DataFrame, order: list, name: str, parts: int | None = None) -> DataFrame:
+    """rows with their number from 0 in the order of the whole table. They are dealt by ranges and written, a row's number
+    is its place in its range and the rows of the ranges before: no task sorts more than a range."""
+    spark = rows.sparkSession
+    dealt = rows.repartitionByRange(parts or int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).withColumn("_place", F.monotonically_increasing_id())
+    path = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    dealt.write.parquet(path)
+    dealt = spark.read.schema(dealt.schema).parquet(path)
+    ends = dealt.groupBy(F.shiftright("_place", 33).alias("part")).agg(F.count("*").alias("n")).sort("part").collect()  # one row for each range
+    before, run = {}, 0
+    for part, n in ends:
+        before[part] = run
+        run += n
+    first = F.get(F.array(*[F.lit(before.get(k, 0)).cast("long") for k in range(max(before, default=0) + 1)]), F.shiftright("_place", 33).cast("int"))
+    return dealt.withColumn(name, first + F.col("_place").bitwiseAND((1 << 33) - 1)).drop("_place")
 
 
 def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
@@ -117,5 +149,19 @@ def create_table(spark: SparkSession, name: str, schema: str) -> None:
     spark.sql(f"create table if not exists {name} ({schema}) using parquet")
 
 
+def vacuum(spark: SparkSession, name: str) -> None:
+    """Write a table anew in few files, by way of a copy."""
+    rows = spark.table(name)
+    spark.sql(f"drop table if exists {name}_compact")
+    rows.repartition(max(1, rows.rdd.getNumPartitions() // 8)).write.saveAsTable(f"{name}_compact")
+    spark.sql(f"drop table {name}")
+    spark.sql(f"alter table {name}_compact rename to {name}")
+
+
+def ping(spark: SparkSession) -> bool:
+    """Whether the session answers."""
+    return spark.sql("select 1").first()[0] == 1
+
+
 def drop_table(spark: SparkSession, name: str) -> None:
     spark.sql(f"drop table if exists {name}")

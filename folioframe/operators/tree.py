@@ -7,7 +7,9 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -120,11 +122,19 @@ def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
 
 
 def roots(nodes: DataFrame) -> DataFrame:
-    """The root of each book that has exactly one."""
+    """The root of each book that has exactly one; the others are what violations() names "no root" or "many roots"."""
     one = Window.partitionBy("book_id")
     return nodes.filter("parent_id = ''").withColumn("_n", F.count("*").over(one)).filter("_n = 1").drop("_n")
 
 
+def root(nodes: DataFrame, book_id) -> DataFrame:
+    """A book's root; none or several are an error."""
+    found = nodes.filter((F.col("book_id") == book_id) & (F.col("parent_id") == ""))
+    if (n := found.limit(2).count()) != 1:
+        raise ValueError(f"book {book_id} has {'no root' if not n else 'many roots'}")
+    return found
+
+
 def children(nodes: DataFrame, node_id: str) -> DataFrame:
     """In order; an unknown node is an error."""
     if node_by_id(nodes, node_id).isEmpty():
@@ -158,14 +168,39 @@ def own_text(nodes: DataFrame, content: DataFrame) -> DataFrame:
 
 
 def subtree_text(nodes: DataFrame, content: DataFrame) -> DataFrame:
-    """(id, text): every node's own text and that of all below it, in pre-order. A node's text is sent once to each
-    ancestor, which its path names."""
-    bodies = own_text(with_paths(nodes), content)
-    steps = F.split("path", r"\.")
-    up = bodies.select("book_id", "path", "body", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, F.lit(1), k), "."))).alias("above"))
-    joined = up.groupBy("book_id", "above").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("path", "body"))), lambda x: x["body"]), "").alias("text"))
-    return bodies.select("book_id", "id", F.col("path").alias("above")).join(joined, ["book_id", "above"]).select("id", "text")
+    """(id, text): every node's own text and that of all below it, in pre-order; a range outside the text is an error.
+
+    A book's text meets the ranges of its nodes once. Their own texts in pre-order are one string, of which each
+    subtree is a slice: nothing is sent to ancestors."""
+    places = with_paths(nodes).groupBy("book_id").agg(F.sort_array(F.collect_list(F.struct("path", "id", F.col("content_offset").cast("long").alias("content_offset"), F.col("content_length").cast("long").alias("content_length")))).alias("nodes"))
+    kind = dict(nodes.dtypes)["id"]
+
+    def slices(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                text, rows = batch.column(0)[k].as_py(), batch.column(1)[k].as_py()
+                if (bad := next((r for r in rows if not 0 <= r["content_offset"] <= r["content_offset"] + max(r["content_length"], -1) <= len(text) or r["content_length"] < 0), None)) is not None:
+                    raise ValueError(f"range outside the text: {bad['id']}")
+                ends = list(accumulate((r["content_length"] for r in rows), initial=0))
+                whole = "".join(text[r["content_offset"]:r["content_offset"] + r["content_length"]] for r in rows)
+                stop, inside = [len(rows)] * len(rows), []
+                for i, r in enumerate(rows):
+                    while inside and not r["path"].startswith(rows[inside[-1]]["path"] + "."):
+                        stop[inside.pop()] = i
+                    inside.append(i)
+                yield from parted([r["id"] for r in rows], [(ends[i], ends[stop[i]]) for i in range(len(rows))], whole)
+
+    def parted(ids, spans, whole):
+        at = 0
+        while at < len(ids):  # about 16 million characters at a time
+            to, size = at, 0
+            while to < len(ids) and (to == at or size < 1 << 24):
+                size += spans[to][1] - spans[to][0]
+                to += 1
+            yield pa.RecordBatch.from_arrays([pa.array(ids[at:to]), pa.array([whole[a:b] for a, b in spans[at:to]], pa.string())], names=["id", "text"])
+            at = to
+
+    return content.select("book_id", F.coalesce("text", F.lit("")).alias("text")).join(places, "book_id").select("text", "nodes").mapInArrow(slices, f"id {kind}, text string")
 
 
 def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:

@@ -35,19 +35,29 @@ def check_allowed(log: DataFrame, mode: str, limits: dict[str, int], estimate: i
     return True, ""
 
 
-def rolling(log: DataFrame, window: str, by: list[str]) -> DataFrame:
-    """log with the requests and tokens of the window that ends at each row, rows of the same time included."""
+def rolling(log: DataFrame, window: str, by: list[str], bucket: float = 60.0) -> DataFrame:
+    """log with the requests and tokens of the window that ends at each row, rows of the same time included.
+
+    What a window holds is what had come up to its row, less what had come before its start: each row is put at both
+    times, and one running sum serves both. The sum runs within buckets of time, onto the totals of those before, which
+    are one row for each bucket: a key with a long history is many tasks."""
     seconds = WINDOWS[window]
-    #: What a window holds is what had come up to its row, less what had come before its start: each row is put at
-    #: both times, and one running sum serves both, however many rows a window has.
     row = log.withColumn("_used", used_tokens()).withColumn("_id", F.monotonically_increasing_id()).withColumn("_row", F.struct(*log.columns))
     ends = row.select(*by, "_id", "_row", "_used", F.explode(F.array(
         F.struct(F.col("ts").alias("at"), F.lit(1).alias("own")), F.struct((F.col("ts") - seconds).alias("at"), F.lit(0).alias("own")))).alias("_e"))
-    frame = Window.partitionBy(*by).orderBy("_e.at", "_e.own").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ends = ends.withColumn("_bucket", F.floor(F.col("_e.at") / bucket))
     own = F.col("_e.own")
-    run = ends.withColumn("_n", F.sum(own.cast("long")).over(frame)).withColumn("_t", F.sum(own * F.col("_used")).over(frame))
+    counted, used = own.cast("long"), own * F.col("_used")
+    totals = ends.groupBy(*by, "_bucket").agg(F.sum(counted).alias("_n"), F.sum(used).alias("_t"))
+    earlier = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = totals.select(*[F.col(c).alias(f"_by_{c}") for c in by], F.col("_bucket").alias("_of"), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_n0"), F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_t0"))
+    frame = Window.partitionBy(*by, "_bucket").orderBy("_e.at", "_e.own").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    run = ends.withColumn("_n", F.sum(counted).over(frame)).withColumn("_t", F.sum(used).over(frame))
+    same = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    run = run.join(before, [*same, F.col("_bucket").eqNullSafe(F.col("_of"))])
     sign = F.when(own == 1, 1).otherwise(-1)
-    both = run.groupBy("_id").agg(F.first(F.when(own == 1, F.col("_row")), ignorenulls=True).alias("_row"), F.sum(sign * F.col("_n")).alias("requests"), F.sum(sign * F.coalesce("_t", F.lit(0))).alias("tokens"))
+    both = run.groupBy("_id").agg(F.first(F.when(own == 1, F.col("_row")), ignorenulls=True).alias("_row"), F.sum(sign * (F.col("_n0") + F.col("_n"))).alias("requests"),
+                                  F.sum(sign * (F.col("_t0") + F.coalesce("_t", F.lit(0)))).alias("tokens"))
     return both.select("_row.*", "requests", "tokens")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from folioframe.functions import base64s, scalars, urls, versions
 from folioframe.plans import model
-from folioframe.sources.files import table
+from folioframe.sources.files import shared_dir, table
 from folioframe.streaming import streams
 
 
@@ -144,7 +144,7 @@ def mime_extensions(spark, d):
 
 
 def stable_ids(spark, d):
-    return table(spark, d, "customer").select("c_custkey", F.length(scalars.gen_id(F.col("c_custkey"), F.col("c_name"), prefix="id_")).alias("n"))
+    return table(spark, d, "customer").select("c_custkey", scalars.gen_id(F.col("c_custkey"), F.col("c_name"), prefix="id_").alias("id"))
 
 
 def stream_usage(spark, d):
@@ -153,8 +153,8 @@ def stream_usage(spark, d):
     schema = table(spark, d, "events").schema
     events = streams.read(spark, f"{d}/events.parquet" if _is_dir(spark, f"{d}/events.parquet") else f"{d}/event[s].parquet", schema)
     log = events.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("mode"), F.floor("value").cast("long").alias("estimated"), F.lit(None).cast("long").alias("actual_in"), F.lit(None).cast("long").alias("actual_out"))
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "/tmp/folioframe-streams"
-    out = streams.drain(streams.windowed_usage(log), name, "complete", f"{base}/{name}")
+    base = f"{shared_dir(spark)}/{name}"
+    out = streams.drain(streams.windowed_usage(log), f"{base}/rows", "complete", f"{base}/progress")
     return out.select("mode", "requests", "tokens")
 
 
@@ -193,6 +193,6 @@ ORACLES = {
     "log_lines": "select event_id, strftime(ts, '%Y-%m-%d %H:%M:%S.%g') || ' INFO     app ' || event_type || ' user=' || user_id line from events",
     "evaluate_math": "select o_orderkey, ((o_orderkey + 3) * 2 // 5 - 1)::double as value from orders",
     "mime_extensions": "select c_custkey, ['.pdf', '.png', ''][c_custkey % 3 + 1] ext from customer",
-    "stable_ids": "select c_custkey, 35 n from customer",
+    "stable_ids": "select c_custkey, 'id_' || left(sha256(c_custkey || chr(31) || c_name), 32) id from customer",
     "stream_usage": "select event_type as mode, count(*) requests, sum(floor(value))::bigint tokens from events, (select unnest(generate_series(0, 4)) k) group by event_type, time_bucket(interval '1 hour', ts) - k * interval '1 hour'",
 }

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioframe.operators import fts, text
 from folioframe.plans import model
 from folioframe.sources import markup, pdf
-from folioframe.sources.files import table
+from folioframe.sources.files import shared_dir, table
 
 
 def chunk_documents(spark, d):
@@ -99,11 +101,23 @@ def neighbour_chars(spark, d):
     return model.docs(spark, d).select("doc_id", text.neighbour(t, mid, mid, "prev").alias("before"), text.neighbour(t, mid, mid, "next").alias("after"))
 
 
-_TOKENS = f"""t as (select doc_id, list_filter(regexp_split_to_array(translate(lower(text), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') ts from documents)"""
+_TOKENS = f"""t as (select doc_id, list_filter(regexp_split_to_array(translate(regexp_replace(lower(text), '{fts.MARKS}', '', 'g'), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') ts from documents)"""
+
+
+def _search(query, columns=()):
+    return lambda spark, d: fts.search(fts.postings(model.docs(spark, d), "doc_id", "text"), "doc_id", query, columns)
+
+
+def fts_index(spark, d):
+    """The documents and places of each token."""
+    return fts.postings(model.docs(spark, d), "doc_id", "text").groupBy("token").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("places"))
 
 
-def _search(query):
-    return lambda spark, d: fts.search(fts.postings(model.docs(spark, d), "doc_id", "text"), "doc_id", query)
+def fts_stored(spark, d):
+    """A search of an index that is written first."""
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    fts.write_index(fts.postings(model.docs(spark, d), "doc_id", "text"), path, "doc_id")
+    return fts.search(spark.read.parquet(path), "doc_id", "with that from")
 
 
 def flagship(spark, d):
@@ -149,7 +163,8 @@ QUERIES = {
     "chunk_documents": chunk_documents, "graph_chunks": graph_chunks, "builder_chunks": builder_chunks, "summary_pack": summary_pack,
     "metadata_fragments": metadata_fragments, "tagify": tagify, "token_estimate": token_estimate, "neighbour_chars": neighbour_chars, "fts_chunks": flagship,
     "fts_and": _search("with that from"), "fts_or_not": _search("(idiot OR moron) NOT clown"), "fts_phrase": _search('"of the"'), "fts_prefix": _search("worth*"),
-    "citations": citations, "html_to_markdown": html_to_markdown, "element_mappings": element_mappings, "page_batches": page_batches,
+    "fts_near": _search("NEAR(the house, 3)"), "fts_first": _search("^the OR ^la OR ^der"), "fts_column": _search("text : (with that) NOT title : with", ("text",)),
+    "fts_index": fts_index, "fts_stored": fts_stored, "citations": citations, "html_to_markdown": html_to_markdown, "element_mappings": element_mappings, "page_batches": page_batches,
     "layout_spans": layout_spans, "locate_spans": locate_spans,
 }
 
@@ -161,11 +176,17 @@ ORACLES = {
     "neighbour_chars": "select doc_id, substr(text, greatest(0, length(text) // 2 - 50) + 1, length(text) // 2 - greatest(0, length(text) // 2 - 50)) as before, substr(text, length(text) // 2 + 1, 50) as after from documents",
     "fts_chunks": f"""with c as ({_budget_sql(500, "greatest(1, cut - 200)")}),
       t as (select *, lpad(doc_id::varchar, 12, '0') || '/' || lpad(chunk_index::varchar, 6, '0') chunk_id,
-        list_filter(regexp_split_to_array(translate(lower(chunk_text), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') ts from c)
+        list_filter(regexp_split_to_array(translate(regexp_replace(lower(chunk_text), '{fts.MARKS}', '', 'g'), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{L}}\\p{{N}}\\p{{M}}]+'), lambda x: x <> '') ts from c)
       select chunk_id, doc_id, chunk_index, content_offset, content_length from t where list_contains(ts, 'with') and list_contains(ts, 'that') order by chunk_id limit 100""",
     "fts_and": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and list_contains(ts, 'from')",
     "fts_or_not": f"with {_TOKENS} {_HAS} (list_contains(ts, 'idiot') or list_contains(ts, 'moron')) and not list_contains(ts, 'clown')",
     "fts_phrase": f"with {_TOKENS} {_HAS} contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ')",
+    "fts_near": f"""with {_TOKENS}, p as (select doc_id, unnest(ts) w, generate_subscripts(ts, 1) i from t where list_contains(ts, 'the') and list_contains(ts, 'house'))
+      select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and a.w = 'the' and b.w = 'house' and abs(a.i - b.i) <= 4""",
+    "fts_first": f"with {_TOKENS} {_HAS} ts[1] in ('the', 'la', 'der')",
+    "fts_column": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that')",
+    "fts_stored": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and list_contains(ts, 'from')",
+    "fts_index": f"with {_TOKENS}, p as (select doc_id, unnest(ts) token from t) select token, count(distinct doc_id) documents, count(*) places from p group by token",
     "fts_prefix": f"with {_TOKENS} {_HAS} len(list_filter(ts, lambda x: starts_with(x, 'worth'))) > 0",
     "citations": "select doc_id, 'c' || doc_id || ',e' || (doc_id % 7) cited from documents",
     "page_batches": """select page_id, b::integer batch, (b * 190)::integer as first, least(b * 190 + 190, page_id * 37 % 700) stop

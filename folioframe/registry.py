@@ -98,7 +98,7 @@ def ontology_tools(lib: Library) -> Toolset:
     return _named({
         "list_books": ("All books with their built indexes.", lambda: tables.books_with_indexes(lib.books, lib.manifest)),
         "get_book": ("One book.", lambda book_id: lib.books.filter(F.col("id") == book_id)),
-        "get_root_node": ("A book's root.", lambda book_id: tree.roots(lib.nodes).filter(F.col("book_id") == book_id)),
+        "get_root_node": ("A book's root.", lambda book_id: tree.root(lib.nodes, book_id)),
         "get_children": ("A node's children in order.", lambda node_id: tree.children(lib.nodes, node_id)),
         "get_parent": ("A node's parent.", lambda node_id: tree.parents(lib.nodes).filter(F.col("id") == node_id)),
         "get_descendants": ("All nodes below one, in pre-order.", lambda node_id: tree.descendants(lib.nodes, node_id)),
@@ -148,8 +148,8 @@ def compiler_tools(lib: Library, spark, data_dir: str) -> Toolset:
 
     return _named({
         "compile": ("Read EPUB files, build their trees and indexes.", lambda path, index_types=None: compiler.compile_epubs(spark, path, data_dir, index_types).nodes),
-        "list_tasks": ("Compile tasks and their progress.", lambda: lib.tasks),
-        "get_task": ("One task.", lambda task_id: lib.tasks.filter(F.col("id") == task_id)),
+        "list_tasks": ("Compile tasks and their progress.", lambda: compiler.read_tasks(spark, data_dir)),
+        "get_task": ("One task.", lambda task_id: compiler.read_tasks(spark, data_dir).filter(F.col("id") == task_id)),
         "lookup_source": ("Where a text offset comes from.", lambda book_id, offset: lookup.lookup_one(lib.mappings, book_id, int(offset))),
     })
 

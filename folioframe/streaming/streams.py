@@ -23,11 +23,15 @@ def for_each_batch(df: DataFrame, action: Callable[[DataFrame, int], None], chec
     return df.writeStream.foreachBatch(action).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def drain(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """What a stream of the files that are there now produces, as a table in memory."""
-    query = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def drain(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """What a stream of the files that are there now produces, as the table at `path`, a folder that all executors see.
+    Each batch is a folder of its own, written anew if it is repeated; of a complete result the last one counts."""
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={0 if mode == 'complete' else number}")
+
+    query = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/batch=*")
 
 
 def windowed_usage(log: DataFrame, window: str = "5 hours", slide: str = "1 hour", late: str = "1 hour", by: str = "mode") -> DataFrame:

@@ -189,5 +189,5 @@ def test_rolling_stream(spark, tmp_path):
     rows = [(1, 0.0, "m", 60), (2, 10.0, "m", 60), (3, 200.0, "m", 60)]
     spark.createDataFrame(rows, "id long, ts double, mode string, tokens long").write.parquet(str(tmp_path / "in"))
     log = streams.read(spark, str(tmp_path / "in"), "id long, ts double, mode string, tokens long")
-    out = streams.drain(streams.rolling_limit(log, 100, 100), "limits", "append", str(tmp_path / "cp"))
+    out = streams.drain(streams.rolling_limit(log, 100, 100), str(tmp_path / "limits"), "append", str(tmp_path / "cp"))
     assert [(r.id, r.allowed) for r in out.orderBy("id").collect()] == [(1, True), (2, False), (3, True)]

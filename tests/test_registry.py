@@ -19,6 +19,47 @@ def compiled(spark, tmp_path_factory):
     return compiler.compile_epubs(spark, str(root), str(tmp_path_factory.mktemp("data")), ["chunk", "graph", "summary"])
 
 
+def epub(title, text):
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        z.writestr("META-INF/container.xml", '<container><rootfiles><rootfile full-path="p.opf"/></rootfiles></container>')
+        z.writestr("p.opf", f'<package xmlns:dc="http://purl.org/dc/elements/1.1/"><metadata><dc:title>{title}</dc:title></metadata><manifest><item id="a" href="a.xhtml"/></manifest><spine><itemref idref="a"/></spine></package>')
+        z.writestr("a.xhtml", f"<html><body><h1>{title}</h1><p>{text}</p></body></html>")
+    return data.getvalue()
+
+
+def test_compiling_again_keeps_and_replaces(spark, tmp_path):
+    for name, text in (("one", "first words"), ("two", "other words")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / f"{name}.epub").write_bytes(epub(name, text))
+    data = str(tmp_path / "data")
+    one = compiler.compile_epubs(spark, str(tmp_path / "one"), data, ["chunk"])
+    two = compiler.compile_epubs(spark, str(tmp_path / "two"), data, ["chunk"])
+    again = compiler.compile_epubs(spark, str(tmp_path / "one"), data, ["chunk"])
+    assert two.manifest.count() == 2 and again.manifest.count() == 2 and {r.status for r in again.manifest.collect()} == {"built"}
+    nodes = compiler.read_table(spark, data, "nodes", again.nodes.schema)
+    assert sorted(r.id for r in nodes.collect()) == sorted([r.id for r in one.nodes.collect()] + [r.id for r in two.nodes.collect()])
+    assert {r.stage: r.status for r in again.tasks.collect()} == {"parse": "done", "tree": "done", "chunk": "done"} and again.tasks.count() == 9
+
+    def fails(*_, **__):
+        raise RuntimeError("no luck")
+    broken = registry.IndexRegistry([registry.IndexProvider("chunk", "C", fails)])
+    with pytest.raises(RuntimeError):
+        compiler.compile_epubs(spark, str(tmp_path / "two"), data, ["chunk"], broken)
+    assert sorted(r.status for r in compiler.read_manifest(spark, data).collect()) == ["built", "failed"]
+    assert compiler.read_tasks(spark, data).filter("status = 'failed'").first().error == "no luck"
+
+
+def test_a_book_has_one_root(compiled):
+    from folioframe.operators import tree
+
+    book = compiled.books.first().id
+    assert tree.root(compiled.nodes, book).first().id == f"{book}/0"
+    for nodes in (compiled.nodes.filter("parent_id <> ''"), compiled.nodes.unionByName(compiled.nodes)):
+        with pytest.raises(ValueError):
+            tree.root(nodes, book)
+
+
 def library(c):
     vectors = c.indexes["chunk_vectors"].unionByName(c.indexes["graph_vectors"])
     return registry.Library(c.books, c.nodes, c.content, c.indexes["chunks"], c.indexes["postings"], vectors, c.indexes["entities"], c.indexes["edges"], c.indexes["summaries"], c.mappings, c.manifest)

@@ -89,3 +89,15 @@ def test_book_filter_comes_before_the_limit(spark):
     chunks = spark.createDataFrame([(i, i % 2, "cat") for i in range(10)], "chunk_id long, book_id long, t string")
     got = fts.search_chunks(fts.postings(chunks, "chunk_id", "t"), chunks, "cat", 3, [1]).collect()
     assert [r.chunk_id for r in got] == [1, 3, 5]
+
+
+def test_search_of_many_scripts(spark):
+    rows = [(1, "हिन्दी में"), (2, "Dvořák played"), (3, "şehir ve köy"), (4, "Cafe\u0301 noir"), (5, "one two three four five"), (6, "five one"), (7, "Ελλάδα μας")]
+    index = fts.postings(spark.createDataFrame(rows, "k int, t string"), "k", "t")
+    hits = lambda q: sorted(r.k for r in fts.search(index, "k", q, ("t",)).collect())
+    assert [hits(q) for q in ("हिन्दी", "dvorak", "SEHIR", "café", "koy", "ελλάδα")] == [[1], [2], [3], [4], [3], [7]]
+    assert hits("NEAR(one four, 2)") == [5] and hits("NEAR(one four, 1)") == [] and hits('NEAR("two three" five one)') == [5] and hits("NEAR(five one)") == [5, 6]
+    assert hits("^five") == [6] and hits('^"one two"') == [5] and hits("t : one") == [5, 6] and hits("x : one") == [] and hits("{x t} : (one NOT two)") == [6]
+    for bad in ("NEAR(one", "NEAR(one two, x)", "one, two"):
+        with pytest.raises(fts.QueryError):
+            fts.parse(bad)
