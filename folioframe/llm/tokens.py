@@ -18,7 +18,7 @@ SEAM = re.compile(r"(?<![\s\u180e\u200b\ufeff]) (?![\s\u180e\u200b\ufeff])")
 #: White space, or what could count as such, beyond ASCII.
 WIDE = re.compile("[\x85\xa0\u1680\u180e\u2000-\u200b\u2028\u2029\u202f\u205f\u3000\ufeff]")
 #: Chunks of text that a worker remembers, and characters of text handled at once; both bound memory, not results.
-REMEMBERED, RECENT, AT_ONCE = 1_500_000, 100_000, 1 << 19
+REMEMBERED, RECENT, AT_ONCE = 600_000, 100_000, 1 << 18
 #: Bytes of the longest chunk that is remembered.
 LONGEST = 64
 #: Rows of an Arrow batch that become Python objects together.
