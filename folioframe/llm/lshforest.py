@@ -21,9 +21,9 @@ from folioframe.llm.common import Scratch, fresh, grouped_words, long_rows, mix6
 SHINGLE, THRESHOLD = 5, 0.8
 #: Trees, hashes of a label, and the probability with which two texts that are linked must meet.
 TREES, LONGEST, RECALL = 16, 8, 0.9995
-#: Nodes up to this size give pairs; the rows of larger ones meet in blocks inside tasks, of BLOCK rows, up to four times
+#: Nodes up to this size give pairs; the rows of larger ones meet in blocks inside tasks, of BLOCK rows, up to eight times
 #: as many where there are many blocks, and of about SHINGLES shingles at most.
-PAIRED, BLOCK, SHINGLES = 24, 512, 1 << 22
+PAIRED, BLOCK, SHINGLES = 24, 256, 1 << 22
 #: Candidate ids that may be broadcast.
 BROADCAST_IDS = 1 << 20
 #: Sets of fewer shingles have a prefix of their own.
@@ -250,7 +250,7 @@ def blocked(met: DataFrame, threshold: float, paired: int, block: int) -> DataFr
     step = math.log(1 / threshold) + 1e-6 if threshold < 1 else 1e-6
     rows = met.filter(F.col("size") > paired).select("key", "t", "c", F.floor(F.log(F.col("n").cast("double")) / step).cast("int").alias("band"))
     wide = F.greatest(F.lit(8), F.floor(F.lit(float(SHINGLES)) / F.exp((F.max("band") + 1) * step)))
-    most = F.least(F.greatest(F.lit(block), F.floor(F.count("*") / 16)), F.lit(4 * block), wide)  # a 16th of a node at most, but for small ones
+    most = F.least(F.greatest(F.lit(block), F.floor(F.count("*") / 16)), F.lit(8 * block), wide)  # a 16th of a node, within bounds
     bands = rows.groupBy("key", "t", "band").agg(F.ceil(F.count("*") / most).cast("int").alias("n"))
     node = bands.groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct(F.struct("t", "band"), "n"))).alias("blocks"))  # a few for each length
     rows = met_by(rows, node, "key")
