@@ -149,20 +149,22 @@ class Search:
         reach = qc @ dc.T + qr[:, None] * dn + dr * qn[:, None] + qr[:, None] * dr
         reach += SLACK * (1 + (qn + qr)[:, None] * (dn + dr))
         starts, stops = (np.array([getattr(d, x) for d in ds]) for x in ("start", "stop"))
-        for a, q in enumerate(qs):
-            good = np.flatnonzero(reach[a] >= self.least(q))
-            good = good[np.argsort(-reach[a][good], kind="stable")]
-            self.skipped += len(ds) - len(good)
-            alone = good[single[good]]
+        near = reach >= np.array([self.least(q) for q in qs])[:, None]
+        self.skipped += near.size - int(near.sum())
+        for a in np.flatnonzero((near & single).any(1)):
+            alone = np.flatnonzero(near[a] & single)
+            alone = alone[np.argsort(-reach[a][alone], kind="stable")]
             for k in range(0, len(alone), 256):  # the best first, as they raise the limit for the rest
                 some = alone[k:k + 256]
-                some = some[reach[a][some] >= self.least(q)]
+                some = some[reach[a][some] >= self.least(qs[a])]
                 if len(some):
-                    self.base(q, np.concatenate([np.arange(x, y) for x, y in zip(starts[some], stops[some])]))
-            for j in good[~single[good]]:
-                if reach[a][j] >= self.least(q):
-                    d = ds[j]
-                    self.visit(q.children or [q], q.stack or _stack([q]), d.children, d.stack)
+                    self.base(qs[a], np.concatenate([np.arange(x, y) for x, y in zip(starts[some], stops[some])]))
+        inner = np.flatnonzero(~single & near.any(0))
+        for j in inner[np.argsort(-reach[:, inner].max(0), kind="stable")]:  # all queries that still can gain go down together
+            left = [q for a, q in enumerate(qs) if near[a, j] and reach[a, j] >= self.least(q)]
+            below = [c for q in left for c in (q.children or [q])]
+            if below:
+                self.visit(below, left[0].stack if len(left) == 1 and left[0].children else _stack(below), ds[j].children, ds[j].stack)
 
     def found(self):
         for row, (scores, ids) in zip(self.row, self.best):
