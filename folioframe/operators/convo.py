@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.functions.scalars import gen_id
+from folioframe.operators.tables import merge_maps, upsert
 from folioframe.operators.text import estimate_tokens
 
 #: Defaults of the message store.
@@ -113,8 +115,46 @@ def latest_session(table: DataFrame) -> DataFrame:
     return latest(table, ["conversation_id", "book_id"], [F.desc("updated_at"), F.desc("session_id")])
 
 
-def checkpoints(table: DataFrame, session_id: str) -> DataFrame:
-    return table.filter(F.col("session_id") == session_id).orderBy(F.desc("created_at"))
+def after_turns(table: DataFrame, turns: DataFrame) -> DataFrame:
+    """Reading sessions(session_id, turn_count, updated_at, last_user_input, last_agent_response, extra, ...) after
+    turns(session_id, turn, at, user_input, response_text, extra): the count goes up by the turns, the inputs and times
+    are those of the last one, and each key of extra has its last value. Turns of unknown sessions change nothing."""
+    last = turns.groupBy("session_id").agg(F.count("*").alias("_turns"), F.max_by(F.struct("at", "user_input", "response_text"), "turn").alias("_last"))
+    extras = turns.select("session_id", "turn", F.explode("extra")).groupBy("session_id", "key").agg(F.max_by("value", "turn").alias("value")).groupBy("session_id").agg(
+        F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("_extra"))
+    met = F.col("_turns").isNotNull()
+    new = {"turn_count": F.col("turn_count") + F.coalesce("_turns", F.lit(0)), "extra": F.when(F.col("_extra").isNull(), F.col("extra")).otherwise(merge_maps(F.col("extra"), F.col("_extra")))}
+    new |= {name: F.when(met, F.col(f"_last.{of}")).otherwise(F.col(name)) for name, of in (("updated_at", "at"), ("last_user_input", "user_input"), ("last_agent_response", "response_text"))}
+    return table.join(last, "session_id", "left").join(extras, "session_id", "left").withColumns(new).select(*table.columns)
+
+
+def run_rows(runs: DataFrame, now: float) -> DataFrame:
+    """Rows of the run log, to be appended: runs(session_id, turn, tool_calls, usage, extra, ...) with an id of their
+    own and the last three as JSON, empty where they are null."""
+    empty = {"tool_calls": "[]", "usage": "{}", "extra": "{}"}
+    return runs.select(gen_id(F.col("session_id"), F.col("turn"), prefix="run_").alias("run_id"), *[c for c in runs.columns if c not in empty],
+                       *[F.coalesce(F.to_json(c), F.lit(e)).alias(f"{c}_json") for c, e in empty.items()], F.lit(now).alias("created_at"))
+
+
+def save_checkpoints(table: DataFrame, states: DataFrame, now: float) -> DataFrame:
+    """table(checkpoint_id, mode_name, state_data, phase, active_agent, created_at) with a checkpoint of each different
+    row of states(mode_name, state), a struct with phase and active_agent; one of the same mode, state and time is replaced."""
+    data = F.to_json("state")
+    rows = states.select(gen_id(F.col("mode_name"), data, F.lit(now), prefix="ckpt_").alias("checkpoint_id"), "mode_name", data.alias("state_data"), "state.phase", "state.active_agent", F.lit(now).alias("created_at"))
+    return upsert(table, rows.dropDuplicates(["checkpoint_id"]).select(*table.columns), ["checkpoint_id"])
+
+
+def load_checkpoint(table: DataFrame, checkpoint_id: str, schema: str) -> DataFrame:
+    """The state of a checkpoint, one row of the schema; an unknown one is an error."""
+    found = table.filter(F.col("checkpoint_id") == checkpoint_id)
+    if found.isEmpty():
+        raise KeyError(checkpoint_id)
+    return found.select(F.from_json("state_data", schema).alias("state")).select("state.*")
+
+
+def checkpoints(table: DataFrame) -> DataFrame:
+    """Checkpoints without their states, the newest first."""
+    return table.select("checkpoint_id", "mode_name", "created_at", "phase", "active_agent").orderBy(F.desc("created_at"), "checkpoint_id")
 
 
 def files(table: DataFrame, category: str | None = None, mime: str | None = None, limit: int = 50, offset: int = 0) -> DataFrame:

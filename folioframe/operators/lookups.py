@@ -68,6 +68,17 @@ def file(index: DataFrame, key: str) -> DataFrame:
     return index.filter(F.col("key") == key)
 
 
+def exists(index: DataFrame, key: str) -> bool:
+    return not file(index, key).isEmpty()
+
+
+def metadata(index: DataFrame, key: str) -> DataFrame:
+    """(key, meta) of a stored file, an empty map where it has none; an unknown file is an error."""
+    if not exists(index, key):
+        raise FileNotFoundError(key)
+    return file(index, key).select("key", F.coalesce("meta", F.create_map().cast("map<string,string>")).alias("meta"))
+
+
 def providers(table: DataFrame, names: list[str] | None = None, default_only: bool = False) -> DataFrame:
     """Rows of a provider table(name, letter, is_default), by name."""
     table = table.filter(F.col("name").isin(names)) if names is not None else table

@@ -128,6 +128,53 @@ def session_turn(spark, d):
     return rows.select("session_id", "updated_at", "status", "turn_count", "name")
 
 
+def _turns(spark, d):
+    """Each user message with the message after it."""
+    rows = model.messages(spark, d)
+    after = rows.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("response"), F.col("role").alias("by"))
+    return rows.filter("role = 'user'").join(after, ["conv_id", "turn"], "left").select(
+        F.concat(F.lit("s"), "conv_id").alias("session_id"), "turn", (F.col("turn") + 1).cast("double").alias("at"), F.col("text").alias("user_input"), F.coalesce("response", F.lit("")).alias("response_text"),
+        F.create_map(F.lit("role"), F.coalesce("by", F.lit("none")), F.concat(F.lit("p"), F.col("turn") % 3), F.col("turn").cast("string")).alias("extra"))
+
+
+def reading_turns(spark, d):
+    kept = F.create_map(F.lit("role"), F.lit("?"), F.lit("kept"), F.col("conv_id").cast("string"))
+    rows = model.messages(spark, d).select("conv_id").distinct().select(
+        F.concat(F.lit("s"), "conv_id").alias("session_id"), (F.col("conv_id") % 4).alias("turn_count"), F.lit(0.0).alias("updated_at"), F.lit("").alias("last_user_input"), F.lit("").alias("last_agent_response"), kept.alias("extra"))
+    return convo.after_turns(rows, _turns(spark, d)).withColumn("extra", F.array_join(F.transform(F.array_sort(F.map_entries("extra")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ","))
+
+
+def run_log(spark, d):
+    calls = F.when(F.col("turn") % 2 == 0, F.array(F.struct(F.lit("find").alias("name"), F.col("turn").alias("turn"))))
+    runs = _turns(spark, d).select("session_id", "turn", F.lit("reader").alias("agent_name"), "user_input", "response_text", calls.alias("tool_calls"),
+                                   F.create_map(F.lit("chars"), F.length("user_input")).alias("usage"), F.create_map().cast("map<string,string>").alias("extra"))
+    return convo.run_rows(runs, 5.0)
+
+
+def _checkpoints(spark, d):
+    states = model.docs(spark, d).select(F.concat(F.lit("m"), F.col("doc_id") % 3).alias("mode_name"), F.struct(
+        F.col("lang").alias("phase"), F.col("source").alias("active_agent"), F.col("doc_id").alias("step")).alias("state"))
+    none = spark.createDataFrame([], "checkpoint_id string, mode_name string, state_data string, phase string, active_agent string, created_at double")
+    return convo.save_checkpoints(convo.save_checkpoints(none, states.filter("state.step % 2 = 0"), 1.0), states, 2.0)
+
+
+def checkpoint_list(spark, d):
+    return convo.checkpoints(_checkpoints(spark, d)).groupBy("mode_name", "created_at", "phase", "active_agent").agg(F.count_distinct("checkpoint_id").alias("n"))
+
+
+def checkpoint_state(spark, d):
+    rows = _checkpoints(spark, d)
+    first = rows.filter("created_at = 1 and mode_name = 'm1' and get_json_object(state_data, '$.step') = '4'").first()
+    return convo.load_checkpoint(rows, first.checkpoint_id, "phase string, active_agent string, step long")
+
+
+def file_metadata(spark, d):
+    meta = F.when(F.col("size") > 0, F.create_map(F.lit("bytes"), F.col("size").cast("string")))
+    files = model.files(spark, d).withColumn("meta", meta)
+    key = model.docs(spark, d).filter("doc_id = 5").select(F.concat_ws("/", "source", "lang", F.lit("5.txt"))).first()[0]
+    return lookups.metadata(files, key).select("key", F.col("meta")["bytes"].alias("bytes"))
+
+
 def uploaded_images(spark, d):
     mime = F.get(F.array(F.lit("image/png"), F.lit("text/plain"), F.lit("image/gif")), (F.col("doc_id") % 3).cast("int"))
     rows = model.docs(spark, d).select(F.col("doc_id").alias("id"), mime.alias("mime_type"), F.col("text").cast("binary").alias("content"), (F.col("doc_id") % 17).cast("double").alias("created_at"))
@@ -176,6 +223,8 @@ QUERIES = {k: v for k, v in list(globals().items()) if callable(v) and getattr(v
 
 _MANIFEST, _NODES = data_queries._MANIFEST, tree_queries._LINES
 _SESSIONS = """s as (select 's' || doc_id session_id, doc_id % 5 book_id, (doc_id * 37 % 101)::double updated_at, case when doc_id % 3 = 0 then 'archived' else 'active' end status, n_chars turn_count, source as name from documents)"""
+_TURNS = """turns as (select u.conv_id, u.turn, u.text user_input, coalesce(a.text, '') response_text, coalesce(a.role, 'none') answered
+  from conversations u left join conversations a on a.conv_id = u.conv_id and a.turn = u.turn + 1 where u.role = 'user')"""
 _KEPT = """select key, 'key' kind from files where {0} union all select content_hash, 'blob' from blobs where content_hash in (select content_hash from files where {0})"""
 
 ORACLES = {
@@ -207,6 +256,19 @@ ORACLES = {
     "active_sessions": f"with {_SESSIONS} select session_id, updated_at from s where book_id = 2 and status = 'active'",
     "session_turn": f"""with {_SESSIONS} select session_id, case session_id when 's7' then 500.0::double when 's8' then 600.0::double else updated_at end updated_at, case when session_id = 's10' then 'archived' else status end status,
       turn_count + case when session_id = 's7' then 1 else 0 end turn_count, case when session_id = 's8' then 'new' else name end as name from s""",
+    "reading_turns": f"""with base as (select distinct conv_id from conversations), {_TURNS},
+      last as (select conv_id, count(*) n, max(turn) t, arg_max(user_input, turn) i, arg_max(response_text, turn) o from turns group by 1),
+      kv as (select conv_id, 'kept' k, conv_id::varchar v, -1 turn from base union all select conv_id, 'role', '?', -1 from base
+        union all select conv_id, 'role', answered, turn from turns union all select conv_id, 'p' || turn % 3, turn::varchar, turn from turns),
+      x as (select conv_id, string_agg(k || '=' || v, ',' order by k) extra from (select conv_id, k, arg_max(v, turn) v from kv group by 1, 2) group by 1)
+      select 's' || conv_id session_id, conv_id % 4 + coalesce(n, 0) turn_count, coalesce(t + 1, 0)::double updated_at, coalesce(i, '') last_user_input, coalesce(o, '') last_agent_response, extra
+      from base left join last using (conv_id) join x using (conv_id)""",
+    "run_log": f"""with {_TURNS} select 'run_' || substr(sha256('s' || conv_id || chr(31) || turn), 1, 32) run_id, 's' || conv_id session_id, turn, 'reader' agent_name, user_input, response_text,
+      case when turn % 2 = 0 then '[{{"name":"find","turn":' || turn || '}}]' else '[]' end tool_calls_json, '{{"chars":' || length(user_input) || '}}' usage_json, '{{}}' extra_json, 5.0::double created_at from turns""",
+    "checkpoint_list": """select 'm' || doc_id % 3 mode_name, t::double created_at, lang phase, source active_agent, count(*) n
+      from documents, (values (1), (2)) v(t) where t = 2 or doc_id % 2 = 0 group by all""",
+    "checkpoint_state": "select lang phase, source active_agent, doc_id step from documents where doc_id = 4",
+    "file_metadata": f"with {model.FILES} select key, size::varchar bytes from files where key like '%/5.txt'",
     "uploaded_images": "select doc_id id, 'image' category, octet_length(encode(text))::integer size from documents where doc_id % 3 = 0 order by doc_id % 17 desc, doc_id limit 10 offset 3",
     "delete_books": f"with {_NODES}, {_MANIFEST} select 'node' kind, book_id, count(*) n from nodes where book_id not in (1, 2) group by 2 union all select 'manifest', book_id, count(*) from m where book_id not in (1, 2) group by 2",
     "replace_nodes": f"with {_NODES} select id, title from nodes where book_id not in (select doc_id from documents where lang = 'en') union all select doc_id || '/new', 'again' from documents where lang = 'en'",
