@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioframe.llm import chat, covertree, lshforest, mixing, packing, sharding, spotsigs, tokenfile, tokens, toxicity
+from folioframe.llm import chat, covertree, lshforest, mixing, packing, phrases, runs, sharding, spotsigs, superminhash, tokenfile, tokens, toxicity
 
 QUERIES = {
     "op1_chat_snapshots": chat.op1_chat_snapshots,
@@ -15,10 +15,15 @@ QUERIES = {
     "op8_dual_tree": covertree.op8_dual_tree,
     "op9_nnpu_toxicity": toxicity.op9_nnpu_toxicity,
     "op10_lsh_forest": lshforest.op10_lsh_forest,
+    "op11_collocations": phrases.op11_collocations,
+    "op12_superminhash": superminhash.op12_superminhash,
+    "op13_lyndon_runs": runs.op13_lyndon_runs,
 }
 
 ORACLES = {
     "op1_chat_snapshots": chat.ORACLE,
     "op3_extendible_shards": sharding.oracle(),
     "op8_dual_tree": covertree.ORACLE,
+    "op11_collocations": phrases.ORACLE,
+    "op12_superminhash": superminhash.ORACLE,
 }
