@@ -22,11 +22,11 @@ from folioframe.llm.common import Scratch, long_rows, mix64, parts, table
 
 LONGEST, LEAST, BEST = 5, 100, 2000
 #: Rows of a sketch, cells of a block, the fewest and most cells of a row, and the bytes of text for which a row has one
-#: cell. With the most cells the merged marks take 16 MB; larger corpora fill more cells, so more stretches are counted
-#: exactly by the second pass, and none fewer.
+#: cell, which then counts some 40 stretches. With the most cells, for 3 GB of text and more, the merged marks take 16 MB;
+#: larger corpora fill more cells, so the second pass counts more stretches exactly, and none fewer.
 DEPTH, CELLS, FEWEST, MOST, BYTES_A_CELL = 2, 1 << 16, 1 << 16, 1 << 26, 48
 #: Different phrases that a task counts before it hands them on; bounds memory, not results.
-HELD = 100_000
+HELD = 1 << 19
 
 _WORDS = kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 _GRAM = np.uint64(0xD6E8FEB86659FD93)
@@ -54,7 +54,7 @@ def _grams(batches):
 
 
 def _cells(hashed: np.ndarray, cells: int, row: int) -> np.ndarray:
-    return (mix64(hashed ^ np.uint64(row + 1)) & np.uint64(cells - 1)).astype(np.int64)
+    return ((mix64(hashed ^ np.uint64(row + 1)) >> np.uint64(32)) * np.uint64(cells) >> np.uint64(32)).astype(np.int64)
 
 
 def sketched(texts: DataFrame, cells: int, least: int) -> DataFrame:
@@ -81,20 +81,43 @@ def sketched(texts: DataFrame, cells: int, least: int) -> DataFrame:
     return texts.mapInArrow(count, "row int, block int, counts binary").groupBy("row", "block").applyInArrow(merge, "row int, block int, marks binary")
 
 
+class _Held:
+    """Counts of a task's phrases, told apart by their 64-bit hashes."""
+
+    def __init__(self):
+        self.hash, self.slot, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.names: list[tuple[str, str]] = []
+
+    def add(self, hashed: np.ndarray, name) -> None:
+        """Count the hashes; name(i) is the language and phrase of the i-th."""
+        value, first, number = np.unique(hashed, return_index=True, return_counts=True)
+        at = np.searchsorted(self.hash, value)
+        old = at < len(self.hash)
+        old[old] = self.hash[at[old]] == value[old]
+        self.count[self.slot[at[old]]] += number[old]
+        new = ~old
+        if new.any():
+            slot = np.arange(len(self.names), len(self.names) + int(new.sum()))
+            self.names += [name(i) for i in first[new].tolist()]
+            self.count = np.concatenate([self.count, number[new]])
+            every, slots = np.concatenate([self.hash, value[new]]), np.concatenate([self.slot, slot])
+            order = np.argsort(every, kind="stable")
+            self.hash, self.slot = every[order], slots[order]
+
+    def rows(self) -> pa.RecordBatch:
+        lang, phrase = zip(*self.names) if self.names else ((), ())
+        return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.string()), pa.array(self.count, pa.int64())], names=["lang", "phrase", "f"])
+
+
 def counted(texts: DataFrame, marks: np.ndarray, cells: int) -> DataFrame:
     """(lang, phrase, f) of the stretches that may be frequent by the marked cells, and (lang, null, number of all words)."""
     shared = texts.sparkSession.sparkContext.broadcast(marks)
 
     def count(batches):
-        marks, words_of, held = shared.value, Counter(), Counter()
-
-        def hand_on(counts: Counter):
-            keys = list(counts)
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.string()), pa.array([counts[k] for k in keys], pa.int64())], names=["lang", "phrase", "f"])
-
+        marks, words_of, held = shared.value, Counter(), _Held()
         for names, of, words, usable, hashed in _grams(batches):
             for i, n in enumerate(np.bincount(of, minlength=len(names)).tolist()):
-                words_of[names[i], None] += n
+                words_of[names[i]] += n
             before = None
             for k, (ok, h) in enumerate(zip(usable, hashed)):
                 if before is not None:  # both parts that are one word shorter may be frequent
@@ -106,16 +129,16 @@ def counted(texts: DataFrame, marks: np.ndarray, cells: int) -> DataFrame:
                     at = at[marks[d][cell >> 3] >> (7 - (cell & 7)).astype(np.uint8) & 1 > 0]
                 before = np.zeros(len(ok), bool)
                 before[at] = True
-                _, first, number = np.unique(h[at], return_index=True, return_counts=True)
-                for i, n in zip(at[first].tolist(), number.tolist()):
-                    held[names[of[i]], words.text(i, i + k)] += n
-            if len(held) > HELD:
-                yield hand_on(held)
-                held.clear()
-        yield hand_on(held)
-        yield hand_on(words_of)
+                held.add(h[at], lambda i: (names[of[at[i]]], words.text(at[i], at[i] + k)))  # noqa: B023
+            if len(held.names) > HELD:
+                yield held.rows()
+                held = _Held()
+        yield held.rows()
+        langs = list(words_of)
+        yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()), pa.array([words_of[x] for x in langs], pa.int64())], names=["lang", "phrase", "f"])
 
-    return texts.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+    few = texts.coalesce(2 * texts.sparkSession.sparkContext.defaultParallelism)  # a task adds up more before it hands on
+    return few.mapInArrow(count, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
 def frequent(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None) -> DataFrame:
@@ -128,8 +151,8 @@ def frequent(docs: DataFrame, least: int = LEAST, scratch: Scratch | None = None
     long_rows(spark)
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    cells = min(MOST, max(FEWEST, 1 << (size // BYTES_A_CELL).bit_length()))
-    merged = scratch.save(sketched(texts.coalesce(4 * spark.sparkContext.defaultParallelism), cells, least), "sketch")
+    cells = min(MOST, max(FEWEST, -(-size // (BYTES_A_CELL * CELLS)) * CELLS))
+    merged = scratch.save(sketched(texts.coalesce(spark.sparkContext.defaultParallelism), cells, least), "sketch")  # a sketch for each core
     marks = np.zeros((DEPTH, cells // 8), np.uint8)
     for r in merged.toLocalIterator():  # DEPTH * cells bits, at most 16 MB
         marks[r.row, r.block * CELLS // 8:][:CELLS // 8] = np.frombuffer(r.marks, np.uint8)
