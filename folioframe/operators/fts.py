@@ -1,7 +1,8 @@
 """Full-text search: an inverted index of folded tokens and a query language of terms, phrases, prefixes, first
 tokens, NEAR groups, column filters and AND / OR / NOT.
 
-A query is evaluated in the index: one pass over the postings of its words, and one row for each document with any.
+A query is evaluated in the index: one pass over the postings of its words, and one row for each document with any. An
+index may hold several texts of a document, its columns: a posting's place tells the column and the token's number there.
 """
 
 from __future__ import annotations
@@ -37,30 +38,37 @@ def query_tokens(text: str) -> list[str]:
     return "".join(c if unicodedata.category(c)[0] in "LMN" else " " for c in plain).split()
 
 
-def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(token, key, positions): the inverted index, one row for each token of a document."""
-    return docs.select(key, F.posexplode(tokens(F.coalesce(F.col(text), F.lit("")))).alias("pos", "token")).groupBy("token", key).agg(
-        F.sort_array(F.collect_list("pos")).alias("positions"))
+#: Places of one column; a document has at most so many tokens in it.
+COLUMN = 1 << 40
+
+
+def postings(docs: DataFrame, key: str | list[str], texts: str | list[str]) -> DataFrame:
+    """(token, *key, place): the inverted index, one row for each token. place is the token's number in its text, plus
+    COLUMN times the number of the column in `texts`."""
+    keys, texts = ([x] if isinstance(x, str) else x for x in (key, texts))
+    placed = [F.transform(tokens(F.coalesce(F.col(t), F.lit(""))), lambda token, i: F.struct(token.alias("token"), (i + F.lit(n * COLUMN)).alias("place"))) for n, t in enumerate(texts)]  # noqa: B023
+    return docs.select(*keys, F.explode(F.concat(*placed)).alias("_at")).select("_at.token", *keys, "_at.place")
 
 
 def write_index(index: DataFrame, path: str, key: str) -> None:
     """Store an index in the order of its tokens, in ranges, so that a query's words lead to few row groups. A frequent
     word is many ranges, by its documents."""
-    index.repartitionByRange(F.col("token"), F.col(key)).sortWithinPartitions("token", key).write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(path)
+    index.repartitionByRange(F.col("token"), F.col(key)).sortWithinPartitions("token", key, "place").write.mode("overwrite").option("parquet.block.size", str(8 << 20)).parquet(path)
 
 
 class QueryError(ValueError):
     """The query is not well formed."""
 
 
-_LEXEME = re.compile(r'\s*(?:(NEAR)\s*\(|(\^?)"([^"]*)"|(\()|(\))|(,)|(\{[^}]*\}|\w+)\s*:(?=\s*\S)|(\^?)([^\s()",:]+))')
+_LEXEME = re.compile(r'\s*(?:(NEAR)\s*\(|(\^?)"([^"]*)"|(\()|(\))|(,)|(-?\s*(?:\{[^}]*\}|\w+))\s*:(?=\s*\S)|(\^?)([^\s()",:]+))')
 
 
 def parse(query: str, columns: tuple[str, ...] = ()):
     """A tree of ("term", tokens, is_prefix, is_first) leaves and ("near", leaves, distance) under ("and" | "or" | "not",
-    left, right). Words side by side are AND; NOT binds tighter than AND, AND tighter than OR; ^ asks for the first
-    token. A name or {names} and a colon before a word, phrase or bracket limit it to columns: where none of
-    them is among `columns` nothing matches. None for a query without words."""
+    left, right) and ("only", numbers of columns, tree). Words side by side are AND; NOT binds tighter than AND, AND
+    tighter than OR; ^ asks for the first token of a column. A name or {names} and a colon before a word, phrase or bracket limit
+    it to these columns, with a minus before them to all others; a name that is not among `columns` is an error. None for
+    a query without words."""
     found, at = [], 0
     while at < len(query.rstrip()):
         m = _LEXEME.match(query, at)
@@ -72,7 +80,10 @@ def parse(query: str, columns: tuple[str, ...] = ()):
             leaf, at = _near(query, at)
             found.append(leaf)
         elif only:
-            found.append(("only", not {x.lower() for x in re.findall(r"\w+", only)}.isdisjoint(c.lower() for c in columns)))
+            named, known = {x.lower() for x in re.findall(r"\w+", only)}, [c.lower() for c in columns]
+            if unknown := named - set(known):
+                raise QueryError(f"no column {min(unknown)}")
+            found.append(("only", frozenset(i for i, c in enumerate(known) if (c in named) != only.startswith("-"))))
         elif phrase is not None or word and word not in ("AND", "OR", "NOT"):
             found.append(_leaf(phrase, word, first or caret, at < len(query) and query[at] == "*"))
             at += phrase is not None and found[-1][2]
@@ -143,14 +154,14 @@ def _one(items):
         raise QueryError(f"unexpected {items[0]}")
     if items[0][0] == "only":
         tree, rest = _one(items[1:])
-        return (tree if items[0][1] or tree is None else ("none",)), rest
+        return (tree and ("only", items[0][1], tree)), rest
     return (items[0] if items[0][1] else None), items[1:]
 
 
 def search(index: DataFrame, key: str, query: str, columns: tuple[str, ...] = ()) -> DataFrame:
     """The keys of the documents that match, each once; none for an empty query. The tokens of the query are filters
-    on the index, which a table in the order of write_index turns into skipped row groups. columns are the names by
-    which a column filter may call the indexed text."""
+    on the index, which a table in the order of write_index turns into skipped row groups. columns are the names of the
+    indexed texts, in the order in which they were given to postings()."""
     tree = parse(query, columns)
     if tree is None:
         return index.select(key).limit(0)
@@ -160,45 +171,51 @@ def search(index: DataFrame, key: str, query: str, columns: tuple[str, ...] = ()
 def _match(index: DataFrame, key: str, tree) -> DataFrame:
     """One pass over the postings of all the query's words, then one row for each document that has any of them."""
     wanted, found = [], []
+    column, number = F.shiftright("place", COLUMN.bit_length() - 1), F.col("place").bitwiseAND(COLUMN - 1)
 
-    def places(words: list[str], prefix: bool) -> Column:
-        """Where a phrase begins, in order."""
-        tests = [F.col("token") == w for w in words]
-        if prefix:
-            tests[-1] = F.col("token").startswith(words[-1])
+    def hit(word: str, prefix: bool, within) -> Column:
+        one = F.col("token").startswith(word) if prefix else F.col("token") == word
+        return one if within is None else one & column.isin(*within)
+
+    def places(words: list[str], prefix: bool, within, first: bool = False) -> Column:
+        """Where a phrase begins."""
+        tests = [hit(w, prefix and i + 1 == len(words), within) for i, w in enumerate(words)]
+        if first:
+            tests[0] &= number == 0
         wanted.extend(tests)
         name = f"_{len(found)}"
-        found.append(F.struct(*[F.flatten(F.collect_list(F.when(t, _shifted(i)))).alias(f"w{i}") for i, t in enumerate(tests)]).alias(name))
+        found.append(F.struct(*[F.collect_list(F.when(t, F.col("place") - i)).alias(f"w{i}") for i, t in enumerate(tests)]).alias(name))
         return reduce(F.array_intersect, [F.col(f"{name}.w{i}") for i in range(len(words))])
 
-    def leaf(words: list[str], prefix: bool, first: bool) -> Column:
-        if first:
-            return F.array_contains(places(words, prefix), 0)
+    def leaf(words: list[str], prefix: bool, first: bool, within) -> Column:
         if len(words) > 1:
-            return F.size(places(words, prefix)) > 0
-        hit = F.col("token").startswith(words[0]) if prefix else F.col("token") == words[0]
-        wanted.append(hit)
+            return F.size(places(words, prefix, within, first)) > 0
+        one = hit(words[0], prefix, within)
+        if first:
+            one &= number == 0
+        wanted.append(one)
         name = f"_{len(found)}"
-        found.append(F.max(hit).alias(name))
+        found.append(F.max(one).alias(name))
         return F.coalesce(F.col(name), F.lit(False))
 
-    def near(leaves, distance: int) -> Column:
+    def near(leaves, distance: int, within) -> Column:
         """Some phrase is the first of a group in which all others begin within the distance of its end."""
-        every = [(places(words, prefix), len(words)) for _, words, prefix, _ in leaves]
+        every = [(places(words, prefix, within), len(words)) for _, words, prefix, _ in leaves]
 
         def leads(k: int) -> Column:
             at, n = every[k]
             return F.exists(at, lambda x: reduce(Column.__and__, [F.exists(to, lambda y: (y >= x) & (y <= x + n + distance)) for j, (to, _) in enumerate(every) if j != k]))
         return reduce(Column.__or__, [leads(k) for k in range(len(every))])
 
-    def test(node) -> Column:
-        if node[0] == "none":
-            return F.lit(False)
+    def test(node, within=None) -> Column:
+        if node[0] == "only":
+            within = node[1] if within is None else node[1] & within
+            return test(node[2], within) if within else F.lit(False)
         if node[0] == "term":
-            return leaf(*node[1:])
+            return leaf(*node[1:], within)
         if node[0] == "near":
-            return near(*node[1:])
-        left, right = test(node[1]), test(node[2])
+            return near(*node[1:], within)
+        left, right = test(node[1], within), test(node[2], within)
         return left | right if node[0] == "or" else left & right if node[0] == "and" else left & ~right
 
     holds = test(tree)
@@ -207,15 +224,11 @@ def _match(index: DataFrame, key: str, tree) -> DataFrame:
     return index.filter(reduce(Column.__or__, wanted)).groupBy(key).agg(*found).filter(holds).select(key)
 
 
-def _shifted(i: int) -> Column:
-    return F.transform("positions", lambda p: p - i)
-
-
 def search_chunks(index: DataFrame, chunks: DataFrame, query: str, limit: int, books: list | None = None, key: str = "chunk_id", book: str = "book_id") -> DataFrame:
     """The first `limit` matching chunks by key. The book filter comes before the limit."""
     if books is not None:
         chunks = chunks.filter(F.col(book).isin(books))
-    return chunks.join(search(index, key, query, ("chunk_text", "text")), key, "left_semi").orderBy(key).limit(limit)
+    return chunks.join(search(index, key, query, ("chunk_text",)), key, "left_semi").orderBy(key).limit(limit)
 
 
 def search_keys(files: DataFrame, query: str, key: str = "key", indexed: bool = True) -> DataFrame:

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from folioframe.operators import fts, text
+from folioframe.operators import fts, text, textindex
 from folioframe.plans import model
 from folioframe.sources import markup, pdf
 from folioframe.sources.files import shared_dir, table
@@ -110,7 +110,8 @@ def _search(query, columns=()):
 
 def fts_index(spark, d):
     """The documents and places of each token."""
-    return fts.postings(model.docs(spark, d), "doc_id", "text").groupBy("token").agg(F.count("*").alias("documents"), F.sum(F.size("positions")).alias("places"))
+    per = fts.postings(model.docs(spark, d), "doc_id", "text").groupBy("token", "doc_id").agg(F.count("*").alias("n"))
+    return per.groupBy("token").agg(F.count("*").alias("documents"), F.sum("n").alias("places"))
 
 
 def fts_stored(spark, d):
@@ -120,6 +121,45 @@ def fts_stored(spark, d):
     return fts.search(spark.read.parquet(path), "doc_id", "with that from")
 
 
+_TITLED = ["title", "text"]
+
+
+def _titled(spark, d):
+    """Each document with its first line as its title, ten to a book."""
+    return model.docs(spark, d).select("doc_id", (F.floor(F.col("doc_id") / 10)).alias("book_id"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), "text")
+
+
+def fts_column(spark, d):
+    """A search of two columns."""
+    return fts.search(fts.postings(_titled(spark, d), "doc_id", _TITLED), "doc_id", "text : (with that) NOT title : with OR {title} : from*", tuple(_TITLED))
+
+
+_KEPT_UP = "title : renamed OR text : (with that) NOT text : from"
+
+
+def _kept_up(spark, d):
+    """An index of all documents in which a third of the books was replaced by others and a seventh deleted."""
+    docs = _titled(spark, d)
+    index = textindex.TextIndex(spark, f"{shared_dir(spark)}/kept-up-{uuid.uuid4().hex}", _TITLED, "doc_id", "book_id", "long long")
+    index.put(docs)
+    index.put(docs.filter("book_id % 3 = 1 and doc_id % 2 = 0").select("doc_id", "book_id", F.lit("Renamed").alias("title"), F.concat(F.lit("without "), "text").alias("text")))
+    index.delete(docs.filter("book_id % 7 = 2").select("book_id"))
+    return index
+
+
+def index_replace(spark, d):
+    """A search of an index after writes."""
+    return _kept_up(spark, d).search(_KEPT_UP)
+
+
+def index_merged(spark, d):
+    """A search of an index that was merged into one segment and then written again."""
+    index = _kept_up(spark, d)
+    index.merge()
+    index.put(_titled(spark, d).filter("book_id % 11 = 5"))
+    return index.search(_KEPT_UP)
+
+
 def flagship(spark, d):
     """Chunk the documents, index the chunks, and find the first that hold two words."""
     chunks = text.chunks(model.docs(spark, d)).withColumn("chunk_id", F.concat_ws("/", F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lpad(F.col("chunk_index").cast("string"), 6, "0")))
@@ -163,12 +203,21 @@ QUERIES = {
     "chunk_documents": chunk_documents, "graph_chunks": graph_chunks, "builder_chunks": builder_chunks, "summary_pack": summary_pack,
     "metadata_fragments": metadata_fragments, "tagify": tagify, "token_estimate": token_estimate, "neighbour_chars": neighbour_chars, "fts_chunks": flagship,
     "fts_and": _search("with that from"), "fts_or_not": _search("(idiot OR moron) NOT clown"), "fts_phrase": _search('"of the"'), "fts_prefix": _search("worth*"),
-    "fts_near": _search("NEAR(the house, 3)"), "fts_first": _search("^the OR ^la OR ^der"), "fts_column": _search("text : (with that) NOT title : with", ("text",)),
+    "fts_near": _search("NEAR(with from, 3)"), "fts_first": _search("^the OR ^la OR ^der"), "fts_column": fts_column, "index_replace": index_replace, "index_merged": index_merged,
     "fts_index": fts_index, "fts_stored": fts_stored, "citations": citations, "html_to_markdown": html_to_markdown, "element_mappings": element_mappings, "page_batches": page_batches,
     "layout_spans": layout_spans, "locate_spans": locate_spans,
 }
 
 _HAS = "select doc_id from t where "
+_LIST = f"""list_filter(regexp_split_to_array(translate(regexp_replace(lower({{}}), '{fts.MARKS}', '', 'g'), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}]+'), lambda x: x <> '')"""
+
+
+def _columns(source: str, title: str) -> str:
+    return f"t as (select doc_id, {_LIST.format(title)} title, {_LIST.format('text')} ts from {source})"
+
+
+_KEPT_SQL = f"""changed as (select doc_id, case when doc_id // 10 % 3 = 1 then 'renamed' else split_part(text, chr(10), 1) end title, case when doc_id // 10 % 3 = 1 then 'without ' else '' end || text as text from live),
+  {_columns("changed", "title")} {_HAS} list_contains(title, 'renamed') or list_contains(ts, 'with') and list_contains(ts, 'that') and not list_contains(ts, 'from')"""
 ORACLES = {
     "chunk_documents": _budget_sql(500, "greatest(1, cut - 200)"), "graph_chunks": _budget_sql(1000, "cut"), "builder_chunks": BUILDER_SQL, "summary_pack": SUMMARY_SQL,
     "metadata_fragments": METADATA_SQL, "tagify": TAG_SQL,
@@ -181,10 +230,13 @@ ORACLES = {
     "fts_and": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and list_contains(ts, 'from')",
     "fts_or_not": f"with {_TOKENS} {_HAS} (list_contains(ts, 'idiot') or list_contains(ts, 'moron')) and not list_contains(ts, 'clown')",
     "fts_phrase": f"with {_TOKENS} {_HAS} contains(' ' || array_to_string(ts, ' ') || ' ', ' of the ')",
-    "fts_near": f"""with {_TOKENS}, p as (select doc_id, unnest(ts) w, generate_subscripts(ts, 1) i from t where list_contains(ts, 'the') and list_contains(ts, 'house'))
-      select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and a.w = 'the' and b.w = 'house' and abs(a.i - b.i) <= 4""",
+    "fts_near": f"""with {_TOKENS}, p as (select doc_id, unnest(ts) w, generate_subscripts(ts, 1) i from t where list_contains(ts, 'with') and list_contains(ts, 'from'))
+      select distinct a.doc_id from p a join p b on a.doc_id = b.doc_id and a.w = 'with' and b.w = 'from' and abs(a.i - b.i) <= 4""",
     "fts_first": f"with {_TOKENS} {_HAS} ts[1] in ('the', 'la', 'der')",
-    "fts_column": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that')",
+    "fts_column": f"""with {_columns("documents", "split_part(text, chr(10), 1)")} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and not list_contains(title, 'with')
+      or len(list_filter(title, lambda x: starts_with(x, 'from'))) > 0""",
+    "index_replace": f"""with live as (select * from documents where doc_id // 10 % 7 <> 2 and (doc_id // 10 % 3 <> 1 or doc_id % 2 = 0)), {_KEPT_SQL}""",
+    "index_merged": f"""with live as (select * from documents where doc_id // 10 % 11 = 5 or doc_id // 10 % 7 <> 2 and (doc_id // 10 % 3 <> 1 or doc_id % 2 = 0)), {_KEPT_SQL.replace("% 3 = 1", "% 3 = 1 and doc_id // 10 % 11 <> 5")}""",
     "fts_stored": f"with {_TOKENS} {_HAS} list_contains(ts, 'with') and list_contains(ts, 'that') and list_contains(ts, 'from')",
     "fts_index": f"with {_TOKENS}, p as (select doc_id, unnest(ts) token from t) select token, count(distinct doc_id) documents, count(*) places from p group by token",
     "fts_prefix": f"with {_TOKENS} {_HAS} len(list_filter(ts, lambda x: starts_with(x, 'worth'))) > 0",

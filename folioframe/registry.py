@@ -174,7 +174,7 @@ def build_chunk_index(nodes: DataFrame, content: DataFrame, embed=models.embed,
     chunks = cut.select("book_id", F.col("id").alias("node_id"), F.concat_ws("#", "id", F.lpad(F.col("chunk_index").cast("string"), 6, "0")).alias("chunk_id"), "chunk_index",
                         (F.col("base") + F.col("content_offset")).alias("content_offset"), "content_length", "chunk_text")
     vectors = chunks.select(F.col("chunk_id").alias("id"), F.lit("chunk").alias("kind"), "book_id", embed(F.col("chunk_text")).alias("vector"))
-    found = fts.postings(chunks, "chunk_id", "chunk_text").join(chunks.select("chunk_id", "book_id"), "chunk_id")
+    found = fts.postings(chunks, ["chunk_id", "book_id"], "chunk_text")
     return {"chunks": chunks, "postings": found, "chunk_vectors": vectors}
 
 

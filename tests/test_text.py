@@ -97,7 +97,70 @@ def test_search_of_many_scripts(spark):
     hits = lambda q: sorted(r.k for r in fts.search(index, "k", q, ("t",)).collect())
     assert [hits(q) for q in ("हिन्दी", "dvorak", "SEHIR", "café", "koy", "ελλάδα")] == [[1], [2], [3], [4], [3], [7]]
     assert hits("NEAR(one four, 2)") == [5] and hits("NEAR(one four, 1)") == [] and hits('NEAR("two three" five one)') == [5] and hits("NEAR(five one)") == [5, 6]
-    assert hits("^five") == [6] and hits('^"one two"') == [5] and hits("t : one") == [5, 6] and hits("x : one") == [] and hits("{x t} : (one NOT two)") == [6]
+    assert hits("^five") == [6] and hits('^"one two"') == [5] and hits("t : one") == [5, 6] and hits("{T} : (one NOT two)") == [6]
+    for bad in ("x : one", "{x t} : one"):
+        with pytest.raises(fts.QueryError):
+            hits(bad)
     for bad in ("NEAR(one", "NEAR(one two, x)", "one, two"):
         with pytest.raises(fts.QueryError):
             fts.parse(bad)
+
+
+def test_columns(spark):
+    rows = [(1, "red house", "a blue cat"), (2, "blue", "red house cat"), (3, None, "house red"), (4, "red", None), (5, "cat red", "house"), (6, "red red", "red cat red house blue")]
+    index = fts.postings(spark.createDataFrame(rows, "k int, title string, body string"), "k", ["title", "body"])
+    hits = lambda q: sorted(r.k for r in fts.search(index, "k", q, ("title", "body")).collect())
+    assert hits("red") == [1, 2, 3, 4, 5, 6] and hits("title : red") == [1, 4, 5, 6] and hits("- title : red") == [2, 3, 6] and hits("-{title body} : red") == []
+    assert hits('"red house"') == [1, 2, 6] and hits('title : "red house"') == [1] and hits('body : "red house"') == [2, 6]
+    assert hits("^red") == [1, 2, 4, 6] and hits("body : ^red") == [2, 6] and hits("title : (^cat OR blue)") == [2, 5]
+    assert hits("NEAR(red house, 0)") == [1, 2, 3, 6] and hits("body : NEAR(cat blue, 2)") == [1, 6] and hits("{title} : (red NOT body : red)") == [1, 4, 5, 6]
+    assert hits("title : red AND body : cat") == [1, 6] and hits("title : re* NOT body : house") == [1, 4]
+    with pytest.raises(fts.QueryError):
+        hits("author : red")
+
+
+def test_index_is_kept_up(spark, tmp_path):
+    """After each write a search equals that of a fresh index of the documents that are left."""
+    import random
+
+    from folioframe.operators.textindex import TextIndex
+
+    rng = random.Random(4)
+    index = TextIndex(spark, f"file://{tmp_path}/index", ["title", "body"], "k", "book", "int int")
+    assert index.search("red").count() == 0 and index.segments().count() == 0
+    text = lambda: " ".join(rng.choices(["red", "blue", "cat", "house", "é", "the"], k=rng.randint(0, 6))) or None
+    live, number = {}, 0
+    for step in range(7):
+        books = rng.sample([None, 1, 2, 3, 4, 5], 3)
+        if step in (3, 5):
+            index.delete(spark.createDataFrame([(b,) for b in [*books, 77]], "book int"))
+            live = {b: rows for b, rows in live.items() if b not in books}
+        else:
+            new = {b: [(number + 10 * n + i, b, text(), text()) for i in range(rng.randint(1, 4))] for n, b in enumerate(books)}
+            number += 100
+            index.put(spark.createDataFrame([r for rows in new.values() for r in rows], "k int, book int, title string, body string"))
+            live |= new
+        if step == 4:
+            index.merge()
+            assert index.segments().count() == 1
+        fresh = fts.postings(spark.createDataFrame([r for rows in live.values() for r in rows], "k int, book int, title string, body string"), "k", ["title", "body"])
+        for query in ("red", "title : red NOT body : blue", '"red cat" OR ^the', "hous*"):
+            assert sorted(r.k for r in index.search(query).collect()) == sorted(r.k for r in fts.search(fresh, "k", query, ("title", "body")).collect()), (step, query)
+    assert index.segments().agg({"live": "sum"}).first()[0] >= len(live)
+
+
+def test_a_query_reads_its_row_groups(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from folioframe.operators.textindex import TextIndex
+
+    index = TextIndex(spark, f"file://{tmp_path}/index", ["t"], "k", "book", "long long")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with more postings, several files
+    index.put(spark.range(4000).selectExpr("id k", "id % 9 book", "concat_ws(' ', transform(sequence(0, 20), i -> concat('w', hash(id, i) % 5000))) t"))
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    plan = index.search("w17")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(token,w17)" in plan
+    groups = [pq.ParquetFile(f).metadata.row_group(i).column(0).statistics for f in glob.glob(f"{tmp_path}/index/postings/*/*.parquet") for i in range(pq.ParquetFile(f).metadata.num_row_groups)]
+    assert len(groups) > 2 and sum(g.min <= "w17" <= g.max for g in groups) < len(groups)
