@@ -55,7 +55,8 @@ def read_table(spark: SparkSession, data_dir: str, name: str, schema) -> DataFra
 
 def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: list[str] | None = None, registry: IndexRegistry | None = None) -> Compiled:
     """Compile all EPUB files below a path. Each call adds a batch to the tables, and read_table takes a book's rows
-    from its last batch, so compiling a book again replaces it. A tree that breaks a rule is an error; a failed index is
+    from its last batch, so compiling a book again replaces it. A file that cannot be read is a failed task with its path
+    and error, and the others go on. A tree that breaks a rule is an error; a failed index is
     in the manifest beside those of earlier books, and its error is raised. The tasks table has each stage's state."""
     registry = registry or IndexRegistry.load()
     providers = registry.default_enabled() if index_types is None else registry.for_types(index_types)
@@ -69,7 +70,11 @@ def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: li
 
     stored = lambda df, name: tables.write_groups(df, f"{data_dir}/{name}", batch, [c for c in ("token", "book_id") if c in df.columns][:1])
     note("parse", "running")
-    parsed = stored(epub.read(spark, path).filter("error = ''").dropDuplicates(["book_id"]), "parsed")
+    every = stored(epub.read(spark, path).dropDuplicates(["book_id"]), "parsed")
+    parsed = every.filter("error = ''")
+    unread = every.filter("error <> ''").select(F.concat(F.lit(f"{batch}/parse/"), "book_id").alias("id"), "book_id", F.lit("parse").alias("stage"), F.lit("failed").alias("status"),
+                                                F.lit(0).cast("long").alias("completed"), F.lit(1).cast("long").alias("total"), F.concat_ws(": ", "path", F.substring("error", 1, 400)).alias("error"), F.lit(time.time()).alias("updated_at"))
+    unread.write.mode("append").parquet(f"{data_dir}/tasks/batch={batch}")
     tables.write_groups(parsed.select("book_id"), f"{data_dir}/batches", batch)
     done += 1
     note("parse", "done")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalars import normalize_key
-from folioframe.operators.tables import numbered, upsert
+from folioframe.operators.tables import last_of, numbered, upsert
 
 
 def hashed(files: DataFrame) -> DataFrame:
@@ -17,8 +17,9 @@ def hashed(files: DataFrame) -> DataFrame:
 
 def upload(index: DataFrame, blobs: DataFrame, files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(index, blobs) after storing files(key, content, created_at, modified_at, metadata): equal contents are stored
-    once, a known key points to its new content and keeps created_at."""
-    new = hashed(files)
+    once, a known key points to its new content and keeps created_at. Keys are equal in normal form; of several files
+    with one key the last modified counts, then the one of the greater hash."""
+    new = last_of(hashed(files), ["key"], ["modified_at", "content_hash"])
     kept = index.select("key", F.col("created_at").alias("_first"))
     rows = new.join(kept, "key", "left").withColumn("created_at", F.coalesce("_first", "created_at")).select(*index.columns)
     fresh = new.select("content_hash", "content").dropDuplicates(["content_hash"]).join(blobs.select("content_hash"), "content_hash", "left_anti")

@@ -6,23 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioframe.functions.scalars import LEVELS, eta, lookup
+from folioframe.operators import paths
 from folioframe.operators.tables import numbered
 
 
-def rollup(tasks: DataFrame, now: float, most_levels: int = 64) -> DataFrame:
+def rollup(tasks: DataFrame, now: float) -> DataFrame:
     """tasks(id, parent_id, seq, label, total, completed, auto_total, status, started_at) with depth, path, the totals
     of auto_total parents summed over all below that count themselves, and eta_seconds of running ones. Sorting by
-    path is depth-first order. One join for each level down; sums go up along the paths."""
-    step = F.lpad(F.col("seq").cast("string"), 9, "0")
-    front = tasks.filter("parent_id is null").withColumn("depth", F.lit(0)).withColumn("path", step)
-    out, depth = front, 0
-    while depth < most_levels:
-        depth += 1
-        up = front.select(F.col("id").alias("_up"), F.col("path").alias("_path"))
-        front = tasks.join(up, F.col("parent_id") == F.col("_up")).withColumn("depth", F.lit(depth)).withColumn("path", F.concat_ws(".", "_path", step)).drop("_up", "_path")
-        if front.isEmpty():
-            break
-        out = out.unionByName(front)
+    path is depth-first order. Trees may have any depth: ways up are found in log2(depth) rounds, and sums go up along them.
+    A task whose parent is not there stands at the top; tasks on or below a cycle are an error."""
+    known = tasks.select(F.col("id").alias("_known")).distinct()
+    up = tasks.join(known, F.col("parent_id") == F.col("_known"), "left").select("id", F.col("_known").alias("up"), F.lpad(F.col("seq").cast("string"), 9, "0").alias("step"))
+    if (bad := paths.reached(up).filter("looped").first()) is not None:
+        raise ValueError(f"task {bad.id} is on or below a cycle")
+    out = tasks.join(paths.root_paths(up), "id").withColumn("depth", F.size(F.split("path", r"\.")) - 1).select(*tasks.columns, "depth", "path")
     parents = tasks.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("_parent", F.lit(True))
     out = out.join(parents, "id", "left").withColumn("_auto", F.col("auto_total") & F.coalesce("_parent", F.lit(False))).drop("_parent")
     steps = F.split("path", r"\.")

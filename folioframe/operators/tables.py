@@ -5,16 +5,32 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from folioframe.sources.files import shared_dir
 
 
-def upsert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table with rows put in place of those of the same keys."""
-    return table.join(rows.select(*keys), keys, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
+def last_of(rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The last row of each key, null being a key like others, in order of the named columns or, without any, of the
+    batch as it lies. One aggregation: a key with many rows is no hot task."""
+    row = F.struct(*[F.col(f"`{c}`") for c in rows.columns])
+    at = F.struct(*order) if order else F.monotonically_increasing_id()
+    return rows.withColumn("_at", at).groupBy(*[F.col(f"`{k}`") for k in keys]).agg(F.max_by(row, "_at").alias("_row")).select("_row.*")
+
+
+def without(table: DataFrame, keyed: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of table whose key is not in keyed; null keys are equal."""
+    gone = keyed.select(*[F.col(f"`{k}`").alias(f"_gone_{k}") for k in keys])
+    return table.join(gone, reduce(Column.__and__, [F.col(f"`{k}`").eqNullSafe(F.col(f"`_gone_{k}`")) for k in keys]), "left_anti")
+
+
+def upsert(table: DataFrame, rows: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """table with rows put in place of those of the same keys. Of rows with one key the last counts, in order of the named
+    columns or as they lie; null is a key like others."""
+    rows = last_of(rows, keys, order)
+    return without(table, rows, keys).select(*table.columns).unionByName(rows.select(*table.columns))
 
 
 def insert(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -90,7 +106,9 @@ def latest(rows: DataFrame, keys: list[str], order: list) -> DataFrame:
 
 def upsert_manifest(manifest: DataFrame, changes: DataFrame, now: float) -> DataFrame:
     """manifest(book_id, index_type, status, count, error, built_at, created_at) after changes(book_id, index_type,
-    status, count, error): created_at stays, built_at is now for built indexes and else as it was."""
+    status, count, error): created_at stays, built_at is now for built indexes and else as it was. Of several changes
+    of one index the last in the batch counts."""
+    changes = last_of(changes, ["book_id", "index_type"])
     old = manifest.select("book_id", "index_type", F.col("created_at").alias("_created"), F.col("built_at").alias("_built"))
     rows = changes.join(old, ["book_id", "index_type"], "left").withColumn("created_at", F.coalesce("_created", F.lit(now))).withColumn(
         "built_at", F.when(F.col("status") == "built", F.lit(now)).otherwise(F.col("_built")))

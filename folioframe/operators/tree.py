@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from folioframe.operators import paths
+from folioframe.operators.tables import replace_group
 from folioframe.operators.text import each_text
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+)$")
@@ -92,29 +94,29 @@ def build_tree(books: DataFrame, book: str = "book_id", text: str = "text") -> D
         *[c for c, _ in _NODE[2:]])
 
 
-def with_paths(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
+def _links(nodes: DataFrame) -> DataFrame:
+    """(id, up, step) for paths: ids are those of a book."""
+    up = F.when(F.col("parent_id") != "", F.struct("book_id", F.col("parent_id").alias("id")))
+    return nodes.select(F.struct("book_id", "id").alias("id"), up.alias("up"), F.lpad(F.col("order_index").cast("string"), STEP, "0").alias("step"))
+
+
+def with_paths(nodes: DataFrame) -> DataFrame:
     """nodes with path, the order_index of every step from the root in fixed digits, joined by dots: sorting by
-    (book_id, path) is pre-order. Trees that were built here have it already; others get it by one equi-join for each
-    level, over their ids only, until no node has a child left."""
+    (book_id, path) is pre-order. Trees that were built here have it already; others, of any depth, get it in log2(depth)
+    rounds of joins over their ids. Nodes that no root reaches are left out; a cycle is an error."""
     if "path" in nodes.columns:
         return nodes.filter("path is not null")
-    step = F.lpad(F.col("order_index").cast("string"), STEP, "0")
-    ties = nodes.select("book_id", "id", "parent_id", step.alias("step")).persist()
-    front = ties.filter("parent_id = ''").select("book_id", "id", F.col("step").alias("path")).persist()
-    paths = front
-    for _ in range(most_levels):
-        up = front.select("book_id", F.col("id").alias("parent_id"), F.col("path").alias("up"))
-        front = ties.join(up, ["book_id", "parent_id"]).select("book_id", "id", F.concat_ws(".", "up", "step").alias("path")).persist()
-        if front.isEmpty():
-            return nodes.join(paths, ["book_id", "id"])
-        paths = paths.unionByName(front)
-    raise ValueError(f"the tree has more than {most_levels} levels, or a cycle")
-
-
-def preorder(nodes: DataFrame, most_levels: int = 64) -> DataFrame:
+    links = _links(nodes)
+    if (bad := paths.reached(links).filter("looped").first()) is not None:
+        raise ValueError(f"book {bad.id.book_id}: {bad.id.id} is on or below a cycle")
+    found = paths.root_paths(links).select(F.col("id.book_id").alias("book_id"), F.col("id.id").alias("id"), "path")
+    return nodes.join(found, ["book_id", "id"])
+
+
+def preorder(nodes: DataFrame) -> DataFrame:
     """(book_id, id, path, position): every node that the root reaches, position counting from 0 in its book."""
     order = Window.partitionBy("book_id").orderBy("path")
-    return with_paths(nodes, most_levels).withColumn("position", F.row_number().over(order) - 1)
+    return with_paths(nodes).withColumn("position", F.row_number().over(order) - 1)
 
 
 def node_by_id(nodes: DataFrame, node_id: str) -> DataFrame:
@@ -150,9 +152,9 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 def descendants(nodes: DataFrame, node_id: str) -> DataFrame:
     """The nodes below one, in pre-order: those whose path extends its path."""
-    paths = with_paths(nodes)
-    top = paths.filter(F.col("id") == node_id).select(F.col("book_id").alias("_book"), F.concat("path", F.lit(".")).alias("_top"))
-    return paths.join(F.broadcast(top), (F.col("book_id") == F.col("_book")) & F.col("path").startswith(F.col("_top"))).drop("_book", "_top").orderBy("path")
+    walked = with_paths(nodes)
+    top = walked.filter(F.col("id") == node_id).select(F.col("book_id").alias("_book"), F.concat("path", F.lit(".")).alias("_top"))
+    return walked.join(F.broadcast(top), (F.col("book_id") == F.col("_book")) & F.col("path").startswith(F.col("_top"))).drop("_book", "_top").orderBy("path")
 
 
 def at_level(nodes: DataFrame, level: int) -> DataFrame:
@@ -206,15 +208,13 @@ def subtree_text(nodes: DataFrame, content: DataFrame) -> DataFrame:
 def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     """(book_id, id, problem): every breach of the rules of a tree, none for valid trees. Problems: repeated id,
     negative length, no root, many roots, root level, missing parent, other book, level order, sibling order, cycle."""
-    nodes = nodes.persist()  # read by every rule
     row = lambda df, problem: df.select("book_id", "id", F.lit(problem).alias("problem"))
     per_book = nodes.groupBy("book_id").agg(F.sum((F.col("parent_id") == "").cast("int")).alias("n"))
     up = nodes.select(F.col("id").alias("_up"), F.col("level").alias("_level"), F.col("book_id").alias("_book"))
     tied = nodes.filter("parent_id <> ''").join(up, F.col("parent_id") == F.col("_up"), "left")
     siblings = Window.partitionBy("book_id", "parent_id", "order_index")
     same = Window.partitionBy("book_id", "id")
-    #: Nodes that no root reaches although their parents exist stand on or below a cycle. Levels that only grow rule
-    #: it out, so only nodes at or above their parent's level can start one.
+    #: Levels that only grow rule a cycle out, so only books with a node at or above its parent's level can have one.
     out = [
         row(nodes.withColumn("_n", F.count("*").over(same)).filter("_n > 1").dropDuplicates(["book_id", "id"]), "repeated id"),
         row(nodes.filter("title_length < 0 or content_length < 0 or title_offset < 0 or content_offset < 0"), "negative length"),
@@ -229,12 +229,8 @@ def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     base = nodes.dropDuplicates(["id"])
     suspects = tied.filter("level <= _level").select("book_id").distinct()
     base = base.join(suspects, "book_id", "left_semi")
-    reached = front = base.filter("parent_id = ''").select("id")
-    while not front.isEmpty():
-        front = base.join(front.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi").select("id").join(reached, "id", "left_anti").persist()
-        reached = reached.unionByName(front)
-    stuck = base.join(reached, "id", "left_anti").join(base.select(F.col("id").alias("_p")), F.col("parent_id") == F.col("_p"), "left_semi")
-    out.append(row(stuck, "cycle"))
+    looped = paths.reached(base.select("id", F.expr("nullif(parent_id, '')").alias("up"))).filter("looped").select("id")
+    out.append(row(base.join(looped, "id"), "cycle"))
     if content is not None:
         wide = nodes.join(content.select("book_id", F.length("text").alias("_len")), "book_id")
         out.append(row(wide.filter("content_offset + content_length > _len or title_offset + title_length > _len"), "outside the text"))
@@ -244,6 +240,13 @@ def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     return result
 
 
+def replace_tree(table: DataFrame, nodes: DataFrame, content: DataFrame) -> DataFrame:
+    """table with the trees of the books in nodes replaced, after a check: nodes that break a rule are an error."""
+    if (bad := violations(nodes, content).first()) is not None:
+        raise ValueError(f"book {bad.book_id}: {bad.problem} {bad.id}")
+    return replace_group(table, nodes)
+
+
 def toc(items: DataFrame) -> DataFrame:
     """Table-of-contents items with a title, levels at least 1."""
     return items.filter(F.trim(F.coalesce("title", F.lit(""))) != "").withColumn("level", F.greatest("level", F.lit(1)))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioframe.operators.tables import last_of
+
 #: Window names and their seconds; fixed values.
 WINDOWS = {"5h": 5 * 3600, "7d": 7 * 86400, "30d": 30 * 86400}
 
@@ -73,6 +75,6 @@ def record(log: DataFrame, rows: DataFrame, mode: str) -> DataFrame:
 
 
 def record_actual(log: DataFrame, actual: DataFrame) -> DataFrame:
-    """log with the actual tokens of actual(id, actual_in, actual_out)."""
-    new = actual.select("id", F.col("actual_in").alias("_in"), F.col("actual_out").alias("_out")).filter("id <> 0")
+    """log with the actual tokens of actual(id, actual_in, actual_out), of several for one id the last in the batch."""
+    new = last_of(actual, ["id"]).select("id", F.col("actual_in").alias("_in"), F.col("actual_out").alias("_out")).filter("id <> 0")
     return log.join(new, "id", "left").withColumn("actual_in", F.coalesce("_in", "actual_in")).withColumn("actual_out", F.coalesce("_out", "actual_out")).drop("_in", "_out").select(*log.columns)

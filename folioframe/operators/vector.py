@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.sources.files import Rounds
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -68,18 +72,24 @@ def greedy_merge(vectors: DataFrame, at_least: float, group: str, key: str = "id
     """(group, key, representative): in key order, a row that no earlier representative is similar to becomes one, and
     any other joins its earliest similar representative.
 
-    Only similar pairs take part. Each round settles the rows whose earlier neighbours are all settled."""
-    pairs = similar_pairs(vectors, at_least, group, key, vector).select(F.col("a"), F.col("b")).persist()
-    known = vectors.select(group, key).join(pairs.select(F.col("b").alias(key)).distinct(), key, "left_anti").withColumn("representative", F.col(key))
-    open_rows = vectors.select(group, key).join(pairs.select(F.col("b").alias(key)).distinct(), key, "left_semi")
-    while not open_rows.isEmpty():
-        state = known.select(F.col(key).alias("a"), (F.col(key) == F.col("representative")).alias("is_rep"))
-        near = open_rows.join(pairs.withColumnRenamed("b", key), key).join(state, "a", "left")
-        per = near.groupBy(group, key).agg(F.min(F.when(F.col("is_rep"), F.col("a"))).alias("rep"), F.max(F.col("is_rep").isNull()).alias("waits"),
-                                           F.min(F.when(F.col("is_rep").isNull(), F.col("a"))).alias("first_open"))
-        #: Settled if no unsettled neighbour could come before the representative found.
-        ready = per.filter(~F.col("waits") | (F.col("rep") < F.col("first_open"))).select(group, key, F.coalesce("rep", key).alias("representative"))
-        ready = ready.persist()
-        known = known.unionByName(ready)
-        open_rows = open_rows.join(ready.select(key), key, "left_anti")
-    return known
+    Only similar pairs take part, and a pair is written once. In each round the rows that no open pair joins to an earlier
+    one are settled as representatives, and all rows that they are similar to leave with their pairs; so pairs only
+    become fewer, and nothing is read again. Where keys say nothing about similarity the rounds grow with the logarithm
+    of the rows; a chain in which each row is similar to the next one only takes a round for every two of its rows."""
+    rounds = Rounds(vectors.sparkSession, "merge")
+    pairs = rounds.save(similar_pairs(vectors, at_least, group, key, vector).select("a", "b"), "pairs")
+    open_, joined, n = pairs, [], 0
+    while not open_.isEmpty():
+        heads = open_.select("a").distinct().join(open_.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+        gone = rounds.save(open_.join(heads, "a", "left_semi").select("b").distinct(), f"joined{n}")
+        joined.append(gone)
+        open_ = rounds.save(open_.join(gone, "b", "left_anti").join(gone.select(F.col("b").alias("a")), "a", "left_anti"), f"open{n}")
+        if n:
+            rounds.drop(f"open{n - 1}")
+        n += 1
+    rows = vectors.select(group, key)
+    if not joined:
+        return rows.withColumn("representative", F.col(key))
+    every = reduce(DataFrame.unionByName, joined)
+    first = pairs.join(every, "b", "left_semi").join(every.select(F.col("b").alias("a")), "a", "left_anti").groupBy(F.col("b").alias(key)).agg(F.min("a").alias("representative"))
+    return rows.join(first, key, "left").select(group, key, F.coalesce("representative", key).alias("representative"))

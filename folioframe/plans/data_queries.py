@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folioframe import models
-from folioframe.operators import cas, convo, graph, lookups, progress, tables, text, usage, vector
+from folioframe.operators import cas, convo, graph, lookups, progress, tables, text, usage, vector, vectorindex
 from folioframe.plans import model
-from folioframe.sources.files import table
+from folioframe.sources.files import shared_dir, table
 
 NOW = 1706400000.0
 
@@ -31,6 +33,24 @@ def greedy_merge(spark, d):
     return vector.greedy_merge(model.vectors(spark, d), 0.3, "label").select("label", "id", "representative")
 
 
+def vector_knn(spark, d):
+    """The ten nearest of every fiftieth vector, by a stored index."""
+    v = model.vectors(spark, d)
+    index = vectorindex.VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(v)
+    return index.nearest(v.filter("id % 50 = 0").select(F.col("id").alias("query"), "vector"), 10).select("query", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
+def vector_kept_up(spark, d):
+    """The nearest of one label after a tenth of the vectors was turned round and a seventh deleted."""
+    v = model.vectors(spark, d)
+    index = vectorindex.VectorIndex(spark, f"{shared_dir(spark)}/vectors-{uuid.uuid4().hex}")
+    index.build(v)
+    index.upsert(v.filter("id % 10 = 0").withColumn("vector", F.reverse("vector")))
+    index.delete(v.filter("id % 7 = 3").select("id"))
+    return index.nearest(v.filter("id % 50 = 0").select(F.col("id").alias("query"), "vector"), 5, label=3).select("query", "rank", "id", F.round("distance", 6).alias("distance"))
+
+
 def _raw_entities(spark, d):
     n = F.col("doc_id")
     return model.docs(spark, d).select(
@@ -199,6 +219,14 @@ def upsert_rows(spark, d):
     return tables.upsert(c, c.filter("c_custkey % 10 = 0").withColumn("c_name", F.lit("new")).unionByName(c.limit(1).select((F.col("c_custkey") * 0 - 1).alias("c_custkey"), F.lit("added").alias("c_name"))), ["c_custkey"])
 
 
+def upsert_repeats(spark, d):
+    """A batch with every order as a change of its customer, null keys among them: the last order counts."""
+    key = lambda c: F.when(F.col(c) % 20 != 0, F.col(c)).alias("c_custkey")
+    c = table(spark, d, "customer").select(key("c_custkey"), "c_name")
+    o = table(spark, d, "orders").select(key("o_custkey"), F.concat(F.lit("order "), F.col("o_orderkey").cast("string")).alias("c_name"), F.col("o_orderkey").alias("seq"))
+    return tables.upsert(c, o, ["c_custkey"], ["seq"])
+
+
 def merge_metadata(spark, d):
     parts = model.docs(spark, d).select(F.col("source").alias("book"), F.col("doc_id").alias("seq"), F.when(F.col("doc_id") % 3 == 0, F.lit(" ")).otherwise(F.col("lang")).alias("language"),
                                        F.when(F.col("doc_id") % 7 == 0, F.col("text")).alias("title"))
@@ -298,6 +326,20 @@ ORACLES = {
       select id, round(x, 6) distance from v order by x, id limit 10""",
     "cosine_pairs": """with v as (select vec_id, label, embedding::double[] e from embeddings)
       select x.label, x.vec_id a, y.vec_id b, round(list_cosine_similarity(x.e, y.e), 6) cosine from v x join v y on x.label = y.label and x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.3""",
+    "greedy_merge": """with recursive v as (select vec_id, label, embedding::double[] e, row_number() over (order by vec_id) i from embeddings),
+      near as (select y.vec_id b, list(x.vec_id) ns from v x join v y on x.label = y.label and x.vec_id < y.vec_id where list_cosine_similarity(x.e, y.e) >= 0.3 group by 1),
+      w as (select i, vec_id, coalesce(ns, []) ns from v left join near on b = vec_id),
+      r(i, reps) as (select 0::bigint, []::bigint[] union all
+        select w.i, case when len(list_intersect(ns, reps)) = 0 then list_append(reps, vec_id) else reps end from r join w on w.i = r.i + 1),
+      final as (select reps from r order by i desc limit 1)
+      select label, v.vec_id id, coalesce(list_min(list_intersect(w.ns, reps)), v.vec_id) representative from v join w using (vec_id), final""",
+    "vector_knn": """with v as (select vec_id, embedding::double[] e from embeddings),
+      p as (select q.vec_id query, v.vec_id id, list_sum(list_transform(list_zip(v.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) x from v q, v where q.vec_id % 50 = 0),
+      r as (select *, row_number() over (partition by query order by x, id) k from p) select query, k::integer rank, id, round(x, 6) distance from r where k <= 10""",
+    "vector_kept_up": """with q as (select vec_id, embedding::double[] e from embeddings where vec_id % 50 = 0),
+      v as (select vec_id, case when vec_id % 10 = 0 then list_reverse(embedding) else embedding end::double[] e from embeddings where label = 3 and vec_id % 7 <> 3),
+      p as (select q.vec_id query, v.vec_id id, list_sum(list_transform(list_zip(v.e, q.e), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) x from q, v),
+      r as (select *, row_number() over (partition by query order by x, id) k from p) select query, k::integer rank, id, round(x, 6) distance from r where k <= 5""",
     "merge_by_name": f"""with {_RAW}, t as (select book_id, name_key, string_agg(tag, ',' order by f) ts, min(f) f0 from firsts group by 1, 2)
       select book_id, name_key, arg_min(name, seq) as name, arg_min(entity_type, seq) entity_type, any_value(split_part(ts, ',', 1) || ',all' || case when contains(ts, ',') then substr(ts, strpos(ts, ',')) else '' end) tags,
         arg_max(summary, length(summary)::hugeint * 100000000 - seq) summary, arg_min(source_chunk_id, seq) source_chunk_id from raw join t using (book_id, name_key) group by 1, 2""",
@@ -350,6 +392,8 @@ ORACLES = {
     "latest_session": """with r as (select user_id conversation_id, event_type book_id, event_id session_id, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) k from events)
       select conversation_id, book_id, session_id from r where k = 1""",
     "upsert_rows": "select c_custkey, case when c_custkey % 10 = 0 then 'new' else c_name end c_name from customer union all select -1, 'added'",
+    "upsert_repeats": """with c as (select case when c_custkey % 20 <> 0 then c_custkey end k, c_name n from customer), o as (select case when o_custkey % 20 <> 0 then o_custkey end k, o_orderkey q from orders)
+      select k c_custkey, n c_name from c where not exists (select 1 from o where o.k is not distinct from c.k) union all select k, 'order ' || max(q) from o group by k""",
     "merge_metadata": """select source book, arg_max(lang, doc_id) filter (doc_id % 3 <> 0) as "language", coalesce(arg_max(text, doc_id) filter (doc_id % 7 = 0 and trim(text) <> ''), '') title from documents group by 1""",
     "manifest_upsert": f"""with {_MANIFEST}, c as (select doc_id book_id, 'chunk' index_type, case when doc_id % 8 = 0 then 'failed' else 'built' end status from documents where doc_id % 2 = 0)
       select book_id, index_type, status, "count", "error", built_at, created_at from m where not (index_type = 'chunk' and book_id % 2 = 0)

@@ -79,7 +79,7 @@ def tree_replay(spark, d):
 
 def tree_summary(spark, d):
     few = build_tree(spark, d)
-    return summary.summarise_tree(few, model.books(spark, d), models.summarise).groupBy("book_id").agg(F.count("*").alias("n"))
+    return summary.summarise_tree(few, model.books(spark, d), models.summarise)
 
 
 def _lines(spark, d):
@@ -135,6 +135,9 @@ paths as (select n.*, case when n.seq = 0 then '000000' when n.up = 0 then '0000
 _DOC_LINES = """l0 as (select doc_id book_id, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
 l as (select book_id, (sum(length(line) + 1) over (partition by book_id order by i) - length(line) - 1)::bigint content_offset, length(line)::bigint content_length, (i - 1)::integer page_index from l0)"""
 _NODE = "id, book_id, parent_id, level, order_index, title, title_offset::bigint title_offset, title_length::bigint title_length, content_offset::bigint content_offset, content_length::bigint content_length"
+#: The first two sentences of a text, and a node's own text with the lines of its children.
+_FIRST = "trim(array_to_string(regexp_extract_all({}, '[^.。!?]*[.。!?]|[^.。!?]+$')[1:2], ''))"
+_SUMMED = "concat_ws(chr(10) || chr(10), case when trim(body) <> '' then body end, below)"
 
 ORACLES = {
     "heading_scan": f"with {_LINES} select book_id, off0 line_offset, raw::integer raw_level, title, lv::integer level from k",
@@ -158,7 +161,13 @@ ORACLES = {
       select problem, count(*) n from v group by problem""",
     "tree_valid": "select doc_id book_id, '' id, '' problem from documents where false",
     "toc_items": """select doc_id, text as title, greatest(doc_id % 4 - 1, 1)::integer level from documents where trim(text) <> ''""",
-    "tree_summary": f"with {_LINES} select book_id, count(*) n from nodes group by book_id",
+    "tree_summary": f"""with {_LINES}, own as (select n.*, substr(b.text, n.content_offset::bigint + 1, n.content_length::bigint) body from nodes n join books b using (book_id)),
+      s2 as (select *, {_FIRST.format("case when trim(body) <> '' then body else '' end")} s from own where level = 2),
+      b1 as (select parent_id, string_agg('[' || title || '] ' || s, chr(10) order by order_index) below from s2 where s <> '' group by 1),
+      s1 as (select o.*, {_FIRST.format(_SUMMED)} s from own o left join b1 b on b.parent_id = o.id where level = 1),
+      b0 as (select parent_id, string_agg('[' || title || '] ' || s, chr(10) order by order_index) below from (select * from s2 union all select * from s1) where s <> '' group by 1),
+      s0 as (select o.*, {_FIRST.format(_SUMMED)} s from own o left join b0 b on b.parent_id = o.id where level = 0)
+      select book_id, id node_id, s summary from (select * from s2 union all select * from s1 union all select * from s0) where s <> ''""",
     "offset_lookup": f"""with {_DOC_LINES}, q as (select doc_id book_id, k * length(text) // 10 as "offset" from documents, (select unnest(generate_series(0, 9)) k))
       select q.book_id, q."offset"::bigint as "offset", l.content_offset, l.page_index from q join l on l.book_id = q.book_id and l.content_offset <= q."offset" and l.content_offset + l.content_length > q."offset" """,
     "page_lookup": f"with {_DOC_LINES} select book_id, content_offset, content_length from l where book_id = 7 and page_index = 1",

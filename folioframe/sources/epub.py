@@ -62,7 +62,7 @@ def read_book(data: bytes) -> tuple[dict, str, list[tuple]]:
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row for each .epub file below a path; book_id is the sha256 of the file. A file that cannot be read has
-    its error and no text."""
+    its error and no text; Spark's reader passes over files of no bytes."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.epub").load(path)
     return parse(files.select("path", "content"))
 
@@ -75,7 +75,7 @@ def parse(files: DataFrame) -> DataFrame:
                 try:
                     meta, text, mappings = read_book(data)
                     rows.append((meta["title"], meta["author"], meta["language"], meta["publisher"], meta["isbn"], meta["description"], text, mappings, ""))
-                except (KeyError, StopIteration, zipfile.BadZipFile, ElementTree.ParseError, UnicodeDecodeError) as e:
+                except Exception as e:  # whatever a broken or encrypted file does, it is that file's error
                     rows.append(("", "", "", "", "", "", "", [], f"{type(e).__name__}: {e}"))
             out = pd.DataFrame(rows, columns=["title", "author", "language", "publisher", "isbn", "description", "text", "mappings", "error"], dtype=object)
             names = [m.split(":")[0] for m in MAPPING.split(",")]

@@ -24,25 +24,43 @@ def plan_batches(books: DataFrame, pages: str = "pages", most: int = PAGES) -> D
         "stop", F.least(F.col("first") + most, F.col(pages)))
 
 
-def unpack(data: bytes) -> tuple[str, str]:
-    """(markdown, layout JSON): the first .md file of a result archive and its layout or middle JSON."""
+def unpack(data: bytes) -> tuple[str, str, str]:
+    """(markdown, layout JSON, errors): of a result archive the first .md file and the last layout or middle JSON that can
+    be read; what cannot be read is told in errors, and an archive that is none has neither."""
     markdown = layout = ""
-    with zipfile.ZipFile(io.BytesIO(data)) as z:
-        for name in z.namelist():
-            low = name.lower()
-            if low.endswith(".md") and not markdown:
-                markdown = z.read(name).decode("utf-8", "replace")
-            elif low.endswith(".json") and ("layout" in low or "middle" in low) and not layout:
-                layout = z.read(name).decode("utf-8", "replace")
-    return markdown, layout
+    errors = []
+    try:
+        with zipfile.ZipFile(io.BytesIO(data)) as z:
+            for name in z.namelist():
+                low = name.lower()
+                try:
+                    if low.endswith(".md") and not markdown:
+                        markdown = z.read(name).decode("utf-8", "replace")
+                    elif low.endswith(".json") and ("layout" in low or "middle" in low):
+                        found = z.read(name).decode("utf-8", "replace")
+                        json.loads(found)
+                        layout = found
+                except Exception as e:  # a member that is broken or encrypted
+                    errors.append(f"{name}: {type(e).__name__}: {e}")
+    except Exception as e:
+        errors.append(f"{type(e).__name__}: {e}")
+    return markdown, layout, "; ".join(errors)
 
 
 def unpacked(archives: DataFrame) -> DataFrame:
-    """archives(content, ...) with markdown and layout."""
-    @F.udf("struct<markdown:string,layout:string>")
+    """archives(content, ...) with markdown, layout and error, which is empty where all could be read."""
+    @F.udf("struct<markdown:string,layout:string,error:string>")
     def run(data):
-        return unpack(bytes(data))
-    return archives.withColumn("_u", run("content")).withColumns({"markdown": F.col("_u.markdown"), "layout": F.col("_u.layout")}).drop("_u", "content")
+        return unpack(bytes(data or b""))
+    return archives.withColumn("_u", run("content")).withColumns({k: F.col(f"_u.{k}") for k in ("markdown", "layout", "error")}).drop("_u", "content")
+
+
+def read_layout(layout: str | None) -> tuple[list[tuple], str]:
+    """(spans, error) of layout JSON; none and empty have neither."""
+    try:
+        return spans(json.loads(layout)) if layout else [], ""
+    except Exception as e:  # no JSON, or values of other kinds than a layout has
+        return [], f"{type(e).__name__}: {e}"
 
 
 def _below(blocks) -> list:
@@ -105,14 +123,34 @@ def _flat(df: DataFrame, keys: list[str], schema: str, rows) -> DataFrame:
     return df.mapInPandas(run, ", ".join([f"{k} {kinds[k]}" for k in keys] + [schema]))
 
 
-def layout_spans(books: DataFrame, key: str = "book_id", layout: str = "layout") -> DataFrame:
-    """(key, page_index, x0, y0, x1, y1, content) of books' layout JSON."""
-    return _flat(books.select(key, layout), [key], SPAN, lambda r: spans(json.loads(r[layout])) if r[layout] else [])
+def _by_mode(errors: str, found: list[tuple], error: str, width: int) -> list[tuple]:
+    if error and errors == "fail":
+        raise ValueError(error)
+    return [(*([None] * width), error)] if error and errors == "keep" else [(*x, "") for x in found]
+
+
+def _mode(errors: str) -> str:
+    if errors not in ("drop", "keep", "fail"):
+        raise ValueError("errors is drop, keep or fail")
+    return errors
 
 
-def span_mappings(books: DataFrame, key: str = "book_id") -> DataFrame:
-    """Mappings of batches(key, batch, first, markdown, layout): offsets run over a book's batches in order, which are
-    joined by nothing; pages over its pages."""
+def layout_spans(books: DataFrame, key: str = "book_id", layout: str = "layout", errors: str = "drop") -> DataFrame:
+    """(key, page_index, x0, y0, x1, y1, content, error) of books' layout JSON. A layout that cannot be read has no row
+    (drop), one row with nothing but its error (keep), or ends the job (fail)."""
+    _mode(errors)
+    return _flat(books.select(key, layout), [key], SPAN + ", error string", lambda r: _by_mode(errors, *read_layout(r[layout]), 6))
+
+
+def span_mappings(books: DataFrame, key: str = "book_id", errors: str = "drop") -> DataFrame:
+    """Mappings, with error, of batches(key, batch, first, markdown, layout): offsets run over a book's batches in order,
+    which are joined by nothing; pages over its pages. A layout that cannot be read is handled as in layout_spans; its
+    text counts for the offsets of the batches after it."""
+    _mode(errors)
     before = F.coalesce(F.expr(f"sum(length(markdown)) over (partition by {key} order by batch rows between unbounded preceding and 1 preceding)"), F.lit(0))
     rows = books.withColumn("base", before).select(key, "base", "first", "markdown", "layout")
-    return _flat(rows, [key], MAPPING, lambda r: locate(spans(json.loads(r["layout"])), r["markdown"], int(r["base"]), int(r["first"])) if r["layout"] else [])
+
+    def located(r) -> list[tuple]:
+        found, error = read_layout(r["layout"])
+        return _by_mode(errors, locate(found, r["markdown"] or "", int(r["base"]), int(r["first"])), error, 7)
+    return _flat(rows, [key], MAPPING + ", error string", located)
