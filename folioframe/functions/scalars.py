@@ -117,9 +117,11 @@ def entity_type(c: Column) -> Column:
 
 
 def salvage_json(c: Column) -> Column:
-    """The text from the first { to the last } if it is JSON, else null."""
+    """The text from the first { to the last } if it is one JSON value, else null. It is read inside brackets, as the parser
+    passes over what stands after a value."""
     body = F.regexp_extract(c, r"(?s)\{.*\}", 0)
-    return F.when(F.try_parse_json(body).isNotNull() & (body != ""), body)
+    listed = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]")))
+    return F.when(listed.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull() & (body != ""), body)
 
 
 def duration(seconds: Column) -> Column:

@@ -4,12 +4,15 @@ Any function from a column to a column can take their place."""
 
 import re
 import zlib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.functions.scalars import salvage_json
+
 DIMENSIONS = 64
 _WORD = re.compile(r"\w+")
 _NAME = re.compile(r"\b[A-Z][\w'-]+(?:\s+[A-Z][\w'-]+)*")
@@ -52,16 +55,86 @@ def summarise(text: Column, sentences: int = 2) -> Column:
     return F.trim(F.array_join(F.slice(found, 1, sentences), ""))
 
 
-def metadata(text: Column) -> Column:
-    """title and author from leading lines of the form "Title: ..."."""
-    line = lambda name: F.trim(F.regexp_extract(text, rf"(?im)^\s*{name}\s*:\s*(.+)$", 1))
-    return F.struct(line("title").alias("title"), line("author").alias("author"), line("language").alias("language"))
+#: Fields that a book's metadata should have, and what else an answer may tell.
+FIELDS, EXTRAS = ("title", "author", "language", "publisher", "description"), "extras"
+ANSWER = ", ".join(f"{f} string" for f in FIELDS) + f", {EXTRAS} map<string,string>"
+GRAPH_ANSWER = ("entities array<struct<name:string,entity_type:string,tags:array<string>,summary:string>>, "
+                "relationships array<struct<source_name:string,target_name:string,relation_type:string,summary:string,claims:array<string>>>")
 
 
-def extract_metadata(docs, key: str = "book_id", text: str = "text"):
-    """(key, title, author, language) of each text, from its first fragments, the last non-blank value of a field."""
-    from folioframe.operators.tables import merge_metadata
-    from folioframe.operators.text import metadata_fragments
+def parsed(answer: Column, schema: str) -> Column:
+    """A model's answer as a struct of the schema's fields: what stands around the outermost braces, such as fences, is cut
+    off; null where the rest is no JSON object of this shape. Fields that are missing are null."""
+    body = salvage_json(answer)
+    found = F.from_json(body, schema + ", broken string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"})
+    return F.when(body.isNotNull() & found["broken"].isNull(), found)
+
+
+def answer_metadata(fragment: Column) -> Column:
+    """A stand-in's answer about a fragment: the values of lines "Field: ..." in it as JSON, in fences; without any such
+    line it is no JSON."""
+    line = lambda name: F.nullif(F.trim(F.regexp_extract(fragment, rf"(?im)^\s*{name}\s*:\s*(.+)$", 1)), F.lit(""))
+    some = F.struct(*[line(f).alias(f) for f in FIELDS], F.when(line("series").isNotNull(), F.create_map(F.lit("series"), line("series"))).alias(EXTRAS))
+    return F.when(F.to_json(some) == "{}", "nothing found").otherwise(F.concat(F.lit("Here it is:\n```json\n"), F.to_json(some), F.lit("\n```")))
 
-    found = metadata_fragments(docs, key, text).withColumn("m", metadata(F.col("fragment_text"))).select(key, "fragment", "m.*")
-    return merge_metadata(found, key, "fragment", ["title", "author", "language"])
+
+def metadata_rounds(docs: DataFrame, ask=answer_metadata, key: str = "book_id", text: str = "text", rounds: int = 3, fields: tuple[str, ...] = FIELDS) -> DataFrame:
+    """(key, *fields, extras, rounds, failures, stopped): each round asks about the next fragment of every book that is not
+    complete yet, and only of those. The last non-blank value of a field counts, of extras those of later answers win,
+    an answer that cannot be read is a failure. stopped is `complete`, `rounds` or `text`, where a book has no more text.
+
+    Defined cases: a book without text is asked once, about an empty fragment; null values and blanks do not count."""
+    from folioframe.operators.text import metadata_fragments
+    from folioframe.sources.files import Rounds
+
+    saved = Rounds(docs.sparkSession, "metadata").save
+    fragments = metadata_fragments(docs, key, text, most=rounds)
+    parts = saved(fragments.withColumn("_of", F.lit(1)), "fragments")
+    number = parts.groupBy(key).agg(F.count("*").alias("_parts"))
+    empty = [F.lit("").alias(f) for f in fields]
+    now = number.select(key, "_parts", *empty, F.create_map().cast("map<string,string>").alias(EXTRAS), F.lit(0).alias("rounds"), F.lit(0).alias("failures"))
+    complete = reduce(Column.__and__, [F.col(f) != "" for f in fields])
+    done = None
+    for i in range(rounds):
+        part = parts.filter(F.col("fragment") == i).select(key, parsed(ask(F.col("fragment_text")), ANSWER).alias("_x"))
+        asked = now.join(part, key)
+        said = lambda f: F.nullif(F.trim(F.coalesce(F.col(f"_x.{f}"), F.lit(""))), F.lit(""))
+        extras = F.coalesce(F.map_filter(F.col(f"_x.{EXTRAS}"), lambda k, v: v.isNotNull() & (F.trim(v) != "")), F.create_map().cast("map<string,string>"))
+        step = asked.select(key, "_parts", *[F.coalesce(said(f), F.col(f)).alias(f) for f in fields], merged_maps(F.col(EXTRAS), extras).alias(EXTRAS),
+                            (F.col("rounds") + 1).alias("rounds"), (F.col("failures") + F.col("_x").isNull().cast("int")).alias("failures"))
+        step = saved(step.withColumn("stopped", F.when(complete, "complete").when(F.lit(i + 1) == rounds, "rounds").when(F.col("_parts") <= i + 1, "text")), f"round{i}")
+        ended = step.filter("stopped is not null").drop("_parts")
+        done = ended if done is None else done.unionByName(ended)
+        now = step.filter("stopped is null").drop("stopped")
+    return done
+
+
+def merged_maps(left: Column, right: Column) -> Column:
+    return F.map_concat(F.map_filter(left, lambda k, _: ~F.array_contains(F.map_keys(right), k)), right)
+
+
+def extract_metadata(docs: DataFrame, key: str = "book_id", text: str = "text") -> DataFrame:
+    """(key, title, author, language) of each text by the stand-in's answers."""
+    return metadata_rounds(docs, key=key, text=text).select(key, "title", "author", "language")
+
+
+def answered_graph(chunks: DataFrame, ask) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(entities, relationships, failures) of chunks(book_id, chunk_id, node_id, chunk_text) by a model's answers, which ask
+    makes of a chunk's text. Entities have the columns that graph.merge_by_name takes; blank names and relations with a
+    blank end drop out, types that are not known are as they are, and null lists are empty. failures(book_id, chunks,
+    failed) counts the chunks of each book whose answer could not be read."""
+    from folioframe.functions.scalars import strip
+    from folioframe.sources.files import Rounds
+
+    said = chunks.select("book_id", "chunk_id", "node_id", parsed(ask(F.col("chunk_text")), GRAPH_ANSWER).alias("x"))
+    said = Rounds(chunks.sparkSession, "answers").save(said, "said")
+    text = lambda c: F.coalesce(strip(F.col(c)), F.lit(""))
+    e = said.select("book_id", "chunk_id", "node_id", F.posexplode("x.entities").alias("i", "e"))
+    entities = e.select("book_id", F.struct("chunk_id", "i").alias("seq"), text("e.name").alias("name"), F.when(text("e.entity_type") == "", "Unknown").otherwise(text("e.entity_type")).alias("entity_type"),
+                        F.filter(F.coalesce("e.tags", F.array().cast("array<string>")), lambda t: t.isNotNull() & (F.trim(t) != "")).alias("tags"), text("e.summary").alias("summary"),
+                        F.col("chunk_id").alias("source_chunk_id"), F.col("node_id").alias("source_node_id")).filter("name <> ''")
+    r = said.select("book_id", "chunk_id", "node_id", F.explode("x.relationships").alias("r"))
+    relations = r.select("book_id", F.col("chunk_id").alias("source_chunk_id"), F.col("node_id").alias("source_node_id"), text("r.source_name").alias("source_name"), text("r.target_name").alias("target_name"),
+                         text("r.relation_type").alias("relation_type"), text("r.summary").alias("summary"), F.coalesce("r.claims", F.array().cast("array<string>")).alias("claims")).filter("source_name <> '' and target_name <> ''")
+    failures = said.groupBy("book_id").agg(F.count("*").alias("chunks"), F.sum(F.col("x").isNull().cast("long")).alias("failed"))
+    return entities, relations, failures

@@ -20,10 +20,15 @@ def merge_by_name(raw: DataFrame) -> DataFrame:
     """One entity for each name of raw(book_id, seq, name, entity_type, tags, summary, source_chunk_id, source_node_id):
     the first row's fields, all tags in order of appearance, and the longest summary, the first of equal length."""
     first = lambda c: F.min_by(c, "seq").alias(c)
-    tags = F.array_distinct(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("seq", "tags"))), lambda x: x["tags"])))
-    merged = raw.withColumn("name_key", name_key(F.col("name"))).groupBy("book_id", "name_key").agg(
-        first("name"), first("entity_type"), tags.alias("tags"), F.max_by("summary", F.struct(F.length("summary"), -F.col("seq"))).alias("summary"),
+    raw = raw.withColumn("name_key", name_key(F.col("name")))
+    #: Each tag of a name once before they meet, where it comes first.
+    places = raw.select("book_id", "name_key", "seq", F.posexplode("tags").alias("_i", "tag")).groupBy("book_id", "name_key", "tag").agg(F.min(F.struct("seq", "_i")).alias("at"))
+    tags = places.groupBy("book_id", "name_key").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "tag"))), lambda x: x["tag"]).alias("tags"))
+    merged = raw.groupBy("book_id", "name_key").agg(
+        first("name"), first("entity_type"), F.max_by("summary", F.struct(F.length("summary"), -F.col("seq"))).alias("summary"),
         first("source_chunk_id"), first("source_node_id"))
+    same = merged["book_id"].eqNullSafe(tags["book_id"]) & merged["name_key"].eqNullSafe(tags["name_key"])
+    merged = merged.join(tags, same, "left").select(merged["book_id"], merged["name_key"], "name", "entity_type", F.coalesce("tags", F.array().cast(raw.schema["tags"].dataType)).alias("tags"), "summary", "source_chunk_id", "source_node_id")
     return merged.withColumn("id", gen_id(F.col("book_id"), F.col("name_key"), prefix="ent_"))
 
 
@@ -94,7 +99,7 @@ def entity_first(edges: DataFrame, seeds: DataFrame, max_hop: int = 2) -> DataFr
     its smallest hop; only seeds keep their score. relationships are all incident edges, by id.
 
     A round is one join of the new entities with their edges, less those seen."""
-    ends = incident(edges).persist()
+    ends = incident(edges)
     front = seeds.groupBy("entity_id").agg(F.max("score").alias("score")).withColumn("hop", F.lit(0))
     seen = front
     for hop in range(1, max_hop + 1):

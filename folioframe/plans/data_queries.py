@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from folioframe import models
-from folioframe.operators import cas, convo, graph, lookups, progress, tables, text, usage, vector, vectorindex
+from folioframe.operators import cas, convo, graph, lookups, progress, retrieval, tables, text, usage, vector, vectorindex
 from folioframe.plans import model
 from folioframe.sources.files import shared_dir, table
 
@@ -89,6 +89,35 @@ def relationship_first(spark, d):
     return graph.relationship_first(e, seeds)
 
 
+def _part_queries(spark, d):
+    """A query for each of the first thousand parts, and one more seed for some."""
+    p = table(spark, d, "part").filter("p_partkey <= 1000").select(F.col("p_partkey").alias("query"), F.concat(F.lit("p"), "p_partkey").alias("entity_id"), F.lit(0.5).alias("score"))
+    return p.unionByName(p.filter("query % 9 = 0").withColumn("entity_id", F.concat(F.lit("p"), F.col("query") + 1)))
+
+
+def entity_first_many(spark, d):
+    e = model.edges(spark, d)
+    found = retrieval.degrees(retrieval.entity_first(e, _part_queries(spark, d), 2), e)
+    number = F.substring("entity_id", 2, 20).cast("long")
+    return found.groupBy("query", "hop").agg(F.count("*").alias("entities"), F.sum("n_edges").alias("edges"), F.sum("score").alias("score"), F.min("entity_id").alias("first"), F.max("entity_id").alias("last"),
+                                             F.sum(number).alias("numbers"), F.sum(number * number).alias("squares"))
+
+
+def relationship_first_many(spark, d):
+    """For each supplier its first five deliveries and what is around them."""
+    e = model.edges(spark, d)
+    first = graph.Window.partitionBy("query").orderBy("id")
+    seeds = e.select(F.col("source_entity_id").alias("query"), "id").withColumn("rank", F.row_number().over(first)).filter("rank <= 5").withColumn("score", F.lit(0.5))
+    return retrieval.relationship_first(e, seeds)
+
+
+def text_first_many(spark, d):
+    """A text search for each nation: suppliers by the digits of their names."""
+    q = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"), F.concat(F.lit("SUPPLIER#0000000"), F.col("n_nationkey") % 10).alias("text"))
+    e = model.edges(spark, d)
+    return retrieval.degrees(retrieval.text_first(model.entities(spark, d), e, q, 7), e)
+
+
 def fts_entity(spark, d):
     return graph.fts_first(model.entities(spark, d), model.edges(spark, d), "supplier#00000000", 10).select("entity_id", "hop", "score", F.coalesce(F.size("relationships"), F.lit(0)).alias("n_edges"))
 
@@ -286,6 +315,44 @@ def extract_metadata(spark, d):
     return models.extract_metadata(model.docs(spark, d).select(F.col("doc_id").alias("book_id"), body.alias("text"))).select("book_id", "title", "author")
 
 
+def _told(spark, d):
+    """Books that tell about themselves, some at the start and some at the end of their texts."""
+    n = F.col("doc_id")
+    start = F.concat(F.when(n % 2 == 0, F.concat(F.lit("Title: T"), n, F.lit("\n"))).otherwise(""), F.when(n % 3 == 0, F.concat(F.lit("Series:  S"), n % 5, F.lit(" \n"))).otherwise(""))
+    end = F.concat(F.lit("\nTitle: U"), n, F.lit("\nauthor : A"), n % 7, F.lit("\nLanguage: "), "lang", F.lit("\nPublisher: "), "source", F.when(n % 4 > 0, "\nDescription: some").otherwise(""))
+    return model.docs(spark, d).select(n.alias("book_id"), F.concat(start, "text", end).alias("text"))
+
+
+def metadata_rounds(spark, d):
+    """Rounds of questions about each book, with some answers that are cut off."""
+    ask = lambda c: F.when(F.length(c) % 7 == 0, '```json\n{"title": "cut').otherwise(models.answer_metadata(c))
+    found = models.metadata_rounds(_told(spark, d), ask)
+    return found.select("book_id", *models.FIELDS, F.coalesce(F.element_at("extras", F.lit("series")), F.lit("")).alias("series"), "rounds", "failures", "stopped")
+
+
+def _answered(spark, d):
+    """Documents as chunks and, in their text, the answers of a model: in fences, bare, with blank names, or broken."""
+    n = F.col("doc_id")
+    entity = F.struct(F.when(n % 4 == 0, " ").otherwise(F.concat(F.lit(" "), "source")).alias("name"), F.when(n % 6 > 0, F.col("lang")).alias("entity_type"), F.array(F.col("lang"), F.lit(" ")).alias("tags"), F.col("text").alias("summary"))
+    relation = F.struct(F.col("source").alias("source_name"), F.when(n % 3 > 0, F.concat(F.lit("src"), n % 9)).alias("target_name"), F.lit("near").alias("relation_type"))
+    answer = F.to_json(F.struct(F.array(entity, F.struct(F.lit("Zoë").alias("name"), F.lit(None).cast("string").alias("entity_type"), F.lit(None).cast("array<string>").alias("tags"), F.lit(None).cast("string").alias("summary"))).alias("entities"),
+                                F.array(relation).alias("relationships")))
+    told = F.when(n % 5 == 0, F.concat(answer, F.lit("}"))).when(n % 5 == 1, F.concat(F.lit("So:\n```json\n"), answer, F.lit("\n```"))).when(n % 5 == 2, F.lit('{"entities": 7}')).otherwise(answer)
+    return model.docs(spark, d).select(F.col("lang").alias("book_id"), n.cast("string").alias("chunk_id"), F.lit("").alias("node_id"), told.alias("chunk_text"))
+
+
+def answered_entities(spark, d):
+    return models.answered_graph(_answered(spark, d), lambda c: c)[0].select("book_id", "source_chunk_id", "name", "entity_type", F.array_join("tags", ",").alias("tags"), F.length("summary").alias("n"))
+
+
+def answered_relations(spark, d):
+    return models.answered_graph(_answered(spark, d), lambda c: c)[1].select("book_id", "source_chunk_id", "source_name", "target_name", "relation_type")
+
+
+def answer_failures(spark, d):
+    return models.answered_graph(_answered(spark, d), lambda c: c)[2]
+
+
 def edges_of_any(spark, d):
     ids = table(spark, d, "supplier").filter("s_suppkey < 5").select(F.concat(F.lit("s"), "s_suppkey").alias("entity_id"))
     return lookups.edges_of_any(model.edges(spark, d), ids.unionByName(spark.createDataFrame([("p7",)], "entity_id string"))).select("id", "target_entity_id")
@@ -316,6 +383,18 @@ _TOK = "greatest(1, length(text) // 4)"
 
 ORACLES = {
     "extract_metadata": "select doc_id book_id, 'T' || doc_id title, source author from documents",
+    "metadata_rounds": """with b as (select doc_id book_id, case when doc_id % 2 = 0 then 'Title: T' || doc_id || chr(10) else '' end || case when doc_id % 3 = 0 then 'Series:  S' || (doc_id % 5) || ' ' || chr(10) else '' end || text
+        || chr(10) || 'Title: U' || doc_id || chr(10) || 'author : A' || (doc_id % 7) || chr(10) || 'Language: ' || lang || chr(10) || 'Publisher: ' || source || case when doc_id % 4 > 0 then chr(10) || 'Description: some' else '' end as t from documents),
+      f as (select book_id, i, least(3, greatest(1, ceil(length(t) / 2000.0)))::integer parts, substr(t, i * 2000 + 1, 2000) x from b, (select unnest(generate_series(0, 2)) i) where i = 0 or i * 2000 < length(t)),
+      s as (select book_id, i, parts, length(x) % 7 = 0 cut, """ + ", ".join(f"nullif(trim(regexp_extract(x, '(?im)^\\s*{k}\\s*:\\s*(.+)$', 1)), '') {k}_" for k in (*models.FIELDS, "series")) + """ from f),
+      a as (select book_id, i, parts, """ + ", ".join(f"case when not cut then {k}_ end {k}_" for k in (*models.FIELDS, "series")) + ", (cut or (" + " and ".join(f"{k}_ is null" for k in (*models.FIELDS, "series")) + """))::integer failed from s),
+      c as (select book_id, i, parts, """ + ", ".join(f"coalesce(last_value({k}_ ignore nulls) over w, '') {k}" for k in (*models.FIELDS, "series")) + """, sum(failed) over w failures from a window w as (partition by book_id order by i)),
+      e as (select *, case when """ + " and ".join(f"{k} <> ''" for k in models.FIELDS) + """ then 'complete' when i = 2 then 'rounds' when i + 1 = parts then 'text' end stopped from c)
+      select book_id, title, author, "language", publisher, description, series, (i + 1)::integer rounds, failures::integer failures, stopped from e where stopped is not null qualify row_number() over (partition by book_id order by i) = 1""",
+    "answered_entities": """select lang book_id, doc_id::varchar source_chunk_id, source as name, case when doc_id % 6 > 0 then lang else 'Unknown' end entity_type, lang tags, length(trim(text)) n from documents where doc_id % 5 in (1, 3, 4) and doc_id % 4 > 0
+      union all select lang, doc_id::varchar, 'Zoë', 'Unknown', '', 0 from documents where doc_id % 5 in (1, 3, 4)""",
+    "answered_relations": "select lang book_id, doc_id::varchar source_chunk_id, source source_name, 'src' || (doc_id % 9) target_name, 'near' relation_type from documents where doc_id % 5 in (1, 3, 4) and doc_id % 3 > 0",
+    "answer_failures": "select lang book_id, count(*) chunks, count(*) filter (doc_id % 5 in (0, 2)) failed from documents group by 1",
     "edges_of_any": f"with {model.EDGES} select id, target_entity_id from edges where source_entity_id in ('s0', 's1', 's2', 's3', 's4') or target_entity_id = 'p7'",
     "book_ids": "select doc_id id from documents",
     "books_with_chunk_index": f"with {_MANIFEST} select book_id from m where index_type = 'chunk' and status = 'built'",
@@ -350,6 +429,23 @@ ORACLES = {
     "entity_first": f"""with recursive {model.EDGES}, walk(e, hop) as (select * from (values ('s1', 0), ('p7', 0)) union select ends.b, hop + 1 from walk join ends on ends.a = walk.e where hop < 2),
       m as (select e, min(hop) hop from walk group by e)
       select e entity_id, hop::integer hop, case e when 's1' then 0.9::double when 'p7' then 0.8::double else 0.0::double end score, count(ends.id)::integer n_edges from m left join ends on ends.a = m.e group by all""",
+    "entity_first_many": f"""with recursive {model.EDGES}, pairs as (select distinct a, b from ends),
+      seeds as (select p_partkey query, 'p' || p_partkey e from part where p_partkey <= 1000 union select p_partkey, 'p' || (p_partkey + 1) from part where p_partkey <= 1000 and p_partkey % 9 = 0),
+      walk(query, e, hop) as (select query, e, 0 from seeds union select query, b, hop + 1 from walk join pairs on a = e where hop < 2),
+      m as (select query, e, min(hop) hop from walk group by all), n as (select a, count(*) n from (select distinct a, id from ends) group by a)
+      select query, hop::integer hop, count(*) entities, sum(coalesce(n, 0))::bigint edges, sum(case when hop = 0 then 0.5::double else 0.0::double end) score, min(e) as first, max(e) as last,
+        sum(substr(e, 2)::bigint)::bigint numbers, sum(substr(e, 2)::bigint * substr(e, 2)::bigint)::bigint squares from m left join n on a = e group by query, hop""",
+    "relationship_first_many": f"""with {model.EDGES}, seeds as (select source_entity_id query, id, row_number() over (partition by source_entity_id order by id) rank from edges qualify rank <= 5),
+      hit as (select query, rank, e.* from seeds join edges e using (id)),
+      visited as (select query, via, min(rank * 2 + nth) spot from (select query, rank, 0 nth, source_entity_id via from hit union all select query, rank, 1, target_entity_id from hit) group by all),
+      firsts as (select a, b, id, row_number() over (partition by a order by id) n from ends qualify n <= 3)
+      select query, rank::integer rank, 0 place, id, 0.5::double score, 0 hop, null::varchar via, null::varchar other_id from hit
+      union all select v.query, (v.spot // 2)::integer, ((v.spot % 2) * 3 + n)::integer, id, 0.0::double, 1, v.via, b from visited v join firsts on a = v.via left join visited o on o.query = v.query and o.via = b where o.spot is null or o.spot > v.spot""",
+    "text_first_many": f"""with {model.EDGES}, {model.ENTITIES}, q as (select n_nationkey query, 'supplier#0000000' || (n_nationkey % 10) t from nation),
+      hit as (select query, id, row_number() over (partition by query order by id) k from q join entities on contains(lower(name), t) or contains(lower(summary), t) qualify k <= 7),
+      near as (select distinct query, b from hit join ends on a = hit.id), found as (select query, id e, 0 hop, 1.0::double score from hit union all select query, b, 1, 0.0::double from near where not exists (select 1 from hit where hit.query = near.query and hit.id = near.b)),
+      n as (select a, count(*) n from (select distinct a, id from ends) group by a)
+      select query, e entity_id, hop::integer hop, score, coalesce(n, 0) n_edges from found left join n on a = e""",
     "fts_entity": f"""with {model.EDGES}, {model.ENTITIES}, hit as (select id from entities where contains(lower(name), 'supplier#00000000') or contains(lower(summary), 'supplier#00000000') order by id limit 10),
       near as (select distinct b id from ends where a in (select id from hit) and b not in (select id from hit)), c as (select a, count(*) n from ends group by a)
       select id entity_id, 0 as hop, 1.0::double score, coalesce(n, 0)::integer n_edges from hit left join c on c.a = id

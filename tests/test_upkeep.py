@@ -284,3 +284,65 @@ def test_ties_and_equal_vectors(spark, tmp_path):
     index.upsert(spark.createDataFrame([], VECTORS))
     index.delete(spark.createDataFrame([(i,) for i in range(60)], "id long"))
     assert index.nearest(spark.createDataFrame(queries, "query long, vector array<double>"), 5).count() == 0
+
+
+# ---------------------------------------------------------------- answers and retrieval
+
+def test_answers_are_salvaged(spark):
+    from folioframe import models
+
+    rows = ['```json\n{"title": "a", "extras": {"x": "1"}}\n```', '{"title": "a"}}', '{"title": "a"}, {"title": "b"}', '{"title": {"b": 1}}', '{"extras": 5}', "none", "", None, '{"title": null}', 'so {"author": "q"} it is']
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, a string")
+    got = {r.i: r.x for r in df.select("i", models.parsed(df.a, models.ANSWER).alias("x")).collect()}
+    assert {i for i, x in got.items() if x is not None} == {0, 3, 8, 9} and got[0].title == "a" and got[0].extras == {"x": "1"} and got[9].author == "q"
+
+
+def test_rounds_stop(spark):
+    from pyspark.sql import functions as F
+
+    from folioframe import models
+
+    docs = spark.createDataFrame([("full", "A" * 100), ("late", "B" * 2000 + "A" * 10), ("never", "C" * 9000), ("none", None)], "book_id string, text string")
+    whole = '{"title": "t", "author": "a", "language": "l", "publisher": "p", "description": "d"}'
+    ask = lambda c: F.when(c.startswith("A"), whole).when(c.startswith("B"), '{"title": "old", "author": " ", "extras": {"k": "v", "e": ""}}').otherwise("{broken")
+    got = {r.book_id: r for r in models.metadata_rounds(docs, ask).collect()}
+    assert {k: (r.rounds, r.failures, r.stopped, r.title) for k, r in got.items()} == {
+        "full": (1, 0, "complete", "t"), "late": (2, 0, "complete", "t"), "never": (3, 3, "rounds", ""), "none": (1, 1, "text", "")}
+    assert got["late"].extras == {"k": "v"} and models.metadata_rounds(docs.limit(0), ask).count() == 0
+
+
+EDGE = "id string, source_entity_id string, target_entity_id string, relation_type string, summary string, source_chunk_id string"
+
+
+@pytest.mark.parametrize("share", [3, 4096])
+def test_many_queries_equal_one_by_one(spark, share):
+    from folioframe.operators import graph, retrieval
+
+    rng = random.Random(9)
+    ends = [(rng.choice(["hub", f"n{rng.randrange(60)}"]), f"n{rng.randrange(60)}") for _ in range(150)] + [("loop", "loop"), ("n1", "n2"), ("n1", "n2")]
+    edges = spark.createDataFrame([(f"e{i:03d}", a, b, "r", "s", "c") for i, (a, b) in enumerate(ends)], EDGE)
+    seeds = [(q, f"n{rng.randrange(60)}", rng.random()) for q in (1, 2, 3) for _ in range(2)] + [(4, "hub", 1.0), (4, "hub", 0.5), (5, "alone", 0.1), (6, "loop", 0.2), (7, None, 1.0)]
+    found = retrieval.entity_first(edges, spark.createDataFrame(seeds, "query int, entity_id string, score double"), 2, share)
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.query, set()).add((r.entity_id, r.hop, r.score))
+    many = {(r.query, r.entity_id): [] for r in found.collect()}
+    for r in retrieval.entity_edges(found, edges).collect():
+        many[r.query, r.entity_id].append(r.id)
+    for q in (1, 4, 5, 6):
+        one = graph.entity_first(edges, spark.createDataFrame([s[1:] for s in seeds if s[0] == q], "entity_id string, score double"), 2).collect()
+        assert got[q] == {(r.entity_id, r.hop, r.score) for r in one}
+        assert all(sorted(many[q, r.entity_id]) == [e.id for e in r.relationships] for r in one)
+    assert 7 not in got
+    ranked = spark.createDataFrame([(q, k, f"e{rng.randrange(150):03d}", 0.5) for q in (1, 2, 3) for k in range(1, 5)] + [(1, 9, "gone", 0.1)], "query int, rank int, id string, score double").dropDuplicates(["query", "id"])
+    every = retrieval.relationship_first(edges, ranked)
+    for q in (1, 2, 3):
+        one = graph.relationship_first(edges, ranked.filter(f"query = {q}").drop("query"))
+        assert sorted(str(tuple(r)) for r in one.collect()) == sorted(str(tuple(r)) for r in every.filter(f"query = {q}").select(*one.columns).collect())
+    entities = spark.createDataFrame([(f"n{i}", 1, f"Name {i}", "x" if i % 2 else None) for i in range(60)] + [("hub", 1, None, None)], "id string, book_id int, name string, summary string")
+    texts = [(1, "NAME 5"), (2, "x"), (3, "nothing"), (4, ""), (5, None)]
+    text = retrieval.text_first(entities, edges, spark.createDataFrame(texts, "query int, text string"), 4, share=share).collect()
+    for q, t in texts[:4]:
+        one = graph.fts_first(entities, edges, t, 4).collect()
+        assert sorted((r.entity_id, r.hop, r.score) for r in text if r.query == q) == sorted((r.entity_id, r.hop, r.score) for r in one)
+    assert not [r for r in text if r.query == 5]
