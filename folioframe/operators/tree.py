@@ -37,17 +37,16 @@ def levels(raw: list[int]) -> list[int]:
     """Heading levels without gaps: the first is 1, a level seen before is as before, one deeper than all seen is a
     step below the previous heading, and any other is that of the next deeper one seen."""
     seen: dict[int, int] = {}
-    out: list[int] = []
-    for level in raw:
-        if level not in seen:
-            if not seen:
-                seen[level] = 1
-            elif level > max(seen):
-                seen[level] = out[-1] + 1
-            else:
-                seen[level] = seen[min(k for k in seen if k > level)]
-        out.append(seen[level])
-    return out
+    last = 0
+    return [last := next_level(seen, last, level) for level in raw]
+
+
+def next_level(seen: dict[int, int], last: int, level: int) -> int:
+    """The level that a heading of raw level `level` is used as, after the one used last; seen is kept up."""
+    if level not in seen:
+        deeper = [k for k in seen if k > level]
+        seen[level] = seen[min(deeper)] if deeper else last + 1
+    return seen[level]
 
 
 def outline(text: str, title: str = "") -> Iterator[tuple]:

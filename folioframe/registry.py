@@ -195,6 +195,15 @@ def build_summary_index(nodes: DataFrame, content: DataFrame, summarise=models.s
 PROVIDERS = (IndexProvider("chunk", "C", build_chunk_index), IndexProvider("graph", "G", build_graph_index, False, True), IndexProvider("summary", "S", build_summary_index, False, True))
 
 
+def register_functions(spark) -> None:
+    """Make table functions and file formats known to a session's SQL and readers."""
+    from folioframe.functions import tabled
+    from folioframe.sources import datasource
+
+    tabled.register(spark)
+    datasource.register(spark)
+
+
 class IndexRegistry:
     """Providers by name: the built-in ones and those that installed packages announce."""
 
