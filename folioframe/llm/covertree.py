@@ -20,6 +20,8 @@ from folioframe.llm.common import Scratch, table
 K, SCALE = 10, 1024
 #: Rows of a block of data and of a part of its queries; block summaries looked at in one pass.
 BLOCK, PART, SUMMARIES = 2048, 2048, 8192
+#: Rows of a block in the registered query.
+QUERY_BLOCK = 256
 #: Pivots that data are dealt by, chosen from a sample; both are bounds.
 PIVOTS, SAMPLE = 256, 2048
 #: Rounding errors of a bound, as a part of the product of the norms.
@@ -186,6 +188,13 @@ def _matrix(packed) -> np.ndarray:
     return out
 
 
+def _padded(rows: list[np.ndarray], least: int = 0) -> np.ndarray:
+    out = np.zeros((len(rows), max([least, *map(len, rows)])))
+    for i, r in enumerate(rows):
+        out[i, :len(r)] = r
+    return out
+
+
 def _pivots(sample: np.ndarray, number: int) -> np.ndarray:
     """The first row and then the farthest from those chosen."""
     chosen, near = [0], ((sample - sample[0]) ** 2).sum(1)
@@ -200,9 +209,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     product, ties to the smaller vec_id.
 
     Data are dealt to blocks by the nearest of a few pivots and, where a pivot has many rows, by a hash, so equal
-    vectors share the load. A query first searches its own block; its k-th score then rules out blocks by centre and
-    radius, and the others are searched as pairs of cover trees. Summaries of blocks are looked at `summaries` at a
-    time, so what the driver holds does not grow with the data.
+    vectors share the load. Queries of one block are a part, a row with its ball. A part first searches its own block; the
+    worst k-th score of its queries then rules out blocks by both balls, and the others are searched as pairs of cover
+    trees, in which each query has a limit of its own. Summaries of blocks are looked at `summaries` at a time, so
+    what the driver holds does not grow with the data.
 
     Defined cases: rows with null vec_id, a null vector, or a null or non-finite component take no part; an empty
     vector scores 0; shorter vectors count as padded with zeros; rows that share a vec_id are each a query of its own and
@@ -237,23 +247,40 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     queries = dealt.filter(is_query).select("row", F.col("v").alias("q"), F.col("block").alias("home"))
     out_schema = "row long, vec_id long, score long"
 
+    def pack(rows: pd.DataFrame) -> pd.DataFrame:
+        """The queries of a part as one row: a node of the queries' tree, with its ball and its worst k-th score."""
+        v = _matrix(rows["q"])
+        x = v.astype(float)
+        center = x.mean(0) if len(x) else np.zeros(0)
+        return pd.DataFrame({"home": rows["home"][:1], "number": [len(rows)], "rows": [rows["row"].to_numpy(np.int64).tobytes()], "q": [v.tobytes()], "floors": [rows["floor"].to_numpy(float).tobytes()],
+                             "center": [center.tobytes()], "radius": [float(np.sqrt(((x - center) ** 2).sum(1)).max())], "floor": [float(rows["floor"].min())]})
+
+    def packed(asked: DataFrame) -> DataFrame:
+        """The parts of asked(row, q, floor, home): queries of one home, at most about `part` of them."""
+        sizes = asked.groupBy("home").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
+        dealt_out = asked.join(sizes, "home").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int")).drop("parts")
+        return dealt_out.groupBy("home", "part").applyInPandas(pack, "home long, number int, rows binary, q binary, floors binary, center binary, radius double, floor double")
+
     def search(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         found: list = []
         if len(left) and len(right):
-            found = list(Search(_matrix(left["q"]), left["row"].to_numpy(), left["floor"].to_numpy(), _matrix(right["v"]), right["of"].to_numpy(), right["vec_id"].to_numpy(), k).found())
+            q = [row.tobytes() for b, n in zip(left["q"], left["number"]) for row in np.frombuffer(b, np.int64).reshape(n, -1)]
+            rows, floors = (np.concatenate([np.frombuffer(b, kind) for b in left[c]]) for c, kind in (("rows", np.int64), ("floors", float)))
+            found = list(Search(_matrix(q), rows, floors, _matrix(right["v"]), right["of"].to_numpy(), right["vec_id"].to_numpy(), k).found())
         return pd.DataFrame(found, columns=["row", "vec_id", "score"]).astype("int64")
 
-    def pairs(asked: DataFrame) -> DataFrame:
-        """asked(row, q, floor, block) against the rows of the blocks, many queries of one block in parts."""
-        parts = asked.groupBy("block").agg(F.ceil(F.count("*") / part).cast("int").alias("parts"))
-        asked = asked.join(parts, "block").withColumn("part", F.pmod(F.xxhash64("row"), "parts").cast("int"))
-        data = dealt.join(parts, "block").withColumn("part", F.explode(F.expr("sequence(0, parts - 1)"))).select("block", "part", F.col("row").alias("of"), "vec_id", "v")
-        return asked.select("block", "part", "row", "q", "floor").groupBy("block", "part").cogroup(data.groupBy("block", "part")).applyInPandas(search, out_schema)
+    def pairs(wanted: DataFrame) -> DataFrame:
+        """Parts of queries, each for a block, against the rows of the blocks; of a block that many queries want, about
+        `part` queries meet its rows at a time."""
+        groups = wanted.groupBy("block").agg(F.ceil(F.sum("number") / part).cast("int").alias("groups"))
+        asked = wanted.join(groups, "block").withColumn("group", F.pmod(F.xxhash64("rows"), "groups").cast("int"))
+        data = dealt.join(groups, "block").withColumn("group", F.explode(F.expr("sequence(0, groups - 1)"))).select("block", "group", F.col("row").alias("of"), "vec_id", "v")
+        return asked.select("block", "group", "number", "rows", "q", "floors").groupBy("block", "group").cogroup(data.groupBy("block", "group")).applyInPandas(search, out_schema)
 
     none = F.lit(float("-inf"))
-    home = scratch.save(pairs(queries.select("row", "q", none.alias("floor"), F.col("home").alias("block"))), "home")
+    home = scratch.save(pairs(packed(queries.withColumn("floor", none)).withColumn("block", F.col("home"))), "home")
     floors = home.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    asked = queries.join(floors, "row", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))
+    asked = scratch.save(packed(queries.join(floors, "row", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))), "asked")
 
     def summary(rows: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(rows["v"]).astype(float)
@@ -266,33 +293,29 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     for turn in range(passes):
         some = balls.filter(F.pmod(F.xxhash64("block"), F.lit(passes)) == turn).collect()  # about `summaries` rows
         names = np.array([r[0] for r in some], np.int64)
-        centers = [np.frombuffer(r[1]) for r in some]
-        wide = max(map(len, centers), default=0)
-        center = np.zeros((len(some), wide))
-        for i, c in enumerate(centers):
-            center[i, :len(c)] = c
+        center = _padded([np.frombuffer(r[1]) for r in some])
         radius = np.array([r[2] for r in some])
 
-        long = np.sqrt((center ** 2).sum(1)) + radius
-
-        def reach(batches, names=names, center=center, radius=radius, wide=wide, long=long):
+        def reach(batches, names=names, center=center, radius=radius):
+            """Each part with the blocks that can hold an inner product as high as its floor: of two balls the highest one is
+            that of the centres, and what each radius adds along the other's farthest point."""
+            long = np.sqrt((center ** 2).sum(1))
             for batch in batches:
-                ids, packed, floor, own = (batch.column(c).to_pylist() for c in range(4))
-                picked: list[list] = [[], [], [], []]
-                for i, b, f, h in zip(ids, packed, floor, own):
-                    x = np.zeros(wide)
-                    v = np.frombuffer(b, np.int64)
-                    x[:min(len(v), wide)] = v[:wide]
-                    norm = np.sqrt(float((v.astype(float) ** 2).sum()))
-                    most = center @ x + radius * norm
-                    good = names[(most + SLACK * (1 + norm * long) >= f - (abs(f) * SLACK if f > -math.inf else 0)) & (names != h)]
-                    for column, value in zip(picked, (i, b, f)):
-                        column.extend([value] * len(good))
-                    picked[3].extend(good.tolist())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(picked, (pa.int64(), pa.binary(), pa.float64(), pa.int64()))],
-                                                 names=["row", "q", "floor", "block"])
-
-        wanted = asked.select("row", "q", "floor", "home").mapInArrow(reach, "row long, q binary, floor double, block long")
+                own = [batch.column(c).to_pylist() for c in ("home", "center", "radius", "floor")]
+                part_of, block_of = [], []
+                for i, (h, b, r, f) in enumerate(zip(*own)):
+                    x = _padded([np.frombuffer(b)], center.shape[1])[0]
+                    norm = np.sqrt(float((x ** 2).sum()))
+                    most = center @ x[:center.shape[1]] + radius * norm + r * (long + radius)
+                    slack = SLACK * (1 + (norm + r) * (long + radius)) + (abs(f) * SLACK if f > -math.inf else 0)
+                    good = names[(most + slack >= f) & (names != h)]
+                    part_of += [i] * len(good)
+                    block_of.append(good)
+                at = pa.array(part_of, pa.int64())
+                block = np.concatenate(block_of) if block_of else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("number", "rows", "q", "floors")), pa.array(block, pa.int64())], names=["number", "rows", "q", "floors", "block"])
+
+        wanted = asked.mapInArrow(reach, "number int, rows binary, q binary, floors binary, block long")
         found = found.unionByName(scratch.save(pairs(scratch.save(wanted, f"wanted{turn}")), f"found{turn}"))
         scratch.drop(f"wanted{turn}")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
@@ -301,8 +324,9 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
 
 
 def op8_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by 100, candidates all rows."""
-    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    """Queries are the rows whose vec_id is divisible by 100, candidates all rows. Blocks are small enough that every
+    table has several."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, block=QUERY_BLOCK)
 
 
 ORACLE = """
