@@ -21,6 +21,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2.0
 #: Documents in a leaf of the tree, and residuals in an inner node; both bound a task's rows.
 LEAF, FAN = 4096, 64
+#: Documents in a leaf in the registered query.
+QUERY_LEAF = 32
 #: Bytes of source targets that may be broadcast; more are joined by a salted shuffle.
 BROADCAST, SALTS = 16 << 20, 32
 #: Decisions of two long integers that may be broadcast to the rows.
@@ -82,18 +84,18 @@ def pivot(sizes: np.ndarray, p: np.ndarray, rng: np.random.Generator) -> np.ndar
     return p
 
 
-def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SEED) -> DataFrame:
+def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SEED, leaf: int | None = None) -> DataFrame:
     """(doc_id, text_key, source, size, source_size, target, copies): how often the mix takes each row; text_key is a hash of
     its text.
 
     target / size of its source is a row's expected copies: the whole part is taken, the fraction is rounded by the
-    tree. Leaves are blocks of a source by a hash of doc_id and text, so a source with a third of all rows is many leaves. The
+    tree. Leaves, of about `leaf` documents (LEAF by default), are blocks of a source by a hash of doc_id and text, so a source with a third of all rows is many leaves. The
     last fraction of a source goes to the nearer integer.
 
     Defined cases: null text has size 0; a row of size 0 has the whole part of its copies; null source is a source of
     its own, last in order; rows with equal or null doc_id are decided one by one; an empty table gives no rows; other
     columns are ignored. Random numbers follow from seed, source and block: reruns agree."""
-    spark = docs.sparkSession
+    spark, leaf = docs.sparkSession, leaf or LEAF
     scratch = Scratch(spark, "mixing")
     sizes = scratch.save(docs.select(F.col("doc_id").cast("long"), text_key().alias("text_key"), "source", size_of().alias("size")), "sizes")
     targets = source_targets(sizes, scratch, share, cap)
@@ -109,7 +111,7 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
     copies = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     rows = rows.withColumn("f", copies).select(
         "doc_id", "text_key", "source", "size", "source_size", "target", F.floor("f").cast("double").alias("base"), (F.col("f") - F.floor("f")).alias("p"),
-        F.pmod(F.xxhash64("doc_id", "text_key"), F.greatest(F.lit(1), F.ceil(F.col("n") / LEAF)).cast("long")).alias("block"))
+        F.pmod(F.xxhash64("doc_id", "text_key"), F.greatest(F.lit(1), F.ceil(F.col("n") / leaf)).cast("long")).alias("block"))
     schema = rows.schema
 
     def node(level: int, root: bool):
@@ -123,7 +125,7 @@ def take(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed: int = SE
         return run
 
     whole = F.col("p").isin(0.0, 1.0)
-    out, level, blocks = None, 0, -(-(most or 1) // LEAF)
+    out, level, blocks = None, 0, -(-(most or 1) // leaf)
     while True:
         root = blocks == 1
         done = scratch.save(rows.groupBy("source", "block").applyInPandas(node(level, root), schema), f"level{level}")
@@ -157,5 +159,6 @@ def mix_documents(docs: DataFrame, share: float = SHARE, cap: float = CAP, seed:
 
 
 def op6_pivotal_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return take(table(spark, sf_dir, "documents")).select(
+    """With leaves so small that the sources of every table have several."""
+    return take(table(spark, sf_dir, "documents"), leaf=QUERY_LEAF).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
