@@ -13,12 +13,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioframe.llm.common import grouped_words, long_rows, mix64, table
+from folioframe.llm.common import Scratch, grouped_words, long_rows, mix64, table
 
 #: Rows that the classifier is fitted on at most: confirmed toxic ones, and unlabelled ones. Every row is scored.
 POSITIVES, UNLABELLED = 2500, 7500
-#: Features of a row that the classifier is fitted on at most.
-ROW_FEATURES = 1 << 14
+#: Features of all rows of a sample that the driver gets at most.
+SAMPLED = 1 << 24
 #: Features of the classifier at most, and the chance (a Poisson tail) that one is as frequent in toxic texts as it is
 #: in all, below which it counts.
 FEATURES, CHANCE = 2048, 1e-6
@@ -138,19 +138,29 @@ def _first() -> Column:
 
 
 def _sampled(docs: DataFrame, ids: DataFrame, most: int, among: np.ndarray | None = None) -> list[np.ndarray]:
-    """The different features of the whole texts of `most` rows with one of the ids, or those of them that are in
-    `among`; of a row with more than ROW_FEATURES those of the smallest hashes. Both bound what the driver gets."""
+    """The different features of the whole texts of at most `most` rows with one of the ids, or those of them that are in
+    `among`: rows are taken in order of a hash of doc_id, each whole, and one with which they would be more than SAMPLED
+    features together is passed over. Both bound what the driver gets."""
 
     def distinct(batches):
         for batch in batches:
             for doc, text in zip(*(batch.column(k).to_pylist() for k in (0, 1))):
                 found = np.unique(features([text])[1])
-                found = (found if among is None else among[_places(among, found)])[:ROW_FEATURES]
-                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["doc_id", "f"])
+                found = found if among is None else among[_places(among, found)]
+                yield pa.RecordBatch.from_arrays([pa.array([doc], pa.int64()), pa.array([len(found)], pa.int64()), pa.array([found.tobytes()], pa.binary())], names=["doc_id", "n", "f"])
 
+    scratch = Scratch(docs.sparkSession, "toxicity")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
-    rows = rows.select("doc_id", "text").mapInArrow(distinct, "doc_id long, f binary").orderBy(_first(), "doc_id", "f").limit(most)
-    return [np.frombuffer(r[0], np.uint64) for r in rows.select("f").collect()]
+    rows = rows.select("doc_id", "text").mapInArrow(distinct, "doc_id long, n long, f binary").orderBy(_first(), "doc_id", "f").limit(most)
+    rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
+    taken, total = [], 0
+    for r in rows.select("row", "n").orderBy("row").collect():  # `most` numbers
+        if total + r.n <= SAMPLED:
+            taken.append(r.row)
+            total += r.n
+    found = [np.frombuffer(r[0], np.uint64) for r in rows.filter(F.col("row").isin(taken)).orderBy("row").select("f").collect()]
+    scratch.close()
+    return found
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:

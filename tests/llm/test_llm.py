@@ -272,6 +272,42 @@ def test_fingerprints_of_nothing_and_of_one(spark, none):
     assert spotsigs.fingerprint_documents(documents(spark, [(1, "alone in the house", "a")])).first().near_next == 1.0
 
 
+def signature_set(text):
+    """The signatures of a text, told apart as they are, not by hashes."""
+    words, common = regex.split(r"[^\p{L}\p{N}]+", text.lower()), set(spotsigs.ANCHORS)
+    content, spots = [], []
+    for w in words:
+        if w in common:
+            spots.append((w, len(content)))
+        elif w:
+            content.append(w)
+    chain = lambda i: (*content[i:i + 1], *content[i + 1:i + 2])
+    found = [(a, *chain(k)) for a, k in spots]
+    edges = [-spotsigs.GAP, *(k for _, k in spots), len(content)]
+    for a, b in zip(edges, edges[1:]):
+        found += [("", *chain(i)) for i in range(a + spotsigs.GAP, b)] if b - a > spotsigs.GAP else []
+    seen: dict = {}
+    out = set()
+    for f in found or ([("whole", text)] if text else []):
+        out.add((f, seen.get(f, 0)))
+        seen[f] = seen.get(f, 0) + 1
+    return out
+
+
+def test_fingerprints_equal_brute_force(spark, sf):
+    t = texts(sf)
+    got = {r.doc_id: r for r in spotsigs.op4_spotsigs(spark, sf).collect()}
+    body = [x or "" for x in t["text"]]
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (doc, x) in enumerate(zip(t["doc_id"], body)):
+        after = body[(i + 1) % len(body)]
+        n = len(x) // 4
+        edited = x[:len(x) - n] + after[:n]
+        own, other, following, r = signature_set(x), signature_set(edited), signature_set(after), got[doc]
+        assert int(r.fingerprint.split(":")[0]) == len(own) and int(r.edited_fingerprint.split(":")[0]) == len(other)
+        assert abs(r.near_edited - like(own, other)) < 1e-12 and abs(r.near_next - like(own, following)) < 1e-12
+
+
 # ---------------------------------------------------------------- 5 packing
 
 def test_pieces_cover_and_fill(untidy, ids_of):
@@ -536,8 +572,39 @@ def test_sample_is_bounded_by_rows(spark, monkeypatch):
     docs = documents(spark, [(2, f"same id text {i}", "s") for i in range(50)] + [(3, "some other", "s")])
     ids = spark.createDataFrame([(2,), (3,)], "doc_id long")
     assert len(toxicity._sampled(docs.select("doc_id", "text"), ids, 7)) == 7
-    monkeypatch.setattr(toxicity, "ROW_FEATURES", 3)
-    assert max(map(len, toxicity._sampled(docs.select("doc_id", "text"), ids, 99))) == 3
+    every = toxicity._sampled(docs.select("doc_id", "text"), ids, 99)
+    assert len(every) == 51
+    monkeypatch.setattr(toxicity, "SAMPLED", sum(map(len, every)) // 3)
+    some = toxicity._sampled(docs.select("doc_id", "text"), ids, 99)
+    assert 0 < len(some) < 51 and sum(map(len, some)) <= toxicity.SAMPLED and {x.tobytes() for x in some} <= {x.tobytes() for x in every}  # whole rows, but fewer
+    monkeypatch.setattr(toxicity, "SAMPLED", 0)
+    assert toxicity._sampled(docs.select("doc_id", "text"), ids, 99) == []
+
+
+def test_risk_and_gradient_equal_brute_force(monkeypatch):
+    """The fitted weights are, but for single precision, those of the same descent on the risk written out, with gradients
+    by differences."""
+    rng = np.random.default_rng(4)
+    x, u = (rng.random((n, 3)) < p for n, p in ((12, [.8, .5, .1]), (30, [.3, .5, .4])))
+    x, u = x.astype(np.float32), u.astype(np.float32)
+
+    def parts(v, prior):
+        positive, unlabelled = ((rows.astype(float) @ v[:-1] + v[-1]) for rows in (x, u))
+        loss = lambda z: np.log(1 + np.exp(-z)).mean()
+        return prior * loss(positive), loss(-unlabelled) - prior * loss(-positive)
+
+    for prior, steps in ((0.2, 40), (0.8, 40)):  # with the second the corrected part falls below zero
+        monkeypatch.setattr(toxicity, "STEPS", steps)
+        v, m, s, below = np.append(np.zeros(3), np.log(prior / (1 - prior))), np.zeros(4), np.zeros(4), 0
+        for t in range(1, steps + 1):
+            clean = parts(v, prior)[1]
+            below += clean < 0
+            risk = (lambda w: sum(parts(w, prior))) if clean >= 0 else (lambda w: -parts(w, prior)[1])
+            g = np.array([(risk(v + d) - risk(v - d)) / 2e-5 for d in np.eye(4) * 1e-5]) + toxicity.DECAY * np.append(v[:-1], 0)
+            m, s = 0.9 * m + 0.1 * g, 0.999 * s + 0.001 * g * g
+            v = v - toxicity.RATE * (m / (1 - 0.9 ** t)) / (np.sqrt(s / (1 - 0.999 ** t)) + 1e-8)
+        w, b = toxicity.nnpu(x, u, prior)
+        assert np.allclose(np.append(w, b), v, atol=2e-2) and (below > 0) == (prior == 0.8)
 
 
 def test_scores_untidy(untidy, none, spark):
