@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from folioframe.sources.files import Rounds
 
+#: Most cells of a group; their directions are held by the driver and each task.
+CELLS = 256
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -35,12 +38,78 @@ def search(vectors: DataFrame, query: list[float], k: int, key: str = "id", vect
     return vectors.withColumn("distance", squared_l2(F.col(vector), q)).orderBy("distance", key).limit(k).withColumn("score", 1 - F.col("distance"))
 
 
+def _unit(wide: list) -> np.ndarray:
+    """Vectors of one length scaled to 1; zero vectors stay."""
+    m = np.array(wide, np.float64)
+    norm = np.sqrt((m * m).sum(1))
+    return np.divide(m, norm[:, None], out=np.zeros_like(m), where=norm[:, None] > 0)
+
+
+def _pivots(rows: DataFrame, number: int) -> np.ndarray:
+    """Directions that lie far apart: the first of a sample and then always the one farthest from those chosen."""
+    sample = [r.v for r in rows.filter(F.size("v") > 0).select("v").orderBy(F.xxhash64("k"), "k").limit(8 * number).collect()]
+    sample = _unit([v for v in sample if len(v) == len(sample[0])]) if sample else np.zeros((0, 0))
+    chosen, near = [], np.full(len(sample), -2.0)  # the cosine to the nearest one chosen
+    while len(chosen) < min(number, len(sample)) and (not chosen or near.min() < 1 - 1e-12):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, sample @ sample[chosen[-1]])
+    return sample[chosen]
+
+
+def in_cells(rows: DataFrame, at_least: float, block: int, most: int = CELLS) -> tuple[DataFrame, DataFrame]:
+    """(rows, pairs): rows(g, k, v) with the cell and the block of each, and pairs(g, a, b, met) of the cells of each group,
+    a <= b, with whether rows of both can have a cosine of at least `at_least`.
+
+    A group has about as many cells as blocks, at most `most`: each row is in that of the direction nearest to it. Two
+    cells are left out if the angle between their directions is wider than both cells and the threshold together."""
+    n = rows.groupBy("g").agg(F.count("*").alias("n")).withColumn("cells", F.least(F.lit(most), F.ceil(F.col("n") / block)).cast("int"))
+    rows = rows.join(n.withColumnRenamed("g", "_g"), F.col("g").eqNullSafe(F.col("_g"))).drop("_g", "n")
+    largest = n.agg(F.max("cells")).first()[0] or 1
+    pivots = _pivots(rows, largest) if largest > 1 and at_least > 0 else np.zeros((0, 0))
+    kinds = dict(rows.dtypes)
+
+    def place(batches):
+        for batch in batches:
+            wide, cells = batch.column(2).to_pylist(), np.array(batch.column(3))
+            cell, angle = np.zeros(len(wide), np.int32), np.full(len(wide), np.pi)  # what has no direction may be like all
+            at = np.array([i for i, v in enumerate(wide) if v is not None and len(pivots) and len(v) == pivots.shape[1]], np.int64)
+            if len(at):
+                to = _unit([wide[i] for i in at]) @ pivots.T
+                to[np.arange(len(pivots))[None] >= cells[at][:, None]] = -2
+                cell[at] = to.argmax(1)
+                angle[at] = np.arccos(np.clip(to.max(1), -1, 1))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(cell), pa.array(angle)], names=["g", "k", "v", "cell", "angle"])
+
+    placed = rows.select("g", "k", "v", "cells").mapInArrow(place, f"g {kinds['g']}, k {kinds['k']}, v array<double>, cell int, angle double")
+    placed = Rounds(rows.sparkSession, "cells").save(placed, "placed")
+    sizes = placed.groupBy("g", "cell").agg(F.max("angle").alias("wide"), F.ceil(F.count("*") / block).cast("int").alias("parts"))
+    between = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
+    limit = float(np.arccos(min(1.0, at_least))) if at_least > 0 else float(np.pi)
+
+    def near(batches):
+        for batch in batches:
+            a, b, wa, wb = (np.array(batch.column(c)) for c in ("a", "b", "wa", "wb"))
+            met = (a == b) | (between[a, b] <= wa + wb + limit + 1e-6)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("g", "a", "b", "pa", "pb")), pa.array(met)], names=["g", "a", "b", "pa", "pb", "met"])
+
+    left = sizes.select("g", F.col("cell").alias("a"), F.col("wide").alias("wa"), F.col("parts").alias("pa"))
+    right = sizes.select(F.col("g").alias("_g"), F.col("cell").alias("b"), F.col("wide").alias("wb"), F.col("parts").alias("pb"))
+    pairs = left.join(right, F.col("g").eqNullSafe(F.col("_g")) & (F.col("a") <= F.col("b"))).drop("_g")  # at most `most` squared for a group
+    return placed, pairs.mapInArrow(near, f"g {kinds['g']}, a int, b int, pa int, pb int, met boolean")
+
+
 def similar_pairs(vectors: DataFrame, at_least: float, group: str, key: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
-    """(group, a, b, cosine), a < b by key, within each group. A group's rows meet block by block inside tasks, as
-    matrix products that return only pairs over the threshold; a large group is many tasks."""
+    """(group, a, b, cosine), a < b by key, within each group. A group's rows lie in cells of like directions, cells in
+    blocks; blocks of cells that can hold a pair meet inside tasks, as matrix products that return only pairs over the
+    threshold. A large group is many tasks."""
     rows = vectors.select(F.col(group).alias("g"), F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"))
-    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("parts"))
-    dealt = rows.join(sizes, "g").withColumn("own", F.pmod(F.xxhash64("k"), "parts").cast("int")).withColumn("other", F.explode(F.expr("sequence(0, parts - 1)")))
+    placed, pairs = in_cells(rows, at_least, block)
+    met = pairs.filter("met").select(F.col("g").alias("_g"), "a", "b", "pa", "pb")
+    ways = met.select("_g", F.col("a").alias("_cell"), F.col("b").alias("_to"), F.col("pa").alias("_own"), F.col("pb").alias("_parts")).unionByName(
+        met.filter("a < b").select("_g", F.col("b").alias("_cell"), F.col("a").alias("_to"), F.col("pb").alias("_own"), F.col("pa").alias("_parts")))
+    dealt = placed.join(ways, F.col("g").eqNullSafe(F.col("_g")) & (F.col("cell") == F.col("_cell")))
+    name = lambda cell, part: F.shiftleft(cell.cast("long"), 32) + part
+    dealt = dealt.withColumn("own", name(F.col("cell"), F.pmod(F.xxhash64("k"), "_own"))).withColumn("other", F.explode(F.transform(F.expr("sequence(0, _parts - 1)"), lambda x: name(F.col("_to"), x))))
     dealt = dealt.select("g", "k", "v", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
 
     def meet(table: pa.Table) -> pa.Table:

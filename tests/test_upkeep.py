@@ -225,6 +225,28 @@ def test_greedy_merge(spark, kind):
     assert vector.greedy_merge(df.limit(0), at, "g").count() == 0
 
 
+@pytest.mark.parametrize("at_least", [0.9, 0.3, 0.0, -0.5])
+def test_similar_pairs_in_cells(spark, at_least):
+    rng = np.random.default_rng(6)
+    ways = rng.standard_normal((10, 8)) * 3
+    rows = [(None if i % 97 == 0 else i % 2, i, (ways[i % 10] + 0.4 * rng.standard_normal(8)).tolist()) for i in range(300)]
+    rows += [(0, 1000, [0.0] * 8), (0, 1001, [1.0, 2.0]), (0, 1002, [2.0, 4.0]), (1, 1003, []), (1, 1004, None), (0, 1005, rows[1][2]), (0, 1006, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "g int, id long, vector array<double>").repartition(3)
+    cos = lambda v, w: float(np.dot(v, w) / np.linalg.norm(v) / np.linalg.norm(w)) if np.linalg.norm(v) and np.linalg.norm(w) else 0.0
+    want = {(i, j) for g, i, v in rows for h, j, w in rows if g == h and i < j and v and w and len(v) == len(w) and cos(v, w) >= at_least}
+    for block in (1024, 7):
+        got = vector.similar_pairs(df, at_least, "g", block=block).collect()
+        assert len(got) == len(want) and {(r.a, r.b) for r in got} == want and all(abs(r.cosine - cos(rows_of(rows, r.a), rows_of(rows, r.b))) < 1e-9 for r in got)
+    plain = df.select("g", df.id.alias("k"), df.vector.alias("v"))
+    met = [r.met for r in vector.in_cells(plain.filter("g = 1 and size(v) = 8"), at_least, 7)[1].collect()]
+    assert len(met) > 100 and any(met) if at_least > 0 else all(met)
+    assert at_least < 0.9 or sum(met) < 0.5 * len(met)  # most pairs of cells are left out
+
+
+def rows_of(rows, i):
+    return next(v for _, k, v in rows if k == i)
+
+
 def nearest(rows, queries, k, label=None):
     out = []
     for q, v in queries:
