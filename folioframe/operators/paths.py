@@ -40,10 +40,11 @@ def reached(links: DataFrame) -> DataFrame:
     return now.select("id", F.col("to").isNotNull().alias("looped"))
 
 
-def root_paths(links: DataFrame) -> DataFrame:
-    """(id, path) of the nodes of links(id, up, step) that have a root above: the steps from the root down, joined by dots."""
+def root_paths(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, path) of the nodes of links(id, up, step) that have a root above: the steps from the root down, joined by dots.
+    known is what reached() gives for the links, where the caller has it."""
     rounds = _Rounds(links.sparkSession, "paths")
-    fine = reached(links).filter("not looped").select("id")
+    fine = (reached(links) if known is None else known).filter("not looped").select("id")
     now = rounds.next(links.join(fine, "id").select("id", F.col("up").alias("to"), F.col("step").alias("path")))
     while not now.filter("to is not null").isEmpty():
         up = now.select(F.col("id").alias("to"), F.col("to").alias("next"), F.col("path").alias("above"))

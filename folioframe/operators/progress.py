@@ -15,11 +15,12 @@ def rollup(tasks: DataFrame, now: float) -> DataFrame:
     of auto_total parents summed over all below that count themselves, and eta_seconds of running ones. Sorting by
     path is depth-first order. Trees may have any depth: ways up are found in log2(depth) rounds, and sums go up along them.
     A task whose parent is not there stands at the top; tasks on or below a cycle are an error."""
-    known = tasks.select(F.col("id").alias("_known")).distinct()
-    up = tasks.join(known, F.col("parent_id") == F.col("_known"), "left").select("id", F.col("_known").alias("up"), F.lpad(F.col("seq").cast("string"), 9, "0").alias("step"))
-    if (bad := paths.reached(up).filter("looped").first()) is not None:
+    parents = tasks.select(F.col("id").alias("_known")).distinct()
+    up = tasks.join(parents, F.col("parent_id") == F.col("_known"), "left").select("id", F.col("_known").alias("up"), F.lpad(F.col("seq").cast("string"), 9, "0").alias("step"))
+    known = paths.reached(up)
+    if (bad := known.filter("looped").first()) is not None:
         raise ValueError(f"task {bad.id} is on or below a cycle")
-    out = tasks.join(paths.root_paths(up), "id").withColumn("depth", F.size(F.split("path", r"\.")) - 1).select(*tasks.columns, "depth", "path")
+    out = tasks.join(paths.root_paths(up, known), "id").withColumn("depth", F.size(F.split("path", r"\.")) - 1).select(*tasks.columns, "depth", "path")
     parents = tasks.filter("parent_id is not null").select(F.col("parent_id").alias("id")).distinct().withColumn("_parent", F.lit(True))
     out = out.join(parents, "id", "left").withColumn("_auto", F.col("auto_total") & F.coalesce("_parent", F.lit(False))).drop("_parent")
     steps = F.split("path", r"\.")

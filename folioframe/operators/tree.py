@@ -106,9 +106,10 @@ def with_paths(nodes: DataFrame) -> DataFrame:
     if "path" in nodes.columns:
         return nodes.filter("path is not null")
     links = _links(nodes)
-    if (bad := paths.reached(links).filter("looped").first()) is not None:
+    known = paths.reached(links)
+    if (bad := known.filter("looped").first()) is not None:
         raise ValueError(f"book {bad.id.book_id}: {bad.id.id} is on or below a cycle")
-    found = paths.root_paths(links).select(F.col("id.book_id").alias("book_id"), F.col("id.id").alias("id"), "path")
+    found = paths.root_paths(links, known).select(F.col("id.book_id").alias("book_id"), F.col("id.id").alias("id"), "path")
     return nodes.join(found, ["book_id", "id"])
 
 

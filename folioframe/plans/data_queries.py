@@ -432,9 +432,14 @@ ORACLES = {
     "entity_first_many": f"""with recursive {model.EDGES}, pairs as (select distinct a, b from ends),
       seeds as (select p_partkey query, 'p' || p_partkey e from part where p_partkey <= 1000 union select p_partkey, 'p' || (p_partkey + 1) from part where p_partkey <= 1000 and p_partkey % 9 = 0),
       walk(query, e, hop) as (select query, e, 0 from seeds union select query, b, hop + 1 from walk join pairs on a = e where hop < 2),
-      m as (select query, e, min(hop) hop from walk group by all), n as (select a, count(*) n from (select distinct a, id from ends) group by a)
+      m as (select query, e, min(hop) hop from walk group by all), n as (select a, count(*) n from ends group by a)
       select query, hop::integer hop, count(*) entities, sum(coalesce(n, 0))::bigint edges, sum(case when hop = 0 then 0.5::double else 0.0::double end) score, min(e) as first, max(e) as last,
         sum(substr(e, 2)::bigint)::bigint numbers, sum(substr(e, 2)::bigint * substr(e, 2)::bigint)::bigint squares from m left join n on a = e group by query, hop""",
+    "relationship_first": f"""with {model.EDGES}, hit as (select *, row_number() over (order by id) rank from edges order by id limit 10),
+      visited as (select via, min(rank * 2 + nth) spot from (select rank, 0 nth, source_entity_id via from hit union all select rank, 1, target_entity_id from hit) group by all),
+      firsts as (select a, b, id, row_number() over (partition by a order by id) n from ends qualify n <= 3)
+      select id, 0.5::double score, 0 hop, null::varchar via, null::varchar other_id from hit
+      union all select id, 0.0::double, 1, v.via, b from visited v join firsts on a = v.via left join visited o on o.via = b where o.spot is null or o.spot > v.spot""",
     "relationship_first_many": f"""with {model.EDGES}, seeds as (select source_entity_id query, id, row_number() over (partition by source_entity_id order by id) rank from edges qualify rank <= 5),
       hit as (select query, rank, e.* from seeds join edges e using (id)),
       visited as (select query, via, min(rank * 2 + nth) spot from (select query, rank, 0 nth, source_entity_id via from hit union all select query, rank, 1, target_entity_id from hit) group by all),
@@ -444,7 +449,7 @@ ORACLES = {
     "text_first_many": f"""with {model.EDGES}, {model.ENTITIES}, q as (select n_nationkey query, 'supplier#0000000' || (n_nationkey % 10) t from nation),
       hit as (select query, id, row_number() over (partition by query order by id) k from q join entities on contains(lower(name), t) or contains(lower(summary), t) qualify k <= 7),
       near as (select distinct query, b from hit join ends on a = hit.id), found as (select query, id e, 0 hop, 1.0::double score from hit union all select query, b, 1, 0.0::double from near where not exists (select 1 from hit where hit.query = near.query and hit.id = near.b)),
-      n as (select a, count(*) n from (select distinct a, id from ends) group by a)
+      n as (select a, count(*) n from ends group by a)
       select query, e entity_id, hop::integer hop, score, coalesce(n, 0) n_edges from found left join n on a = e""",
     "fts_entity": f"""with {model.EDGES}, {model.ENTITIES}, hit as (select id from entities where contains(lower(name), 'supplier#00000000') or contains(lower(summary), 'supplier#00000000') order by id limit 10),
       near as (select distinct b id from ends where a in (select id from hit) and b not in (select id from hit)), c as (select a, count(*) n from ends group by a)
