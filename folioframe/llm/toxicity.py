@@ -17,8 +17,8 @@ from folioframe.llm.common import Scratch, grouped_words, long_rows, mix64, tabl
 
 #: Rows that the classifier is fitted on at most: confirmed toxic ones, and unlabelled ones. Every row is scored.
 POSITIVES, UNLABELLED = 2500, 7500
-#: Features of all rows of a sample that the driver gets at most.
-SAMPLED = 1 << 24
+#: Features of all rows of a sample that the driver gets at most, and the part of them that one row may have.
+SAMPLED, SHARE = 1 << 24, 16
 #: Features of the classifier at most, and the chance (a Poisson tail) that one is as frequent in toxic texts as it is
 #: in all, below which it counts.
 FEATURES, CHANCE = 2048, 1e-6
@@ -139,8 +139,8 @@ def _first() -> Column:
 
 def _sampled(docs: DataFrame, ids: DataFrame, most: int, among: np.ndarray | None = None) -> list[np.ndarray]:
     """The different features of the whole texts of at most `most` rows with one of the ids, or those of them that are in
-    `among`: rows are taken in order of a hash of doc_id, each whole, and one with which they would be more than SAMPLED
-    features together is passed over. Both bound what the driver gets."""
+    `among`: rows are taken in order of a hash of doc_id, each whole, until the next would make them more than SAMPLED
+    features together; a row with more than a SHARE of that is passed over. All this bounds what the driver gets."""
 
     def distinct(batches):
         for batch in batches:
@@ -153,12 +153,10 @@ def _sampled(docs: DataFrame, ids: DataFrame, most: int, among: np.ndarray | Non
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id", "left_semi")
     rows = rows.select("doc_id", "text").mapInArrow(distinct, "doc_id long, n long, f binary").orderBy(_first(), "doc_id", "f").limit(most)
     rows = scratch.save(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    taken, total = [], 0
-    for r in rows.select("row", "n").orderBy("row").collect():  # `most` numbers
-        if total + r.n <= SAMPLED:
-            taken.append(r.row)
-            total += r.n
-    found = [np.frombuffer(r[0], np.uint64) for r in rows.filter(F.col("row").isin(taken)).orderBy("row").select("f").collect()]
+    size = np.array([r.n for r in rows.select("n").orderBy("row").collect()], np.int64)  # `most` numbers at most
+    fits = size <= SAMPLED // SHARE
+    last = int(np.searchsorted(np.cumsum(np.where(fits, size, 0)), SAMPLED, "right"))
+    found = [np.frombuffer(r[0], np.uint64) for r in rows.filter((F.col("row") < last) & (F.col("n") <= SAMPLED // SHARE)).orderBy("row").select("f").collect()]
     scratch.close()
     return found
 

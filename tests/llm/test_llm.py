@@ -574,6 +574,7 @@ def test_sample_is_bounded_by_rows(spark, monkeypatch):
     assert len(toxicity._sampled(docs.select("doc_id", "text"), ids, 7)) == 7
     every = toxicity._sampled(docs.select("doc_id", "text"), ids, 99)
     assert len(every) == 51
+    monkeypatch.setattr(toxicity, "SHARE", 1)
     monkeypatch.setattr(toxicity, "SAMPLED", sum(map(len, every)) // 3)
     some = toxicity._sampled(docs.select("doc_id", "text"), ids, 99)
     assert 0 < len(some) < 51 and sum(map(len, some)) <= toxicity.SAMPLED and {x.tobytes() for x in some} <= {x.tobytes() for x in every}  # whole rows, but fewer
