@@ -6,7 +6,7 @@ import time
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from folioframe.operators import tables, tree
@@ -14,6 +14,7 @@ from folioframe.registry import IndexRegistry
 from folioframe.sources import epub
 
 TASKS = "id string, book_id string, stage string, status string, completed long, total long, error string, updated_at double"
+PROGRESS = "stage string, rows long, warnings long, seconds double, at double"
 MANIFEST = "book_id string, index_type string, status string, count long, error string, built_at double, created_at double"
 
 
@@ -48,6 +49,12 @@ def read_tasks(spark: SparkSession, data_dir: str) -> DataFrame:
     return tables.latest(_log(spark, f"{data_dir}/tasks", TASKS), ["id"], [F.desc("updated_at")]).drop("batch")
 
 
+def read_progress(spark: SparkSession, data_dir: str) -> DataFrame:
+    """What compiles have written so far: (batch, stage, rows, warnings, seconds, at) for each table, as soon as it is there.
+    rows and warnings are observed while the table is written, not counted by another pass."""
+    return _log(spark, f"{data_dir}/progress", PROGRESS)
+
+
 def read_table(spark: SparkSession, data_dir: str, name: str, schema) -> DataFrame:
     """A table of all compiled books, each as it was compiled last."""
     return tables.read_groups(spark, f"{data_dir}/{name}", schema, spark.read.schema("book_id string, batch string").parquet(f"{data_dir}/batches"))
@@ -56,7 +63,8 @@ def read_table(spark: SparkSession, data_dir: str, name: str, schema) -> DataFra
 def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: list[str] | None = None, registry: IndexRegistry | None = None) -> Compiled:
     """Compile all EPUB files below a path. Each call adds a batch to the tables, and read_table takes a book's rows
     from its last batch, so compiling a book again replaces it. A file that cannot be read is a failed task with its path
-    and error, and the others go on. A tree that breaks a rule is an error; a failed index is
+    and error, counted as a warning, and the others go on. read_progress tells the rows of each table while others
+    are still to come. A tree that breaks a rule is an error; a failed index is
     in the manifest beside those of earlier books, and its error is raised. The tasks table has each stage's state."""
     registry = registry or IndexRegistry.load()
     providers = registry.default_enabled() if index_types is None else registry.for_types(index_types)
@@ -68,9 +76,17 @@ def compile_epubs(spark: SparkSession, path: str, data_dir: str, index_types: li
         row = (f"{batch}/{stage}", None, stage, status, done, 2 + len(providers), error[:500], time.time())
         spark.createDataFrame([row], TASKS).write.mode("append").parquet(f"{data_dir}/tasks/batch={batch}")
 
-    stored = lambda df, name: tables.write_groups(df, f"{data_dir}/{name}", batch, [c for c in ("token", "book_id") if c in df.columns][:1])
+    def stored(df: DataFrame, name: str, warns: Column | None = None) -> DataFrame:
+        """Write a table of this batch; its rows, and those that warn, are in the progress table when it is there."""
+        seen, start = Observation(), time.time()
+        watch = lambda rows: rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum((F.lit(False) if warns is None else warns).cast("long")), F.lit(0)).alias("warnings"))
+        out = tables.write_groups(df, f"{data_dir}/{name}", batch, [c for c in ("token", "book_id") if c in df.columns][:1], watch)
+        row = (name, seen.get["rows"], seen.get["warnings"], time.time() - start, time.time())
+        spark.createDataFrame([row], PROGRESS).write.mode("append").parquet(f"{data_dir}/progress/batch={batch}")
+        return out
+
     note("parse", "running")
-    every = stored(epub.read(spark, path).dropDuplicates(["book_id"]), "parsed")
+    every = stored(epub.read(spark, path).dropDuplicates(["book_id"]), "parsed", F.col("error") != "")
     parsed = every.filter("error = ''")
     unread = every.filter("error <> ''").select(F.concat(F.lit(f"{batch}/parse/"), "book_id").alias("id"), "book_id", F.lit("parse").alias("stage"), F.lit("failed").alias("status"),
                                                 F.lit(0).cast("long").alias("completed"), F.lit(1).cast("long").alias("total"), F.concat_ws(": ", "path", F.substring("error", 1, 400)).alias("error"), F.lit(time.time()).alias("updated_at"))
@@ -117,6 +133,7 @@ def remove_index(manifest: DataFrame, index: DataFrame, book_id, index_type: str
 
 
 def metrics(nodes: DataFrame, content: DataFrame) -> DataFrame:
-    """(book_id, chars, nodes, deepest) of a compile."""
-    per = nodes.groupBy("book_id").agg(F.count("*").alias("nodes"), F.max("level").alias("deepest"))
-    return content.select("book_id", F.length("text").alias("chars")).join(per, "book_id")
+    """(book_id, chars, nodes, deepest, warnings) of a compile; a warning is a node without a title or a book without text."""
+    per = nodes.groupBy("book_id").agg(F.count("*").alias("nodes"), F.max("level").alias("deepest"), F.sum(((F.col("level") > 0) & (F.trim("title") == "")).cast("long")).alias("_untitled"))
+    return content.select("book_id", F.length("text").alias("chars")).join(per, "book_id").select(
+        "book_id", "chars", "nodes", "deepest", (F.col("_untitled") + (F.col("chars") == 0).cast("long")).alias("warnings"))

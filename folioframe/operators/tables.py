@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -65,11 +66,12 @@ def replace_group(table: DataFrame, rows: DataFrame, group: str = "book_id") ->
     return table.join(rows.select(group).distinct(), group, "left_anti").select(*table.columns).unionByName(rows.select(*table.columns))
 
 
-def write_groups(rows: DataFrame, path: str, batch: str, order: list[str] | None = None) -> DataFrame:
+def write_groups(rows: DataFrame, path: str, batch: str, order: list[str] | None = None, watch: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """Add rows to a table as one batch, in ranges of `order`, and read the batch. Batches replace the groups they have
-    when the table is read; many groups share a file, and no other batch is read or written anew."""
+    when the table is read; many groups share a file, and no other batch is read or written anew. watch may observe the
+    rows as they are written, once each, which they are not before they are dealt by ranges."""
     placed = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
-    placed.write.mode("overwrite").parquet(f"{path}/batch={batch}")
+    watch(placed).write.mode("overwrite").parquet(f"{path}/batch={batch}")
     return rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={batch}")
 
 

@@ -129,6 +129,29 @@ def test_unreadable_books_are_reported(spark, tmp_path):
     assert {r.stage for r in made.tasks.collect() if r.status == "done"} == {"parse", "tree", "chunk"}
 
 
+def test_progress_is_told_while_a_compile_runs(spark, tmp_path):
+    from folioframe import registry
+
+    (tmp_path / "in").mkdir()
+    for name, data in (("a", book("A")), ("b", book("B")), ("bad", b"no zip")):
+        (tmp_path / "in" / f"{name}.epub").write_bytes(data)
+    data, seen = str(tmp_path / "data"), []
+
+    def build(nodes, content):
+        seen.append(([(r.completed, r.total) for r in compiler.read_tasks(spark, data).filter("stage = 'late'").collect()], {r.stage: (r.rows, r.warnings) for r in compiler.read_progress(spark, data).collect()}))
+        return {"late_rows": nodes.select("book_id", "id")}
+
+    providers = registry.IndexRegistry([*registry.PROVIDERS, registry.IndexProvider("late", "L", build)])
+    made = compiler.compile_epubs(spark, str(tmp_path / "in"), data, ["chunk", "late"], providers)
+    at, rows = seen[0]
+    assert at == [(3, 4)] and rows["parsed"] == (3, 1) and rows["nodes"] == (4, 0) and "late_rows" not in rows
+    last = [r for r in made.tasks.collect() if r.stage == "late"][0]
+    assert (last.completed, last.total, last.status) == (4, 4, "done")
+    after = {r.stage: (r.rows, r.warnings) for r in compiler.read_progress(spark, data).collect()}
+    assert after["late_rows"] == (4, 0) and after["chunks"][0] == made.indexes["chunks"].count()
+    assert sorted((r.nodes, r.deepest, r.warnings) for r in compiler.metrics(made.nodes, made.content).collect()) == [(2, 1, 0), (2, 1, 0)]
+
+
 def test_bad_layouts(spark):
     good = json.dumps({"pdf_info": [{"page_idx": 0, "spans": [{"content": "two", "bbox": [0, 0, 1, 1]}]}]})
     odd = json.dumps({"pdf_info": [{"page_idx": "x", "spans": [{"content": "two", "bbox": [0, 0, "?", 1]}]}]})
