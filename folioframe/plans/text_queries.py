@@ -209,6 +209,17 @@ QUERIES = {
 }
 
 _HAS = "select doc_id from t where "
+#: The blocks of the test pages with their Markdown: links of a list, a heading, and paragraphs, of which some hold bold text that
+#: is closed by the next paragraph only.
+_PAGE_BLOCKS = r"""article as (select page_id, html, split_part(split_part(html, '<article>', 2), '</article>', 1) a from pages),
+found as (
+  select page_id, 'li' tag, generate_subscripts(x, 1) n, '/nav[1]/ul[1]' above, '- [' || unnest(x) || '](' || unnest(regexp_extract_all(html, '<li><a href="([^"]*)">', 1)) || ')' || chr(10) m
+    from (select *, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)</a></li>', 1) x from article)
+  union all select page_id, 'h1', 1, '/article[1]', '# ' || trim(regexp_extract(a, '<h1>([^<]*)</h1>', 1)) || chr(10) || chr(10) from article
+  union all select page_id, 'p', n, '/article[1]', case when t = '' then '' else t || chr(10) || chr(10) end from (
+    select page_id, n, case when x like '<b>%' then '**' || regexp_extract(x, '^<b>(.*)<br>', 1) || chr(10) || '**' else trim(replace(x, '</p>', '')) end t from (
+      select page_id, generate_subscripts(x, 1) n, unnest(x) x from (select page_id, string_split(a, '<p>')[2:] x from article)))),
+plain as (select * replace (replace(replace(replace(replace(m, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&amp;', '&') as m), case tag when 'li' then 0 when 'h1' then 1 else 2 end place from found)"""
 _LIST = f"""list_filter(regexp_split_to_array(translate(regexp_replace(lower({{}}), '{fts.MARKS}', '', 'g'), '{fts.MARKED}', '{fts.PLAIN}'), '[^\\p{{{{L}}}}\\p{{{{N}}}}\\p{{{{M}}}}]+'), lambda x: x <> '')"""
 
 
@@ -243,6 +254,13 @@ ORACLES = {
     "citations": "select doc_id, 'c' || doc_id || ',e' || (doc_id % 7) cited from documents",
     "page_batches": """select page_id, b::integer batch, (b * 190)::integer as first, least(b * 190 + 190, page_id * 37 % 700) stop
       from pages, (select unnest(generate_series(0, 10)) b) where b = 0 or b * 190 < page_id * 37 % 700""",
+    "html_to_markdown": f"""with {_PAGE_BLOCKS} select page_id, string_agg(m, '' order by place, n) markdown, count(*) filter (m <> '') n_elements from plain group by 1""",
+    "element_mappings": f"""with {_PAGE_BLOCKS}, placed as (select *, coalesce(sum(length(m)) over (partition by page_id order by place, n rows between unbounded preceding and 1 preceding), 0) lo,
+      count(*) filter (m <> '') over (partition by page_id order by place, n) e from plain)
+      select page_id, lo::bigint content_offset, length(m) content_length, tag element_tag, (e - 1)::integer element_index, '' element_id, above || '/' || tag || '[' || n || ']' element_path from placed where m <> ''""",
+    "locate_spans": """with lines as (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents),
+      placed as (select *, sum(length(l) + 1) over (partition by doc_id order by i) - 1 - length(regexp_replace(l, '^\\s+', '')) lo from lines)
+      select doc_id book_id, count(*) n, min(lo)::bigint low, max(lo)::bigint high from placed where regexp_replace(l, '\\s+', '', 'g') <> '' group by 1""",
     "layout_spans": """select doc_id book_id, (i - 1)::integer page_index, (i - 1)::double y0, l as content
       from (select doc_id, unnest(string_split(text, chr(10))) l, generate_subscripts(string_split(text, chr(10)), 1) i from documents) where l <> ''""",
 }
