@@ -209,7 +209,7 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
         "before", F.coalesce(F.expr(f"sum(full) over ({ordered})"), F.lit(0)))
     offsets = by_length.withColumn("low", F.coalesce(
         F.expr(f"sum(count) over (partition by length {ordered})"), F.lit(0))).groupBy("block").agg(
-        F.collect_list(F.struct("length", "low")).alias("lows"))  # at most `window` entries
+        F.map_from_entries(F.collect_list(F.struct("length", "low"))).alias("lows"))  # at most `window` entries
     where = scratch.save(blocks.join(offsets, "block").select(F.col("block").alias("of"), "before", "lows"), "blocks")
     scratch.drop("lengths")
     if where.count() * window * 16 <= BROADCAST:
@@ -217,19 +217,16 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
     wide = "u2" if encoder(vocabulary).dtype.itemsize == 2 else "u4"
 
     def pieces(batches):
-        lows: dict[int, dict[int, int]] = {}
         for batch in batches:
             for k in range(0, batch.num_rows, AT_A_TIME):
                 part = batch.slice(k, AT_A_TIME)
-                block, doc, n, nth, fulls, packed, before = (part.column(c).to_pylist() for c in range(7))
+                doc, n, rank, full, packed = (part.column(c).to_pylist() for c in range(5))
                 rows = []
                 for i in range(len(doc)):
-                    if block[i] not in lows:
-                        lows[block[i]] = {x["length"]: x["low"] for x in part.column(7)[i].as_py()}
                     data, at = np.frombuffer(packed[i], "<" + wide).astype("<u4"), 0
-                    cut = [(base + before[i] + fulls[i] + j, 0, window) for j in range(n[i] // window)]
+                    cut = [(base + full[i] + j, 0, window) for j in range(n[i] // window)]
                     if n[i] % window:
-                        cut += layout.place(n[i] % window, lows[block[i]][n[i] % window] + nth[i])
+                        cut += layout.place(n[i] % window, rank[i])
                     for sequence, offset, length in cut:
                         rows.append((doc[i], at, length, n[i], sequence, offset, data[at:at + length].tobytes()))
                         at += length
@@ -237,7 +234,9 @@ def pack_documents(docs: DataFrame, window: int = WINDOW, end_id: int = 0, vocab
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols[:6]] + [pa.array(cols[6], pa.binary())],
                                                  names=["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"])
 
-    joined = ids.join(where, F.col("block") == F.col("of")).select("block", "doc_id", "n", "nth", "fulls", "packed", "before", "lows")
+    #: A row takes two numbers from its block's table inside the JVM; the table itself goes to no row.
+    joined = ids.join(where, F.col("block") == F.col("of")).select(
+        "doc_id", "n", (F.element_at("lows", (F.col("n") % window).cast("int")) + F.col("nth")).alias("rank"), (F.col("before") + F.col("fulls")).alias("full"), "packed")
     return joined.mapInArrow(
         pieces, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary")
 
