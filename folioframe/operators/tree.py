@@ -252,47 +252,86 @@ def toc(items: DataFrame) -> DataFrame:
     return items.filter(F.trim(F.coalesce("title", F.lit(""))) != "").withColumn("level", F.greatest("level", F.lit(1)))
 
 
+NODE = ["id", "book_id", "parent_id", "level", "order_index", "title", "content_offset", "content_length"]
+
+
+class _Build:
+    """The nodes of one book while its log is replayed; a node is (number, parent, level, order, title, start, stop)."""
+
+    def __init__(self):
+        self.done: list[tuple] = []
+        self.open: list[tuple] = [(0, -1, 0, 0, "", 0, 0)]
+        self.kids: dict[int, int] = {}
+        self.undo: list[tuple] = []  # for each operation: the nodes it closed, the node it opened, the node it replaced
+        self.undone: set = set()
+        self.number = 0
+
+    def apply(self, chunk, op: str, level: int, title: str, start: int, stop: int) -> None:
+        if op == "rollback":
+            self._roll_back(chunk)
+            return
+        closed, opened, replaced = [], None, None
+        if op == "open":
+            while self.open and self.open[-1][2] >= level:
+                closed.append(self.open.pop())
+            parent = self.open[-1][0] if self.open else -1
+            self.number += 1
+            opened = (self.number, parent, level, self.kids.get(parent, 0), title or "", start, stop)
+            self.kids[parent] = opened[3] + 1
+            self.open.append(opened)
+        elif op == "append" and self.open:
+            replaced = n = self.open[-1]
+            self.open[-1] = (*n[:5], start if n[5] == n[6] else n[5], stop)
+        elif op in ("complete", "finish"):
+            while len(self.open) > 1 and (op == "finish" or not closed):
+                closed.append(self.open.pop())
+        self.done += closed
+        self.undo.append((closed, opened, replaced))
+
+    def _roll_back(self, chunk) -> None:
+        if chunk in self.undone or not self.undo:
+            return
+        closed, opened, replaced = self.undo.pop()
+        if opened:
+            self.kids[self.open.pop()[1]] -= 1
+        if replaced:
+            self.open[-1] = replaced
+        del self.done[len(self.done) - len(closed):]
+        self.open += reversed(closed)
+        self.undone.add(chunk)
+
+    def nodes(self) -> list[tuple]:
+        return sorted([*self.done, *self.open])
+
+
 def replay(operations: DataFrame) -> DataFrame:
     """Nodes that a log of builder operations makes, for operations(book_id, chunk, seq, op, level, title, start, stop).
 
     open starts a node below the last open one of a smaller level, closing those it passes; append widens the open
     node's text to [start, stop); complete closes it, except the root; rollback undoes the last operation, once in a
-    chunk; finish closes all. A book's log is replayed in order in one task; books are independent."""
-    import pandas as pd
-
-    def run(key, log: pd.DataFrame) -> pd.DataFrame:
-        states: list[tuple] = [([], ((0, -1, 0, 0, "", 0, 0),))]  # done, open; node = number, parent, level, order, title, start, stop
-        undone: set = set()
-        number = 0
-        for x in log.sort_values(["chunk", "seq"]).itertuples():
-            done, stack = list(states[-1][0]), list(states[-1][1])
-            if x.op == "rollback":
-                if x.chunk not in undone and len(states) > 1:
-                    states.pop()
-                    undone.add(x.chunk)
-                continue
-            if x.op == "open":
-                while stack and stack[-1][2] >= x.level:
-                    done.append(stack.pop())
-                parent = stack[-1][0] if stack else -1
-                number += 1
-                stack.append((number, parent, int(x.level), sum(n[1] == parent for n in done + stack), x.title or "", int(x.start), int(x.stop)))
-            elif x.op == "append" and stack:
-                n = stack[-1]
-                stack[-1] = (*n[:5], int(x.start) if n[5] == n[6] else n[5], int(x.stop))
-            elif x.op == "complete" and len(stack) > 1:
-                done.append(stack.pop())
-            elif x.op == "finish":
-                while len(stack) > 1:
-                    done.append(stack.pop())
-            states.append((done, tuple(stack)))
-        rows = sorted([*states[-1][0], *states[-1][1]])
-        book = key[0]
-        return pd.DataFrame({
-            "id": [f"{book}/{n[0]}" for n in rows], "book_id": [book] * len(rows), "parent_id": ["" if n[1] < 0 else f"{book}/{n[1]}" for n in rows],
-            "level": [n[2] for n in rows], "order_index": [n[3] for n in rows], "title": [n[4] for n in rows],
-            "content_offset": [0 if n[1] < 0 else n[5] for n in rows], "content_length": [max(0, n[6] - n[5]) for n in rows]})
-
-    kind = dict(operations.dtypes)["book_id"]
-    return operations.groupBy("book_id").applyInPandas(
-        run, f"id string, book_id {kind}, parent_id string, level int, order_index int, title string, content_offset long, content_length long")
+    chunk; finish closes all. Logs are sorted by book and replayed as they come, in time linear in them; of a book only its nodes and
+    what undoes its operations are held."""
+    names, kind = ["book_id", "chunk", "op", "level", "title", "start", "stop"], dict(operations.dtypes)["book_id"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        def table(nodes: list[tuple], book: pa.DataType) -> pa.RecordBatch:
+            rows = [(f"{b}/{n[0]}", b, "" if n[1] < 0 else f"{b}/{n[1]}", n[2], n[3], n[4], 0 if n[1] < 0 else n[5], max(0, n[6] - n[5])) for b, n in nodes]
+            kinds = [pa.string(), book, pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 8, kinds)], names=NODE)
+
+        at = build = None
+        for batch in batches:
+            whole = []
+            for book, chunk, *operation in zip(*(batch.column(c).to_pylist() for c in names)):
+                if build is None or book != at:
+                    whole += [(at, n) for n in build.nodes()] if build else []
+                    at, build = book, _Build()
+                build.apply(chunk, *operation)
+            yield table(whole, batch.schema.field("book_id").type)
+        if build:
+            yield table([(at, n) for n in build.nodes()], batch.schema.field("book_id").type)
+
+    ordered = operations.repartition("book_id").sortWithinPartitions("book_id", "chunk", "seq").select(*names)
+    return ordered.mapInArrow(run, f"id string, book_id {kind}, parent_id string, level int, order_index int, title string, content_offset long, content_length long")

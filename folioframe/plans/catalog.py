@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioframe.plans import data_queries, ingest_queries, scalar_queries, store_queries, surface_queries, text_queries, tree_queries
+from folioframe.plans import data_queries, ingest_queries, scalar_queries, store_queries, surface_queries, text_queries, tool_queries, tree_queries
 
-MODULES = (text_queries, tree_queries, data_queries, store_queries, scalar_queries, surface_queries, ingest_queries)
+MODULES = (text_queries, tree_queries, data_queries, store_queries, scalar_queries, surface_queries, ingest_queries, tool_queries)
 flagship = text_queries.flagship
 
 

@@ -94,17 +94,21 @@ def _named(functions: dict[str, tuple[str, Callable[..., DataFrame]]]) -> Toolse
 
 
 def ontology_tools(lib: Library) -> Toolset:
-    """Walking books and their trees."""
+    """Walking books and their trees. What goes down from a node looks at the trees of its book only."""
+    def beside(node_id) -> DataFrame:
+        own = lib.nodes.filter(F.col("id") == node_id).select("book_id").limit(1)  # ids are unique
+        return lib.nodes.join(F.broadcast(own), "book_id", "left_semi")
+
     return _named({
         "list_books": ("All books with their built indexes.", lambda: tables.books_with_indexes(lib.books, lib.manifest)),
         "get_book": ("One book.", lambda book_id: lib.books.filter(F.col("id") == book_id)),
         "get_root_node": ("A book's root.", lambda book_id: tree.root(lib.nodes, book_id)),
         "get_children": ("A node's children in order.", lambda node_id: tree.children(lib.nodes, node_id)),
         "get_parent": ("A node's parent.", lambda node_id: tree.parents(lib.nodes).filter(F.col("id") == node_id)),
-        "get_descendants": ("All nodes below one, in pre-order.", lambda node_id: tree.descendants(lib.nodes, node_id)),
+        "get_descendants": ("All nodes below one, in pre-order.", lambda node_id: tree.descendants(beside(node_id), node_id)),
         "list_nodes_by_level": ("A book's nodes of one level.", lambda book_id, level: tree.at_level(lib.nodes.filter(F.col("book_id") == book_id), int(level))),
         "read_node": ("A node's own text.", lambda node_id: tree.own_text(tree.node_by_id(lib.nodes, node_id), lib.content).select("id", "title", "body")),
-        "read_subtree": ("The text of a node and all below it.", lambda node_id: tree.subtree_text(lib.nodes, lib.content).filter(F.col("id") == node_id)),
+        "read_subtree": ("The text of a node and all below it.", lambda node_id: tree.subtree_text(beside(node_id), lib.content).filter(F.col("id") == node_id)),
     })
 
 
