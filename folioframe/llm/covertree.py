@@ -20,8 +20,11 @@ from folioframe.llm.common import Scratch, table
 K, SCALE = 10, 1024
 #: Rows of a block of data and of a part of its queries; block summaries looked at in one pass.
 BLOCK, PART, SUMMARIES = 2048, 2048, 8192
-#: Rows of a block in the registered query.
-QUERY_BLOCK = 256
+#: Rows of a block in the registered query: so few in small tables that they have several blocks too, more in tables of
+#: more than BLOCKS blocks, as the pairs of parts and blocks are the square of their number, up to BLOCK.
+QUERY_BLOCK, BLOCKS = 256, 64
+#: Pairs of parts and blocks that a task holds before it passes them on.
+PAIRS = 1 << 16
 #: Pivots that data are dealt by, chosen from a sample; both are bounds.
 PIVOTS, SAMPLE = 256, 2048
 #: Rounding errors of a bound, as a part of the product of the norms.
@@ -204,7 +207,11 @@ def _pivots(sample: np.ndarray, number: int) -> np.ndarray:
     return sample[chosen]
 
 
-def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block: int = BLOCK, part: int = PART, summaries: int = SUMMARIES) -> DataFrame:
+def query_block(number: int) -> int:
+    return min(BLOCK, max(QUERY_BLOCK, number // BLOCKS))
+
+
+def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block: int | None = BLOCK, part: int = PART, summaries: int = SUMMARIES) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row that is_query names, the k other rows of the highest integer inner
     product, ties to the smaller vec_id.
 
@@ -212,7 +219,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     vectors share the load. Queries of one block are a part, a row with its ball. A part first searches its own block; the
     worst k-th score of its queries then rules out blocks by both balls, and the others are searched as pairs of cover
     trees, in which each query has a limit of its own. Summaries of blocks are looked at `summaries` at a time, so
-    what the driver holds does not grow with the data.
+    what the driver holds does not grow with the data. Pairs of a part and a block are named only; the part's queries join
+    them where they are searched. Without a block size it is QUERY_BLOCK, and up to BLOCK rows in a larger table.
 
     Defined cases: rows with null vec_id, a null vector, or a null or non-finite component take no part; an empty
     vector scores 0; shorter vectors count as padded with zeros; rows that share a vec_id are each a query of its own and
@@ -223,6 +231,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     scratch = Scratch(spark, "covertree")
     rows = quantized(vectors)
     number = rows.count()
+    block = block or query_block(number)
     sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     if not number:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
@@ -266,7 +275,10 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
         if len(left) and len(right):
             q = [row.tobytes() for b, n in zip(left["q"], left["number"]) for row in np.frombuffer(b, np.int64).reshape(n, -1)]
             rows, floors = (np.concatenate([np.frombuffer(b, kind) for b in left[c]]) for c, kind in (("rows", np.int64), ("floors", float)))
-            found = list(Search(_matrix(q), rows, floors, _matrix(right["v"]), right["of"].to_numpy(), right["vec_id"].to_numpy(), k).found())
+            data = _matrix(right["v"]), right["of"].to_numpy(), right["vec_id"].to_numpy()
+            pieces = math.ceil(len(q) / part)  # a group is about `part` queries, a tree no more
+            for at in np.array_split(np.arange(len(q)), pieces):
+                found += Search(_matrix(q[at[0]:at[-1] + 1]), rows[at], floors[at], *data, k).found()
         return pd.DataFrame(found, columns=["row", "vec_id", "score"]).astype("int64")
 
     def pairs(wanted: DataFrame) -> DataFrame:
@@ -280,7 +292,7 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
     none = F.lit(float("-inf"))
     home = scratch.save(pairs(packed(queries.withColumn("floor", none)).withColumn("block", F.col("home"))), "home")
     floors = home.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("floor"))
-    asked = scratch.save(packed(queries.join(floors, "row", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))), "asked")
+    asked = scratch.save(packed(queries.join(floors, "row", "left").withColumn("floor", F.coalesce(F.col("floor").cast("double"), none))).withColumn("id", F.monotonically_increasing_id()), "asked")
 
     def summary(rows: pd.DataFrame) -> pd.DataFrame:
         v = _matrix(rows["v"]).astype(float)
@@ -297,26 +309,33 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
         radius = np.array([r[2] for r in some])
 
         def reach(batches, names=names, center=center, radius=radius):
-            """Each part with the blocks that can hold an inner product as high as its floor: of two balls the highest one is
-            that of the centres, and what each radius adds along the other's farthest point."""
+            """(id, block): each part with the blocks that can hold an inner product as high as its floor: of two balls the
+            highest one is that of the centres, and what each radius adds along the other's farthest point."""
             long = np.sqrt((center ** 2).sum(1))
+
+            def batch_of(ids, blocks):
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (ids, blocks)], names=["id", "block"])
+
             for batch in batches:
-                own = [batch.column(c).to_pylist() for c in ("home", "center", "radius", "floor")]
-                part_of, block_of = [], []
-                for i, (h, b, r, f) in enumerate(zip(*own)):
+                ids, blocks, held = [], [], 0
+                for i, h, b, r, f in zip(*(batch.column(c).to_pylist() for c in ("id", "home", "center", "radius", "floor"))):
                     x = _padded([np.frombuffer(b)], center.shape[1])[0]
                     norm = np.sqrt(float((x ** 2).sum()))
                     most = center @ x[:center.shape[1]] + radius * norm + r * (long + radius)
                     slack = SLACK * (1 + (norm + r) * (long + radius)) + (abs(f) * SLACK if f > -math.inf else 0)
                     good = names[(most + slack >= f) & (names != h)]
-                    part_of += [i] * len(good)
-                    block_of.append(good)
-                at = pa.array(part_of, pa.int64())
-                block = np.concatenate(block_of) if block_of else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("number", "rows", "q", "floors")), pa.array(block, pa.int64())], names=["number", "rows", "q", "floors", "block"])
-
-        wanted = asked.mapInArrow(reach, "number int, rows binary, q binary, floors binary, block long")
-        found = found.unionByName(scratch.save(pairs(scratch.save(wanted, f"wanted{turn}")), f"found{turn}"))
+                    ids.append(np.full(len(good), i, np.int64))
+                    blocks.append(good)
+                    held += len(good)
+                    if held >= PAIRS:
+                        yield batch_of(ids, blocks)
+                        ids, blocks, held = [], [], 0
+                if held:
+                    yield batch_of(ids, blocks)
+
+        wanted = scratch.save(asked.select("id", "home", "center", "radius", "floor").mapInArrow(reach, "id long, block long"), f"wanted{turn}")
+        wanted = wanted.join(asked.select("id", "number", "rows", "q", "floors"), "id")
+        found = found.unionByName(scratch.save(pairs(wanted), f"found{turn}"))
         scratch.drop(f"wanted{turn}")
     best = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     top = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
@@ -324,9 +343,8 @@ def top_inner_products(vectors: DataFrame, is_query: Column, k: int = K, block:
 
 
 def op8_dual_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Queries are the rows whose vec_id is divisible by 100, candidates all rows. Blocks are small enough that every
-    table has several."""
-    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, block=QUERY_BLOCK)
+    """Queries are the rows whose vec_id is divisible by 100, candidates all rows. Every table has several blocks."""
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, block=None)
 
 
 ORACLE = """
