@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from folioframe.operators import paths
 from folioframe.operators.tables import replace_group
 from folioframe.operators.text import each_text
+from folioframe.sources.files import Rounds
 
 _HEADING = re.compile(r"(#{1,6})\s+(.+)$")
 #: Digits of one step of a path.
@@ -207,27 +208,35 @@ def subtree_text(nodes: DataFrame, content: DataFrame) -> DataFrame:
 
 def violations(nodes: DataFrame, content: DataFrame | None = None) -> DataFrame:
     """(book_id, id, problem): every breach of the rules of a tree, none for valid trees. Problems: repeated id,
-    negative length, no root, many roots, root level, missing parent, other book, level order, sibling order, cycle."""
+    negative length, no root, many roots, root level, missing parent, other book, level order, sibling order, cycle.
+
+    Every check reads the nodes, so what they are made of is computed once and written."""
+    wanted = [c for c in ("book_id", "id", "parent_id", "level", "order_index", "title_offset", "title_length", "content_offset", "content_length") if c in nodes.columns]
+    saved = Rounds(nodes.sparkSession, "violations")
+    nodes = saved.save(nodes.select(*wanted), "nodes")
     row = lambda df, problem: df.select("book_id", "id", F.lit(problem).alias("problem"))
+
+    def rows(df, ident, **problems):
+        """A row for each problem whose test holds, in one pass."""
+        found = F.array_compact(F.array(*[F.when(F.expr(test), name.replace("_", " ")) for name, test in problems.items()]))
+        return df.select("book_id", ident.alias("id"), F.explode(found).alias("problem"))
+
+    ident = F.col("id")
     per_book = nodes.groupBy("book_id").agg(F.sum((F.col("parent_id") == "").cast("int")).alias("n"))
     up = nodes.select(F.col("id").alias("_up"), F.col("level").alias("_level"), F.col("book_id").alias("_book"))
     tied = nodes.filter("parent_id <> ''").join(up, F.col("parent_id") == F.col("_up"), "left")
+    tied = rows(tied, ident, missing_parent="_up is null", other_book="_book <> book_id", level_order="level <= _level")
+    tied = saved.save(tied, "tied")
     siblings = Window.partitionBy("book_id", "parent_id", "order_index")
-    same = Window.partitionBy("book_id", "id")
     #: Levels that only grow rule a cycle out, so only books with a node at or above its parent's level can have one.
     out = [
-        row(nodes.withColumn("_n", F.count("*").over(same)).filter("_n > 1").dropDuplicates(["book_id", "id"]), "repeated id"),
-        row(nodes.filter("title_length < 0 or content_length < 0 or title_offset < 0 or content_offset < 0"), "negative length"),
-        per_book.filter("n = 0").select("book_id", F.lit("").alias("id"), F.lit("no root").alias("problem")),
-        per_book.filter("n > 1").select("book_id", F.lit("").alias("id"), F.lit("many roots").alias("problem")),
-        row(nodes.filter("parent_id = '' and level <> 0"), "root level"),
-        row(tied.filter("_up is null"), "missing parent"),
-        row(tied.filter("_book <> book_id"), "other book"),
-        row(tied.filter("level <= _level"), "level order"),
+        row(nodes.groupBy("book_id", "id").agg(F.count("*").alias("_n")).filter("_n > 1"), "repeated id"),
+        rows(nodes, ident, negative_length="title_length < 0 or content_length < 0 or title_offset < 0 or content_offset < 0", root_level="parent_id = '' and level <> 0"),
+        rows(per_book, F.lit(""), no_root="n = 0", many_roots="n > 1"), tied,
         row(nodes.filter("parent_id <> ''").withColumn("_n", F.count("*").over(siblings)).filter("_n > 1"), "sibling order"),
     ]
     base = nodes.dropDuplicates(["id"])
-    suspects = tied.filter("level <= _level").select("book_id").distinct()
+    suspects = tied.filter("problem = 'level order'").select("book_id").distinct()
     base = base.join(suspects, "book_id", "left_semi")
     looped = paths.reached(base.select("id", F.expr("nullif(parent_id, '')").alias("up"))).filter("looped").select("id")
     out.append(row(base.join(looped, "id"), "cycle"))
