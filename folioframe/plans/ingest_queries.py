@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from folioframe.plans import model
 from folioframe.sources import epub, pdf
+from folioframe.sources.files import FILES_TOLD
 
 CHAPTERS = 3
 #: What a chapter's lines become, in turn.
@@ -60,7 +61,7 @@ def _layouts(text: str) -> bytes:
 def _made(docs: DataFrame, make) -> DataFrame:
     """(path, content): an archive for each document."""
     def run(batches):
-        for batch in batches:
+        for batch in (whole.iloc[at:at + FILES_TOLD] for whole in batches for at in range(0, len(whole), FILES_TOLD)):
             yield pd.DataFrame({"path": [f"{i}" for i in batch["doc_id"]], "content": [make(*r) for r in batch.fillna("").itertuples(index=False)]})
     return docs.mapInPandas(run, "path string, content binary")
 

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folioframe.sources.files import FILES_TOLD, short_batches
+
 PAGES, SNIPPET = 190, 30
 #: Keys under which layouts hold their pages, and pages their number, in order of preference; fixed values.
 PAGE_LISTS, PAGE_NUMBERS = ("pdf_info", "data", "pages", "page_info"), ("page_idx", "page_id", "page_no")
@@ -49,6 +51,8 @@ def unpack(data: bytes) -> tuple[str, str, str]:
 
 def unpacked(archives: DataFrame) -> DataFrame:
     """archives(content, ...) with markdown, layout and error, which is empty where all could be read."""
+    short_batches(archives.sparkSession)
+
     @F.udf("struct<markdown:string,layout:string,error:string>")
     def run(data):
         return unpack(bytes(data or b""))
@@ -112,11 +116,13 @@ def locate(found: list[tuple], text: str, base: int = 0, first_page: int = 0) ->
 
 
 def _flat(df: DataFrame, keys: list[str], schema: str, rows) -> DataFrame:
+    """The rows of each row of df, a few at a time."""
+    short_batches(df.sparkSession)
     names = [f.split()[0] for f in schema.split(", ")]
     kinds = dict(df.dtypes)
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.iloc[at:at + FILES_TOLD] for whole in batches for at in range(0, len(whole), FILES_TOLD)):
             out = [(*[r[k] for k in keys], *row) for r in batch.to_dict("records") for row in rows(r)]
             yield pd.DataFrame(out, columns=[*keys, *names]).astype(object) if out else pd.DataFrame(columns=[*keys, *names])
 
