@@ -28,8 +28,10 @@ def fold(text: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """Runs of letters, marks and digits of the folded text."""
-    return F.filter(F.split(fold(text), r"[^\p{L}\p{N}\p{M}]+"), lambda t: t != "")
+    """Runs of letters, marks and digits of the folded text. Folding makes no letter or mark anything else, so the text is
+    split first and only tokens with more than ASCII are folded."""
+    folded = lambda t: F.when(F.octet_length(t) > F.char_length(t), F.translate(F.regexp_replace(t, MARKS, ""), MARKED, PLAIN)).otherwise(t)
+    return F.filter(F.transform(F.split(F.lower(text), r"[^\p{L}\p{N}\p{M}]+"), folded), lambda t: t != "")
 
 
 def query_tokens(text: str) -> list[str]:
