@@ -16,23 +16,32 @@ from folioframe.sources.files import Rounds
 
 #: Neighbours of a share.
 SHARE = 4096
+#: Rows that a task of a round puts out on average, and the most tasks of a round.
+REACH, TASKS = 500_000, 10_000
 #: Texts of queries that one pass over the entities looks for; a larger set is several passes.
 TEXTS = 100_000
 
 
-def neighbours(edges: DataFrame, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
-    """(adjacent, hubs): adjacent(entity_id, share, other_id) has each neighbour once, hubs(entity_id, shares) the entities
-    that are cut into several shares."""
-    pairs = incident(edges).select("entity_id", "other_id").distinct()
-    hubs = pairs.groupBy("entity_id").agg(F.ceil(F.count("*") / share).cast("int").alias("shares")).filter("shares > 1")
-    cut = pairs.join(hubs, "entity_id", "left").select("entity_id", F.coalesce(F.pmod(F.xxhash64("other_id"), "shares").cast("int"), F.lit(0)).alias("share"), "other_id")
-    return cut, hubs
+def neighbours(edges: DataFrame, of: DataFrame, rounds: Rounds, name: str, share: int = SHARE) -> tuple[DataFrame, DataFrame]:
+    """(adjacent, counts) of the entities of `of`, as written tables: adjacent(entity_id, share, other_id) has each
+    neighbour once, counts(entity_id, n, shares) the number of neighbours and of shares that they are cut into.
 
+    The ids are a table of known size, so Spark leaves out other entities' edges as it reads them where the ids are few,
+    and shuffles the edges where they are many."""
+    ids = rounds.save(of.select("entity_id").distinct(), f"{name}-ids")
+    pairs = rounds.save(incident(edges).select("entity_id", "other_id").distinct().join(ids, "entity_id", "left_semi"), f"{name}-pairs")
+    counts = pairs.groupBy("entity_id").agg(F.count("*").alias("n")).withColumn("shares", F.ceil(F.col("n") / share).cast("int"))
+    counts = rounds.save(counts, f"{name}-counts")
+    cut = pairs.join(counts, "entity_id").select("entity_id", F.pmod(F.xxhash64("other_id"), "shares").cast("int").alias("share"), "other_id")
+    return rounds.save(cut, f"{name}-adjacent"), counts
 
-def step(front: DataFrame, adjacent: DataFrame, hubs: DataFrame) -> DataFrame:
-    """(query, entity_id) of all neighbours of front(query, entity_id), with repeats."""
-    shares = F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1)).alias("share")
-    sent = front.select("query", "entity_id").join(hubs, "entity_id", "left").select("query", "entity_id", shares)
+
+def step(front: DataFrame, adjacent: DataFrame, counts: DataFrame) -> DataFrame:
+    """(query, entity_id) of all neighbours of front(query, entity_id), with repeats. The tasks follow the number of rows
+    that come out, which a small front may have many of."""
+    sent = front.select("query", "entity_id").join(counts, "entity_id")
+    tasks = min((sent.agg(F.sum("n")).first()[0] or 0) // REACH + 1, TASKS)
+    sent = sent.select("query", "entity_id", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share")).repartition(tasks, "entity_id", "share")
     return sent.join(adjacent, ["entity_id", "share"]).select("query", F.col("other_id").alias("entity_id"))
 
 
@@ -46,14 +55,13 @@ def entity_first(edges: DataFrame, seeds: DataFrame, max_hop: int = 2, share: in
     query = F.col("query")
     seeds = seeds.filter("entity_id is not null").groupBy(query, "entity_id").agg(F.max("score").cast("double").alias("score")).withColumn("hop", F.lit(0))
     front = seen = rounds.save(seeds.select("query", "entity_id", "hop", "score"), "hop0")
-    if max_hop > 0:
-        adjacent, hubs = neighbours(edges, share)
-        adjacent, hubs = rounds.save(adjacent, "adjacent"), rounds.save(hubs, "hubs")
     for hop in range(1, max_hop + 1):
         known = seen.select(query.alias("_q"), F.col("entity_id").alias("_e"))
-        new = step(front, adjacent, hubs).distinct()
+        new = step(front, *neighbours(edges, front, rounds, f"near{hop}", share)).distinct()
         new = new.join(known, query.eqNullSafe(F.col("_q")) & (F.col("entity_id") == F.col("_e")), "left_anti")
         front = rounds.save(new.select("query", "entity_id", F.lit(hop).alias("hop"), F.lit(0.0).alias("score")), f"hop{hop}")
+        for part in ("ids", "pairs", "counts", "adjacent"):
+            rounds.drop(f"near{hop}-{part}")
         seen = seen.unionByName(front)
     return seen
 
@@ -64,8 +72,11 @@ def entity_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def degrees(found: DataFrame, edges: DataFrame) -> DataFrame:
-    """found with n_edges, the number of each entity's edges; every edge is counted before anything is joined."""
-    n = incident(edges).groupBy("entity_id").agg(F.count("*").alias("n_edges"))
+    """found with n_edges, the number of each entity's edges. The edges of the entities found are counted into a written
+    table, then found is joined to it."""
+    rounds = Rounds(edges.sparkSession, "degrees")
+    ids = rounds.save(found.select("entity_id").distinct(), "ids")
+    n = rounds.save(incident(edges).groupBy("entity_id").agg(F.count("*").alias("n_edges")).join(ids, "entity_id", "left_semi"), "n")
     return found.join(n, "entity_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
 
@@ -143,7 +154,6 @@ def text_first(entities: DataFrame, edges: DataFrame, queries: DataFrame, limit:
     hits = rounds.save(find_entities(entities, queries, limit), "hits")
     out = hits.select("query", "entity_id", F.lit(0).alias("hop"), F.lit(1.0).alias("score"))
     if max_hop > 0:
-        adjacent, hubs = neighbours(edges, share)
-        near = step(hits, adjacent, hubs).distinct().join(hits, ["query", "entity_id"], "left_anti")
-        out = out.unionByName(near.select("query", "entity_id", F.lit(1).alias("hop"), F.lit(0.0).alias("score")))
+        near = step(hits, *neighbours(edges, hits, rounds, "near", share)).distinct().join(hits, ["query", "entity_id"], "left_anti")
+        out = out.unionByName(rounds.save(near.select("query", "entity_id", F.lit(1).alias("hop"), F.lit(0.0).alias("score")), "found"))
     return out
