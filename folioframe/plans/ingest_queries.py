@@ -62,8 +62,8 @@ def _made(docs: DataFrame, make) -> DataFrame:
     """(path, content): an archive for each document."""
     def run(batches):
         for batch in (whole.iloc[at:at + FILES_TOLD] for whole in batches for at in range(0, len(whole), FILES_TOLD)):
-            yield pd.DataFrame({"path": [f"{i}" for i in batch["doc_id"]], "content": [make(*r) for r in batch.fillna("").itertuples(index=False)]})
-    return docs.mapInPandas(run, "path string, content binary")
+            yield pd.DataFrame({"path": batch["path"], "content": [make(*r) for r in batch.drop(columns="path").fillna("").itertuples(index=False)]})
+    return docs.withColumn("path", F.col("doc_id").cast("string")).mapInPandas(run, "path string, content binary")
 
 
 def _books(spark, d) -> DataFrame:

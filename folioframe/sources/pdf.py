@@ -27,26 +27,30 @@ def plan_batches(books: DataFrame, pages: str = "pages", most: int = PAGES) -> D
 
 
 def unpack(data: bytes) -> tuple[str, str, str]:
-    """(markdown, layout JSON, errors): of a result archive the first .md file and the last layout or middle JSON that can
-    be read; what cannot be read is told in errors, and an archive that is none has neither."""
-    markdown = layout = ""
+    """(markdown, layout JSON, errors): of a result archive the first .md file, which may be empty, and the last layout or
+    middle JSON that can be read; what cannot be read is told in errors, and an archive that is none has neither."""
+    markdown, layout = None, ""
     errors = []
     try:
         with zipfile.ZipFile(io.BytesIO(data)) as z:
             for name in z.namelist():
                 low = name.lower()
                 try:
-                    if low.endswith(".md") and not markdown:
+                    if low.endswith(".md") and markdown is None:
                         markdown = z.read(name).decode("utf-8", "replace")
                     elif low.endswith(".json") and ("layout" in low or "middle" in low):
                         found = z.read(name).decode("utf-8", "replace")
                         json.loads(found)
                         layout = found
+                except MemoryError:  # says nothing about the member
+                    raise
                 except Exception as e:  # a member that is broken or encrypted
                     errors.append(f"{name}: {type(e).__name__}: {e}")
+    except MemoryError:
+        raise
     except Exception as e:
         errors.append(f"{type(e).__name__}: {e}")
-    return markdown, layout, "; ".join(errors)
+    return markdown or "", layout, "; ".join(errors)
 
 
 def unpacked(archives: DataFrame) -> DataFrame:
